@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vqaframe.functions.strings import whitespace_tokens
-from vqaframe.session import table_path
+from vqaframe.session import spread_narrow, table_path
 
 # Parameters of the registered queries; reference values where it has them.
 SPLIT = "train"
@@ -32,8 +32,12 @@ MODEL = "vqa-model"
 EOS_STANDIN = "."        # sentence end plays <eos> on driver prose
 
 
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_narrow(df) if name in TEXT_TABLES else df
 
 
 def questions(spark, sf_dir) -> DataFrame:

@@ -74,5 +74,20 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def spread_narrow(df):
+    """Round-robin a DataFrame whose scan has fewer partitions than cores.
+
+    A table stored as one large row group is read by a single task; heavy
+    per-row work (tokenising, exploding) would then run on one core. When the
+    input already has at least as many partitions as the cluster has cores
+    (every large table on a real cluster) this returns ``df`` unchanged, so no
+    shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
