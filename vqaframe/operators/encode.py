@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.rowindex import with_row_index
+from vqaframe.session import literal_frame
 
 # Special tokens and ids of the language model's vocabulary,
 # the image placeholder, the ignored-label sentinel.
@@ -52,7 +53,8 @@ def build_vocab(texts: DataFrame, text_col: str = "text",
               .filter((F.col("cnt") >= min_count) & ~F.col("token").isin(specials)))
     words = with_row_index(counts, [F.desc("cnt"), F.asc("token")], "_r")
     words = words.select("token", (F.col("_r") + len(specials)).cast("int").alias("id"))
-    fixed = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")
+    fixed = literal_frame(spark, [(t, i) for i, t in enumerate(specials)],
+                          [("token", "string"), ("id", "int")])
     return fixed.unionByName(words)
 
 
@@ -151,16 +153,21 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     base = base.withColumns({"_ka": ka, "_kb": kb})
     pad_n = F.lit(L) - F.col("_ka") - F.col("_kb")
     offset = pad_n if padding_side == "left" else F.lit(0)
-    pos = base.select(*keys, "_qt", "_at", "_ka", "_kb",
-                      offset.alias("_off"), F.explode(F.sequence(F.lit(0), F.lit(L - 1))).alias("pos"))
-    rel = F.col("pos") - F.col("_off")
-    seg = (F.when((rel < 0) | (rel >= F.col("_ka") + F.col("_kb")), F.lit(0))
-           .when(rel < F.least(npch, F.col("_ka")), F.lit(1))
-           .when(rel < F.col("_ka"), F.lit(2))
-           .otherwise(F.lit(3)))  # 0 pad, 1 image, 2 question word, 3 answer word
-    tok = (F.when(F.col("_seg") == 2, F.element_at("_qt", rel - npch + 1))
-           .when(F.col("_seg") == 3, F.element_at("_at", rel - F.col("_ka") + 1)))
-    pos = pos.withColumn("_seg", seg).withColumn("_tok", tok).drop("_qt", "_at")
+    ka_c, kb_c = F.col("_ka"), F.col("_kb")
+
+    def position(p):
+        # one struct per position, built inside the row: the token arrays are
+        # read in place instead of being copied into every exploded row
+        rel = p - offset
+        seg = (F.when((rel < 0) | (rel >= ka_c + kb_c), F.lit(0))
+               .when(rel < F.least(npch, ka_c), F.lit(1))
+               .when(rel < ka_c, F.lit(2))
+               .otherwise(F.lit(3)))  # 0 pad, 1 image, 2 question word, 3 answer word
+        tok = (F.when((rel >= npch) & (rel < ka_c), F.element_at("_qt", rel - npch + 1))
+               .when((rel >= ka_c) & (rel < ka_c + kb_c), F.element_at("_at", rel - ka_c + 1)))
+        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
+
+    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
     words = lookup_ids(pos.filter(F.col("_seg") >= 2), vocab, "_tok", "input_id", unk_id,
                        max_broadcast).drop("_tok")
     fixed = (pos.filter(F.col("_seg") < 2).drop("_tok")

@@ -14,7 +14,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqaframe.session import reliable_checkpoint
+from vqaframe.session import literal_frame, reliable_checkpoint
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -37,8 +37,8 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_idx",
               .agg(F.count(F.lit(1)).alias("_n")).collect())
     counts = sorted((r["_pid"], r["_n"]) for r in counts)
     starts = [0] + list(accumulate(n for _, n in counts))[:-1]
-    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts)],
-                                    "_pid long, _offset long")
+    offsets = literal_frame(spark, [(p, s) for (p, _), s in zip(counts, starts)],
+                            [("_pid", "long"), ("_offset", "long")])
     # one row per partition: a proven size bound, so broadcast it
     return (tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
             .join(F.broadcast(offsets), "_pid", "left")

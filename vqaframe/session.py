@@ -89,5 +89,21 @@ def spread_narrow(df):
     return df.repartition(cores)
 
 
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]):
+    """A small DataFrame of literal rows built on the JVM (no Python worker).
+
+    ``createDataFrame`` from a Python list plans as a Python RDD; every job
+    that touches it would start Python workers. Use only for bounded inputs
+    (a handful of special tokens, one row per partition).
+    """
+    from pyspark.sql import functions as F
+    idx = (F.col("id") + 1).cast("int")
+    cols = []
+    for j, (name, dtype) in enumerate(schema):
+        arr = F.array(*[F.lit(r[j]).cast(dtype) for r in rows]) if rows else F.array().cast(f"array<{dtype}>")
+        cols.append(F.element_at(arr, idx).cast(dtype).alias(name))
+    return spark.range(len(rows)).select(*cols)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
