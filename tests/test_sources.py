@@ -71,7 +71,7 @@ def test_archives_and_image_lookup(spark, tmp):
     with open(f"{tmp}/zips/a.zip", "wb") as f:
         f.write(_zip_bytes([("dir/", b""), ("dir/COCO_train2014_000000000001.jpg", b"abc"),
                             ("COCO_train2014_000000000002.jpg", b"xy"), ("../x", b"evil")]))
-    out = images.expand_archives(spark, f"{tmp}/zips/*.zip", expected=[f"file:{tmp}/zips/gone.zip"])
+    out = images.expand_archives(spark, [f"{tmp}/zips/a.zip", f"file:{tmp}/zips/gone.zip"])
     rows = out.collect()
     ok = sorted((r["entry"], r["length"]) for r in rows if r["error"] is None)
     assert ok == [("COCO_train2014_000000000002.jpg", 2), ("dir/COCO_train2014_000000000001.jpg", 3)]
@@ -112,3 +112,38 @@ def test_save_load_or_build_and_log(spark, tmp):
             for line in open(f"{tmp}/log/{fn}")]
     assert {frozenset(r) for r in recs} == {frozenset({"loss", "step", "epoch"}),
                                              frozenset({"eval_loss", "step", "epoch"})}
+
+
+def test_prepare_split_end_to_end(spark, tmp):
+    from vqaframe.operators.dataset_build import prepare_split
+    ann = {"annotations": [
+        {"question_id": 1, "image_id": 1, "question_type": "a", "answer_type": "b",
+         "multiple_choice_answer": "yes", "answers": []},
+        {"question_id": 2, "image_id": 2, "question_type": "a", "answer_type": "b",
+         "multiple_choice_answer": "no", "answers": []}]}
+    qs = {"questions": [{"question_id": 1, "image_id": 1, "question": "Is it {a}?"},
+                        {"question_id": 2, "image_id": 2, "question": "Two?"}]}
+    for name, obj in [("ann.json", ann), ("q.json", qs)]:
+        with open(f"{tmp}/{name}", "w") as f:
+            json.dump(obj, f, indent=1)
+    img = f"{tmp}/val2014"
+    with open(img + ".zip", "wb") as f:
+        f.write(_zip_bytes([("val2014/", b""), ("val2014/COCO_val2014_000000000001.jpg", b"1234"),
+                            ("val2014/COCO_val2014_000000000002.jpg", b"12")]))
+    out = prepare_split(spark, f"{tmp}/ann.json", f"{tmp}/q.json", f"{tmp}/saved", "val", img,
+                        archive=True, template="Q: {}")
+    rows = {r["question_id"]: r for r in out.collect()}
+    assert rows[1]["question"] == "Q: Is it {a}?" and rows[1]["image_bytes"] == 4
+    assert rows[2]["image_file"] == f"{img}/COCO_val2014_000000000002.jpg" and rows[2]["split"] == "val"
+    again = prepare_split(spark, f"{tmp}/ann.json", f"{tmp}/q.json", f"{tmp}/saved", "val", img,
+                          archive=True, load=True)
+    assert again.count() == 2
+    os.makedirs(f"{tmp}/plain")
+    with open(f"{tmp}/plain/COCO_val2014_000000000001.jpg", "wb") as f:
+        f.write(b"x")
+    with pytest.raises(Exception):  # image 2 is missing: error by default
+        prepare_split(spark, f"{tmp}/ann.json", f"{tmp}/q.json", f"{tmp}/saved2", "val",
+                      f"{tmp}/plain")
+    kept = prepare_split(spark, f"{tmp}/ann.json", f"{tmp}/q.json", f"{tmp}/saved3", "val",
+                         f"{tmp}/plain", on_missing="drop")
+    assert [r["question_id"] for r in kept.collect()] == [1]

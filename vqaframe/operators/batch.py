@@ -42,3 +42,20 @@ def assemble_batches(df: DataFrame, fields: list[str], batch_col: str = "batch_i
     g = df.groupBy(batch_col).agg(packed.alias("_s"), F.count(F.lit(1)).alias("n_rows"))
     return g.select(batch_col, "n_rows",
                     *[F.transform("_s", field_of(f)).alias(f) for f in fields])
+
+
+def collate(encoded_long, keys: list[str], batch_size: int, fields: list[str],
+            order_cols: list | None = None, dense_id: str | None = None):
+    """Encoded examples (long form) -> batches of per-example arrays.
+
+    Each example is regrouped into arrays (a group of context-length rows),
+    numbered in ``order_cols`` order (or by a dense id) and gathered into
+    batches of ``batch_size`` examples: one row per batch with one
+    array<array<...>> per field, examples in batch order.
+    """
+    from vqaframe.operators.encode import to_arrays
+    examples = to_arrays(encoded_long, keys, fields)
+    if order_cols is None and dense_id is None:
+        order_cols = [F.col(k) for k in keys]
+    batched = assign_batches(examples, batch_size, order_cols=order_cols, dense_id=dense_id)
+    return assemble_batches(batched, list(keys) + fields)

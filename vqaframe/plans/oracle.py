@@ -185,6 +185,18 @@ ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
 k AS ({_truncation('ln', 'la', 'lb')})
 SELECT conv_id, turn, CAST(least({NP}, ka) AS INTEGER) AS n_image_tokens FROM k""",
 
+    "collate_batches": f"""WITH {PAIRS},
+tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
+              list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),
+ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
+k AS ({_truncation('ln', 'la', 'lb')}),
+b AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) AS idx FROM k)
+SELECT CAST(idx // {T.TRAIN_BATCH} AS BIGINT) AS batch_id, count(*) AS n_examples,
+       CAST(count(*) * {L} AS BIGINT) AS n_positions, CAST(sum(ka + kb) AS BIGINT) AS n_attended,
+       CAST(sum(kb) AS BIGINT) AS n_label_tokens, arg_min(conv_id, idx) AS first_conv_id,
+       arg_min(turn, idx) AS first_turn
+FROM b GROUP BY idx // {T.TRAIN_BATCH}""",
+
     "route_by_label": f"""WITH d AS (
   SELECT d.doc_id, {_tok('d.text')} AS qt, CAST(l.quality AS VARCHAR) AS answer
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),

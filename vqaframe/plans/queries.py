@@ -148,6 +148,22 @@ def q_image_mask_count(spark, d):
     return E.image_token_count(enc, ["conv_id", "turn"], image_id)
 
 
+def q_collate_batches(spark, d):
+    """U3 + A7: encoded QA pairs collated into training batches of 6 (pair order)."""
+    enc = _pair_encoded(spark, d)
+    b = B.collate(enc, ["conv_id", "turn"], T.TRAIN_BATCH,
+                  ["input_id", "attention_mask", "token_type", "label"])
+    flat = lambda c: F.flatten(c)
+    total = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
+    return b.select(
+        "batch_id", F.col("n_rows").alias("n_examples"),
+        F.size(flat("input_id")).cast("long").alias("n_positions"),
+        total(flat("attention_mask")).alias("n_attended"),
+        total(flat("token_type")).alias("n_label_tokens"),
+        F.element_at("conv_id", 1).alias("first_conv_id"),
+        F.element_at("turn", 1).alias("first_turn"))
+
+
 def q_route_by_label(spark, d):
     """P10 + T7: labelled rows take the training encoding, the rest inference."""
     vocab = _vocab(spark, d)
@@ -420,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_labels": q_mask_labels,
     "image_mask_count": q_image_mask_count,
     "route_by_label": q_route_by_label,
+    "collate_batches": q_collate_batches,
     "missing_images": q_missing_images,
     "batch_assembly": q_batch_assembly,
     "batch_accuracy": q_batch_accuracy,

@@ -26,6 +26,7 @@ SEED = 42
 TEXT_LENGTH = 64
 NUM_PATCHES = 257
 EVAL_BATCH = 16
+TRAIN_BATCH = 6          # FSDP per-device batch size
 NUM_RANKS = 4
 NUM_COMPLETIONS = 2
 MODEL = "vqa-model"

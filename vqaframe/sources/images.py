@@ -34,9 +34,9 @@ def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file
     ``on_missing``: 'error' fails the job on the first row without a file,
     'drop' keeps matched rows only, 'null' keeps every row.
     """
-    listing = files.select(F.col(name_col).alias("_fname"), F.col("path").alias("image_uri"),
+    listing = files.select(F.col(name_col).alias("_listed_name"), F.col("path").alias("image_uri"),
                            F.col("length").alias("image_bytes"))
-    j = rows.join(listing, rows[file_col] == listing["_fname"], "left").drop("_fname")
+    j = rows.join(listing, rows[file_col] == listing["_listed_name"], "left").drop("_listed_name")
     if on_missing == "drop":
         return j.filter(F.col("image_uri").isNotNull())
     if on_missing == "null":
@@ -55,45 +55,70 @@ def missing_images(rows: DataFrame, listing: DataFrame, file_col: str = "image_f
 
 
 ARCHIVE_SCHEMA = "archive string, entry string, length long, content binary, error string"
+_LISTING_SCHEMA = "archive string, entry string, error string"
 
 
-def _expand(batches):
+def _local(path: str) -> str:
+    return path[5:] if path.startswith("file:") else path
+
+
+def _unsafe(name: str) -> bool:
+    norm = posixpath.normpath(name)
+    return name.startswith("/") or norm == ".." or norm.startswith("../")
+
+
+def _list_entries(batches):
+    """One task per archive: read only the central directory, emit entry names."""
     for pdf in batches:
         out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for archive in pdf["archive"]:
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                with zipfile.ZipFile(_local(archive)) as zf:
                     for info in zf.infolist():
                         if info.is_dir():
                             continue
-                        name = info.filename
-                        norm = posixpath.normpath(name)
-                        if name.startswith("/") or norm == ".." or norm.startswith("../"):
-                            out.append((path, name, None, None, "unsafe entry name"))
-                            continue
-                        data = zf.read(info)
-                        out.append((path, norm, len(data), data, None))
+                        out.append((archive, info.filename,
+                                    "unsafe entry name" if _unsafe(info.filename) else None))
+            except FileNotFoundError:
+                out.append((archive, None, "Zip file not found"))
             except zipfile.BadZipFile as e:
-                out.append((path, None, None, None, f"bad archive: {e}"))
+                out.append((archive, None, f"bad archive: {e}"))
+        yield pd.DataFrame(out, columns=["archive", "entry", "error"])
+
+
+def _read_entries(batches):
+    """Read the assigned entries; each task opens an archive once per batch."""
+    for pdf in batches:
+        out = []
+        for archive, group in pdf.groupby("archive", sort=False):
+            with zipfile.ZipFile(_local(archive)) as zf:
+                for name in group["entry"]:
+                    data = zf.read(name)
+                    out.append((archive, posixpath.normpath(name), len(data), data, None))
         yield pd.DataFrame(out, columns=["archive", "entry", "length", "content", "error"])
 
 
-def expand_archives(spark: SparkSession, paths, expected: list[str] | None = None) -> DataFrame:
-    """One row per file entry of every zip archive (one archive = one task).
+def expand_archives(spark: SparkSession, paths, num_partitions: int | None = None) -> DataFrame:
+    """One row per file entry of every zip archive, entries read in parallel.
 
-    Directories are skipped, absolute or parent-relative names are reported
-    and not extracted. A missing archive is reported as a row (not fatal),
-    like the original's printed message.
+    ``paths`` are archive files readable from every executor (a local or
+    shared mount; ``file:`` URIs accepted). A task per archive reads only
+    the central directory; the entries are then spread over
+    ``num_partitions`` tasks that each read just their own entries, so a
+    multi-gigabyte archive is neither one row nor one task. Directories are
+    skipped; absolute or parent-relative names and missing archives are
+    reported as rows with ``error`` set (the original prints and goes on).
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    out = files.mapInPandas(_expand, ARCHIVE_SCHEMA)
-    if expected:
-        found = files.select("path")
-        want = spark.createDataFrame([(p,) for p in expected], "path string")
-        gone = (want.join(found, "path", "left_anti")
-                .select(F.col("path").alias("archive"), F.lit(None).cast("string").alias("entry"),
-                        F.lit(None).cast("long").alias("length"),
-                        F.lit(None).cast("binary").alias("content"),
-                        F.lit("Zip file not found").alias("error")))
-        out = out.unionByName(gone)
-    return out
+    if isinstance(paths, str):
+        paths = [paths]
+    if num_partitions is None:
+        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from vqaframe.session import literal_frame
+    archives = literal_frame(spark, [(p,) for p in paths], [("archive", "string")])
+    listed = archives.repartition(max(1, len(paths))).mapInPandas(_list_entries, _LISTING_SCHEMA)
+    good = listed.filter(F.col("error").isNull()).select("archive", "entry")
+    read = good.repartition(num_partitions).mapInPandas(_read_entries, ARCHIVE_SCHEMA)
+    bad = listed.filter(F.col("error").isNotNull()).select(
+        "archive", "entry", F.lit(None).cast("long").alias("length"),
+        F.lit(None).cast("binary").alias("content"), "error")
+    return read.unionByName(bad)
