@@ -78,22 +78,35 @@ def masked_cross_entropy(df: DataFrame, seq_cols: list[str], pos_col: str = "pos
     return s.groupBy(*group_cols).agg(*agg) if group_cols else s.agg(*agg)
 
 
-def _ngram_counts(df: DataFrame, keys: list[str], tokens_col: str, n: int, name: str) -> DataFrame:
-    return (df.select(*keys, F.explode(ngrams(tokens_col, n)).alias("_g"))
-            .groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias(name)))
-
-
-def clipped_matches(df: DataFrame, keys: list[str], hyp_col: str, ref_col: str, n: int) -> DataFrame:
-    """Per row: sum over n-grams of min(count in hypothesis, count in reference).
-
-    Counting is an aggregation on (keys, n-gram) with map-side combine; the
-    join is on the same keys, so neither side holds a whole text in one group.
+def clipped_counts(df: DataFrame, keys: list[str], hyp_col: str, ref_col: str,
+                   max_n: int = 1) -> DataFrame:
+    """Per row: lengths and, for n = 1..max_n, sum over n-grams of min(hyp count, ref count).
+
+    One pass, no join: every row emits a length marker plus its hypothesis
+    and reference n-grams tagged (side, n); one aggregation counts each
+    (row, n, n-gram) with map-side combine, a second sums the clipped counts
+    per row. Groups are one row's n-grams, so no group outgrows a text.
     """
-    h = _ngram_counts(df, keys, hyp_col, n, "_hc")
-    r = _ngram_counts(df, keys, ref_col, n, "_rc")
-    return (h.join(r, [*keys, "_g"], "left")
-            .groupBy(*keys)
-            .agg(F.sum(F.least("_hc", F.coalesce("_rc", F.lit(0)))).cast("long").alias(f"clip_{n}")))
+    def tagged(col: str, side: int, n: int):
+        return F.transform(ngrams(col, n), lambda g: F.struct(
+            F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("g"),
+            F.lit(0).alias("hl"), F.lit(0).alias("rl")))
+
+    marker = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("n"),
+                              F.lit(None).cast("string").alias("g"),
+                              F.size(hyp_col).alias("hl"), F.size(ref_col).alias("rl")))
+    items = F.concat(marker, *[tagged(hyp_col, 1, n) for n in range(1, max_n + 1)],
+                     *[tagged(ref_col, 2, n) for n in range(1, max_n + 1)])
+    ex = df.select(*keys, F.inline(items))
+    per_gram = ex.groupBy(*keys, "n", "g").agg(
+        F.sum((F.col("side") == 1).cast("long")).alias("hc"),
+        F.sum((F.col("side") == 2).cast("long")).alias("rc"),
+        F.max("hl").alias("hl"), F.max("rl").alias("rl"))
+    clip = F.least("hc", "rc")
+    return per_gram.groupBy(*keys).agg(
+        F.max("hl").alias("hyp_len"), F.max("rl").alias("ref_len"),
+        *[F.coalesce(F.sum(F.when(F.col("n") == n, clip)), F.lit(0)).cast("long").alias(f"clip_{n}")
+          for n in range(1, max_n + 1)])
 
 
 def sentence_bleu(df: DataFrame, keys: list[str], hyp_col: str, ref_col: str,
@@ -103,27 +116,20 @@ def sentence_bleu(df: DataFrame, keys: list[str], hyp_col: str, ref_col: str,
     ``hyp_col`` and ``ref_col`` are token arrays. Brevity penalty is
     exp(1 - r/c) when the hypothesis is shorter, and 0 for an empty one.
     """
-    base = df.select(*keys, F.size(hyp_col).alias("hyp_len"), F.size(ref_col).alias("ref_len"))
-    out = base
-    for n in range(1, max_n + 1):
-        out = out.join(clipped_matches(df, keys, hyp_col, ref_col, n), keys, "left")
+    out = clipped_counts(df, keys, hyp_col, ref_col, max_n)
     c, r = F.col("hyp_len"), F.col("ref_len")
     bp = F.when(c == 0, F.lit(0.0)).when(c > r, F.lit(1.0)).otherwise(F.exp(1 - r / c))
     logp = None
+    any_zero = None
     for n in range(1, max_n + 1):
         total = F.greatest(c - (n - 1), F.lit(0))
-        p = F.coalesce(F.col(f"clip_{n}"), F.lit(0)) / total
-        term = F.log(p) / max_n
+        term = F.log(F.col(f"clip_{n}") / total) / max_n
         logp = term if logp is None else logp + term
-    any_zero = None
-    for n in range(1, max_n + 1):
-        z = F.coalesce(F.col(f"clip_{n}"), F.lit(0)) == 0
+        z = F.col(f"clip_{n}") == 0
         any_zero = z if any_zero is None else (any_zero | z)
     bleu = F.when(any_zero, F.lit(0.0)).otherwise(bp * F.exp(logp))
     return out.select(*keys, "hyp_len", "ref_len",
-                      *[F.coalesce(F.col(f"clip_{n}"), F.lit(0)).alias(f"clip_{n}")
-                        for n in range(1, max_n + 1)],
-                      bleu.alias(f"bleu{max_n}"))
+                      *[f"clip_{n}" for n in range(1, max_n + 1)], bleu.alias(f"bleu{max_n}"))
 
 
 def corpus_bleu(per_row: DataFrame, max_n: int = 1) -> DataFrame:
