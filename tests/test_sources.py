@@ -147,3 +147,30 @@ def test_prepare_split_end_to_end(spark, tmp):
     kept = prepare_split(spark, f"{tmp}/ann.json", f"{tmp}/q.json", f"{tmp}/saved3", "val",
                          f"{tmp}/plain", on_missing="drop")
     assert [r["question_id"] for r in kept.collect()] == [1]
+
+
+def test_compute_accuracy_closure_flow(spark, tmp):
+    preds = spark.createDataFrame(
+        [(0, 0, [0.1, 0.9], 1), (0, 0, [0.8, 0.2], 1), (1, 1, [0.5, 0.4], 0), (1, 2, [0.1, 0.2], 0)],
+        "rank int, batch_id long, logits array<double>, label int")
+    d = f"{tmp}/store_values"
+    per = ML.compute_accuracy(spark, d, preds.filter("batch_id = 0"))
+    assert per.first()["eval_accuracy"] == 0.5
+    ML.compute_accuracy(spark, d, preds.filter("batch_id > 0"))
+    res = ML.compute_accuracy(spark, d, compute_result=True).first()["eval_accuracy"]
+    assert abs(res - (0.5 + 1.0 + 0.0) / 3) < 1e-12
+    assert not os.path.exists(d)
+
+
+def test_get_dataset_signature(spark, tmp):
+    from vqaframe.operators.dataset_build import get_dataset
+    ann = {"annotations": [{"question_id": i, "image_id": i, "question_type": "a", "answer_type": "b",
+                            "multiple_choice_answer": str(i), "answers": []} for i in range(20)]}
+    qs = {"questions": [{"question_id": i, "image_id": i, "question": f"q{i}"} for i in range(20)]}
+    for name, obj in [("ann.json", ann), ("q.json", qs)]:
+        with open(f"{tmp}/{name}", "w") as f:
+            json.dump(obj, f)
+    ds = get_dataset(spark, f"{tmp}/ann.json", f"{tmp}/q.json", "Q: {}", 0.29, split="train", img_path="i")
+    rows = ds.collect()
+    assert len(rows) == int(0.29 * 20) and all(r["question"].startswith("Q: q") for r in rows)
+    assert {r["split"] for r in rows} == {"train"}

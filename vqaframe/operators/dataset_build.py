@@ -57,3 +57,21 @@ def prepare_split(spark: SparkSession, annotations_path, questions_path, save_pa
         return attach_images(named, listing, file_col="_fname", on_missing=on_missing).drop("_fname")
 
     return load_or_build(spark, save_path, build, load=load, partition_by=["split"])
+
+
+def get_dataset(spark: SparkSession, annotations_path, questions_path,
+                prompt: str = REFERENCE_PROMPT, p: float = 1.0, seed: int = 42,
+                split: str | None = None, img_path: str | None = None) -> DataFrame:
+    """The reference's dataset builder with its signature: JSON files in,
+    joined, prompt-formatted rows out, exactly ``int(p * n)`` of them in a
+    seeded shuffle order. ``split`` / ``img_path`` add the tag columns the
+    training script adds afterwards.
+    """
+    from vqaframe.operators.prepare import format_questions, join_questions_annotations, tag_split
+    from vqaframe.operators.sampling import exact_sample
+    joined = join_questions_annotations(read_questions(spark, questions_path),
+                                        read_annotations(spark, annotations_path))
+    ds = exact_sample(format_questions(joined, prompt), ["question_id"], fraction=p, seed=seed)
+    if split is not None:
+        ds = tag_split(ds, split, img_path or "")
+    return ds

@@ -3,10 +3,11 @@
 Order = (md5(key ':' seed), key). A sample of k rows is the first k rows of
 that order. Selection uses hash-prefix histograms: every hash digit prefix of
 4 hex characters is a bucket (at most 65,536 per level, the only data that
-reaches the driver). Buckets wholly before the cut are kept by a filter; the
-cut bucket is refined with the next 4 digits until it is small, and only
-then is it ordered. The result equals ``ORDER BY h, key LIMIT k`` and does
-not depend on the partitioning.
+reaches the driver). The bucket holding the k-th row is refined with the
+next 4 digits until it is small; only that bucket is ordered, to read the
+k-th (hash, key) pair. The sample is then one filter over the input,
+``(hash, key) <= threshold``: it equals ``ORDER BY h, key LIMIT k``, does not
+depend on the partitioning, and scans its input once when used.
 """
 
 from __future__ import annotations
@@ -87,14 +88,32 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
             run += c
         if cut_count <= small_cut or len(prefix) >= _HASH_LEN:
             break
-    before = hashed.filter(F.col(HASH_COL) < F.lit(prefix))
     cut = hashed.filter(F.col(HASH_COL).startswith(prefix))
-    order = [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [F.xxhash64(*df.columns)]
+    tie = F.xxhash64(*df.columns)
+    order = [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [tie]
     if need <= small_cut:
-        top = cut.orderBy(*order).limit(need)
-    else:  # only reachable with massive duplicate keys: distributed exact rank
-        top = with_row_index(cut.withColumn("_tie", F.xxhash64(*df.columns)),
-                             [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [F.col("_tie")],
-                             "_rank").filter(F.col("_rank") < need).drop("_tie", "_rank")
+        # the need-th row of the cut bucket is the threshold; one more row
+        # shows whether a tie crosses it
+        edge = cut.select(*order).orderBy(*order).offset(need - 1).limit(2).collect()
+        if len(edge) == 1 or tuple(edge[0]) != tuple(edge[1]):
+            on_df = [shuffle_key(key_cols, seed)] + [F.col(c) for c in key_cols] + [tie]
+            out = df.filter(_at_most(on_df, tuple(edge[0])))
+            return (out, n, total_k) if with_count else out
+    # whole-row ties across the threshold (duplicate rows): rank them exactly
+    before = hashed.filter(F.col(HASH_COL) < F.lit(prefix))
+    ranked = with_row_index(cut.withColumn("_tie", tie),
+                            [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [F.col("_tie")],
+                            "_rank")
+    top = ranked.filter(F.col("_rank") < need).drop("_tie", "_rank")
     out = before.unionByName(top).drop(HASH_COL)
     return (out, n, total_k) if with_count else out
+
+
+def _at_most(order: list, values: tuple):
+    """Lexicographic ``tuple(order) <= values``, written so that later columns
+    (the whole-row tie hash) are evaluated only when earlier ones are equal."""
+    col, val = order[-1], F.lit(values[-1])
+    cond = col <= val
+    for c, v in zip(reversed(order[:-1]), reversed(values[:-1])):
+        cond = (c < F.lit(v)) | ((c == F.lit(v)) & cond)
+    return cond

@@ -54,3 +54,25 @@ def consume_lines(spark: SparkSession, directory: str, archive_dir: str | None =
     else:
         fs.delete(src, True)
     return lines
+
+
+def compute_accuracy(spark: SparkSession, directory: str, predictions: DataFrame | None = None,
+                     compute_result: bool = False, consume: bool = True,
+                     archive_dir: str | None = None) -> DataFrame:
+    """The reference's accuracy closure as two Spark steps.
+
+    ``compute_result=False``: per (rank, batch) argmax accuracy of
+    ``predictions`` (rank, batch_id, logits, label) is appended as lines
+    under each rank's folder; returns the batch accuracies.
+    ``compute_result=True``: every rank's lines are read, the unweighted
+    mean of the batch values is returned as ``eval_accuracy`` (0.0 when no
+    line parses), and the lines are consumed (moved to ``archive_dir`` or
+    deleted) unless ``consume=False``.
+    """
+    from vqaframe.operators.metrics import batch_accuracy
+    if not compute_result:
+        acc = batch_accuracy(predictions).cache()
+        append_metric_lines(acc.select("rank", F.col("accuracy").alias("value")), directory)
+        return acc.select("rank", "batch_id", F.col("accuracy").alias("eval_accuracy"))
+    lines = consume_lines(spark, directory, archive_dir) if consume else read_metric_lines(spark, directory)
+    return mean_of_lines(lines).select(F.col("mean_value").alias("eval_accuracy"))
