@@ -15,7 +15,7 @@ def _media(spark):
     rows = [("a", 0, "image", "img1.jpg", None), ("a", 1, "text", None, "What "),
             ("a", 2, "image", "img2.jpg", None), ("a", 3, "text", None, "is {x}?"),
             ("b", 0, "image", "", None), ("b", 1, "text", None, None), ("b", 2, "audio", None, "x"),
-            ("c", 0, "text", None, "only text")]
+            ("c", 0, "text", None, "only text"), ("d", 0, "image", "only.jpg", None)]
     return spark.createDataFrame(rows, "request_id string, pos int, type string, location string, text string")
 
 
@@ -29,9 +29,9 @@ def test_media_validation_prompt_and_last_image(spark):
     with pytest.raises(Exception):
         G.validate_media(m, on_invalid="error").collect()
     p = {r["request_id"]: r["prompt_text"] for r in G.assemble_prompt(m, ["request_id"]).collect()}
-    assert p["a"] == "What is {x}?" and p["c"] == "only text"
+    assert p["a"] == "What is {x}?" and p["c"] == "only text" and p["d"] == ""
     img = {r["request_id"]: r["image_location"] for r in G.last_image(m, ["request_id"]).collect()}
-    assert img == {"a": "img2.jpg", "b": None, "c": None}
+    assert img == {"a": "img2.jpg", "b": None, "c": None, "d": "only.jpg"}
 
 
 def test_strip_cut_and_tokens(spark):
@@ -87,6 +87,10 @@ def test_results_last_completion_flags(spark):
     assert res["q"]["cached"] is True and res["q"]["request_time"] == 2.0
     assert res["e"]["success"] is False and res["e"]["error"] == "oops"
     assert res["e"]["request_time"] is None
+    reqs = spark.createDataFrame([("q",), ("e",), ("zero",)], "rid string")
+    res = {r["rid"]: r for r in G.assemble_results(df, ["rid"], requests=reqs).collect()}
+    assert res["zero"]["success"] is True and res["zero"]["completions"] == []
+    assert res["zero"]["cached"] is False and res["q"]["cached"] is True
 
 
 def test_map_rows_and_per_worker(spark):

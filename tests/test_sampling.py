@@ -72,3 +72,9 @@ def test_batches_partition_rows(spark):
     assert a[1]["id"] == list(range(16, 32))
     with pytest.raises(ValueError):
         assign_batches(df, 0, dense_id="id")
+
+
+def test_empty_input(spark):
+    empty = spark.range(0).withColumnRenamed("id", "k")
+    assert exact_sample(empty, ["k"], fraction=0.5).count() == 0
+    assert exact_sample(empty, ["k"], cap=10).count() == 0

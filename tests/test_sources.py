@@ -174,3 +174,11 @@ def test_get_dataset_signature(spark, tmp):
     rows = ds.collect()
     assert len(rows) == int(0.29 * 20) and all(r["question"].startswith("Q: q") for r in rows)
     assert {r["split"] for r in rows} == {"train"}
+
+
+def test_rank_zero_empty_other_ranks_count(spark, tmp):
+    d = f"{tmp}/ranks"
+    ML.append_metric_lines(spark.createDataFrame([(0, "abc"), (1, "0.5"), (1, "1.0")],
+                                                 "rank int, value string"), d)
+    # the original returns 0 as soon as rank 0 has nothing; here every rank counts
+    assert ML.mean_of_lines(ML.read_metric_lines(spark, d)).first()["mean_value"] == 0.75

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vqaframe.functions.arrays import index_range, safe_slice
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.udf import per_worker
-from vqaframe.session import shared_dir
+from vqaframe.session import literal_frame, path_exists, shared_dir
 
 # Media type names and the generation markers of the model.
 IMAGE_TYPE = "image"
@@ -72,11 +72,13 @@ def assemble_prompt(media: DataFrame, keys: list[str], pos_col: str = "pos",
                     out_col: str = "prompt_text") -> DataFrame:
     """A5: text pieces of each request concatenated in position order, no separator.
 
-    One group per request, bounded by the request's own media objects.
+    A request without text pieces gets the empty prompt. One group per
+    request, bounded by the request's own media objects.
     """
-    texts = media.filter(F.col(type_col) == TEXT_TYPE)
-    s = F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(text_col).alias("t"))))
-    return (texts.groupBy(*keys).agg(s.alias("_s"))
+    is_text = F.col(type_col) == TEXT_TYPE
+    piece = F.when(is_text, F.struct(F.col(pos_col).alias("p"), F.col(text_col).alias("t")))
+    s = F.sort_array(F.collect_list(piece))  # collect_list skips the nulls of other types
+    return (media.groupBy(*keys).agg(s.alias("_s"))
             .select(*keys, F.array_join(F.transform("_s", lambda x: x["t"]), "").alias(out_col)))
 
 
@@ -175,21 +177,18 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
     """
     spark = completions.sparkSession
     run_id = uuid.uuid4().hex
-    cache_cols = f"{key_col} string, output string, request_time double, run_id string"
-    cache = None
-    if cache_path is not None:
-        try:
-            cache = spark.read.parquet(cache_path)
-        except Exception:  # first run: no cache yet
-            cache = None
-    if cache is None:
-        cache = spark.createDataFrame([], cache_cols)
-    todo = (completions.select(key_col, F.col(prompt_col).alias("prompt"))
-            .dropDuplicates([key_col]).join(cache.select(key_col), key_col, "left_anti"))
+    if cache_path is not None and path_exists(spark, cache_path):
+        cache = spark.read.parquet(cache_path)
+    else:  # first run: an empty cache
+        cache = literal_frame(spark, [], [(key_col, "string"), ("output", "string"),
+                                          ("request_time", "double"), ("run_id", "string")])
+    todo = (completions.select(F.col(key_col).alias("cache_key"), F.col(prompt_col).alias("prompt"))
+            .dropDuplicates(["cache_key"])
+            .join(cache.select(F.col(key_col).alias("cache_key")), "cache_key", "left_anti"))
     produced = todo.mapInPandas(_run_generator(make_generator, capture), GEN_SCHEMA)
     run_dir = shared_dir(spark, "generation-run")
     produced.write.mode("overwrite").parquet(run_dir)
-    run = spark.read.parquet(run_dir)
+    run = spark.read.parquet(run_dir).withColumnRenamed("cache_key", key_col)
     if cache_path is not None:
         (run.filter(F.col("error").isNull())
          .select(key_col, "output", "request_time", F.lit(run_id).alias("run_id"))
@@ -202,12 +201,15 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
 
 def assemble_results(completions: DataFrame, keys: list[str], i_col: str = "i",
                      output_col: str = "output", error_col: str = "error",
-                     cached_col: str = "cached", time_col: str = "request_time") -> DataFrame:
+                     cached_col: str = "cached", time_col: str = "request_time",
+                     requests: DataFrame | None = None) -> DataFrame:
     """A8 + G9: one result per request.
 
     Completions in index order; ``cached`` and ``request_time`` from the last
     completion; any captured error makes the request unsuccessful with no
-    completions and the first error message.
+    completions and the first error message. Pass ``requests`` (with the key
+    columns) to also return requests that asked for zero completions: they
+    succeed with an empty list.
     """
     err = F.col(error_col)
     s = F.sort_array(F.collect_list(F.struct(F.col(i_col).alias("i"), F.col(output_col).alias("o"))))
@@ -219,11 +221,15 @@ def assemble_results(completions: DataFrame, keys: list[str], i_col: str = "i",
         F.max_by(time_col, i_col).alias("_time"))
     comp = F.transform("_s", lambda x: F.struct(x["o"].alias("text"), F.lit(0.0).alias("logprob"),
                                                  token_structs(x["o"]).alias("tokens")))
+    if requests is not None:
+        g = requests.select(*keys).join(g, list(keys), "left").withColumn(
+            "success", F.coalesce("success", F.lit(True)))
     return g.select(
         *keys, "success",
-        F.when(F.col("success"), F.col("_cached")).otherwise(F.lit(False)).alias("cached"),
+        F.when(F.col("success"), F.coalesce("_cached", F.lit(False))).otherwise(F.lit(False))
+        .alias("cached"),
         F.when(~F.col("success"), F.col("_err")).alias("error"),
         F.when(F.col("success"), F.col("_time")).alias("request_time"),
-        F.when(F.col("success"), comp).otherwise(F.array().cast(
+        F.when(F.col("success") & F.col("_s").isNotNull(), comp).otherwise(F.array().cast(
             "array<struct<text:string,logprob:double,tokens:array<struct<text:string,logprob:double>>>>"))
         .alias("completions"))

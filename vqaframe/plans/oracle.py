@@ -269,8 +269,9 @@ SELECT round(CASE WHEN coalesce(m1, 0) = 0 THEN 0.0
                   ELSE (CASE WHEN c = 0 THEN 0.0 WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END)
                        * exp(ln(m1 / t1)) END, 6) AS corpus_bleu1 FROM s""",
 
-    "assemble_prompt": """SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS prompt_text
-FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    "assemble_prompt": """SELECT conv_id AS request_id,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS prompt_text
+FROM conversations GROUP BY conv_id""",
 
     "last_media": """SELECT conv_id AS request_id,
   max_by(text, turn) FILTER (WHERE role = 'assistant' AND coalesce(length(text), 0) > 0) AS image_location

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vqaframe.session import path_exists
+
 
 def save_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None,
                  mode: str = "overwrite") -> None:
@@ -22,13 +24,6 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                   load: bool = True, partition_by: list[str] | None = None) -> DataFrame:
     """Reuse the saved dataset when asked and present, else build and save.
@@ -36,7 +31,7 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     Both branches return the table read back from storage, so a sampled
     dataset is frozen once written.
     """
-    if not (load and _exists(spark, path)):
+    if not (load and path_exists(spark, path)):
         save_dataset(build(), path, partition_by)
     return load_dataset(spark, path)
 
