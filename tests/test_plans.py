@@ -55,3 +55,9 @@ def test_qa_pairs_join_on_both_keys(spark):
     p = plan(Q.q_qa_pairs(spark, SF))
     if "SortMergeJoin" in p:
         assert re.search(r"hashpartitioning\(conv_id#\d+L?, _next", p)
+
+
+def test_exact_sample_reads_only_key_column(spark):
+    s = formatted(Q.q_exact_sample(spark, SF))
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", s)
+    assert schemas and all(x == "struct<doc_id:bigint>" for x in schemas)
