@@ -121,3 +121,21 @@ def test_context_length():
     assert E.context_length(64, 257) == 321
     with pytest.raises(ValueError):
         E.context_length(-1, 3)
+
+
+def test_bos_template_and_exact_fit(spark, vocab):
+    rows = [(1, "the cat", "dog"), (2, "a " * 20, "the " * 20)]
+    long = E.encode_pairs_long(_pairs(spark, rows), ["k"], vocab, text_length=6, num_patches=2,
+                               add_bos=True)
+    out = {r["k"]: r for r in E.to_arrays(long, ["k"], ["input_id", "token_type", "label"]).collect()}
+    # <bos> img img the cat | <bos> dog <eos>  (L = 8: exactly full, no padding)
+    assert out[1]["input_id"] == [2, 9, 9, 5, 4, 2, 7, 1]
+    assert out[1]["token_type"] == [0, 0, 0, 0, 0, 1, 1, 1]
+    assert out[1]["label"] == [-100, -100, -100, -100, -100, 2, 7, 1]
+    # both long: budget L - 2 = 6 split 3 / 3
+    assert out[2]["input_id"] == [2, 9, 9, 6, 2, 5, 5, 5]
+    inf = E.encode_inference_long(_pairs(spark, [(3, "cat", None)]), ["k"], vocab, num_patches=2,
+                                  add_bos=True)
+    assert E.to_arrays(inf, ["k"], ["input_id"]).first()["input_id"] == [2, 9, 9, 4]
+    exact = _arrays(spark, vocab, [(4, "the cat", "a")], L_text=4, npch=1)  # 1 + 2 + 2 = L
+    assert exact[4]["input_id"] == [9, 5, 4, 6, 1] and exact[4]["attention_mask"] == [1] * 5

@@ -131,6 +131,7 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
                       image_token_id: int | None = None, pad_id: int = PAD_ID,
                       eos_token: str = "<eos>", unk_id: int = UNK_ID,
                       padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                      add_bos: bool = False, bos_id: int = BOS_ID,
                       max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
     """T2-T5 (+P8, P9): training encoding, one row per (keys, pos).
 
@@ -138,43 +139,55 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     sequence B = answer tokens + ``<eos>`` (type 1); longest-first
     truncation to L = text_length + num_patches, padding to L with mask 0,
     labels = input id where type is 1, else ``ignore_index``.
+    ``add_bos`` puts ``<bos>`` before each sequence, as a tokenizer with a
+    pair template does; truncation then works within L - 2.
     Columns: keys, pos, input_id, token_type, attention_mask, label.
     """
     if padding_side not in ("right", "left"):
         raise ValueError("padding_side must be 'right' or 'left'")
     L = context_length(text_length, num_patches)
+    sa = 1 if add_bos else 0  # special tokens before each sequence
+    if L < 2 * sa:
+        raise ValueError("context too short for the special tokens")
     if image_token_id is None:
         image_token_id = token_id(vocab, IMAGE_TOKEN)
     npch = F.lit(num_patches)
     base = df.select(*keys, whitespace_tokens(question_col).alias("_qt"),
                      F.concat(whitespace_tokens(answer_col), F.array(F.lit(eos_token))).alias("_at"))
     base = base.withColumns({"_la": npch + F.size("_qt"), "_lb": F.size("_at")})
-    ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L)
+    ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L - 2 * sa)
     base = base.withColumns({"_ka": ka, "_kb": kb})
-    pad_n = F.lit(L) - F.col("_ka") - F.col("_kb")
-    offset = pad_n if padding_side == "left" else F.lit(0)
-    ka_c, kb_c = F.col("_ka"), F.col("_kb")
+    used = F.col("_ka") + F.col("_kb") + 2 * sa
+    offset = (F.lit(L) - used) if padding_side == "left" else F.lit(0)
+    ka_c = F.col("_ka")
+    a0 = F.lit(sa)                        # first token of sequence A after its <bos>
+    b_bos = a0 + ka_c                     # position of B's <bos> (when add_bos)
+    b0 = b_bos + sa                       # first token of sequence B
 
     def position(p):
         # one struct per position, built inside the row: the token arrays are
         # read in place instead of being copied into every exploded row
         rel = p - offset
-        seg = (F.when((rel < 0) | (rel >= ka_c + kb_c), F.lit(0))
-               .when(rel < F.least(npch, ka_c), F.lit(1))
-               .when(rel < ka_c, F.lit(2))
-               .otherwise(F.lit(3)))  # 0 pad, 1 image, 2 question word, 3 answer word
-        tok = (F.when((rel >= npch) & (rel < ka_c), F.element_at("_qt", rel - npch + 1))
-               .when((rel >= ka_c) & (rel < ka_c + kb_c), F.element_at("_at", rel - ka_c + 1)))
+        seg = (F.when((rel < 0) | (rel >= used), F.lit(0))
+               .when(rel < a0, F.lit(4))
+               .when(rel < a0 + F.least(npch, ka_c), F.lit(1))
+               .when(rel < b_bos, F.lit(2))
+               .when(rel < b0, F.lit(5))
+               .otherwise(F.lit(3)))  # 0 pad, 1 image, 2/3 question/answer word, 4/5 <bos> of A/B
+        tok = (F.when((rel >= a0 + npch) & (rel < b_bos), F.element_at("_qt", rel - a0 - npch + 1))
+               .when((rel >= b0) & (rel < used), F.element_at("_at", rel - b0 + 1)))
         return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
 
     pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
-    words = lookup_ids(pos.filter(F.col("_seg") >= 2), vocab, "_tok", "input_id", unk_id,
+    is_word = F.col("_seg").isin(2, 3)
+    words = lookup_ids(pos.filter(is_word), vocab, "_tok", "input_id", unk_id,
                        max_broadcast).drop("_tok")
-    fixed = (pos.filter(F.col("_seg") < 2).drop("_tok")
+    fixed = (pos.filter(~is_word).drop("_tok")
              .withColumn("input_id", F.when(F.col("_seg") == 1, F.lit(image_token_id))
+                         .when(F.col("_seg") >= 4, F.lit(bos_id))
                          .otherwise(F.lit(pad_id)).cast("int")))
     out = words.unionByName(fixed)
-    ttype = F.when(F.col("_seg") == 3, F.lit(1)).otherwise(F.lit(0))
+    ttype = F.when(F.col("_seg").isin(3, 5), F.lit(1)).otherwise(F.lit(0))
     return out.select(*keys, F.col("pos").cast("int").alias("pos"), "input_id",
                       ttype.alias("token_type"),
                       F.when(F.col("_seg") == 0, F.lit(0)).otherwise(F.lit(1)).alias("attention_mask"),
@@ -184,15 +197,17 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
 def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame,
                           question_col: str = "question", num_patches: int = 257,
                           image_token_id: int | None = None, unk_id: int = UNK_ID,
+                          add_bos: bool = False, bos_id: int = BOS_ID,
                           max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """Image tokens + question tokens; no pair, no truncation, no padding."""
+    """[<bos>] + image tokens + question tokens; no pair, no truncation, no padding."""
     if image_token_id is None:
         image_token_id = token_id(vocab, IMAGE_TOKEN)
-    img = df.select(*keys, F.posexplode(F.array_repeat(F.lit(image_token_id), num_patches))
-                    .alias("pos", "input_id"))
+    sa = 1 if add_bos else 0
+    head = F.concat(F.array_repeat(F.lit(bos_id), sa), F.array_repeat(F.lit(image_token_id), num_patches))
+    img = df.select(*keys, F.posexplode(head).alias("pos", "input_id"))
     words = lookup_ids(tokens_long(df, keys, question_col), vocab, "token", "input_id",
                        unk_id, max_broadcast)
-    words = words.select(*keys, (F.col("pos") + num_patches).alias("pos"), "input_id")
+    words = words.select(*keys, (F.col("pos") + num_patches + sa).alias("pos"), "input_id")
     return (img.unionByName(words)
             .select(*keys, F.col("pos").cast("int").alias("pos"), F.col("input_id").cast("int"),
                     F.lit(1).alias("attention_mask")))
