@@ -24,3 +24,12 @@ def test_incremental_accuracy_equals_batch(spark, tmp):
     X.run_incremental_accuracy(spark, lines, ckpt, out)
     per = {r["rank"]: r for r in spark.read.parquet(out).collect()}
     assert per[2]["n_values"] == 2 and abs(per[2]["mean_value"] - 0.5) < 1e-12
+
+
+def test_stream_consumes_files_once(spark, tmp):
+    lines, archive = f"{tmp}/lines", f"{tmp}/archive"
+    out, ckpt = f"{tmp}/state", f"{tmp}/ckpt"
+    ML.append_metric_lines(spark.createDataFrame([(0, 0.5), (1, 0.25)], "rank int, value double"), lines)
+    X.run_incremental_accuracy(spark, lines, ckpt, out, clean_source="archive", archive_dir=archive)
+    per = {r["rank"]: r["n_values"] for r in spark.read.parquet(out).collect()}
+    assert per == {0: 1, 1: 1}
