@@ -5,7 +5,6 @@ import os
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from vqaframe.functions.parse import python_float
 from vqaframe.sources import dataset_io, images, metric_lines as ML

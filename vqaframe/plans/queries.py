@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.functions import argmax, format_template, image_file_name, path_join
+from vqaframe.functions import format_template, image_file_name, path_join
+from vqaframe.functions.parse import python_float
 from vqaframe.functions.strings import REFERENCE_PROMPT
 from vqaframe.operators import batch as B
 from vqaframe.operators import encode as E
@@ -232,7 +233,6 @@ def q_mean_batch_accuracy(spark, d):
 def q_metric_lines_mean(spark, d):
     """S8 + A3: parse every line with float() rules, skip junk, mean."""
     lines = T.metric_lines(spark, d)
-    from vqaframe.functions.parse import python_float
     parsed = lines.select("rank", "line", python_float("line").alias("value"))
     m = ML.mean_of_lines(parsed)
     return m.select("n_values", F.round("mean_value", R6).alias("mean_value"))

@@ -7,7 +7,6 @@ only when a decoder needs it.
 
 from __future__ import annotations
 
-import io
 import posixpath
 import zipfile
 
