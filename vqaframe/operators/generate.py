@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vqaframe.functions.arrays import index_range, safe_slice
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.udf import per_worker
-from vqaframe.session import literal_frame, path_exists, shared_dir
+from vqaframe.session import literal_frame, path_exists, ship_package, shared_dir
 
 # Media type names and the generation markers of the model.
 IMAGE_TYPE = "image"
@@ -176,6 +176,7 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
     same rows. Adds output, error, request_time, cached.
     """
     spark = completions.sparkSession
+    ship_package(spark)
     run_id = uuid.uuid4().hex
     if cache_path is not None and path_exists(spark, cache_path):
         cache = spark.read.parquet(cache_path)

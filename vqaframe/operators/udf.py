@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import _parse_datatype_string
 
+from vqaframe.session import ship_package
+
 _WORKER_OBJECTS: dict = {}
 
 
@@ -36,6 +38,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema,
     The replacement for the nonexistent ``DataFrame.map``. Prefer column
     expressions; use this only for code that has no JVM equivalent.
     """
+    ship_package(df.sparkSession)
     st = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = st.fieldNames()
 

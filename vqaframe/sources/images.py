@@ -112,7 +112,8 @@ def expand_archives(spark: SparkSession, paths, num_partitions: int | None = Non
         paths = [paths]
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from vqaframe.session import literal_frame
+    from vqaframe.session import literal_frame, ship_package
+    ship_package(spark)
     archives = literal_frame(spark, [(p,) for p in paths], [("archive", "string")])
     listed = archives.repartition(max(1, len(paths))).mapInPandas(_list_entries, _LISTING_SCHEMA)
     good = listed.filter(F.col("error").isNull()).select("archive", "entry")

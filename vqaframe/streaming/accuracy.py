@@ -39,11 +39,15 @@ def running_accuracy(lines: DataFrame) -> DataFrame:
 
 def run_incremental_accuracy(spark: SparkSession, directory: str, checkpoint: str,
                              out_path: str, available_now: bool = True,
-                             clean_source: str | None = None, archive_dir: str | None = None):
+                             clean_source: str | None = None, archive_dir: str | None = None,
+                             state_partitions: int = 4):
     """Run X1 and keep ``out_path`` holding the latest complete per-rank table.
 
     Each micro-batch overwrites ``out_path`` with (rank, n_values, sum_value,
     mean_value); the overall mean is ``sum(sum_value) / sum(n_values)`` over it.
+    The state has one row per rank, so it is kept in ``state_partitions``
+    partitions (Spark fixes this number in the checkpoint on first start)
+    instead of one per shuffle partition of the session.
     Returns the finished (availableNow) or running query handle.
     """
     agg = running_accuracy(metric_line_stream(spark, directory, clean_source, archive_dir))
@@ -56,7 +60,13 @@ def run_incremental_accuracy(spark: SparkSession, directory: str, checkpoint: st
     w = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(publish))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    q = w.start()
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(key, previous)
     if available_now:
         q.awaitTermination()
     return q
