@@ -110,13 +110,16 @@ def _vocab(spark, d, extended=True):
     return E.extend_vocab(v) if extended else v
 
 
-def q_token_ids(spark, d):
-    """T1 + J3: every document token's id (unknown -> <unk>)."""
-    vocab = _vocab(spark, d, extended=False)
+def _doc_token_ids(spark, d, vocab):
     toks = E.tokens_long(T.load(spark, d, "documents"), ["doc_id"], "text")
     return E.lookup_ids(toks, vocab).select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id")
 
 
+def q_token_ids(spark, d):
+    """T1 + J3: every document token's id (unknown -> <unk>)."""
+    return _doc_token_ids(spark, d, _vocab(spark, d, extended=False))
+
+
 def q_extend_vocab(spark, d):
     """T6."""
     return _vocab(spark, d, extended=True).select("token", "id")
@@ -309,8 +312,7 @@ def q_strip_prompt(spark, d):
 def q_detokenize(spark, d):
     """Ids of every document decoded back through the vocabulary."""
     vocab = _vocab(spark, d, extended=False)
-    ids = q_token_ids(spark, d)
-    return E.decode_ids(ids, vocab, ["doc_id"], "token_id", "pos", "text")
+    return E.decode_ids(_doc_token_ids(spark, d, vocab), vocab, ["doc_id"], "token_id", "pos", "text")
 
 
 def _cut(spark, d):
