@@ -153,10 +153,19 @@ def q_image_mask_count(spark, d):
 
 
 def q_collate_batches(spark, d):
-    """U3 + A7: encoded QA pairs collated into training batches of 6 (pair order)."""
-    enc = _pair_encoded(spark, d)
-    b = B.collate(enc, ["conv_id", "turn"], T.TRAIN_BATCH,
-                  ["input_id", "attention_mask", "token_type", "label"])
+    """U3 + A7: encoded QA pairs collated into training batches of 6 (pair order).
+
+    Pairs are numbered before encoding (row index over the unencoded pairs),
+    the batch number rides through the encoder as a key, and one shuffle by
+    batch gathers the encoded examples.
+    """
+    vocab = _vocab(spark, d)
+    pairs = B.assign_batches(T.qa_pairs(spark, d), T.TRAIN_BATCH,
+                             order_cols=[F.col("conv_id"), F.col("turn")])
+    enc = E.encode_pairs_long(pairs, ["conv_id", "turn", "batch_id", "batch_pos"], vocab,
+                              text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
+    b = B.gather_batches(enc, ["input_id", "attention_mask", "token_type", "label"],
+                         keys=["conv_id", "turn"])
     flat = lambda c: F.flatten(c)
     total = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
     return b.select(
