@@ -104,3 +104,12 @@ def test_map_rows_and_per_worker(spark):
     out = map_rows(df, lambda r, st: {"k": r["k"], "v2": r["v"] + st["suffix"]}, "k int, v2 string", init=init)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a!"), (2, "b!")]
     assert per_worker(init) is per_worker(init)
+
+
+def test_cache_key_covers_request_settings(spark):
+    df = spark.createDataFrame([(2, 0, "m", "p", 0.0, None), (2, 0, "m", "p", 0.7, None),
+                                (2, 0, "m", "p", 0.0, None), (2, 0, "m", "p", None, None)],
+                               "n int, i int, model string, prompt string, temperature double, stop string")
+    keys = [r[0] for r in df.select(G.cache_key("n", "i", "model", G.prompt_uid("prompt"),
+                                                "temperature", "stop")).collect()]
+    assert keys[0] == keys[2] and len({keys[0], keys[1], keys[3]}) == 3

@@ -125,9 +125,15 @@ def token_structs(text, logprob: float = 0.0):
                        lambda t: F.struct(t.alias("text"), F.lit(logprob).alias("logprob")))
 
 
-def cache_key(n, i, model, prompt_uid):
-    """Sha-256 of the request fields in a fixed order."""
-    parts = [_c(x).cast("string") for x in (n, i, model, prompt_uid)]
+def cache_key(n, i, model, prompt_uid, *request_fields):
+    """Sha-256 of (n, i, model, prompt uid, other request fields) in a fixed order.
+
+    Pass the request's other generation settings (temperature, max tokens,
+    stop sequences...) as ``request_fields`` so that different settings never
+    share a cached result. Null fields are written as an explicit marker.
+    """
+    fields = (n, i, model, prompt_uid) + request_fields
+    parts = [F.coalesce(_c(x).cast("string"), F.lit("\u0000")) for x in fields]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
