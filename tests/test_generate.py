@@ -113,3 +113,24 @@ def test_cache_key_covers_request_settings(spark):
     keys = [r[0] for r in df.select(G.cache_key("n", "i", "model", G.prompt_uid("prompt"),
                                                 "temperature", "stop")).collect()]
     assert keys[0] == keys[2] and len({keys[0], keys[1], keys[3]}) == 3
+
+
+def test_batched_generator_with_fallback(spark, tmp):
+    def make():
+        class Gen:
+            def __call__(self, p):
+                if p == "bad":
+                    raise RuntimeError("bad prompt")
+                return p[::-1]
+
+            def batch(self, prompts):
+                if "bad" in prompts:
+                    raise RuntimeError("batch failed")
+                return [p[::-1] for p in prompts]
+        return Gen()
+
+    req = spark.createDataFrame([("a", "abc"), ("b", "bad"), ("c", "xy")], "request_id string, prompt string")
+    comp = req.withColumn("i", F.lit(0)).withColumn("cache_key", G.prompt_uid("prompt"))
+    out = {r["request_id"]: r for r in G.memoised_generate(comp, None, make).collect()}
+    assert out["a"]["output"] == "cba" and out["c"]["output"] == "yx"
+    assert out["b"]["output"] is None and out["b"]["error"] == "bad prompt"

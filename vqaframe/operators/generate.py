@@ -153,19 +153,36 @@ GEN_SCHEMA = "cache_key string, output string, error string, request_time double
 
 
 def _run_generator(make_generator, capture: tuple):
+    def one_by_one(gen, prompts):
+        outs, errs, times = [], [], []
+        for prompt in prompts:
+            t0 = time.perf_counter()
+            try:
+                outs.append(gen(prompt))
+                errs.append(None)
+            except capture as e:  # the reference captures runtime errors only
+                outs.append(None)
+                errs.append(str(e))
+            times.append(time.perf_counter() - t0)
+        return outs, errs, times
+
     def run(batches):
         gen = per_worker(make_generator)
+        batch_fn = getattr(gen, "batch", None)
         for pdf in batches:
-            outs, errs, times = [], [], []
-            for prompt in pdf["prompt"]:
+            prompts = list(pdf["prompt"])
+            result = None
+            if batch_fn is not None and prompts:
                 t0 = time.perf_counter()
                 try:
-                    outs.append(gen(prompt))
-                    errs.append(None)
-                except capture as e:  # the reference captures runtime errors only
-                    outs.append(None)
-                    errs.append(str(e))
-                times.append(time.perf_counter() - t0)
+                    outs = list(batch_fn(prompts))
+                    each = (time.perf_counter() - t0) / len(prompts)
+                    result = outs, [None] * len(prompts), [each] * len(prompts)
+                except capture:  # find the failing prompts one by one
+                    result = None
+            if result is None:
+                result = one_by_one(gen, prompts)
+            outs, errs, times = result
             yield pd.DataFrame({"cache_key": pdf["cache_key"], "output": outs,
                                 "error": errs, "request_time": times})
     return run
@@ -177,7 +194,10 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
     """G8 + J4: results for every completion row, computing only distinct misses.
 
     ``make_generator()`` returns ``prompt -> text``; it is built once per
-    Python worker. Misses are written before they are read back (a run table
+    Python worker. If it also has ``batch(prompts) -> texts`` that is called
+    once per Arrow batch (a model runs faster on batches); a captured error
+    there re-runs that batch prompt by prompt so each request gets its own
+    error. Misses are written before they are read back (a run table
     with errors, the cache with successes), so every later action sees the
     same rows. Adds output, error, request_time, cached.
     """
