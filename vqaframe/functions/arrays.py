@@ -31,8 +31,9 @@ def nll(logits, label) -> Column:
 
 
 def index_range(n) -> Column:
-    """[0, 1, ..., n-1]; empty for n <= 0 (``sequence(0, n-1)`` would count down)."""
-    return F.transform(F.array_repeat(F.lit(0), F.greatest(_col(n), F.lit(0))), lambda _, i: i)
+    """[0, 1, ..., n-1]; empty for n <= 0 (``sequence(0, n-1)`` alone would count down)."""
+    k = _col(n)
+    return F.when(k > 0, F.sequence(F.lit(0), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def safe_slice(c, start, length) -> Column:
