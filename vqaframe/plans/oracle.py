@@ -338,6 +338,9 @@ FROM g""",
 SELECT conv_id, turn, CAST(i AS INTEGER) AS i, cache_key,
        array_to_string(list_slice({_tok('prompt')}, 1, 8), ' ') AS output, false AS cached FROM reqk""",
 
+    "row_map_prompt": f"""SELECT doc_id, {_lit(_PRE)} || coalesce(text, 'None') || {_lit(_SUF)} AS question
+FROM documents""",
+
     "stream_accuracy": f"""WITH {BATCHED}
 SELECT CAST(batch_id % {T.NUM_RANKS} AS INTEGER) AS rank, count(*) AS n_values,
        round(sum(acc), 6) AS sum_value, round(sum(acc) / count(*), 6) AS mean_value

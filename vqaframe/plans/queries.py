@@ -20,6 +20,7 @@ from vqaframe.operators import generate as G
 from vqaframe.operators import metrics as M
 from vqaframe.operators import prepare as P
 from vqaframe.operators.sampling import exact_sample
+from vqaframe.operators.udf import map_rows
 from vqaframe.plans import tables as T
 from vqaframe.session import shared_dir
 from vqaframe.sources import dataset_io, metric_lines as ML
@@ -401,9 +402,15 @@ def _make_generator():
     import re
     sep = re.compile("[ \t\n\r]+")
 
-    def gen(prompt: str) -> str:
-        return " ".join([t for t in sep.split(prompt) if t][:8])
-    return gen
+    class FirstWords:
+        """Stand-in model: the first 8 whitespace tokens of the prompt."""
+
+        def __call__(self, prompt: str) -> str:
+            return " ".join([t for t in sep.split(prompt) if t][:8])
+
+        def batch(self, prompts: list[str]) -> list[str]:
+            return [self(p) for p in prompts]
+    return FirstWords()
 
 
 def q_memoised_generation(spark, d):
@@ -417,6 +424,27 @@ def q_memoised_generation(spark, d):
     return out.select("conv_id", "turn", F.col("i").cast("int"), "cache_key", "output", "cached")
 
 
+def _prompt_formatter():
+    """Per-worker state for the row map: the template, parsed once per worker."""
+    return {"template": REFERENCE_PROMPT}
+
+
+def _format_row(row: dict, state: dict) -> dict:
+    # Python's own str.format, exactly as the original applies it per row
+    text = row["text"]
+    return {"doc_id": row["doc_id"], "question": state["template"].format(text)}
+
+
+def q_row_map_prompt(spark, d):
+    """U1 + U4: the prompt template applied by Python per row (mapInPandas).
+
+    The JVM form is ``format_prompt``; this one runs the original's per-row
+    Python call, with its state built once per worker, over every document.
+    """
+    docs = T.load(spark, d, "documents").select("doc_id", "text")
+    return map_rows(docs, _format_row, "doc_id long, question string", init=_prompt_formatter)
+
+
 def q_stream_accuracy(spark, d):
     """S7 + X1: batch accuracies appended as per-rank lines, then summed by a stream."""
     acc = _batch_acc(spark, d).select("rank", F.col("accuracy").alias("value"))
@@ -468,5 +496,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_hits_misses": q_cache_hits_misses,
     "result_assembly": q_result_assembly,
     "memoised_generation": q_memoised_generation,
+    "row_map_prompt": q_row_map_prompt,
     "stream_accuracy": q_stream_accuracy,
 }
