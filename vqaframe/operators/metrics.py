@@ -132,9 +132,15 @@ def sentence_bleu(df: DataFrame, keys: list[str], hyp_col: str, ref_col: str,
                       *[f"clip_{n}" for n in range(1, max_n + 1)], bleu.alias(f"bleu{max_n}"))
 
 
-def corpus_bleu(per_row: DataFrame, max_n: int = 1) -> DataFrame:
-    """A9 at corpus level from ``sentence_bleu`` rows: summed counts, one penalty."""
+def corpus_bleu(per_row: DataFrame, max_n: int = 1, with_mean: bool = False) -> DataFrame:
+    """A9 at corpus level from ``sentence_bleu`` rows: summed counts, one penalty.
+
+    ``with_mean`` adds the mean sentence score and the row count from the
+    same aggregation.
+    """
     agg = [F.sum("hyp_len").alias("c"), F.sum("ref_len").alias("r")]
+    if with_mean:
+        agg += [F.avg(f"bleu{max_n}").alias(f"mean_bleu{max_n}"), F.count(F.lit(1)).alias("n_rows")]
     agg += [F.sum(f"clip_{n}").alias(f"m{n}") for n in range(1, max_n + 1)]
     agg += [F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"t{n}")
             for n in range(1, max_n + 1)]
@@ -146,4 +152,6 @@ def corpus_bleu(per_row: DataFrame, max_n: int = 1) -> DataFrame:
     zero = F.lit(False)
     for n in range(1, max_n + 1):
         zero = zero | (F.coalesce(F.col(f"m{n}"), F.lit(0)) == 0)
-    return s.select(F.when(zero, F.lit(0.0)).otherwise(bp * F.exp(logp)).alias(f"corpus_bleu{max_n}"))
+    extra = [f"mean_bleu{max_n}", "n_rows"] if with_mean else []
+    return s.select(F.when(zero, F.lit(0.0)).otherwise(bp * F.exp(logp)).alias(f"corpus_bleu{max_n}"),
+                    *extra)

@@ -338,6 +338,23 @@ FROM g""",
 SELECT conv_id, turn, CAST(i AS INTEGER) AS i, cache_key,
        array_to_string(list_slice({_tok('prompt')}, 1, 8), ' ') AS output, false AS cached FROM reqk""",
 
+    "generation_bleu": f"""WITH {PAIRS},
+t AS (SELECT conv_id, turn, list_slice({_tok('question')}, 1, 8) AS hyp, {_tok('answer')} AS ref FROM pairs),
+h AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(hyp) AS g FROM t) GROUP BY ALL),
+r AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(ref) AS g FROM t) GROUP BY ALL),
+c AS (SELECT h.conv_id, h.turn, sum(least(hc, coalesce(rc, 0))) AS clip
+      FROM h LEFT JOIN r ON h.conv_id = r.conv_id AND h.turn = r.turn AND h.g = r.g GROUP BY ALL),
+p AS (SELECT len(hyp) AS hl, len(ref) AS rl, coalesce(clip, 0) AS m,
+        CASE WHEN coalesce(clip, 0) = 0 THEN 0.0
+             ELSE (CASE WHEN len(hyp) > len(ref) THEN 1.0 ELSE exp(1 - len(ref) / len(hyp)) END)
+                  * exp(ln(clip / len(hyp))) END AS b
+      FROM t LEFT JOIN c ON t.conv_id = c.conv_id AND t.turn = c.turn),
+s AS (SELECT sum(hl) AS c, sum(rl) AS r, sum(m) AS m1, avg(b) AS mb, count(*) AS n FROM p)
+SELECT round(CASE WHEN coalesce(m1, 0) = 0 THEN 0.0
+                  ELSE (CASE WHEN c = 0 THEN 0.0 WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END)
+                       * exp(ln(m1 / c)) END, 6) AS corpus_bleu1,
+       round(mb, 6) AS mean_bleu1, n AS n_requests FROM s""",
+
     "row_map_prompt": f"""SELECT doc_id, {_lit(_PRE)} || coalesce(text, 'None') || {_lit(_SUF)} AS question
 FROM documents""",
 

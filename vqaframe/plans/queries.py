@@ -424,6 +424,22 @@ def q_memoised_generation(spark, d):
     return out.select("conv_id", "turn", F.col("i").cast("int"), "cache_key", "output", "cached")
 
 
+def q_generation_bleu(spark, d):
+    """A9 end to end: generate an answer for every answered user turn (G1, G7, G8),
+    score it against the reference answer with BLEU-1, corpus and mean sentence level.
+    """
+    pairs = T.qa_pairs(spark, d).select("conv_id", "turn", F.col("question").alias("prompt"),
+                                        "answer", F.lit(1).alias("num_completions"))
+    comp = G.expand_completions(pairs).withColumn(
+        "cache_key", G.cache_key("num_completions", "i", F.lit(T.MODEL), G.prompt_uid("prompt")))
+    gen = G.memoised_generate(comp, shared_dir(spark, "gen-cache"), _make_generator)
+    scored = gen.select("conv_id", "turn", T.tokens("output").alias("hyp"), T.tokens("answer").alias("ref"))
+    per = M.sentence_bleu(scored, ["conv_id", "turn"], "hyp", "ref", max_n=1)
+    both = M.corpus_bleu(per, 1, with_mean=True)
+    return both.select(F.round("corpus_bleu1", R6).alias("corpus_bleu1"),
+                       F.round("mean_bleu1", R6).alias("mean_bleu1"), F.col("n_rows").alias("n_requests"))
+
+
 def _prompt_formatter():
     """Per-worker state for the row map: the template, parsed once per worker."""
     return {"template": REFERENCE_PROMPT}
@@ -497,5 +513,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_assembly": q_result_assembly,
     "memoised_generation": q_memoised_generation,
     "row_map_prompt": q_row_map_prompt,
+    "generation_bleu": q_generation_bleu,
     "stream_accuracy": q_stream_accuracy,
 }
