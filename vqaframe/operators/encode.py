@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.rowindex import with_row_index
-from vqaframe.session import literal_frame
+from vqaframe.session import literal_frame, reliable_checkpoint
 
 # Special tokens and ids of the language model's vocabulary,
 # the image placeholder, the ignored-label sentinel.
@@ -55,7 +55,9 @@ def build_vocab(texts: DataFrame, text_col: str = "text",
     words = words.select("token", (F.col("_r") + len(specials)).cast("int").alias("id"))
     fixed = literal_frame(spark, [(t, i) for i, t in enumerate(specials)],
                           [("token", "string"), ("id", "int")])
-    return fixed.unionByName(words)
+    # pinned in the shared folder: the size check, id lookups and the joins
+    # that follow read it instead of recomputing the ranking
+    return reliable_checkpoint(fixed.unionByName(words))
 
 
 def extend_vocab(vocab: DataFrame, token: str = IMAGE_TOKEN) -> DataFrame:
