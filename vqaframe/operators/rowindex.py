@@ -28,9 +28,11 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_idx",
     of the checkpointed data; no single task holds more than one range.
     """
     spark = df.sparkSession
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(num_partitions, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may merge adjacent (small) ranges, which
+    # keeps the global order; the sort runs after that merge
+    ranged = (df.repartitionByRange(*order_cols) if num_partitions is None
+              else df.repartitionByRange(num_partitions, *order_cols))
+    ordered = ranged.sortWithinPartitions(*order_cols)
     pinned = reliable_checkpoint(ordered)
     tagged = pinned.withColumn("_mid", F.monotonically_increasing_id())
     counts = (tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
