@@ -112,7 +112,7 @@ def _vocab(spark, d, extended=True):
 
 
 def _doc_token_ids(spark, d, vocab):
-    toks = E.tokens_long(T.load(spark, d, "documents"), ["doc_id"], "text")
+    toks = E.tokens_long(T.load(spark, d, "documents", spread=True), ["doc_id"], "text")
     return E.lookup_ids(toks, vocab).select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id")
 
 
@@ -128,7 +128,7 @@ def q_extend_vocab(spark, d):
 
 def _pair_encoded(spark, d):
     vocab = _vocab(spark, d)
-    return E.encode_pairs_long(T.qa_pairs(spark, d), ["conv_id", "turn"], vocab,
+    return E.encode_pairs_long(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], vocab,
                                text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
 
 
@@ -147,7 +147,7 @@ def q_image_mask_count(spark, d):
     """Image placeholder positions left in each encoded example."""
     vocab = _vocab(spark, d)
     image_id = E.token_id(vocab, E.IMAGE_TOKEN)
-    enc = E.encode_pairs_long(T.qa_pairs(spark, d), ["conv_id", "turn"], vocab,
+    enc = E.encode_pairs_long(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], vocab,
                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES,
                               image_token_id=image_id)
     return E.image_token_count(enc, ["conv_id", "turn"], image_id)
@@ -161,7 +161,7 @@ def q_collate_batches(spark, d):
     batch gathers the encoded examples.
     """
     vocab = _vocab(spark, d)
-    pairs = B.assign_batches(T.qa_pairs(spark, d), T.TRAIN_BATCH,
+    pairs = B.assign_batches(T.qa_pairs(spark, d, spread=True), T.TRAIN_BATCH,
                              order_cols=[F.col("conv_id"), F.col("turn")])
     enc = E.encode_pairs_long(pairs, ["conv_id", "turn", "batch_id", "batch_pos"], vocab,
                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
@@ -182,7 +182,7 @@ def q_route_by_label(spark, d):
     """P10 + T7: labelled rows take the training encoding, the rest inference."""
     vocab = _vocab(spark, d)
     image_id = E.token_id(vocab, E.IMAGE_TOKEN)
-    docs = T.load(spark, d, "documents").select("doc_id", F.col("text").alias("question"))
+    docs = T.load(spark, d, "documents", spread=True).select("doc_id", F.col("text").alias("question"))
     lab = T.load(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("answer"))
     rows = docs.join(lab, "doc_id", "left")
     train, infer = E.route_by_label(rows, "answer")
@@ -267,7 +267,7 @@ def q_next_token_pairs(spark, d):
 
 
 def _bleu_rows(spark, d):
-    p = T.qa_pairs(spark, d).select("conv_id", "turn", T.tokens("answer").alias("hyp"),
+    p = T.qa_pairs(spark, d, spread=True).select("conv_id", "turn", T.tokens("answer").alias("hyp"),
                                     T.tokens("question").alias("ref"))
     return M.sentence_bleu(p, ["conv_id", "turn"], "hyp", "ref", max_n=1)
 
@@ -311,7 +311,7 @@ def q_expand_completions(spark, d):
 
 def q_strip_prompt(spark, d):
     """generation = prompt tokens + answer tokens; the prompt part is dropped."""
-    p = T.qa_pairs(spark, d).select("conv_id", "turn", T.tokens("question").alias("q"),
+    p = T.qa_pairs(spark, d, spread=True).select("conv_id", "turn", T.tokens("question").alias("q"),
                                     T.tokens("answer").alias("a"))
     g = p.select("conv_id", "turn", F.concat("q", "a").alias("gen"), F.size("q").alias("input_len"))
     kept = G.strip_prompt("gen", "input_len", echo_prompt=False)
@@ -326,7 +326,7 @@ def q_detokenize(spark, d):
 
 
 def _cut(spark, d):
-    docs = T.load(spark, d, "documents")
+    docs = T.load(spark, d, "documents", spread=True)
     out, err = G.cut_at_eos(F.col("text"), eos_token=T.EOS_STANDIN)
     return docs.select("doc_id", out.alias("output"), err.alias("error"))
 
@@ -428,7 +428,7 @@ def q_generation_bleu(spark, d):
     """A9 end to end: generate an answer for every answered user turn (G1, G7, G8),
     score it against the reference answer with BLEU-1, corpus and mean sentence level.
     """
-    pairs = T.qa_pairs(spark, d).select("conv_id", "turn", F.col("question").alias("prompt"),
+    pairs = T.qa_pairs(spark, d, spread=True).select("conv_id", "turn", F.col("question").alias("prompt"),
                                         "answer", F.lit(1).alias("num_completions"))
     comp = G.expand_completions(pairs).withColumn(
         "cache_key", G.cache_key("num_completions", "i", F.lit(T.MODEL), G.prompt_uid("prompt")))
@@ -457,7 +457,7 @@ def q_row_map_prompt(spark, d):
     The JVM form is ``format_prompt``; this one runs the original's per-row
     Python call, with its state built once per worker, over every document.
     """
-    docs = T.load(spark, d, "documents").select("doc_id", "text")
+    docs = T.load(spark, d, "documents", spread=True).select("doc_id", "text")
     return map_rows(docs, _format_row, "doc_id long, question string", init=_prompt_formatter)
 
 

@@ -33,12 +33,12 @@ MODEL = "vqa-model"
 EOS_STANDIN = "."        # sentence end plays <eos> on driver prose
 
 
-TEXT_TABLES = {"documents", "conversations", "pages"}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read a driver table. ``spread=True`` for queries whose first step is
+    heavy per-row work on the scan (tokenising, regex cuts, Python rows);
+    where a join or aggregation comes first, its own shuffle spreads the rows."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread_narrow(df) if name in TEXT_TABLES else df
+    return spread_narrow(df) if spread else df
 
 
 def questions(spark, sf_dir) -> DataFrame:
@@ -57,13 +57,15 @@ def annotations(spark, sf_dir) -> DataFrame:
                       F.array(F.struct(q.alias("answer"))).alias("answers"))
 
 
-def qa_pairs(spark, sf_dir) -> DataFrame:
+def qa_pairs(spark, sf_dir, spread: bool = False) -> DataFrame:
     """User turn t answered by the assistant turn t+1 of the same conversation.
 
     Equi-join on (conv_id, turn+1): both keys hash-partition, so a very long
-    conversation does not land in one task.
+    conversation does not land in one task. ``spread`` for callers doing
+    heavy per-row work after the join (it may be a broadcast join, which
+    keeps the scan's partitioning).
     """
-    c = load(spark, sf_dir, "conversations")
+    c = load(spark, sf_dir, "conversations", spread=spread)
     q = c.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next"))
     a = c.filter(F.col("role") == "assistant").select(
