@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vqaframe.functions.parse import python_float
+from vqaframe.session import shared_dir
 
 
 def append_metric_lines(values: DataFrame, directory: str, value_col: str = "value",
@@ -37,12 +38,15 @@ def mean_of_lines(lines: DataFrame, by_rank: bool = False) -> DataFrame:
 def consume_lines(spark: SparkSession, directory: str, archive_dir: str | None = None) -> DataFrame:
     """S9 (batch): read the lines, then move the folder aside so a value is used once.
 
-    The original deletes each file after reading; here the folder is
-    renamed into ``archive_dir`` (or deleted when none is given) after the
-    result has been materialised.
+    The original deletes each file after reading. Here the parsed lines are
+    first written to a table in the shared folder (a cache would be
+    recomputed from the moved files if an executor were lost), then the
+    folder is renamed into ``archive_dir`` (or deleted when none is given).
+    Returns the written table.
     """
-    lines = read_metric_lines(spark, directory).cache()
-    lines.count()
+    kept = shared_dir(spark, "metric-lines-read")
+    read_metric_lines(spark, directory).write.parquet(kept)
+    lines = spark.read.parquet(kept)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     src = jvm.org.apache.hadoop.fs.Path(directory)
