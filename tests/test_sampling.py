@@ -78,3 +78,15 @@ def test_empty_input(spark):
     empty = spark.range(0).withColumnRenamed("id", "k")
     assert exact_sample(empty, ["k"], fraction=0.5).count() == 0
     assert exact_sample(empty, ["k"], cap=10).count() == 0
+
+
+def test_hot_duplicate_key_a_third_of_rows(spark):
+    # one key holds a third of all rows: refinement stops at once, result exact
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("v"))
+    s = exact_sample(df, ["k"], k=1500, small_cut=10)
+    rows = s.collect()
+    assert len(rows) == 1500
+    again = exact_sample(df.repartition(7), ["k"], k=1500, small_cut=10)
+    assert sorted(r["v"] for r in rows) == sorted(r["v"] for r in again.collect())

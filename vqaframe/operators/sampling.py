@@ -60,7 +60,9 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
         start = len(prefix) + 1
         scope = hashed if not prefix else hashed.filter(F.col(HASH_COL).startswith(prefix))
         hist = (scope.groupBy(F.substring(HASH_COL, start, _DIGITS_PER_LEVEL).alias("b"))
-                .agg(F.count(F.lit(1)).alias("c")).collect())
+                .agg(F.count(F.lit(1)).alias("c"),
+                     (F.min(HASH_COL) == F.max(HASH_COL)).alias("single")).collect())
+        single = {r["b"]: r["single"] for r in hist}
         hist = sorted((r["b"], r["c"]) for r in hist)
         if n is None:
             n = sum(c for _, c in hist)
@@ -79,14 +81,18 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
             if need == n:
                 return (df, n, n) if with_count else df
         run = 0
+        cut_single = False
         for b, c in hist:
             if run + c >= need:
                 prefix += b
                 need -= run
                 cut_count = c
+                cut_single = single[b]
                 break
             run += c
-        if cut_count <= small_cut or len(prefix) >= _HASH_LEN:
+        # stop when the cut bucket is small, or holds one hash value only
+        # (duplicates of one key: more digits cannot split it)
+        if cut_count <= small_cut or cut_single or len(prefix) >= _HASH_LEN:
             break
     cut = hashed.filter(F.col(HASH_COL).startswith(prefix))
     tie = F.xxhash64(*df.columns)
