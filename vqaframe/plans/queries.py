@@ -153,6 +153,10 @@ def q_image_mask_count(spark, d):
     return E.image_token_count(enc, ["conv_id", "turn"], image_id)
 
 
+def _array_total(arr):
+    return F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def q_collate_batches(spark, d):
     """U3 + A7: encoded QA pairs collated into training batches of 6 (pair order).
 
@@ -167,13 +171,11 @@ def q_collate_batches(spark, d):
                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
     b = B.gather_batches(enc, ["input_id", "attention_mask", "token_type", "label"],
                          keys=["conv_id", "turn"])
-    flat = lambda c: F.flatten(c)
-    total = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
     return b.select(
         "batch_id", F.col("n_rows").alias("n_examples"),
-        F.size(flat("input_id")).cast("long").alias("n_positions"),
-        total(flat("attention_mask")).alias("n_attended"),
-        total(flat("token_type")).alias("n_label_tokens"),
+        F.size(F.flatten("input_id")).cast("long").alias("n_positions"),
+        _array_total(F.flatten("attention_mask")).alias("n_attended"),
+        _array_total(F.flatten("token_type")).alias("n_label_tokens"),
         F.element_at("conv_id", 1).alias("first_conv_id"),
         F.element_at("turn", 1).alias("first_turn"))
 
