@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 REFERENCE_PROMPT = ('"Answer the question using a single word or phrase. When the question '
                     'asks "How many...", respond with just a number (e.g., 3) and not the '
                     'word corresponding to the number.\\n{}"')
-IMAGE_FILE_PATTERN = "COCO_{split}{year}_{image_id}.jpg"
+# Image file name: prefix, split, year, "_", id zero-padded to the width, suffix.
+IMAGE_FILE_PREFIX = "COCO_"
 IMAGE_YEAR = "2014"
 IMAGE_ID_WIDTH = 12
-# Whitespace that separates tokens (Java and RE2 agree on this class; \s differs).
+IMAGE_FILE_SUFFIX = ".jpg"
+
+# Our own choice (not a reference value): whitespace that separates tokens.
+# Java and RE2 agree on this class; \s differs between them.
 TOKEN_SPLIT = "[ \t\n\r]+"
 
 
@@ -63,7 +67,8 @@ def zero_pad(c, width: int = IMAGE_ID_WIDTH) -> Column:
 def image_file_name(image_id, split, year: str = IMAGE_YEAR) -> Column:
     """``COCO_{split}{year}_{12-digit id}.jpg``; ``split`` is a literal or a Column."""
     split_c = F.lit(split) if isinstance(split, str) else split
-    return F.concat(F.lit("COCO_"), split_c, F.lit(f"{year}_"), zero_pad(image_id), F.lit(".jpg"))
+    return F.concat(F.lit(IMAGE_FILE_PREFIX), split_c, F.lit(f"{year}_"), zero_pad(image_id),
+                    F.lit(IMAGE_FILE_SUFFIX))
 
 
 def path_join(directory: str, name: Column) -> Column:
