@@ -92,5 +92,6 @@ def ngrams(tokens, n: int) -> Column:
     if n == 1:
         return t
     count = F.greatest(F.size(t) - F.lit(n - 1), F.lit(0))
-    return F.transform(F.array_repeat(F.lit(0), count),
-                       lambda _, i: F.array_join(F.slice(t, i + 1, n), " "))
+    grams = F.transform(F.array_repeat(F.lit(0), count),
+                        lambda _, i: F.array_join(F.slice(t, i + 1, n), " "))
+    return F.when(t.isNotNull(), grams)  # null tokens stay null
