@@ -1,10 +1,10 @@
 """Seeded shuffle and exact-size samples (L1-L3) without a global sort.
 
 Order = (md5(key ':' seed), key). A sample of k rows is the first k rows of
-that order. Selection uses hash-prefix histograms: every hash digit prefix of
-4 hex characters is a bucket (at most 65,536 per level, the only data that
-reaches the driver). The bucket holding the k-th row is refined with the
-next 4 digits until it is small; only that bucket is ordered, to read the
+that order. Selection uses hash-prefix histograms: every prefix of 2 hex
+characters is a bucket (256 per level, the only data that reaches the
+driver). The bucket holding the k-th row is refined with the next 2 digits
+until it is small; only that bucket is ordered, to read the
 k-th (hash, key) pair. The sample is then one filter over the input,
 ``(hash, key) <= threshold``: it equals ``ORDER BY h, key LIMIT k``, does not
 depend on the partitioning, and scans its input once when used.
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from vqaframe.operators.rowindex import with_row_index
 
 HASH_COL = "_shuffle_h"
-_DIGITS_PER_LEVEL = 4
+# 2 hex digits = 256 buckets per level: each map task sends at most 256
+# partial counts, so the histogram shuffle stays small with 100k+ tasks;
+# 10^12 rows need 3 levels to reach a cut bucket under 1M rows.
+_DIGITS_PER_LEVEL = 2
 _HASH_LEN = 32
 
 
