@@ -138,3 +138,20 @@ def test_bos_template_and_exact_fit(spark, vocab):
     assert E.to_arrays(inf, ["k"], ["input_id"]).first()["input_id"] == [2, 9, 9, 4]
     exact = _arrays(spark, vocab, [(4, "the cat", "a")], L_text=4, npch=1)  # 1 + 2 + 2 = L
     assert exact[4]["input_id"] == [9, 5, 4, 6, 1] and exact[4]["attention_mask"] == [1] * 5
+
+
+def test_broadcast_only_within_measured_bounds(spark, vocab):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    toks = E.tokens_long(spark.createDataFrame([(1, "the cat")], "k int, text string"), ["k"], "text")
+    small = E.lookup_ids(toks, vocab)
+    assert "BroadcastHashJoin" in plan(small)
+    big = E.lookup_ids(toks, vocab, max_broadcast=3)  # over the row bound: no broadcast hint
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan(big)
+        v = E.sized_broadcast(vocab.withColumnRenamed("token", "_tok"), max_bytes=10)  # over bytes
+        assert "BroadcastHashJoin" not in plan(toks.join(v, toks["token"] == v["_tok"], "left"))
+        v = E.sized_broadcast(vocab.withColumnRenamed("token", "_tok"))
+        assert "BroadcastHashJoin" in plan(toks.join(v, toks["token"] == v["_tok"], "left"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

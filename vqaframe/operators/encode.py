@@ -22,8 +22,11 @@ SPECIAL_TOKENS = ["<pad>", "<eos>", "<bos>", "<unk>"]
 PAD_ID, EOS_ID, BOS_ID, UNK_ID = 0, 1, 2, 3
 IMAGE_TOKEN = "<image>"
 IGNORE_INDEX = -100
-# Rows of a vocabulary that may be broadcast (about 100 MB of short tokens).
+# Bounds for broadcasting a vocabulary: rows, and bytes of token text plus
+# a per-row overhead for the id and hash-table entry.
 MAX_BROADCAST_VOCAB = 2_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+_ROW_OVERHEAD_BYTES = 32
 
 
 def context_length(text_length: int, num_patches: int) -> int:
@@ -33,10 +36,22 @@ def context_length(text_length: int, num_patches: int) -> int:
     return text_length + num_patches
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it: at most ``max_rows`` rows and
+    at most ``max_bytes`` of string data plus a fixed per-row overhead.
+
+    One aggregation job measures both; above either bound the caller gets a
+    plain DataFrame and Spark plans a shuffle join (AQE splits hot keys).
+    """
+    strings = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in df.schema.fields
+               if f.dataType.simpleString() == "string"]
+    text_bytes = sum(strings[1:], strings[0]) if strings else F.lit(0)
+    row = df.agg(F.count(F.lit(1)).alias("n"), text_bytes.alias("b")).first()
+    n, b = int(row["n"]), int(row["b"] or 0)
+    if n <= max_rows and b + n * _ROW_OVERHEAD_BYTES <= max_bytes:
+        return F.broadcast(df)
+    return df
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text",
