@@ -36,22 +36,40 @@ def context_length(text_length: int, num_patches: int) -> int:
     return text_length + num_patches
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
-                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only after measuring it: at most ``max_rows`` rows and
-    at most ``max_bytes`` of string data plus a fixed per-row overhead.
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of string data) of ``df`` in one aggregation job.
 
-    One aggregation job measures both; above either bound the caller gets a
-    plain DataFrame and Spark plans a shuffle join (AQE splits hot keys).
+    The result is remembered on the DataFrame object: a vocabulary is a
+    pinned (checkpointed) table, so its size cannot change afterwards.
     """
+    known = getattr(df, "_vqaframe_size", None)
+    if known is not None:
+        return known
     strings = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in df.schema.fields
                if f.dataType.simpleString() == "string"]
     text_bytes = sum(strings[1:], strings[0]) if strings else F.lit(0)
     row = df.agg(F.count(F.lit(1)).alias("n"), text_bytes.alias("b")).first()
-    n, b = int(row["n"]), int(row["b"] or 0)
-    if n <= max_rows and b + n * _ROW_OVERHEAD_BYTES <= max_bytes:
-        return F.broadcast(df)
-    return df
+    size = (int(row["n"]), int(row["b"] or 0))
+    df._vqaframe_size = size
+    return size
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
+                   max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is within ``max_rows`` rows and ``max_bytes`` of string
+    data plus a fixed per-row overhead."""
+    n, b = measure(df)
+    return n <= max_rows and b + n * _ROW_OVERHEAD_BYTES <= max_bytes
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it (see ``fits_broadcast``).
+
+    Above either bound the caller gets a plain DataFrame and Spark plans a
+    shuffle join (AQE splits hot keys).
+    """
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text",
@@ -105,8 +123,9 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, token_col: str = "token",
     Broadcast hash join when the vocabulary is within ``max_broadcast`` rows;
     above that a shuffle join, where AQE splits hot tokens.
     """
-    v = sized_broadcast(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id")),
-                        max_broadcast)
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
+    if fits_broadcast(vocab, max_broadcast):
+        v = F.broadcast(v)
     return (df.join(v, df[token_col] == v["_tok"], "left")
             .withColumn(out_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int"))
             .drop("_tok", "_id"))
@@ -119,8 +138,9 @@ def decode_ids(df: DataFrame, vocab: DataFrame, keys: list[str], id_col: str = "
 
     The regroup is one bounded group per example (its own tokens).
     """
-    v = sized_broadcast(vocab.select(F.col("id").alias("_vid"), F.col("token").alias("_vtok")),
-                        max_broadcast)
+    v = vocab.select(F.col("id").alias("_vid"), F.col("token").alias("_vtok"))
+    if fits_broadcast(vocab, max_broadcast):
+        v = F.broadcast(v)
     j = df.join(v, df[id_col] == v["_vid"], "left")
     return (j.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"),
