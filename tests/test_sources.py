@@ -10,7 +10,7 @@ from vqaframe.functions.parse import python_float
 from vqaframe.sources import dataset_io, images, metric_lines as ML
 
 LINES = ["0.5", " 0.25 ", "1e-1", "abc", "", "1.5d", "1_000", "nan", "inf", "-Infinity",
-         ".5", "5.", "1__0", "_1", "0x10", "+1E+2", "\t7\n"]
+         ".5", "5.", "1__0", "_1", "0x10", "+1E+2", "\t7\n", "+nan", "-NaN", "+inf", "1e1_0"]
 
 
 def py_float(s):

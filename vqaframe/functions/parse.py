@@ -24,4 +24,7 @@ def python_float(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     s = F.regexp_replace(col, STRIP_RE, "")
     ok = s.rlike(FLOAT_RE)
-    return F.when(ok, F.regexp_replace(s, "_", "").try_cast("double"))
+    # Spark's cast takes a signed inf but only an unsigned nan; the sign of
+    # nan means nothing, so drop it
+    body = F.regexp_replace(F.regexp_replace(s, "_", ""), "^[+-](?=(?i:nan)$)", "")
+    return F.when(ok, body.try_cast("double"))
