@@ -61,3 +61,21 @@ def test_exact_sample_reads_only_key_column(spark):
     s = formatted(Q.q_exact_sample(spark, SF))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", s)
     assert schemas and all(x == "struct<doc_id:bigint>" for x in schemas)
+
+
+def test_driver_fetches_are_only_bounded_summaries():
+    """Library code never collects data; the only driver fetches are bounded summaries."""
+    import pathlib
+    allowed = {
+        "sampling.py": 2,   # hash histogram (<= 256 rows), threshold edge (2 rows)
+        "rowindex.py": 1,   # one count per partition
+        "encode.py": 2,     # vocabulary size (1 row), one token id (1 row)
+    }
+    pat = re.compile(r"\.(collect|toPandas|take|first|tail)\(")
+    found = {}
+    root = pathlib.Path(__file__).resolve().parent.parent / "vqaframe"
+    for p in root.rglob("*.py"):
+        n = len(pat.findall(p.read_text()))
+        if n:
+            found[p.name] = n
+    assert found == allowed
