@@ -31,3 +31,20 @@ def test_python_float_matches_python(spark, lines):
             assert g is not None and math.isnan(g), repr(s)
         else:
             assert g == e, repr(s)
+
+
+def _brute_sample(keys, k, seed=42):
+    import hashlib
+    order = sorted(keys, key=lambda x: (hashlib.md5(f"{x}:{seed}".encode()).hexdigest(), x))
+    return set(order[:k])
+
+
+@settings(max_examples=6, deadline=None)
+@given(keys=st.sets(st.text(min_size=1, max_size=6), min_size=1, max_size=300),
+       frac=st.floats(min_value=0.0, max_value=1.0), parts=st.integers(min_value=1, max_value=9))
+def test_exact_sample_equals_sorted_prefix(spark, keys, frac, parts):
+    from vqaframe.operators.sampling import exact_sample
+    keys = sorted(keys)
+    df = spark.createDataFrame([(x,) for x in keys], "k string").repartition(parts)
+    got = {r["k"] for r in exact_sample(df, ["k"], fraction=frac, small_cut=5).collect()}
+    assert got == _brute_sample(keys, int(frac * len(keys)))
