@@ -155,3 +155,21 @@ def test_broadcast_only_within_measured_bounds(spark, vocab):
         assert "BroadcastHashJoin" in plan(toks.join(v, toks["token"] == v["_tok"], "left"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_join_path_matches_broadcast(spark, vocab):
+    rows = [(1, "the cat zebra", "dog a"), (2, "a " * 9, "the"), (3, "", "")]
+    fields = ["input_id", "token_type", "attention_mask", "label"]
+
+    def enc(mb):
+        long = E.encode_pairs_long(_pairs(spark, rows), ["k"], vocab, text_length=6, num_patches=2,
+                                   max_broadcast=mb)
+        return sorted(tuple(r) for r in E.to_arrays(long, ["k"], fields).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert enc(0) == enc(E.MAX_BROADCAST_VOCAB)
+        inf = E.encode_inference_long(_pairs(spark, rows), ["k"], vocab, num_patches=2, max_broadcast=0)
+        got = {r["k"]: r["input_id"] for r in E.to_arrays(inf, ["k"], ["input_id"]).collect()}
+        assert got[1] == [9, 9, 5, 4, 3] and got[3] == [9, 9]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -79,3 +79,8 @@ def test_driver_fetches_are_only_bounded_summaries():
         if n:
             found[p.name] = n
     assert found == allowed
+
+
+def test_pair_encoding_expands_input_once(spark):
+    p = plan(Q.q_pair_encode(spark, SF))
+    assert p.count("Generate ") == 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vqaframe.functions.arrays import index_range
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.rowindex import with_row_index
 from vqaframe.session import literal_frame, reliable_checkpoint
@@ -216,19 +217,35 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
         return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
 
     pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
-    is_word = F.col("_seg").isin(2, 3)
-    words = lookup_ids(pos.filter(is_word), vocab, "_tok", "input_id", unk_id,
-                       max_broadcast).drop("_tok")
-    fixed = (pos.filter(~is_word).drop("_tok")
-             .withColumn("input_id", F.when(F.col("_seg") == 1, F.lit(image_token_id))
-                         .when(F.col("_seg") >= 4, F.lit(bos_id))
-                         .otherwise(F.lit(pad_id)).cast("int")))
-    out = words.unionByName(fixed)
+    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
+    input_id = (F.when(F.col("_seg") == 1, F.lit(image_token_id))
+                .when(F.col("_seg") >= 4, F.lit(bos_id))
+                .when(F.col("_seg") == 0, F.lit(pad_id))
+                .otherwise(F.col("_wid"))).cast("int")
     ttype = F.when(F.col("_seg").isin(3, 5), F.lit(1)).otherwise(F.lit(0))
-    return out.select(*keys, F.col("pos").cast("int").alias("pos"), "input_id",
+    return pos.select(*keys, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
                       ttype.alias("token_type"),
                       F.when(F.col("_seg") == 0, F.lit(0)).otherwise(F.lit(1)).alias("attention_mask"),
-                      F.when(ttype == 1, F.col("input_id")).otherwise(F.lit(ignore_index)).alias("label"))
+                      F.when(ttype == 1, input_id).otherwise(F.lit(ignore_index)).alias("label"))
+
+
+_SENTINEL_SPREAD = 1 << 20
+
+
+def _lookup_positions(pos: DataFrame, keys: list[str], vocab: DataFrame, unk_id: int,
+                      max_broadcast: int) -> DataFrame:
+    """One token -> id join for every position of every example.
+
+    Positions without a word (image, pad, <bos>) get a key no token can be
+    equal to (it contains a space, and tokens never do), spread over 2^20
+    values by a hash of the example and position: they miss the vocabulary
+    and, in a shuffle join, form no hot key. One join instead of a union of
+    word and non-word rows means the input is read and expanded once.
+    """
+    spread = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col("pos")), F.lit(_SENTINEL_SPREAD))
+    sentinel = F.concat(F.lit(" "), spread.cast("string"))
+    pos = pos.withColumn("_tok", F.when(F.col("_seg").isin(2, 3), F.col("_tok")).otherwise(sentinel))
+    return lookup_ids(pos, vocab, "_tok", "_wid", unk_id, max_broadcast).drop("_tok")
 
 
 def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame,
@@ -240,14 +257,22 @@ def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     if image_token_id is None:
         image_token_id = token_id(vocab, IMAGE_TOKEN)
     sa = 1 if add_bos else 0
-    head = F.concat(F.array_repeat(F.lit(bos_id), sa), F.array_repeat(F.lit(image_token_id), num_patches))
-    img = df.select(*keys, F.posexplode(head).alias("pos", "input_id"))
-    words = lookup_ids(tokens_long(df, keys, question_col), vocab, "token", "input_id",
-                       unk_id, max_broadcast)
-    words = words.select(*keys, (F.col("pos") + num_patches + sa).alias("pos"), "input_id")
-    return (img.unionByName(words)
-            .select(*keys, F.col("pos").cast("int").alias("pos"), F.col("input_id").cast("int"),
-                    F.lit(1).alias("attention_mask")))
+    npch = F.lit(num_patches)
+    base = df.select(*keys, whitespace_tokens(question_col).alias("_qt"))
+    n = F.lit(sa + num_patches) + F.size("_qt")
+
+    def position(p):
+        seg = (F.when(p < sa, F.lit(4)).when(p < sa + npch, F.lit(1)).otherwise(F.lit(2)))
+        tok = F.when(p >= sa + npch, F.element_at("_qt", p - sa - npch + 1))
+        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
+
+    pos = base.select(*keys, F.inline(F.transform(index_range(n), position)))
+    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
+    input_id = (F.when(F.col("_seg") == 1, F.lit(image_token_id))
+                .when(F.col("_seg") == 4, F.lit(bos_id))
+                .otherwise(F.col("_wid"))).cast("int")
+    return pos.select(*keys, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
+                      F.lit(1).alias("attention_mask"))
 
 
 def route_by_label(df: DataFrame, label_col: str = "answer") -> tuple[DataFrame, DataFrame]:
