@@ -173,3 +173,19 @@ def test_shuffle_join_path_matches_broadcast(spark, vocab):
         assert got[1] == [9, 9, 5, 4, 3] and got[3] == [9, 9]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_routed_encoding_equals_separate_encoders(spark, vocab):
+    rows = [(1, "the cat zebra", "dog a"), (2, "a " * 9, None), (3, "", ""), (4, "cat", None)]
+    df = _pairs(spark, rows)
+    routed = E.encode_routed_long(df, ["k"], vocab, text_length=6, num_patches=2, add_bos=True)
+    train, infer = E.route_by_label(df)
+    tr = E.encode_pairs_long(train, ["k"], vocab, text_length=6, num_patches=2, add_bos=True)
+    inf = E.encode_inference_long(infer, ["k"], vocab, num_patches=2, add_bos=True)
+    got_tr = sorted(tuple(r) for r in routed.filter("mode = 'train'").drop("mode").collect())
+    assert got_tr == sorted(tuple(r) for r in tr.collect())
+    got_inf = sorted(tuple(r) for r in routed.filter("mode = 'infer'")
+                     .select("k", "pos", "input_id", "attention_mask").collect())
+    assert got_inf == sorted(tuple(r) for r in inf.collect())
+    modes = {r["k"]: r["mode"] for r in routed.select("k", "mode").distinct().collect()}
+    assert modes == {1: "train", 2: "infer", 3: "train", 4: "infer"}

@@ -163,72 +163,140 @@ def _pair_lengths(la, lb, L: int):
     return ka, kb
 
 
-def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
-                      question_col: str = "question", answer_col: str = "answer",
-                      text_length: int = 64, num_patches: int = 257,
-                      image_token_id: int | None = None, pad_id: int = PAD_ID,
-                      eos_token: str = "<eos>", unk_id: int = UNK_ID,
-                      padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
-                      add_bos: bool = False, bos_id: int = BOS_ID,
-                      max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """T2-T5 (+P8, P9): training encoding, one row per (keys, pos).
-
-    Sequence A = ``num_patches`` image tokens + question tokens (type 0),
-    sequence B = answer tokens + ``<eos>`` (type 1); longest-first
-    truncation to L = text_length + num_patches, padding to L with mask 0,
-    labels = input id where type is 1, else ``ignore_index``.
-    ``add_bos`` puts ``<bos>`` before each sequence, as a tokenizer with a
-    pair template does; truncation then works within L - 2.
-    Columns: keys, pos, input_id, token_type, attention_mask, label.
-    """
-    if padding_side not in ("right", "left"):
-        raise ValueError("padding_side must be 'right' or 'left'")
-    L = context_length(text_length, num_patches)
-    sa = 1 if add_bos else 0  # special tokens before each sequence
-    if L < 2 * sa:
-        raise ValueError("context too short for the special tokens")
-    if image_token_id is None:
-        image_token_id = token_id(vocab, IMAGE_TOKEN)
+def _pair_columns(df: DataFrame, keys: list[str], question_col: str, answer_col: str,
+                  L: int, sa: int, num_patches: int, eos_token: str, extra=()) -> DataFrame:
+    """Token arrays and truncation lengths (_qt, _at, _ka, _kb) per row."""
     npch = F.lit(num_patches)
-    base = df.select(*keys, whitespace_tokens(question_col).alias("_qt"),
+    base = df.select(*keys, *extra, whitespace_tokens(question_col).alias("_qt"),
                      F.concat(whitespace_tokens(answer_col), F.array(F.lit(eos_token))).alias("_at"))
     base = base.withColumns({"_la": npch + F.size("_qt"), "_lb": F.size("_at")})
     ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L - 2 * sa)
-    base = base.withColumns({"_ka": ka, "_kb": kb})
-    used = F.col("_ka") + F.col("_kb") + 2 * sa
-    offset = (F.lit(L) - used) if padding_side == "left" else F.lit(0)
+    return base.withColumns({"_ka": ka, "_kb": kb})
+
+
+def _pair_position(L: int, sa: int, num_patches: int, padding_side: str):
+    """Position p of a training example -> struct(pos, _seg, _tok).
+
+    Segments: 0 pad, 1 image, 2/3 question/answer word, 4/5 <bos> of A/B.
+    Built inside the row, so the token arrays are read in place instead of
+    being copied into every exploded row.
+    """
+    npch = F.lit(num_patches)
     ka_c = F.col("_ka")
+    used = ka_c + F.col("_kb") + 2 * sa
+    offset = (F.lit(L) - used) if padding_side == "left" else F.lit(0)
     a0 = F.lit(sa)                        # first token of sequence A after its <bos>
     b_bos = a0 + ka_c                     # position of B's <bos> (when add_bos)
     b0 = b_bos + sa                       # first token of sequence B
 
     def position(p):
-        # one struct per position, built inside the row: the token arrays are
-        # read in place instead of being copied into every exploded row
         rel = p - offset
         seg = (F.when((rel < 0) | (rel >= used), F.lit(0))
                .when(rel < a0, F.lit(4))
                .when(rel < a0 + F.least(npch, ka_c), F.lit(1))
                .when(rel < b_bos, F.lit(2))
                .when(rel < b0, F.lit(5))
-               .otherwise(F.lit(3)))  # 0 pad, 1 image, 2/3 question/answer word, 4/5 <bos> of A/B
+               .otherwise(F.lit(3)))
         tok = (F.when((rel >= a0 + npch) & (rel < b_bos), F.element_at("_qt", rel - a0 - npch + 1))
                .when((rel >= b0) & (rel < used), F.element_at("_at", rel - b0 + 1)))
         return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
+    return position
 
-    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
-    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
+
+def _inference_position(sa: int, num_patches: int):
+    """Position p of an inference example -> struct(pos, _seg, _tok): [<bos>] image question."""
+    npch = F.lit(num_patches)
+
+    def position(p):
+        seg = F.when(p < sa, F.lit(4)).when(p < sa + npch, F.lit(1)).otherwise(F.lit(2))
+        tok = F.when(p >= sa + npch, F.element_at("_qt", p - sa - npch + 1))
+        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
+    return position
+
+
+def _finish(pos: DataFrame, keys: list[str], image_token_id: int, bos_id: int, pad_id: int,
+            ignore_index: int, extra=()) -> DataFrame:
     input_id = (F.when(F.col("_seg") == 1, F.lit(image_token_id))
                 .when(F.col("_seg") >= 4, F.lit(bos_id))
                 .when(F.col("_seg") == 0, F.lit(pad_id))
                 .otherwise(F.col("_wid"))).cast("int")
     ttype = F.when(F.col("_seg").isin(3, 5), F.lit(1)).otherwise(F.lit(0))
-    return pos.select(*keys, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
+    return pos.select(*keys, *extra, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
                       ttype.alias("token_type"),
                       F.when(F.col("_seg") == 0, F.lit(0)).otherwise(F.lit(1)).alias("attention_mask"),
                       F.when(ttype == 1, input_id).otherwise(F.lit(ignore_index)).alias("label"))
 
 
+def _check(padding_side: str, L: int, sa: int) -> None:
+    if padding_side not in ("right", "left"):
+        raise ValueError("padding_side must be 'right' or 'left'")
+    if L < 2 * sa:
+        raise ValueError("context too short for the special tokens")
+
+
+def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
+                      question_col: str = "question", answer_col: str = "answer",
+                      text_length: int = 64, num_patches: int = 257,
+                      image_token_id: int | None = None, pad_id: int = PAD_ID,
+                      eos_token: str = "<eos>", unk_id: int = UNK_ID,
+                      padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                      add_bos: bool = False, bos_id: int = BOS_ID,
+                      max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+    """T2-T5 (+P8, P9): training encoding, one row per (keys, pos).
+
+    Sequence A = ``num_patches`` image tokens + question tokens (type 0),
+    sequence B = answer tokens + ``<eos>`` (type 1); longest-first
+    truncation to L = text_length + num_patches, padding to L with mask 0,
+    labels = input id where type is 1, else ``ignore_index``.
+    ``add_bos`` puts ``<bos>`` before each sequence, as a tokenizer with a
+    pair template does; truncation then works within L - 2.
+    Columns: keys, pos, input_id, token_type, attention_mask, label.
+    """
+    L = context_length(text_length, num_patches)
+    sa = 1 if add_bos else 0  # special tokens before each sequence
+    _check(padding_side, L, sa)
+    if image_token_id is None:
+        image_token_id = token_id(vocab, IMAGE_TOKEN)
+    base = _pair_columns(df, keys, question_col, answer_col, L, sa, num_patches, eos_token)
+    position = _pair_position(L, sa, num_patches, padding_side)
+    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
+    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
+    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index)
+
+
+def encode_routed_long(df: DataFrame, keys: list[str], vocab: DataFrame,
+                       question_col: str = "question", answer_col: str = "answer",
+                       text_length: int = 64, num_patches: int = 257,
+                       image_token_id: int | None = None, pad_id: int = PAD_ID,
+                       eos_token: str = "<eos>", unk_id: int = UNK_ID,
+                       padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                       add_bos: bool = False, bos_id: int = BOS_ID,
+                       max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+    """P10 in one pass: rows with an answer get the training encoding, rows
+    without one the inference encoding (T7), chosen per row inside the
+    position expression, so the input is read once and joined to the
+    vocabulary once. Adds ``mode`` ('train' / 'infer'); inference positions
+    have type 0, mask 1 and the ignored label.
+    """
+    L = context_length(text_length, num_patches)
+    sa = 1 if add_bos else 0
+    _check(padding_side, L, sa)
+    if image_token_id is None:
+        image_token_id = token_id(vocab, IMAGE_TOKEN)
+    is_train = F.col(answer_col).isNotNull()
+    mode = F.when(is_train, F.lit("train")).otherwise(F.lit("infer")).alias("mode")
+    base = _pair_columns(df, keys, question_col, answer_col, L, sa, num_patches, eos_token,
+                         extra=(mode,))
+    train_pos = _pair_position(L, sa, num_patches, padding_side)
+    infer_pos = _inference_position(sa, num_patches)
+    train = F.col("mode") == "train"
+    n = F.when(train, F.lit(L)).otherwise(F.lit(sa + num_patches) + F.size("_qt"))
+    pos = base.select(*keys, "mode", F.inline(F.transform(
+        index_range(n), lambda p: F.when(train, train_pos(p)).otherwise(infer_pos(p)))))
+    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
+    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index, extra=("mode",))
+
+
 _SENTINEL_SPREAD = 1 << 20
 
 
@@ -257,22 +325,12 @@ def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     if image_token_id is None:
         image_token_id = token_id(vocab, IMAGE_TOKEN)
     sa = 1 if add_bos else 0
-    npch = F.lit(num_patches)
     base = df.select(*keys, whitespace_tokens(question_col).alias("_qt"))
     n = F.lit(sa + num_patches) + F.size("_qt")
-
-    def position(p):
-        seg = (F.when(p < sa, F.lit(4)).when(p < sa + npch, F.lit(1)).otherwise(F.lit(2)))
-        tok = F.when(p >= sa + npch, F.element_at("_qt", p - sa - npch + 1))
-        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
-
-    pos = base.select(*keys, F.inline(F.transform(index_range(n), position)))
+    pos = base.select(*keys, F.inline(F.transform(index_range(n), _inference_position(sa, num_patches))))
     pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
-    input_id = (F.when(F.col("_seg") == 1, F.lit(image_token_id))
-                .when(F.col("_seg") == 4, F.lit(bos_id))
-                .otherwise(F.col("_wid"))).cast("int")
-    return pos.select(*keys, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
-                      F.lit(1).alias("attention_mask"))
+    return _finish(pos, keys, image_token_id, bos_id, PAD_ID, IGNORE_INDEX).select(
+        *keys, "pos", "input_id", "attention_mask")
 
 
 def route_by_label(df: DataFrame, label_col: str = "answer") -> tuple[DataFrame, DataFrame]:

@@ -181,26 +181,20 @@ def q_collate_batches(spark, d):
 
 
 def q_route_by_label(spark, d):
-    """P10 + T7: labelled rows take the training encoding, the rest inference."""
+    """P10 + T7: labelled rows take the training encoding, the rest inference.
+
+    One pass: the encoding is chosen per row (``encode_routed_long``), so the
+    documents are read and joined once.
+    """
     vocab = _vocab(spark, d)
-    image_id = E.token_id(vocab, E.IMAGE_TOKEN)
     docs = T.load(spark, d, "documents", spread=True).select("doc_id", F.col("text").alias("question"))
     lab = T.load(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("answer"))
-    rows = docs.join(lab, "doc_id", "left")
-    train, infer = E.route_by_label(rows, "answer")
-    tr = E.encode_pairs_long(train, ["doc_id"], vocab, text_length=T.TEXT_LENGTH,
-                             num_patches=T.NUM_PATCHES, image_token_id=image_id)
-    tr = tr.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_input_ids"), F.sum("attention_mask").alias("n_attended"),
+    enc = E.encode_routed_long(docs.join(lab, "doc_id", "left"), ["doc_id"], vocab,
+                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
+    return enc.groupBy("doc_id", "mode").agg(
+        F.count(F.lit(1)).alias("n_input_ids"),
+        F.sum("attention_mask").cast("long").alias("n_attended"),
         F.sum((F.col("label") != E.IGNORE_INDEX).cast("long")).alias("n_label_tokens"))
-    inf = E.encode_inference_long(infer, ["doc_id"], vocab, num_patches=T.NUM_PATCHES,
-                                  image_token_id=image_id)
-    inf = inf.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_input_ids"), F.sum("attention_mask").alias("n_attended"),
-        F.lit(0).cast("long").alias("n_label_tokens"))
-    return (tr.withColumn("mode", F.lit("train")).unionByName(inf.withColumn("mode", F.lit("infer")))
-            .select("doc_id", "mode", F.col("n_input_ids").cast("long"),
-                    F.col("n_attended").cast("long"), F.col("n_label_tokens").cast("long")))
 
 
 def q_missing_images(spark, d):
