@@ -4,7 +4,7 @@
 single task. Instead: range-partition and sort on the order columns, pin the
 partition contents with a reliable checkpoint, count rows per partition
 (one small row per partition reaches the driver), and add each partition's
-offset to the position inside it.
+offset (a literal array indexed by partition id) to the position inside it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqaframe.session import literal_frame, reliable_checkpoint
+from vqaframe.session import reliable_checkpoint
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -27,7 +27,6 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_idx",
     would be broken arbitrarily. Cost: one range shuffle and one extra scan
     of the checkpointed data; no single task holds more than one range.
     """
-    spark = df.sparkSession
     # without an explicit count AQE may merge adjacent (small) ranges, which
     # keeps the global order; the sort runs after that merge
     ranged = (df.repartitionByRange(*order_cols) if num_partitions is None
@@ -35,15 +34,15 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_idx",
     ordered = ranged.sortWithinPartitions(*order_cols)
     pinned = reliable_checkpoint(ordered)
     tagged = pinned.withColumn("_mid", F.monotonically_increasing_id())
-    counts = (tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
-              .agg(F.count(F.lit(1)).alias("_n")).collect())
-    counts = sorted((r["_pid"], r["_n"]) for r in counts)
-    starts = [0] + list(accumulate(n for _, n in counts))[:-1]
-    offsets = literal_frame(spark, [(p, s) for (p, _), s in zip(counts, starts)],
-                            [("_pid", "long"), ("_offset", "long")])
-    # one row per partition: a proven size bound, so broadcast it
-    return (tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-            .join(F.broadcast(offsets), "_pid", "left")
-            .withColumn(index_col, F.col("_offset") +
-                        F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-            .drop("_mid", "_pid", "_offset"))
+    counts = dict((r["_pid"], r["_n"]) for r in
+                  tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
+                  .agg(F.count(F.lit(1)).alias("_n")).collect())
+    # one offset per partition (empty ones included): a literal array indexed
+    # by partition id, so no join is needed
+    top = max(counts) + 1 if counts else 1
+    starts = [0] + list(accumulate(counts.get(p, 0) for p in range(top)))[:-1]
+    offsets = F.array(*[F.lit(x).cast("long") for x in starts])
+    pid = F.shiftright("_mid", _LOCAL_BITS)
+    return (tagged.withColumn(index_col, F.element_at(offsets, (pid + 1).cast("int")) +
+                              F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+            .drop("_mid"))
