@@ -269,6 +269,31 @@ SELECT round(CASE WHEN coalesce(m1, 0) = 0 THEN 0.0
                   ELSE (CASE WHEN c = 0 THEN 0.0 WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END)
                        * exp(ln(m1 / t1)) END, 6) AS corpus_bleu1 FROM s""",
 
+    "bleu4_corpus": f"""WITH {PAIRS},
+t AS (SELECT conv_id, turn, {_tok('answer')} AS hyp, {_tok('question')} AS ref FROM pairs),
+h1 AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(hyp) - 0 + 1), lambda i: array_to_string(list_slice(hyp, i, i + 0), ' '))) AS g FROM t) GROUP BY ALL),
+r1 AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(ref) - 0 + 1), lambda i: array_to_string(list_slice(ref, i, i + 0), ' '))) AS g FROM t) GROUP BY ALL),
+m1 AS (SELECT sum(least(hc, coalesce(rc, 0))) AS m FROM h1 LEFT JOIN r1 USING (conv_id, turn, g)),
+h2 AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(hyp) - 1 + 1), lambda i: array_to_string(list_slice(hyp, i, i + 1), ' '))) AS g FROM t) GROUP BY ALL),
+r2 AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(ref) - 1 + 1), lambda i: array_to_string(list_slice(ref, i, i + 1), ' '))) AS g FROM t) GROUP BY ALL),
+m2 AS (SELECT sum(least(hc, coalesce(rc, 0))) AS m FROM h2 LEFT JOIN r2 USING (conv_id, turn, g)),
+h3 AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(hyp) - 2 + 1), lambda i: array_to_string(list_slice(hyp, i, i + 2), ' '))) AS g FROM t) GROUP BY ALL),
+r3 AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(ref) - 2 + 1), lambda i: array_to_string(list_slice(ref, i, i + 2), ' '))) AS g FROM t) GROUP BY ALL),
+m3 AS (SELECT sum(least(hc, coalesce(rc, 0))) AS m FROM h3 LEFT JOIN r3 USING (conv_id, turn, g)),
+h4 AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(hyp) - 3 + 1), lambda i: array_to_string(list_slice(hyp, i, i + 3), ' '))) AS g FROM t) GROUP BY ALL),
+r4 AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(ref) - 3 + 1), lambda i: array_to_string(list_slice(ref, i, i + 3), ' '))) AS g FROM t) GROUP BY ALL),
+m4 AS (SELECT sum(least(hc, coalesce(rc, 0))) AS m FROM h4 LEFT JOIN r4 USING (conv_id, turn, g)),
+s AS (SELECT sum(len(hyp)) AS c, sum(len(ref)) AS r,
+             sum(greatest(len(hyp) - 1, 0)) AS t2, sum(greatest(len(hyp) - 2, 0)) AS t3,
+             sum(greatest(len(hyp) - 3, 0)) AS t4 FROM t)
+SELECT round(CASE WHEN coalesce(m1, 0) = 0 OR coalesce(m2, 0) = 0 OR coalesce(m3, 0) = 0
+                       OR coalesce(m4, 0) = 0 THEN 0.0
+                  ELSE (CASE WHEN c = 0 THEN 0.0 WHEN c > r THEN 1.0 ELSE exp(1 - r / c) END)
+                       * exp(ln(m1 / c) / 4 + ln(m2 / t2) / 4 + ln(m3 / t3) / 4
+                             + ln(m4 / t4) / 4) END, 6) AS corpus_bleu4
+FROM (SELECT *, (SELECT m FROM m1) AS m1, (SELECT m FROM m2) AS m2, (SELECT m FROM m3) AS m3,
+             (SELECT m FROM m4) AS m4 FROM s)""",
+
     "assemble_prompt": """SELECT conv_id AS request_id,
   coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS prompt_text
 FROM conversations GROUP BY conv_id""",

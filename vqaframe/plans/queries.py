@@ -275,6 +275,14 @@ def q_bleu1(spark, d):
                                        F.round("bleu1", R6).alias("bleu1"))
 
 
+def q_bleu4_corpus(spark, d):
+    """A9 with n-grams 1-4: corpus BLEU-4 (uniform weights, one brevity penalty)."""
+    p = T.qa_pairs(spark, d, spread=True).select("conv_id", "turn", T.tokens("answer").alias("hyp"),
+                                                 T.tokens("question").alias("ref"))
+    per = M.sentence_bleu(p, ["conv_id", "turn"], "hyp", "ref", max_n=4)
+    return M.corpus_bleu(per, 4).select(F.round("corpus_bleu4", R6).alias("corpus_bleu4"))
+
+
 def q_bleu1_corpus(spark, d):
     """A9 at corpus level."""
     return M.corpus_bleu(_bleu_rows(spark, d), 1).select(
@@ -497,6 +505,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "next_token_pairs": q_next_token_pairs,
     "bleu1": q_bleu1,
     "bleu1_corpus": q_bleu1_corpus,
+    "bleu4_corpus": q_bleu4_corpus,
     "assemble_prompt": q_assemble_prompt,
     "last_media": q_last_media,
     "media_validation": q_media_validation,
