@@ -189,3 +189,10 @@ def test_routed_encoding_equals_separate_encoders(spark, vocab):
     assert got_inf == sorted(tuple(r) for r in inf.collect())
     modes = {r["k"]: r["mode"] for r in routed.select("k", "mode").distinct().collect()}
     assert modes == {1: "train", 2: "infer", 3: "train", 4: "infer"}
+
+
+def test_image_token_mismatch_reports_truncated_prefix(spark, vocab):
+    rows = [(1, "cat", "dog"), (2, "a " * 20, "the " * 20)]
+    long = E.encode_pairs_long(_pairs(spark, rows), ["k"], vocab, text_length=2, num_patches=4)
+    bad = {r["k"]: r["n_image_tokens"] for r in E.image_token_mismatch(long, ["k"], 9, 4).collect()}
+    assert bad == {2: 3}

@@ -102,3 +102,13 @@ def test_sentence_bleu_matches_brute_force(spark):
                for _, h, r in pairs)
     bp = 1.0 if hyp > ref else math.exp(1 - ref / hyp)
     assert abs(c - bp * clip / hyp) < 1e-12
+
+
+def test_batch_accuracy_with_shift(spark):
+    rows = [(0, 0, 0, [0.9, 0.1], 1), (0, 0, 1, [0.1, 0.9], 0), (0, 0, 2, [0.9, 0.1], 1)]
+    df = spark.createDataFrame(rows, "rank int, batch_id long, pos int, logits array<double>, label int")
+    plain = M.batch_accuracy(df).first()
+    assert abs(plain["accuracy"] - 0.0) < 1e-12 and plain["n_positions"] == 3
+    shifted = M.batch_accuracy(df, shift=True, seq_cols=["batch_id"]).first()
+    # pred(t=0)=0 vs label(1)=0 hit; pred(t=1)=1 vs label(2)=1 hit
+    assert shifted["accuracy"] == 1.0 and shifted["n_positions"] == 2

@@ -358,6 +358,19 @@ def image_token_count(long_df: DataFrame, keys: list[str], image_token_id: int,
         F.sum((F.col(id_col) == image_token_id).cast("int")).cast("int").alias("n_image_tokens"))
 
 
+def image_token_mismatch(long_df: DataFrame, keys: list[str], image_token_id: int,
+                         num_patches: int, id_col: str = "input_id") -> DataFrame:
+    """P11 check: examples whose image placeholder count is not ``num_patches``.
+
+    The image features replace exactly ``num_patches`` positions, so a
+    truncated image prefix (longest-first truncation of a long question and
+    answer) cannot be scattered; these rows are reported, not dropped.
+    """
+    counts = image_token_count(long_df, keys, image_token_id, id_col)
+    return counts.filter(F.col("n_image_tokens") != num_patches).withColumn(
+        "expected", F.lit(num_patches))
+
+
 def image_mask(ids, image_token_id: int):
     """P11 on the array form: boolean mask of image placeholder positions."""
     a = F.col(ids) if isinstance(ids, str) else ids

@@ -16,16 +16,26 @@ from vqaframe.operators.encode import IGNORE_INDEX
 
 def batch_accuracy(df: DataFrame, logits_col: str = "logits", label_col: str = "label",
                    group_cols: tuple = ("rank", "batch_id"),
-                   ignore_index: int | None = None) -> DataFrame:
+                   ignore_index: int | None = None, shift: bool = False,
+                   seq_cols: list[str] | None = None, pos_col: str = "pos") -> DataFrame:
     """A2: per batch, mean of (argmax(logits) == label) over every position.
 
     As in the reference there is no shift and no masking by default; pass
     ``ignore_index`` to leave such labels out of numerator and denominator.
+    ``shift=True`` scores the prediction at t against the label at t + 1 of
+    the same sequence (``seq_cols``, ordered by ``pos_col``); the last
+    position of each sequence then has nothing to score.
     """
-    hit = (argmax(logits_col) == F.col(label_col)).cast("double")
     d = df
+    label = F.col(label_col)
+    if shift:
+        if not seq_cols:
+            raise ValueError("shift needs seq_cols")
+        d = shift_next(d, seq_cols, pos_col, [label_col]).filter(F.col(f"next_{label_col}").isNotNull())
+        label = F.col(f"next_{label_col}")
+    hit = (argmax(logits_col) == label).cast("double")
     if ignore_index is not None:
-        d = d.filter(F.col(label_col) != ignore_index)
+        d = d.filter(label != ignore_index)
     return d.groupBy(*group_cols).agg(F.avg(hit).alias("accuracy"),
                                       F.count(F.lit(1)).alias("n_positions"))
 
