@@ -196,3 +196,24 @@ def test_image_token_mismatch_reports_truncated_prefix(spark, vocab):
     long = E.encode_pairs_long(_pairs(spark, rows), ["k"], vocab, text_length=2, num_patches=4)
     bad = {r["k"]: r["n_image_tokens"] for r in E.image_token_mismatch(long, ["k"], 9, 4).collect()}
     assert bad == {2: 3}
+
+
+def test_user_tokenizer_and_id_encoder(spark):
+    def make():
+        table = {"what": 11, "is": 12, "it": 13, "cat": 14}
+
+        class Tok:
+            def encode_batch(self, texts):
+                return [[table.get(w, 3) for w in t.lower().split()] for t in texts]
+        return Tok()
+
+    df = spark.createDataFrame([(1, "What is it", "cat"), (2, None, "cat"), (3, "it", None)],
+                               "k int, question string, answer string")
+    ids = df.select("k", E.user_token_ids("question", make).alias("q"), E.user_token_ids("answer", make).alias("a"))
+    got = {r["k"]: (r["q"], r["a"]) for r in ids.collect()}
+    assert got[1] == ([11, 12, 13], [14]) and got[2] == (None, [14]) and got[3] == ([13], None)
+    long = E.encode_pair_ids_long(ids, ["k"], "q", "a", text_length=5, num_patches=2, image_token_id=99)
+    arr = {r["k"]: r for r in E.to_arrays(long, ["k"], ["input_id", "token_type", "label"]).collect()}
+    assert arr[1]["input_id"] == [99, 99, 11, 12, 13, 14, 1]
+    assert arr[1]["label"] == [-100] * 5 + [14, 1]
+    assert arr[3]["input_id"] == [99, 99, 13, 1, 0, 0, 0]

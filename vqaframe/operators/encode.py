@@ -9,13 +9,15 @@ of the original (one bounded group of ``context_length`` rows per example).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vqaframe.functions.arrays import index_range
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.rowindex import with_row_index
-from vqaframe.session import literal_frame, reliable_checkpoint
+from vqaframe.operators.udf import per_worker
+from vqaframe.session import literal_frame, reliable_checkpoint, ship_package
 
 # Special tokens and ids of the language model's vocabulary,
 # the image placeholder, the ignored-label sentinel.
@@ -264,6 +266,58 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index)
 
 
+def user_token_ids(text, make_tokenizer, return_type: str = "array<int>"):
+    """T1 with a user tokenizer: a column of token ids from ``make_tokenizer()``.
+
+    ``make_tokenizer()`` returns an object with ``encode_batch(texts) ->
+    list of id lists`` (or a callable ``text -> ids``). It is built once per
+    Python worker; texts arrive in Arrow batches (pandas UDF), so a fast
+    tokenizer sees whole batches. Null text gives null ids.
+    """
+    ship_package(SparkSession.getActiveSession())
+
+    @F.pandas_udf(return_type)
+    def _ids(texts: pd.Series) -> pd.Series:
+        tok = per_worker(make_tokenizer)
+        mask = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if mask.any():
+            batch = list(texts[mask])
+            encode = getattr(tok, "encode_batch", None)
+            ids = encode(batch) if encode is not None else [tok(t) for t in batch]
+            out[mask] = pd.Series([list(x) for x in ids], index=texts[mask].index, dtype=object)
+        return out
+
+    return _ids(F.col(text) if isinstance(text, str) else text)
+
+
+def encode_pair_ids_long(df: DataFrame, keys: list[str], question_ids: str, answer_ids: str,
+                         text_length: int = 64, num_patches: int = 257,
+                         image_token_id: int = 256000, eos_id: int = EOS_ID, pad_id: int = PAD_ID,
+                         padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                         add_bos: bool = False, bos_id: int = BOS_ID) -> DataFrame:
+    """T2-T5 for already tokenised pairs (id arrays, e.g. from ``user_token_ids``).
+
+    Same layout, truncation, padding and labels as ``encode_pairs_long``; no
+    vocabulary join at all, so no shuffle. ``<eos>`` is appended to the
+    answer ids; a null answer is treated as empty.
+    """
+    L = context_length(text_length, num_patches)
+    sa = 1 if add_bos else 0
+    _check(padding_side, L, sa)
+    npch = F.lit(num_patches)
+    ids_a = F.coalesce(F.col(answer_ids), F.array().cast("array<int>"))
+    base = df.select(*keys, F.coalesce(F.col(question_ids), F.array().cast("array<int>")).alias("_qt"),
+                     F.concat(ids_a, F.array(F.lit(eos_id))).alias("_at"))
+    base = base.withColumns({"_la": npch + F.size("_qt"), "_lb": F.size("_at")})
+    ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L - 2 * sa)
+    base = base.withColumns({"_ka": ka, "_kb": kb})
+    position = _pair_position(L, sa, num_patches, padding_side)
+    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
+    pos = pos.withColumn("_wid", F.col("_tok").cast("int"))
+    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index)
+
+
 def encode_routed_long(df: DataFrame, keys: list[str], vocab: DataFrame,
                        question_col: str = "question", answer_col: str = "answer",
                        text_length: int = 64, num_patches: int = 257,
