@@ -95,6 +95,25 @@ enc AS (
     CAST(CASE WHEN seg = 0 THEN 0 ELSE 1 END AS INTEGER) AS attention_mask
   FROM tok LEFT JOIN vocab_x v ON tok.token = v.token)"""
 
+PAIR_IDS = f"""WITH {PAIRS},
+tk AS (SELECT conv_id, turn, list_transform({_tok('question')}, lambda w: CAST(length(w) AS INTEGER)) AS qt,
+              list_append(list_transform({_tok('answer')}, lambda w: CAST(length(w) AS INTEGER)), 1) AS atk
+       FROM pairs),
+ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
+k AS ({_truncation('ln', 'la', 'lb')}),
+p AS (SELECT conv_id, turn, qt, atk, ka, kb, unnest(range({L})) AS pos FROM k),
+sg AS (SELECT *, CASE WHEN pos >= ka + kb THEN 0 WHEN pos < least({NP}, ka) THEN 1
+                      WHEN pos < ka THEN 2 ELSE 3 END AS seg FROM p),
+enc AS (
+  SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
+    CAST(CASE WHEN seg = 0 THEN 0 WHEN seg = 1 THEN {T.IMAGE_TOKEN_ID}
+              WHEN seg = 2 THEN qt[pos - {NP} + 1] ELSE atk[pos - ka + 1] END AS INTEGER) AS input_id,
+    CAST(CASE WHEN seg = 3 THEN 1 ELSE 0 END AS INTEGER) AS token_type,
+    CAST(CASE WHEN seg = 0 THEN 0 ELSE 1 END AS INTEGER) AS attention_mask
+  FROM sg)
+SELECT conv_id, turn, pos, input_id, token_type, attention_mask,
+       CAST(CASE WHEN token_type = 1 THEN input_id ELSE -100 END AS INTEGER) AS label FROM enc"""
+
 DOC_IDS = f"""{VOCAB},
 t AS (SELECT doc_id, {_tok('text')} AS tl FROM documents),
 u AS (SELECT doc_id, unnest(range(len(tl))) AS pos, unnest(tl) AS token FROM t),
@@ -178,6 +197,8 @@ SELECT conv_id, turn, pos, input_id, token_type, attention_mask FROM enc""",
 SELECT conv_id, turn, pos, CAST(CASE WHEN token_type = 1 THEN input_id ELSE -100 END AS INTEGER) AS label
 FROM enc""",
 
+    "pair_encode_user_tokenizer": PAIR_IDS,
+
     "image_mask_count": f"""WITH {PAIRS},
 tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
               list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),

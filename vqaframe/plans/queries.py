@@ -143,6 +143,27 @@ def q_mask_labels(spark, d):
     return _pair_encoded(spark, d).select("conv_id", "turn", "pos", "label")
 
 
+def _length_tokenizer():
+    import re
+    sep = re.compile("[ \t\n\r]+")
+
+    class LengthIds:
+        """Stand-in user tokenizer: whitespace split, id = token length."""
+
+        def encode_batch(self, texts):
+            return [[len(w) for w in sep.split(t) if w] for t in texts]
+    return LengthIds()
+
+
+def q_pair_encode_user_tokenizer(spark, d):
+    """T1 (user tokenizer, pandas UDF) + T2-T5 on id arrays: no vocabulary join."""
+    p = T.qa_pairs(spark, d, spread=True)
+    ids = p.select("conv_id", "turn", E.user_token_ids("question", _length_tokenizer).alias("q"),
+                   E.user_token_ids("answer", _length_tokenizer).alias("a"))
+    return E.encode_pair_ids_long(ids, ["conv_id", "turn"], "q", "a", text_length=T.TEXT_LENGTH,
+                                  num_patches=T.NUM_PATCHES, image_token_id=T.IMAGE_TOKEN_ID)
+
+
 def q_image_mask_count(spark, d):
     """Image placeholder positions left in each encoded example."""
     vocab = _vocab(spark, d)
@@ -493,6 +514,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extend_vocab": q_extend_vocab,
     "pair_encode": q_pair_encode,
     "mask_labels": q_mask_labels,
+    "pair_encode_user_tokenizer": q_pair_encode_user_tokenizer,
     "image_mask_count": q_image_mask_count,
     "route_by_label": q_route_by_label,
     "collate_batches": q_collate_batches,

@@ -25,6 +25,7 @@ EVAL_CAP = 200           # evaluation cap used on documents
 SEED = 42
 TEXT_LENGTH = 64
 NUM_PATCHES = 257
+IMAGE_TOKEN_ID = 256000  # the reference's fixed image token id
 EVAL_BATCH = 16
 TRAIN_BATCH = 6          # FSDP per-device batch size
 NUM_RANKS = 4
