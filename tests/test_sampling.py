@@ -65,6 +65,9 @@ def test_batches_partition_rows(spark):
     df = spark.range(0, 50).withColumn("label", (F.col("id") % 3).cast("int"))
     b = assign_batches(df, 16, order_cols=[F.col("id")])
     dense = assign_batches(df, 16, dense_id="id")
+    keyed = assign_batches(df, 16, order_cols=[F.col("id")], key_cols=["id"])
+    assert sorted(tuple(r) for r in keyed.select("id", "batch_id", "batch_pos", "label").collect()) == \
+        sorted(tuple(r) for r in dense.select("id", "batch_id", "batch_pos", "label").collect())
     assert sorted(tuple(r) for r in b.select("id", "batch_id", "batch_pos").collect()) == \
         sorted(tuple(r) for r in dense.select("id", "batch_id", "batch_pos").collect())
     a = {r["batch_id"]: r for r in assemble_batches(b, ["id", "label"]).collect()}

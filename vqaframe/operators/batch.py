@@ -15,18 +15,26 @@ from vqaframe.operators.rowindex import with_row_index
 
 def assign_batches(df: DataFrame, batch_size: int, order_cols: list | None = None,
                    dense_id: str | None = None, batch_col: str = "batch_id",
-                   pos_col: str = "batch_pos") -> DataFrame:
+                   pos_col: str = "batch_pos", key_cols: list[str] | None = None) -> DataFrame:
     """Batch number and position inside the batch, in dataset order.
 
     With a dense 0-based id column the batch is ``id div batch_size`` (no
     shuffle). Otherwise a global row index is built from ``order_cols``
-    (range sort + per-partition offsets).
+    (range sort + per-partition offsets). With ``key_cols`` (a unique key
+    that contains the order columns) only the keys are indexed and pinned,
+    and the numbers are joined back. The payload (texts, logits) then moves
+    once, through an ordinary shuffle join, and is never written to the
+    checkpoint.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     if dense_id is not None:
         idx = F.col(dense_id)
         out = df
+    elif key_cols:
+        numbered = with_row_index(df.select(*key_cols), order_cols, "_row")
+        out = df.join(numbered, list(key_cols), "inner")
+        idx = F.col("_row")
     else:
         out = with_row_index(df, order_cols, "_row")
         idx = F.col("_row")

@@ -187,7 +187,8 @@ def q_collate_batches(spark, d):
     """
     vocab = _vocab(spark, d)
     pairs = B.assign_batches(T.qa_pairs(spark, d, spread=True), T.TRAIN_BATCH,
-                             order_cols=[F.col("conv_id"), F.col("turn")])
+                             order_cols=[F.col("conv_id"), F.col("turn")],
+                             key_cols=["conv_id", "turn"])
     enc = E.encode_pairs_long(pairs, ["conv_id", "turn", "batch_id", "batch_pos"], vocab,
                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
     b = B.gather_batches(enc, ["input_id", "attention_mask", "token_type", "label"],
@@ -231,7 +232,7 @@ def q_missing_images(spark, d):
 
 def _batched_embeddings(spark, d):
     e = T.load(spark, d, "embeddings")
-    return B.assign_batches(e, T.EVAL_BATCH, order_cols=[F.col("vec_id")])
+    return B.assign_batches(e, T.EVAL_BATCH, order_cols=[F.col("vec_id")], key_cols=["vec_id"])
 
 
 def q_batch_assembly(spark, d):
