@@ -102,15 +102,16 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
     order = [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [tie]
     if need <= small_cut:
         # the need-th row of the cut bucket is the threshold; one more row
-        # shows whether a tie crosses it
-        edge = cut.select(*order).orderBy(*order).offset(need - 1).limit(2).collect()
-        m = 1 + len(key_cols)
+        # shows whether a tie crosses it. Key columns only: the scan is pruned.
+        key_order = order[:-1]
         on_df = [shuffle_key(key_cols, seed)] + [F.col(c) for c in key_cols]
-        if len(edge) == 1 or tuple(edge[0])[:m] != tuple(edge[1])[:m]:
-            # (hash, key) alone separates the sample: only key columns are read
-            out = df.filter(_at_most(on_df, tuple(edge[0])[:m]))
+        edge = cut.select(*key_order).orderBy(*key_order).offset(need - 1).limit(2).collect()
+        if len(edge) == 1 or tuple(edge[0]) != tuple(edge[1]):
+            out = df.filter(_at_most(on_df, tuple(edge[0])))
             return (out, n, total_k) if with_count else out
-        if tuple(edge[0]) != tuple(edge[1]):  # duplicate keys: the row hash decides
+        # duplicate keys at the threshold: the whole-row hash decides
+        edge = cut.select(*order).orderBy(*order).offset(need - 1).limit(2).collect()
+        if tuple(edge[0]) != tuple(edge[1]):
             out = df.filter(_at_most(on_df + [tie], tuple(edge[0])))
             return (out, n, total_k) if with_count else out
     # whole-row ties across the threshold (duplicate rows): rank them exactly
