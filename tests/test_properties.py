@@ -48,3 +48,33 @@ def test_exact_sample_equals_sorted_prefix(spark, keys, frac, parts):
     df = spark.createDataFrame([(x,) for x in keys], "k string").repartition(parts)
     got = {r["k"] for r in exact_sample(df, ["k"], fraction=frac, small_cut=5).collect()}
     assert got == _brute_sample(keys, int(frac * len(keys)))
+
+
+def _brute_bleu(hyp, ref, max_n):
+    from collections import Counter
+    if not hyp:
+        return 0.0
+    logs = 0.0
+    for n in range(1, max_n + 1):
+        h = Counter(tuple(hyp[i:i + n]) for i in range(len(hyp) - n + 1))
+        r = Counter(tuple(ref[i:i + n]) for i in range(len(ref) - n + 1))
+        m = sum(min(c, r[g]) for g, c in h.items())
+        if m == 0:
+            return 0.0
+        logs += math.log(m / (len(hyp) - n + 1)) / max_n
+    bp = 1.0 if len(hyp) > len(ref) else math.exp(1 - len(ref) / len(hyp))
+    return bp * math.exp(logs)
+
+
+words = st.lists(st.sampled_from(["a", "b", "c", "d"]), min_size=0, max_size=12)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(words, words), min_size=1, max_size=40), st.integers(min_value=1, max_value=3))
+def test_sentence_bleu_matches_definition(spark, pairs, n):
+    from vqaframe.operators.metrics import sentence_bleu
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)],
+                               "k int, hyp array<string>, ref array<string>")
+    got = {r["k"]: r[f"bleu{n}"] for r in sentence_bleu(df, ["k"], "hyp", "ref", n).collect()}
+    for i, (h, r) in enumerate(pairs):
+        assert abs(got[i] - _brute_bleu(h, r, n)) < 1e-12, (h, r, n)
