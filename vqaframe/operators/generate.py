@@ -41,13 +41,13 @@ def media_error(type_col: str = "type", location_col: str = "location",
                 text_col: str = "text"):
     """The reason a media object is invalid, or null when it is valid.
 
-    Image needs a non-empty location, text needs a non-null value, any other
-    type is unrecognised.
+    Text needs a non-null value. An image needs a non-empty location; one
+    without it is, like any other type, unrecognised (the original's checks
+    fall through to that error).
     """
     t = F.col(type_col)
-    return (F.when(t == IMAGE_TYPE,
-                   F.when(F.coalesce(F.length(location_col), F.lit(0)) == 0,
-                          F.lit("image media object without location")))
+    has_location = F.coalesce(F.length(location_col), F.lit(0)) > 0
+    return (F.when((t == IMAGE_TYPE) & has_location, F.lit(None).cast("string"))
             .when(t == TEXT_TYPE,
                   F.when(F.col(text_col).isNull(),
                          F.lit("MediaObject of text type has missing text field value")))

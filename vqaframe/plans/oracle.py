@@ -325,8 +325,8 @@ FROM conversations GROUP BY conv_id""",
 
     "media_validation": """SELECT conv_id AS request_id, turn AS pos,
   CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'image' ELSE role END AS type,
-  CASE WHEN role = 'assistant' THEN
-         (CASE WHEN coalesce(length(text), 0) = 0 THEN 'image media object without location' END)
+  CASE WHEN role = 'assistant' AND coalesce(length(text), 0) > 0 THEN NULL
+       WHEN role = 'assistant' THEN 'Unrecognized MediaObject type image'
        WHEN role = 'user' THEN
          (CASE WHEN text IS NULL THEN 'MediaObject of text type has missing text field value' END)
        ELSE 'Unrecognized MediaObject type ' || coalesce(role, 'None') END AS error
