@@ -87,6 +87,9 @@ def test_archives_and_image_lookup(spark, tmp):
     assert images.attach_images(rows, listing, on_missing="drop").count() == 1
     assert images.attach_images(rows, listing, on_missing="null").count() == 2
     assert [r["image_id"] for r in images.missing_images(rows, listing).collect()] == [3]
+    matched = images.attach_images(rows, listing, on_missing="drop")
+    with_bytes = images.attach_content(matched, images.scan_images(spark, f"{tmp}/imgs", with_content=True))
+    assert [bytes(r["content"]) for r in with_bytes.collect()] == [b"abc"]
     with pytest.raises(Exception):
         images.attach_images(rows, listing, on_missing="error").collect()
 

@@ -47,6 +47,19 @@ def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file
     raise ValueError("on_missing must be 'error', 'drop' or 'null'")
 
 
+def attach_content(rows: DataFrame, files_with_content: DataFrame,
+                   uri_col: str = "image_uri") -> DataFrame:
+    """Re-attach image bytes to already matched rows, for a decoder.
+
+    Matching (``attach_images``) moves only path and length. Bytes join in
+    here, after rows were selected, sampled or filtered: one shuffle of the
+    content of the images still needed. ``files_with_content`` is
+    ``scan_images(..., with_content=True)``.
+    """
+    c = files_with_content.select(F.col("path").alias("_content_path"), "content")
+    return rows.join(c, rows[uri_col] == c["_content_path"], "left").drop("_content_path")
+
+
 def missing_images(rows: DataFrame, listing: DataFrame, file_col: str = "image_file",
                    name_col: str = "file_name") -> DataFrame:
     """J2 report: rows whose image file is absent from the listing (left anti join)."""
