@@ -78,3 +78,19 @@ def test_sentence_bleu_matches_definition(spark, pairs, n):
     got = {r["k"]: r[f"bleu{n}"] for r in sentence_bleu(df, ["k"], "hyp", "ref", n).collect()}
     for i, (h, r) in enumerate(pairs):
         assert abs(got[i] - _brute_bleu(h, r, n)) < 1e-12, (h, r, n)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(min_value=-5, max_value=5), min_size=0, max_size=300),
+       st.integers(min_value=1, max_value=7), st.booleans())
+def test_row_index_equals_sorted_order(spark, values, parts, descending):
+    from pyspark.sql import functions as F
+
+    from vqaframe.operators.rowindex import with_row_index
+    rows = [(i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(parts)
+    order = [F.desc("v") if descending else F.asc("v"), F.asc("id")]
+    got = sorted((r["i"], r["id"]) for r in with_row_index(df, order, "i").collect())
+    expect = sorted(rows, key=lambda r: ((-r[1]) if descending else r[1], r[0]))
+    assert [i for i, _ in got] == list(range(len(rows)))
+    assert [rid for _, rid in got] == [r[0] for r in expect]
