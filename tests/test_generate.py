@@ -134,3 +134,12 @@ def test_batched_generator_with_fallback(spark, tmp):
     out = {r["request_id"]: r for r in G.memoised_generate(comp, None, make).collect()}
     assert out["a"]["output"] == "cba" and out["c"]["output"] == "yx"
     assert out["b"]["output"] is None and out["b"]["error"] == "bad prompt"
+
+
+def test_per_worker_keys_do_not_collide():
+    # same module and qualified name, different code: two cache entries
+    ns1, ns2 = {}, {}
+    exec("def make():\n    return 'one'", ns1)
+    exec("def make():\n    return 'two'", ns2)
+    assert ns1["make"].__qualname__ == ns2["make"].__qualname__
+    assert per_worker(ns1["make"]) == "one" and per_worker(ns2["make"]) == "two"

@@ -5,6 +5,8 @@ Both run through ``mapInPandas``: Arrow batches, one Python call per batch.
 
 from __future__ import annotations
 
+import hashlib
+import marshal
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,10 +22,14 @@ def per_worker(factory: Callable, key=None):
     """U4: build ``factory()`` once per Python worker process and reuse it.
 
     Spark reuses Python workers across tasks, so an expensive object (a
-    model, a tokenizer) is loaded once per worker, not once per row.
+    model, a tokenizer) is loaded once per worker, not once per row. The
+    cache key is the factory's name and a digest of its code; factories that
+    differ only in captured values should pass their own ``key``.
     """
-    if key is None:  # identity survives pickling to the worker, id() does not
-        key = (getattr(factory, "__module__", None), getattr(factory, "__qualname__", None))
+    if key is None:  # must survive pickling to the worker (id() does not)
+        code = getattr(factory, "__code__", None)
+        digest = hashlib.md5(marshal.dumps(code)).hexdigest() if code is not None else None
+        key = (getattr(factory, "__module__", None), getattr(factory, "__qualname__", None), digest)
     obj = _WORKER_OBJECTS.get(key)
     if obj is None:
         obj = factory()
