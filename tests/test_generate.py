@@ -67,7 +67,7 @@ def test_memoised_generation_and_results(spark, tmp):
     rows = {(r["request_id"], r["i"]): r for r in first.collect()}
     assert rows[("r1", 0)]["output"] == "HI" and rows[("r1", 0)]["cached"] is False
     assert rows[("r2", 1)]["error"] == "model failed"
-    second_df = G.memoised_generate(comp, cache, _make_gen)
+    second_df = G.memoised_generate(comp, cache, _make_gen, pin_input=True)
     second = {(r["request_id"], r["i"]): r for r in second_df.collect()}
     assert second[("r1", 1)]["cached"] is True and second[("r1", 1)]["output"] == "HI"
     assert second[("r2", 0)]["cached"] is False  # errors are never cached

@@ -190,7 +190,7 @@ def _run_generator(make_generator, capture: tuple):
 
 def memoised_generate(completions: DataFrame, cache_path: str | None, make_generator,
                       key_col: str = "cache_key", prompt_col: str = "prompt",
-                      capture: tuple = (RuntimeError,)) -> DataFrame:
+                      capture: tuple = (RuntimeError,), pin_input: bool = False) -> DataFrame:
     """G8 + J4: results for every completion row, computing only distinct misses.
 
     ``make_generator()`` returns ``prompt -> text``; it is built once per
@@ -199,10 +199,17 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
     there re-runs that batch prompt by prompt so each request gets its own
     error. Misses are written before they are read back (a run table
     with errors, the cache with successes), so every later action sees the
-    same rows. Adds output, error, request_time, cached.
+    same rows. Adds output, error, request_time, cached. The completions
+    are used twice (distinct misses, final join); ``pin_input=True`` writes
+    them once to the shared folder first, for inputs that are costly to
+    recompute.
     """
     spark = completions.sparkSession
     ship_package(spark)
+    if pin_input:
+        pinned = shared_dir(spark, "generation-input")
+        completions.write.parquet(pinned)
+        completions = spark.read.parquet(pinned)
     run_id = uuid.uuid4().hex
     if cache_path is not None and path_exists(spark, cache_path):
         cache = spark.read.parquet(cache_path)
