@@ -94,3 +94,29 @@ def test_row_index_equals_sorted_order(spark, values, parts, descending):
     expect = sorted(rows, key=lambda r: ((-r[1]) if descending else r[1], r[0]))
     assert [i for i, _ in got] == list(range(len(rows)))
     assert [rid for _, rid in got] == [r[0] for r in expect]
+
+
+def _ref_truncate(la, lb, L):
+    if la + lb <= L:
+        return la, lb
+    swap = la > lb
+    n1, n2 = (lb, la) if swap else (la, lb)
+    n2 = n1 if n1 > L else max(n1, L - n1)
+    if n1 + n2 > L:
+        n1, n2 = L // 2, L // 2 + L % 2
+    return (n2, n1) if swap else (n1, n2)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(min_value=1, max_value=40),
+       st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=200))
+def test_truncation_lengths_match_closed_form(spark, L, pairs):
+    from pyspark.sql import functions as F
+
+    from vqaframe.operators.encode import _pair_lengths
+    df = spark.createDataFrame(pairs, "la int, lb int")
+    ka, kb = _pair_lengths(F.col("la"), F.col("lb"), L)
+    got = [(r[0], r[1], r[2], r[3]) for r in df.select("la", "lb", ka, kb).collect()]
+    for la, lb, a, b in got:
+        assert (a, b) == _ref_truncate(la, lb, L), (la, lb, L)
+        assert a + b <= L or (la + lb <= L)
