@@ -30,8 +30,8 @@ SYMBOLS = "#*$%&|<>"
 METRICS = {
     "word_length": ("word_chars", "n_words", 1000, 500, True),
     "symbols": ("n_symbols", "n_words", 10000, 250, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10000, 750, False),
-    "repeat_words": ("n_repeat_words", "n_words", 10000, 500, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10000, 1500, False),
+    "repeat_words": ("n_repeat_words", "n_words", 10000, 1000, False),
     "upper": ("n_upper", "word_chars", 10000, 500, False),
 }
 FENCE = 4
