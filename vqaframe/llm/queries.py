@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.llm import line_dedup, quality
+from vqaframe.llm import line_dedup, packing, quality, simhash, token_count
 from vqaframe.session import table_path
 
 
@@ -13,12 +14,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, table))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_count.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate_documents(_read(spark, sf_dir, "documents"), keep_rows=False)
     return rated.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", "base_failed", "kept")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                      "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped",
@@ -26,6 +43,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
