@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.llm import line_dedup, packing, quality, simhash, token_count
+from vqaframe.llm import line_dedup, packing, quality, simhash, suffix_dedup, token_count, topk
 from vqaframe.session import table_path
 
 
@@ -19,6 +19,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.cut_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate_documents(_read(spark, sf_dir, "documents"), keep_rows=False)
     return rated.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -44,6 +55,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,

@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vqaframe.llm.common import materialise, python_ready
+from vqaframe.llm.common import materialise, packed, python_ready, unpacked
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -43,20 +43,25 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
 
 
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> list:
+    row = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    return [F.xxhash64(*row).alias("k1"), F.xxhash64(F.lit(1), *row).alias("k2")]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                  seed: int = 42) -> DataFrame:
-    """One row per document: ``id``, ``fp`` (the fingerprint's 64 bits as a signed long)."""
+    """One row per document: ``id``, ``k1`` and ``k2`` (hashes of id and text), ``fp`` (64 bits as a signed long)."""
     python_ready(docs.sparkSession)
-    base = docs.select(docs[f"`{id_col}`"].alias("id"),
+    base = docs.select(docs[f"`{id_col}`"].alias("id"), *row_keys(docs, id_col, text_col),
                        F.encode(F.coalesce(docs[f"`{text_col}`"], F.lit("")), "UTF-8").alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(3).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], ["id", "k1", "k2", "fp"])
 
-    return base.mapInArrow(work, f"id {id_type}, fp bigint")
+    return base.mapInArrow(work, f"id {id_type}, k1 bigint, k2 bigint, fp bigint")
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -199,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4, seed: int = 42, block: int = 4096) -> DataFrame:
-    """One row per document: ``id``, ``fp``, ``component_id`` (smallest id reachable over links, itself included)."""
+    """One row per document: ``id``, ``k1``, ``k2``, ``fp``, ``component_id`` (smallest id reachable over links, itself included)."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-nodes")
     comp = components(links(nodes.select("fp"), max_bits, block))
@@ -207,6 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-rooted")
     ids = materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-ids")
-    named = rooted.join(ids, "root").select(F.col("fp").alias("named_fp"), "component_id")
+    named = rooted.join(ids, "root").select(F.col("fp").alias("named_fp"), "root", "component_id")
     named = materialise(named, "simhash-named")
-    return prints.join(named, prints["fp"] == named["named_fp"]).select("id", "fp", "component_id")
+    return prints.join(named, prints["fp"] == named["named_fp"]).select("id", "k1", "k2", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id, whole rows."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    stay = materialise(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("x"))
+                       .select("x.k1", "x.k2"), "simhash-stay")
+    base = packed(docs, id=id_col).withColumns(dict(zip(("k1", "k2"), row_keys(docs, id_col, text_col), strict=True)))
+    # the same id and text may come several times: the first of them
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1", "k2"))
+    return unpacked(base.join(stay, ["k1", "k2"]).withColumn("nth", nth).filter("nth = 1"), docs.columns)
