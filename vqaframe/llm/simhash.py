@@ -222,7 +222,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     stay = materialise(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("x"))
                        .select("x.k1", "x.k2"), "simhash-stay")
-    base = packed(docs, id=id_col).withColumns(dict(zip(("k1", "k2"), row_keys(docs, id_col, text_col), strict=True)))
+    base = packed(docs, id=id_col, text=text_col)
+    base = base.select("row", *row_keys(base, "id", "text"))
     # the same id and text may come several times: the first of them
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1", "k2"))
     return unpacked(base.join(stay, ["k1", "k2"]).withColumn("nth", nth).filter("nth = 1"), docs.columns)
