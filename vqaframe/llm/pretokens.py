@@ -140,16 +140,21 @@ class SpaceSplitter(Splitter):
 
 
 class Memo(dict):
-    """Results by pre-token. At most ``limit`` short pre-tokens are kept; others are worked out each time."""
+    """Results by short string, in two generations of at most ``limit`` each; what leaves is worked out again."""
 
-    def __init__(self, work, known=None, limit: int = 1_500_000, longest: int = 48):
-        super().__init__(known or {})
-        self.work, self.limit, self.longest = work, limit, longest
+    def __init__(self, work, known=None, limit: int = 250_000, longest: int = 48):
+        super().__init__()
+        self.work, self.known, self.old, self.limit, self.longest = work, known or {}, {}, limit, longest
 
     def __missing__(self, piece):
-        out = self.work(piece)
+        out = self.known.get(piece)
+        if out is None:
+            out = self.old.get(piece)
+        if out is None:
+            out = self.work(piece)
         if len(piece) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out

@@ -150,17 +150,17 @@ def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     table = materialise(fences(sketches(stats)), "quality-fences")
     cols = [f"{c}_{m}" for m in METRICS for c in ("low", "high")]
-    at = lambda level, name: table.filter((F.col("level") == level) & (F.col("docs") >= (min_group if level < 3 else 0))).select(
+    at = lambda level, name: table.filter((F.col("level") == level) & (F.col("docs") >= min_group)).select(
         F.col("lang").alias(f"l{name}"), F.col("source").alias(f"s{name}"), F.struct(*cols).alias(name))
-    own, lang, every = at(0, "own"), at(1, "by_lang"), at(3, "every")
+    own, lang = at(0, "own"), at(1, "by_lang")
+    top = table.filter(F.col("level") == 3).select(*cols).first()  # one row, as literals
+    every = F.struct(*[F.lit(top[c] if top else None).cast("long").alias(c) for c in cols])
     # a group's fences, chosen on the small table of groups; then one join with the documents
-    groups = table.filter(F.col("level") == 0).select("lang", "source", F.lit(3).alias("top"))
-    every = every.withColumn("every_top", F.lit(3))  # one row
+    groups = table.filter(F.col("level") == 0).select("lang", "source")
     groups = (groups.join(own, F.col("lang").eqNullSafe(F.col("lown")) & F.col("source").eqNullSafe(F.col("sown")), "left")
               .join(lang, F.col("lang").eqNullSafe(F.col("lby_lang")), "left")
-              .join(every, F.col("top") == F.col("every_top"), "left")
               .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-                      F.coalesce("own", "by_lang", "every").alias("fence")))
+                      F.coalesce("own", "by_lang", every).alias("fence")))
     groups = materialise(groups, "quality-groups")
     joined = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) &
                         F.col("source").eqNullSafe(F.col("g_source")), "left")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.llm import line_dedup, packing, quality, simhash, suffix_dedup, token_count, topk
+from vqaframe.llm import (license_scan, line_dedup, packing, quality, sentencepiece_fst, simhash, suffix_dedup,
+                          token_count, topk, warc_audit)
 from vqaframe.session import table_path
 
 
@@ -19,6 +20,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = sentencepiece_fst.decode(sentencepiece_fst.encode(_read(spark, sf_dir, "documents"), model), model)
+    return out.select(F.col("id").alias("doc_id"), "ids", F.size("ids").alias("n_ids"),
+                      (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.cut_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
@@ -41,6 +49,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the stored replica loses the last character of about one record in 256, chosen by the record's own hash
+    record = F.col("record")
+    damage = F.when(F.xxhash64("record").bitwiseAND(255) == 0, F.substring(record, F.lit(1), F.char_length("record") - 1)).otherwise(record)
+    return warc_audit.audit(_read(spark, sf_dir, "pages"), damage).withColumnRenamed("id", "page_id")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -55,10 +74,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -44,8 +44,7 @@ class Counter:
     def __init__(self, tok: Tokenizer, whole: list[str]):
         self.splitter = WordSplitter(tok)
         model = tok.model
-        self.whole = dict.fromkeys(whole, 1)
-        self.counts = Memo(lambda p: self.whole.get(p) or len(model.tokenize(to_symbols(p))), self.whole)
+        self.counts = Memo(lambda p: len(model.tokenize(to_symbols(p))), dict.fromkeys(whole, 1))
 
     def count(self, text: str) -> int:
         parts = self.splitter.segments(text)
