@@ -251,7 +251,8 @@ def repeated_blocks(found: DataFrame, most: int) -> DataFrame:
     kinds = materialise(found.groupBy("k1", "k2", "left", "right").agg(F.count(F.lit(1)).alias("n")), "passage-kinds")
     cores = materialise(kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
                         .filter(F.col("total") >= 2).select("k1", "k2", "kinds"), "passage-cores")
-    kinds = kinds.join(cores, ["k1", "k2"])
+    # written, so that a core with many edges is split in the join and its windows are dealt by their own hashes
+    kinds = materialise(kinds.join(cores, ["k1", "k2"]), "passage-counted")
     small = kinds.filter(F.col("kinds").between(2, most))
     large = kinds.filter(F.col("kinds") > most)
 
