@@ -103,7 +103,8 @@ def _histogram(rows: DataFrame, block, low, shift: int, k: int) -> DataFrame:
                     row = s[j][~own[j]]
                     if len(row) > k:  # what is below a chunk's k best lies below the k best of all rows
                         row = row[row >= np.partition(row, len(row) - k)[len(row) - k]]
-                    at = _distances(row, floor[q]) >> np.uint64(shift)
+                    # the k-th score lies in the first 2^_BITS ranges: what is beyond is only counted
+                    at = np.minimum(_distances(row, floor[q]) >> np.uint64(shift), np.uint64(1 << _BITS))
                     for x, n in zip(*np.unique(at, return_counts=True), strict=True):
                         have[q][int(x)] = have[q].get(int(x), 0) + int(n)
         out = []
@@ -146,8 +147,8 @@ def _search_block(spark, rows: DataFrame, ids, vectors, k: int, scale: float, no
     block = spark.sparkContext.broadcast(_Block(ids, vectors, scale))
     most = max(float(np.linalg.norm(m, axis=1).max(initial=0.0)) for _, m in block.value.by_length.values())
     bound = min(2 ** 63 - 1, int(math.ceil(most * norm)) + 1)  # no score is larger, by Cauchy and Schwarz
-    low = np.full(len(ids), -bound, np.int64)
-    bits = (2 * bound).bit_length()
+    low = np.full(len(ids), -bound - 1, np.int64)
+    bits = (2 * bound + 1).bit_length()
     while bits > 0:
         shift = max(0, bits - _BITS)
         counts = _histogram(rows, block, spark.sparkContext.broadcast(low), shift, k).groupBy("q", "bin").agg(F.sum("n").alias("n"))
@@ -157,7 +158,7 @@ def _search_block(spark, rows: DataFrame, ids, vectors, k: int, scale: float, no
             F.coalesce(F.max(F.when(F.col("seen") >= k, F.col("bin"))), F.min("bin")).alias("bin")).collect()
         low = low.copy()
         for r in found:  # one row per query of the block
-            low[r["q"]] += r["bin"] << shift
+            low[r["q"]] = int(low[r["q"]]) + (r["bin"] << shift)
         bits = shift
     best = _best(rows, block, spark.sparkContext.broadcast(low), k)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
