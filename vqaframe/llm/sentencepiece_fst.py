@@ -9,7 +9,9 @@ letters merge to and no merge crosses a border of two neighbours: a merge that c
 crosses in that pair alone, as what happens inside a piece before does not depend on its surroundings.
 The arcs therefore run between states (place, last piece) and weigh minus the piece's score, or infinity
 where the pair alone merges otherwise. Each place keeps one state: the encoding of the text up to there.
-Pair weights are worked out once and remembered, as are the encodings of short chunks.
+A pair is judged along the inner edges of its two merge trees: letters x (right edge of the first) and y
+(left edge of the second) that exist at the same time merge if xy scores better than the merges that
+would use up x or y. The encodings of short chunks are remembered.
 
 No piece holds a meta symbol after another letter (checked when compiled), so no merge crosses the front
 of a run of them, and chunks from there to the next are composed on their own.
@@ -73,8 +75,8 @@ class Transducer:
         self.pieces, self.byte_ids, self.outputs = compiled["pieces"], compiled["byte_ids"], compiled["outputs"]
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
-        self.weights = Memo(self._pair_weight, limit=500_000, longest=10 ** 9)
-        self.whole = Memo(lambda p: self.merged(p) == [p], longest=10 ** 9)
+        self.left, self.right = {}, {}  # edges of a piece's merge tree: [(part, rank), ...] from the piece inwards
+        self.odd = set()  # pieces whose merges do not rise in rank: pairs with them are merged outright
         self.chunks = Memo(self._compose)
         self.chunk = re.compile(f"{META}*[^{META}]+|{META}+")
 
@@ -92,11 +94,60 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _pair_weight(self, pair: tuple[str, str]) -> float:
-        if self.merged(pair[0] + pair[1]) != [*pair]:
-            return float("inf")
-        hit = self.pieces.get(pair[1])
-        return -hit[0] if hit else 0.0
+    def _edges(self, piece: str) -> bool:
+        """Work out a piece's edges; whether its own letters merge to it."""
+        made, parts, ranks = {}, list(piece), []
+        while len(parts) > 1:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                hit = self.pieces.get(parts[i] + parts[i + 1])
+                if hit and (best is None or hit[0] > best):
+                    best, at = hit[0], i
+            if best is None:
+                break
+            made[parts[at] + parts[at + 1]] = (parts[at], parts[at + 1])
+            ranks.append(-best)
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        ok = parts == [piece]
+        if ok:
+            rank = lambda x: -self.pieces[x][0] if x in made else float("-inf")
+            for side, edges in ((0, self.left), (1, self.right)):
+                x, out = piece, [(piece, rank(piece))]
+                while x in made:
+                    x = made[x][side]
+                    out.append((x, rank(x)))
+                edges[piece] = out
+            if ranks != sorted(ranks) or META in piece[1:]:  # runs of the meta symbol share one score
+                self.odd.add(piece)
+        else:
+            self.left[piece] = self.right[piece] = None
+        return ok
+
+    def _whole(self, piece: str) -> bool:
+        if piece not in self.left:
+            self._edges(piece)
+        return self.left[piece] is not None
+
+    def _crosses(self, a: str, b: str) -> bool:
+        """Whether some merge crosses the border of two neighbours. A letter outside the model merges with nothing."""
+        if a not in self.pieces or b not in self.pieces:
+            return False
+        if a in self.odd or b in self.odd:
+            return self.merged(a + b) != [a, b]
+        xs, ys, pieces = self.right[a], self.left[b], self.pieces
+        i = j = 0
+        gone_x = gone_y = float("inf")  # ranks at which the two parts are used up
+        while True:
+            (x, rx), (y, ry) = xs[i], ys[j]
+            hit = pieces.get(x + y)
+            if hit and -hit[0] < gone_x and -hit[0] <= gone_y:  # of equal ones the leftmost goes first
+                return True
+            if rx >= ry:  # x came later: before that, its own right part stood there
+                if i + 1 == len(xs):
+                    return False
+                i, gone_x = i + 1, rx
+            else:
+                j, gone_y = j + 1, ry
 
     def _arcs(self, text: str, at: int):
         """Pieces that start here; where the letter is none, its byte fallback."""
@@ -106,20 +157,21 @@ class Transducer:
             piece = text[at:end]
             if piece not in self.prefixes:
                 return
-            if piece in self.pieces and self.whole[piece]:
+            if piece in self.pieces and self._whole(piece):
                 yield piece
 
     def _compose(self, text: str) -> bytes:
         n = len(text)
+        cost = lambda p: -self.pieces[p][0] if p in self.pieces else 0.0
         distance, last, back = [float("inf")] * (n + 1), [""] * (n + 1), [0] * (n + 1)
         distance[0] = 0.0
         for at in range(n):
             if distance[at] == float("inf"):
                 continue
             for piece in self._arcs(text, at):
-                d = distance[at] + (self.weights[last[at], piece] if at else 0.0)
                 end = at + len(piece)
-                if d < distance[end]:
+                d = distance[at] + cost(piece)
+                if d < distance[end] and not (at and self._crosses(last[at], piece)):  # else it weighs infinity
                     distance[end], last[end], back[end] = d, piece, at
         path, at = [], n
         while at:
