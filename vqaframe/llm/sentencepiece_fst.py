@@ -229,9 +229,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
         fst = _transducer(model_path, known.value)
         for b in batches:
             lists = b.column(at)
-            flat, ends = lists.flatten().to_pylist(), lists.offsets.to_pylist()
-            first = ends[0]
-            text = [fst.decode(flat[x - first:y - first]) for x, y in zip(ends, ends[1:], strict=False)]
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            first = ends[0]  # one document's ids at a time as Python numbers
+            text = [fst.decode(flat[x - first:y - first].tolist()) for x, y in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
