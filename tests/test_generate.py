@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vqaframe.operators import generate as G
-from vqaframe.operators.udf import map_rows, per_worker
+from vqaframe.operators.udf import factory_key, map_rows, per_worker
 
 
 def test_expand_completions(spark):
@@ -103,7 +103,22 @@ def test_map_rows_and_per_worker(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     out = map_rows(df, lambda r, st: {"k": r["k"], "v2": r["v"] + st["suffix"]}, "k int, v2 string", init=init)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a!"), (2, "b!")]
-    assert per_worker(init) is per_worker(init)
+    key = factory_key(init)  # once, as the factory's captured list changes when it runs
+    assert per_worker(init, key) is per_worker(init, key)
+
+
+def test_per_worker_keeps_closures_apart():
+    def make(name):
+        return lambda: [name]
+    a, b = make("A"), make("B")
+    assert per_worker(a) == ["A"] and per_worker(b) == ["B"] and per_worker(a) is per_worker(a)
+
+
+def test_cache_key_fields_cannot_run_together(spark):
+    from pyspark.sql import functions as F
+    key = lambda a, b: G.cache_key(F.lit(1), F.lit(0), F.lit(a), F.lit(b))
+    r = spark.range(1).select(key("a|b", "c").alias("x"), key("a", "b|c").alias("y")).first()
+    assert r.x != r.y
 
 
 def test_cache_key_covers_request_settings(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vqaframe.functions.arrays import index_range
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.rowindex import with_row_index
-from vqaframe.operators.udf import per_worker
+from vqaframe.operators.udf import factory_key, per_worker
 from vqaframe.session import literal_frame, reliable_checkpoint, ship_package
 
 # Special tokens and ids of the language model's vocabulary,
@@ -48,7 +48,7 @@ def measure(df: DataFrame) -> tuple[int, int]:
     known = getattr(df, "_vqaframe_size", None)
     if known is not None:
         return known
-    strings = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in df.schema.fields
+    strings = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields
                if f.dataType.simpleString() == "string"]
     text_bytes = sum(strings[1:], strings[0]) if strings else F.lit(0)
     row = df.agg(F.count(F.lit(1)).alias("n"), text_bytes.alias("b")).first()
@@ -276,9 +276,11 @@ def user_token_ids(text, make_tokenizer, return_type: str = "array<int>"):
     """
     ship_package(SparkSession.getActiveSession())
 
+    key = factory_key(make_tokenizer)
+
     @F.pandas_udf(return_type)
     def _ids(texts: pd.Series) -> pd.Series:
-        tok = per_worker(make_tokenizer)
+        tok = per_worker(make_tokenizer, key)
         mask = texts.notna()
         out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
         if mask.any():

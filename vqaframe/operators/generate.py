@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vqaframe.functions.arrays import index_range, safe_slice
 from vqaframe.functions.strings import whitespace_tokens
-from vqaframe.operators.udf import per_worker
+from vqaframe.operators.udf import factory_key, per_worker
 from vqaframe.session import literal_frame, path_exists, ship_package, shared_dir
 
 # Media type names and the generation markers of the model.
@@ -130,11 +130,11 @@ def cache_key(n, i, model, prompt_uid, *request_fields):
 
     Pass the request's other generation settings (temperature, max tokens,
     stop sequences...) as ``request_fields`` so that different settings never
-    share a cached result. Null fields are written as an explicit marker.
+    share a cached result. The fields are written as a JSON array, nulls as
+    null, so different fields never give the same key.
     """
     fields = (n, i, model, prompt_uid) + request_fields
-    parts = [F.coalesce(_c(x).cast("string"), F.lit("\u0000")) for x in fields]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.sha2(F.to_json(F.array(*[_c(x).cast("string") for x in fields])), 256)
 
 
 def prompt_uid(prompt_text):
@@ -166,8 +166,10 @@ def _run_generator(make_generator, capture: tuple):
             times.append(time.perf_counter() - t0)
         return outs, errs, times
 
+    key = factory_key(make_generator)
+
     def run(batches):
-        gen = per_worker(make_generator)
+        gen = per_worker(make_generator, key)
         batch_fn = getattr(gen, "batch", None)
         for pdf in batches:
             prompts = list(pdf["prompt"])
@@ -227,7 +229,8 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
         (run.filter(F.col("error").isNull())
          .select(key_col, "output", "request_time", F.lit(run_id).alias("run_id"))
          .write.mode("append").parquet(cache_path))
-    old = cache.select(key_col, "output", "request_time", F.lit(None).cast("string").alias("error"),
+    # runs that overlap may have stored a key twice
+    old = cache.dropDuplicates([key_col]).select(key_col, "output", "request_time", F.lit(None).cast("string").alias("error"),
                        F.lit(True).alias("cached"))
     new = run.select(key_col, "output", "request_time", "error", F.lit(False).alias("cached"))
     return completions.join(old.unionByName(new), key_col, "left")

@@ -6,10 +6,10 @@ Both run through ``mapInPandas``: Arrow batches, one Python call per batch.
 from __future__ import annotations
 
 import hashlib
-import marshal
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import _parse_datatype_string
 
@@ -18,18 +18,22 @@ from vqaframe.session import ship_package
 _WORKER_OBJECTS: dict = {}
 
 
+def factory_key(factory: Callable) -> str:
+    """Digest of the factory as it is sent to the workers."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def per_worker(factory: Callable, key=None):
     """U4: build ``factory()`` once per Python worker process and reuse it.
 
     Spark reuses Python workers across tasks, so an expensive object (a
     model, a tokenizer) is loaded once per worker, not once per row. The
-    cache key is the factory's name and a digest of its code; factories that
-    differ only in captured values should pass their own ``key``.
+    cache key is a digest of the pickled factory, captured values and partial
+    arguments included, so two factories never share an object; callers work
+    it out once on the driver (``factory_key``).
     """
-    if key is None:  # must survive pickling to the worker (id() does not)
-        code = getattr(factory, "__code__", None)
-        digest = hashlib.md5(marshal.dumps(code)).hexdigest() if code is not None else None
-        key = (getattr(factory, "__module__", None), getattr(factory, "__qualname__", None), digest)
+    if key is None:
+        key = factory_key(factory)
     obj = _WORKER_OBJECTS.get(key)
     if obj is None:
         obj = factory()
@@ -47,9 +51,10 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema,
     ship_package(df.sparkSession)
     st = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = st.fieldNames()
+    key = factory_key(init) if init is not None else None
 
     def run(batches):
-        state = per_worker(init) if init is not None else None
+        state = per_worker(init, key) if init is not None else None
         for pdf in batches:
             recs = pdf.to_dict("records")
             out = [fn(r, state) if init is not None else fn(r) for r in recs]

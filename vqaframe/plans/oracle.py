@@ -132,10 +132,10 @@ REQ = f"""{PAIRS},
 req AS (SELECT conv_id, turn, text AS prompt, {T.NUM_COMPLETIONS} AS n,
                unnest(range({T.NUM_COMPLETIONS})) AS i
         FROM conversations WHERE role = 'user'),
-reqk AS (SELECT *, sha256(concat_ws('|', CAST(n AS VARCHAR), CAST(i AS VARCHAR),
-                                    {_lit(T.MODEL)}, md5(prompt))) AS cache_key FROM req),
-cache0 AS (SELECT sha256(concat_ws('|', '{T.NUM_COMPLETIONS}', CAST(i AS VARCHAR),
-                                   {_lit(T.MODEL)}, md5(question))) AS cache_key, answer AS output
+reqk AS (SELECT *, sha256(to_json([CAST(n AS VARCHAR), CAST(i AS VARCHAR),
+                                    {_lit(T.MODEL)}, md5(prompt)])::VARCHAR) AS cache_key FROM req),
+cache0 AS (SELECT sha256(to_json(['{T.NUM_COMPLETIONS}', CAST(i AS VARCHAR),
+                                   {_lit(T.MODEL)}, md5(question)])::VARCHAR) AS cache_key, answer AS output
            FROM (SELECT question, answer, unnest(range({T.NUM_COMPLETIONS})) AS i FROM pairs)),
 cache AS (SELECT cache_key, min(output) AS output,
                  length(min(output)) / CAST(1000 AS DOUBLE) AS request_time
@@ -382,10 +382,10 @@ FROM g""",
 
     "memoised_generation": f"""WITH {REQ}
 SELECT conv_id, turn, CAST(i AS INTEGER) AS i, cache_key,
-       array_to_string(list_slice({_tok('prompt')}, 1, 8), ' ') AS output, false AS cached FROM reqk""",
+       array_to_string(list_reverse({_tok('prompt')}), ' ') AS output, false AS cached FROM reqk""",
 
     "generation_bleu": f"""WITH {PAIRS},
-t AS (SELECT conv_id, turn, list_slice({_tok('question')}, 1, 8) AS hyp, {_tok('answer')} AS ref FROM pairs),
+t AS (SELECT conv_id, turn, {_tok('question')} AS hyp, {_tok('answer')} AS ref FROM pairs),
 h AS (SELECT conv_id, turn, g, count(*) AS hc FROM (SELECT conv_id, turn, unnest(hyp) AS g FROM t) GROUP BY ALL),
 r AS (SELECT conv_id, turn, g, count(*) AS rc FROM (SELECT conv_id, turn, unnest(ref) AS g FROM t) GROUP BY ALL),
 c AS (SELECT h.conv_id, h.turn, sum(least(hc, coalesce(rc, 0))) AS clip

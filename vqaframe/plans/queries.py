@@ -428,21 +428,21 @@ def _make_generator():
     import re
     sep = re.compile("[ \t\n\r]+")
 
-    class FirstWords:
-        """Stand-in model: the first 8 whitespace tokens of the prompt."""
+    class Backwards:
+        """Stand-in model: the whole prompt's whitespace tokens, last one first."""
 
         def __call__(self, prompt: str) -> str:
-            return " ".join([t for t in sep.split(prompt) if t][:8])
+            return " ".join([t for t in sep.split(prompt) if t][::-1])
 
         def batch(self, prompts: list[str]) -> list[str]:
             return [self(p) for p in prompts]
-    return FirstWords()
+    return Backwards()
 
 
 def q_memoised_generation(spark, d):
     """Distinct misses generated once per key in Python workers, written, joined back.
 
-    The stand-in generator returns the first 8 tokens of the prompt; the
+    The stand-in generator returns the prompt's tokens in reverse order; the
     cache folder is fresh, so every completion is computed (cached = false).
     """
     req = _requests(spark, d)

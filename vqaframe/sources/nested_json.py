@@ -29,10 +29,14 @@ QUESTION_RECORD = StructType([
 
 def read_nested_json(spark: SparkSession, paths, field: str, record: StructType,
                      num_partitions: int | None = None, multiline: bool = True) -> DataFrame:
-    """One row per element of ``field`` across all files in ``paths``."""
+    """One row per element of ``field`` across all files in ``paths``.
+
+    A malformed file, or one without the field, fails the read.
+    """
     schema = StructType([StructField(field, ArrayType(record))])
-    raw = spark.read.schema(schema).option("multiLine", multiline).json(paths)
-    rows = raw.select(F.inline(F.col(field)))
+    raw = spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(paths)
+    missing = F.raise_error(F.lit(f"a document has no field {field}"))
+    rows = raw.select(F.inline(F.when(F.col(field).isNull(), missing).otherwise(F.col(field))))
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(num_partitions)
