@@ -91,12 +91,14 @@ def test_sentencepiece_random_strings():
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     fst = sentencepiece_fst.Transducer(sentencepiece_fst.compile_model(PIECE))
     rng = random.Random(5)
-    letters = "aeinrstlodhé  \n\t▁.,0129🙂ß你"
+    letters = "aeinrstlodhé  \n\t▁.,0129🙂ß你²½_'\u0301नमि"
     for _ in range(2000):
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
         ids = np.frombuffer(fst.encode(t), "<i4").tolist()
         assert ids == sp.encode(t)
         assert fst.decode(ids) == t.replace("▁", " ")
+    for t in ("▁" * 5000, "the" * 3000, "\n" * 999 + "a", "²." * 50, "ing" * 700 + "!" * 700):
+        assert np.frombuffer(fst.encode(t), "<i4").tolist() == sp.encode(t)
 
 
 def test_line_dedup(edge, empty):

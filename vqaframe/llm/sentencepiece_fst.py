@@ -8,13 +8,15 @@ A BPE model applies merges by score, so a path is right if and only if every pie
 letters merge to and no merge crosses a border of two neighbours: a merge that crosses in the whole text
 crosses in that pair alone, as what happens inside a piece before does not depend on its surroundings.
 The arcs therefore run between states (place, last piece) and weigh minus the piece's score, or infinity
-where the pair alone merges otherwise. Each place keeps one state: the encoding of the text up to there.
+where the pair alone merges otherwise. At most one path of finite weight leads to a place: the encoding of
+the text up to there. So the composition is expanded only on demand, depth first with the longest arc first:
+the first path to reach the end is the shortest one, and a place without a way on is not entered again.
 A pair is judged along the inner edges of its two merge trees: letters x (right edge of the first) and y
 (left edge of the second) that exist at the same time merge if xy scores better than the merges that
 would use up x or y. The encodings of short chunks are remembered.
 
-No piece holds a meta symbol after another letter (checked when compiled), so no merge crosses the front
-of a run of them, and chunks from there to the next are composed on their own.
+No piece holds a meta symbol after another letter, nor a letter beside a digit, a sign or white space
+(checked when compiled), so no merge crosses such a border, and the chunks between are composed on their own.
 
 The compiled tables are broadcast (their size is the vocabulary's). Documents are not shuffled.
 
@@ -39,6 +41,12 @@ META = "▁"
 _WORKER: dict = {}
 
 
+def _chunk_pattern(signs: str) -> str:
+    """Meta symbols with the letters, or with the digits, signs and white space, that follow them."""
+    signs = re.escape(signs.replace(META, ""))
+    return rf"{META}*[^\W\d_{signs}]+|{META}*(?:(?!{META})[\W\d_{signs}])+|{META}+"
+
+
 def compile_model(path: str) -> dict:
     """The arcs of a BPE model with byte fallback: pieces with score and id, byte ids, output of each id."""
     os.environ.setdefault("PROTOCOL_BUFFERS_PYTHON_IMPLEMENTATION", "python")
@@ -54,10 +62,13 @@ def compile_model(path: str) -> dict:
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces:
         raise ValueError("the normaliser must only escape white space and put one in front")
     pieces, byte_ids, outputs = {}, [0] * 256, []
+    # digits such as a raised two count as signs: pieces join them with those
+    signs = "".join(sorted({c for p in model.pieces if p.type == kind.NORMAL for c in p.piece if not c.isalpha()}))
+    chunk = _chunk_pattern(signs)
     for i, p in enumerate(model.pieces):
         if p.type == kind.NORMAL:
-            if META in p.piece.lstrip(META):
-                raise ValueError("a piece holds a meta symbol after a letter")
+            if re.match(chunk, p.piece).end() != len(p.piece):
+                raise ValueError("a piece crosses the border of two chunks")
             pieces[p.piece] = (p.score, i)
             outputs.append(p.piece.replace(META, " ").encode())
         elif p.type == kind.BYTE:
@@ -67,18 +78,23 @@ def compile_model(path: str) -> dict:
             outputs.append(b"" if p.type == kind.CONTROL else model.trainer_spec.unk_surface.encode())
         else:
             raise ValueError("user-defined and unused pieces are not supported")
-    return {"pieces": pieces, "byte_ids": byte_ids, "outputs": outputs}
+    return {"pieces": pieces, "byte_ids": byte_ids, "outputs": outputs, "chunk": chunk}
 
 
 class Transducer:
     def __init__(self, compiled: dict):
         self.pieces, self.byte_ids, self.outputs = compiled["pieces"], compiled["byte_ids"], compiled["outputs"]
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.arcs: dict = {}  # the pieces as a tree of letters; "" leads to the piece that ends there
+        for p in self.pieces:
+            node = self.arcs
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.left, self.right = {}, {}  # edges of a piece's merge tree: [(part, rank), ...] from the piece inwards
         self.odd = set()  # pieces whose merges do not rise in rank: pairs with them are merged outright
         self.chunks = Memo(self._compose)
-        self.chunk = re.compile(f"{META}*[^{META}]+|{META}+")
+        self.chunk = re.compile(compiled["chunk"])
 
     def merged(self, text: str) -> list[str]:
         """A short text's letters merged by score, the leftmost of equal ones first."""
@@ -149,36 +165,36 @@ class Transducer:
             else:
                 j, gone_y = j + 1, ry
 
-    def _arcs(self, text: str, at: int):
-        """Pieces that start here; where the letter is none, its byte fallback."""
-        if text[at] not in self.pieces:
-            yield text[at]
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            piece = text[at:end]
-            if piece not in self.prefixes:
-                return
-            if piece in self.pieces and self._whole(piece):
-                yield piece
+    def _arcs_from(self, text: str, at: int) -> list[str]:
+        """Pieces that start here, the longest last; where the letter is none, its byte fallback."""
+        node, out = self.arcs, [] if text[at] in self.pieces else [text[at]]
+        for c in text[at:at + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None and self._whole(piece):
+                out.append(piece)
+        return out
 
     def _compose(self, text: str) -> bytes:
-        n = len(text)
-        cost = lambda p: -self.pieces[p][0] if p in self.pieces else 0.0
-        distance, last, back = [float("inf")] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        distance[0] = 0.0
-        for at in range(n):
-            if distance[at] == float("inf"):
+        n, at, path, dead = len(text), 0, [], set()
+        left = [self._arcs_from(text, 0)]  # arcs not yet tried, of each place on the path
+        while at < n:
+            if not left[-1]:
+                dead.add(at)
+                left.pop()
+                at -= len(path.pop())
                 continue
-            for piece in self._arcs(text, at):
-                end = at + len(piece)
-                d = distance[at] + cost(piece)
-                if d < distance[end] and not (at and self._crosses(last[at], piece)):  # else it weighs infinity
-                    distance[end], last[end], back[end] = d, piece, at
-        path, at = [], n
-        while at:
-            path.append(last[at])
-            at = back[at]
+            piece = left[-1].pop()
+            end = at + len(piece)
+            if end not in dead and not (path and self._crosses(path[-1], piece)):  # else it weighs infinity
+                path.append(piece)
+                at = end
+                if at < n:
+                    left.append(self._arcs_from(text, at))
         ids = []
-        for piece in reversed(path):
+        for piece in path:
             hit = self.pieces.get(piece)
             ids.extend([hit[1]] if hit else [self.byte_ids[b] for b in piece.encode()])
         return np.array(ids, "<i4").tobytes()
@@ -190,8 +206,12 @@ class Transducer:
         return b"".join(map(self.chunks.__getitem__, self.chunk.findall(META + text.replace(" ", META))))
 
     def decode(self, ids) -> str:
-        out = b"".join(map(self.outputs.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return decode_ids(self.outputs, ids)
+
+
+def decode_ids(outputs: list[bytes], ids) -> str:
+    out = b"".join(map(outputs.__getitem__, ids)).decode("utf-8", "replace")
+    return out[1:] if out.startswith(" ") else out
 
 
 def _transducer(key: str, compiled: dict) -> Transducer:
@@ -222,16 +242,16 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     """The input with the text behind its ids."""
     spark = encoded.sparkSession
     python_ready(spark)
-    known = spark.sparkContext.broadcast(compile_model(model_path))
+    known = spark.sparkContext.broadcast(compile_model(model_path)["outputs"])
     at = encoded.columns.index(ids_col)
 
     def work(batches):
-        fst = _transducer(model_path, known.value)
+        outputs = known.value
         for b in batches:
             lists = b.column(at)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
             first = ends[0]  # one document's ids at a time as Python numbers
-            text = [fst.decode(flat[x - first:y - first].tolist()) for x, y in zip(ends, ends[1:], strict=False)]
+            text = [decode_ids(outputs, flat[x - first:y - first].tolist()) for x, y in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
