@@ -84,6 +84,8 @@ def test_sentencepiece_equals_the_library(edge, empty):
     assert sorted((str(r.id), list(r.ids)) for r in out) == want
     assert all(r.decoded == sp.decode(list(r.ids)) for r in out)
     assert all(r.decoded == r.text.replace("▁", " ") for r in out)
+    both = sentencepiece_fst.encode(edge, PIECE, decoded_col="decoded").collect()
+    assert sorted((str(r.id), list(r.ids), r.decoded) for r in both) == sorted((str(r.id), list(r.ids), r.decoded) for r in out)
     assert sentencepiece_fst.encode(empty, PIECE).count() == 0
 
 

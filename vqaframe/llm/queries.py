@@ -22,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepiece_fst.decode(sentencepiece_fst.encode(_read(spark, sf_dir, "documents"), model), model)
+    out = sentencepiece_fst.encode(_read(spark, sf_dir, "documents"), model, decoded_col="decoded")
     return out.select(F.col("id").alias("doc_id"), "ids", F.size("ids").alias("n_ids"),
                       (F.col("decoded") == F.col("text")).alias("round_trip"))
 

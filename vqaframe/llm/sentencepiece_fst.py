@@ -31,6 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,22 +221,37 @@ def _transducer(key: str, compiled: dict) -> Transducer:
     return _WORKER[key]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``text`` and ``ids`` (array of int) of every document."""
+def _bounded(batches, at: int, limit: int = 2 << 20):
+    """The batches in runs of whole rows with about ``limit`` bytes of text in column ``at``."""
+    for b in batches:
+        block = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(x, y - x)
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded_col: str | None = None) -> DataFrame:
+    """``id``, ``text`` and ``ids`` (array of int) of every document; with ``decoded_col``, also the text behind
+    the ids, decoded in the same pass."""
     spark = docs.sparkSession
     python_ready(spark)
     known = spark.sparkContext.broadcast(compile_model(model_path))
     base = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    extra = [decoded_col] if decoded_col else []
 
     def work(batches):
         fst = _transducer(model_path, known.value)
-        for b in batches:
+        for b in _bounded(batches, 1):
             packed = [fst.encode(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["id", "text", "ids"])
+            out = [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
+            if extra:
+                out.append(pa.array([fst.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, ["id", "text", "ids", *extra])
 
-    return base.mapInArrow(work, f"id {base.schema['id'].dataType.simpleString()}, text string, ids array<int>")
+    schema = f"id {base.schema['id'].dataType.simpleString()}, text string, ids array<int>"
+    return base.mapInArrow(work, schema + "".join(f", `{c}` string" for c in extra))
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
