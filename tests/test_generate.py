@@ -23,9 +23,9 @@ def test_media_validation_prompt_and_last_image(spark):
     m = _media(spark)
     errs = {(r["request_id"], r["pos"]): r["error"] for r in G.validate_media(m).collect()}
     assert errs[("a", 0)] is None and errs[("a", 1)] is None
-    assert errs[("b", 0)] == "Unrecognized MediaObject type image"  # empty location
-    assert errs[("b", 1)] == "MediaObject of text type has missing text field value"
-    assert errs[("b", 2)] == "Unrecognized MediaObject type audio"
+    assert errs[("b", 0)] == "media type not supported: image"  # empty location
+    assert errs[("b", 1)] == "a text medium holds no text"
+    assert errs[("b", 2)] == "media type not supported: audio"
     with pytest.raises(Exception):
         G.validate_media(m, on_invalid="error").collect()
     p = {r["request_id"]: r["prompt_text"] for r in G.assemble_prompt(m, ["request_id"]).collect()}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vqaframe.functions.arrays import index_range, safe_slice
 from vqaframe.functions.strings import whitespace_tokens
 from vqaframe.operators.udf import factory_key, per_worker
-from vqaframe.session import literal_frame, path_exists, ship_package, shared_dir
+from vqaframe.session import ensure, literal_frame, path_exists, ship_package, shared_dir
 
 # Media type names and the generation markers of the model.
 IMAGE_TYPE = "image"
@@ -50,8 +50,8 @@ def media_error(type_col: str = "type", location_col: str = "location",
     return (F.when((t == IMAGE_TYPE) & has_location, F.lit(None).cast("string"))
             .when(t == TEXT_TYPE,
                   F.when(F.col(text_col).isNull(),
-                         F.lit("MediaObject of text type has missing text field value")))
-            .otherwise(F.concat(F.lit("Unrecognized MediaObject type "),
+                         F.lit("a text medium holds no text")))
+            .otherwise(F.concat(F.lit("media type not supported: "),
                                 F.coalesce(t, F.lit("None")))))
 
 
@@ -60,8 +60,7 @@ def validate_media(media: DataFrame, type_col: str = "type", location_col: str =
     """G2 over a media table: adds ``error``; ``on_invalid='error'`` fails the job."""
     out = media.withColumn("error", media_error(type_col, location_col, text_col))
     if on_invalid == "error":
-        out = out.withColumn("error", F.when(F.col("error").isNotNull(),
-                                             F.raise_error(F.col("error"))))
+        out = ensure(out, F.col("error").isNull(), F.col("error"))
     elif on_invalid != "quarantine":
         raise ValueError("on_invalid must be 'error' or 'quarantine'")
     return out
@@ -137,9 +136,10 @@ def cache_key(n, i, model, prompt_uid, *request_fields):
     return F.sha2(F.to_json(F.array(*[_c(x).cast("string") for x in fields])), 256)
 
 
-def prompt_uid(prompt_text):
-    """Stable identifier of a prompt's content."""
-    return F.md5(_c(prompt_text))
+def prompt_uid(prompt_text, *media):
+    """Stable identifier of a prompt's content: its text and the locations of its media, in order."""
+    text = F.md5(_c(prompt_text))
+    return F.md5(F.to_json(F.array(text, *[_c(m).cast("string") for m in media]))) if media else text
 
 
 def split_cache(completions: DataFrame, cache: DataFrame, key_col: str = "cache_key"):
@@ -153,12 +153,12 @@ GEN_SCHEMA = "cache_key string, output string, error string, request_time double
 
 
 def _run_generator(make_generator, capture: tuple):
-    def one_by_one(gen, prompts):
+    def one_by_one(gen, columns):
         outs, errs, times = [], [], []
-        for prompt in prompts:
+        for asked in zip(*columns, strict=True):
             t0 = time.perf_counter()
             try:
-                outs.append(gen(prompt))
+                outs.append(gen(*asked))
                 errs.append(None)
             except capture as e:  # the reference captures runtime errors only
                 outs.append(None)
@@ -172,18 +172,20 @@ def _run_generator(make_generator, capture: tuple):
         gen = per_worker(make_generator, key)
         batch_fn = getattr(gen, "batch", None)
         for pdf in batches:
-            prompts = list(pdf["prompt"])
+            # text first, then the media; missing values as None
+            columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in pdf.columns[1:]]
+            prompts = columns[0]
             result = None
             if batch_fn is not None and prompts:
                 t0 = time.perf_counter()
                 try:
-                    outs = list(batch_fn(prompts))
+                    outs = list(batch_fn(*columns))
                     each = (time.perf_counter() - t0) / len(prompts)
                     result = outs, [None] * len(prompts), [each] * len(prompts)
                 except capture:  # find the failing prompts one by one
                     result = None
             if result is None:
-                result = one_by_one(gen, prompts)
+                result = one_by_one(gen, columns)
             outs, errs, times = result
             yield pd.DataFrame({"cache_key": pdf["cache_key"], "output": outs,
                                 "error": errs, "request_time": times})
@@ -192,11 +194,15 @@ def _run_generator(make_generator, capture: tuple):
 
 def memoised_generate(completions: DataFrame, cache_path: str | None, make_generator,
                       key_col: str = "cache_key", prompt_col: str = "prompt",
-                      capture: tuple = (RuntimeError,), pin_input: bool = False) -> DataFrame:
+                      capture: tuple = (RuntimeError,), pin_input: bool = False,
+                      media_cols: tuple = (), partitions: int | None = None) -> DataFrame:
     """G8 + J4: results for every completion row, computing only distinct misses.
 
-    ``make_generator()`` returns ``prompt -> text``; it is built once per
-    Python worker. If it also has ``batch(prompts) -> texts`` that is called
+    ``make_generator()`` returns ``(prompt, *media) -> text``, with the values
+    of ``media_cols`` (image locations, or contents); the cache key must cover
+    them (``prompt_uid``). It is built once per Python worker. Misses are dealt
+    to ``partitions`` tasks (the shuffle partitions if not given), however few
+    bytes they are. If it also has ``batch(prompts, *media) -> texts`` that is called
     once per Arrow batch (a model runs faster on batches); a captured error
     there re-runs that batch prompt by prompt so each request gets its own
     error. Misses are written before they are read back (a run table
@@ -218,9 +224,10 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
     else:  # first run: an empty cache
         cache = literal_frame(spark, [], [(key_col, "string"), ("output", "string"),
                                           ("request_time", "double"), ("run_id", "string")])
-    todo = (completions.select(F.col(key_col).alias("cache_key"), F.col(prompt_col).alias("prompt"))
+    todo = (completions.select(F.col(key_col).alias("cache_key"), F.col(prompt_col).alias("prompt"), *media_cols)
             .dropDuplicates(["cache_key"])
-            .join(cache.select(F.col(key_col).alias("cache_key")), "cache_key", "left_anti"))
+            .join(cache.select(F.col(key_col).alias("cache_key")), "cache_key", "left_anti")
+            .repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "cache_key"))
     produced = todo.mapInPandas(_run_generator(make_generator, capture), GEN_SCHEMA)
     run_dir = shared_dir(spark, "generation-run")
     produced.write.mode("overwrite").parquet(run_dir)

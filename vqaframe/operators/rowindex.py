@@ -4,18 +4,20 @@
 single task. Instead: range-partition and sort on the order columns, pin the
 partition contents with a reliable checkpoint, count rows per partition
 (one small row per partition reaches the driver), and add each partition's
-offset (a literal array indexed by partition id) to the position inside it.
+offset (a small joined table, broadcast up to a bound) to the position inside it.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vqaframe.session import reliable_checkpoint
 
+_MAX_BROADCAST_PARTITIONS = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
 
@@ -37,12 +39,22 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_idx",
     counts = dict((r["_pid"], r["_n"]) for r in
                   tagged.groupBy(F.shiftright("_mid", _LOCAL_BITS).alias("_pid"))
                   .agg(F.count(F.lit(1)).alias("_n")).collect())
-    # one offset per partition (empty ones included): a literal array indexed
-    # by partition id, so no join is needed
-    top = max(counts) + 1 if counts else 1
-    starts = [0] + list(accumulate(counts.get(p, 0) for p in range(top)))[:-1]
-    offsets = F.array(*[F.lit(x).cast("long") for x in starts])
-    pid = F.shiftright("_mid", _LOCAL_BITS)
-    return (tagged.withColumn(index_col, F.element_at(offsets, (pid + 1).cast("int")) +
-                              F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-            .drop("_mid"))
+    return add_offsets(tagged, counts, index_col)
+
+
+def add_offsets(tagged: DataFrame, counts: dict[int, int], index_col: str) -> DataFrame:
+    """``index_col`` from ``_mid`` and the row count of each partition.
+
+    The offsets are a table of 16 bytes a partition, so its size is known; past
+    ``_MAX_BROADCAST_PARTITIONS`` Spark plans the join itself.
+    """
+    pids = sorted(counts)
+    starts = [0, *accumulate(counts[p] for p in pids)][:len(pids)]
+    table = pa.table({"_pid": pa.array(pids, pa.int64()), "_start": pa.array(starts, pa.int64())})
+    offsets = tagged.sparkSession.createDataFrame(table)
+    if len(pids) <= _MAX_BROADCAST_PARTITIONS:
+        offsets = F.broadcast(offsets)
+    keyed = tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    return (keyed.join(offsets, "_pid")
+            .withColumn(index_col, F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+            .drop("_mid", "_pid", "_start"))

@@ -25,9 +25,12 @@ _DIGITS_PER_LEVEL = 2
 _HASH_LEN = 32
 
 
+_NULL_KEY = "\u0000null"  # a null key's place in the hashed text
+
+
 def shuffle_key(key_cols: list[str], seed: int = 42):
     """md5 hex of the key text and the seed: a seeded, repeatable shuffle order."""
-    parts = [F.col(c).cast("string") for c in key_cols]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(_NULL_KEY)) for c in key_cols]
     key = parts[0] if len(parts) == 1 else F.concat_ws("\u001f", *parts)
     return F.md5(F.concat(key, F.lit(f":{seed}")))
 
@@ -100,7 +103,7 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
     cut = hashed.filter(F.col(HASH_COL).startswith(prefix))
     tie = F.xxhash64(*df.columns)
     order = [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [tie]
-    if need <= small_cut:
+    if cut_count <= small_cut:
         # the need-th row of the cut bucket is the threshold; one more row
         # shows whether a tie crosses it. Key columns only: the scan is pruned.
         key_order = order[:-1]
@@ -127,8 +130,9 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
 def _at_most(order: list, values: tuple):
     """Lexicographic ``tuple(order) <= values``, written so that later columns
     (the whole-row tie hash) are evaluated only when earlier ones are equal."""
-    col, val = order[-1], F.lit(values[-1])
-    cond = col <= val
-    for c, v in zip(reversed(order[:-1]), reversed(values[:-1])):
-        cond = (c < F.lit(v)) | ((c == F.lit(v)) & cond)
+    cond = F.lit(True)
+    for c, v in zip(reversed(order), reversed(values)):
+        # nulls come first, as in orderBy
+        below = F.lit(False) if v is None else c.isNull() | (c < F.lit(v))
+        cond = below | (c.eqNullSafe(F.lit(v)) & cond)
     return cond

@@ -1,6 +1,6 @@
 """User code on rows (U1) and per-worker initialisation (U4).
 
-Both run through ``mapInPandas``: Arrow batches, one Python call per batch.
+Both run on Arrow batches: ``map_rows`` through ``mapInArrow``.
 """
 
 from __future__ import annotations
@@ -8,9 +8,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from vqaframe.session import ship_package
@@ -45,18 +46,18 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema,
              init: Callable | None = None) -> DataFrame:
     """Apply ``fn(row_dict[, state]) -> dict`` to every row.
 
-    The replacement for the nonexistent ``DataFrame.map``. Prefer column
+    Values reach ``fn`` as Python objects of their exact type (nulls as
+    None); keys it leaves out become null. Prefer column
     expressions; use this only for code that has no JVM equivalent.
     """
     ship_package(df.sparkSession)
     st = _parse_datatype_string(schema) if isinstance(schema, str) else schema
-    names = st.fieldNames()
+    arrow = to_arrow_schema(st)
     key = factory_key(init) if init is not None else None
 
     def run(batches):
         state = per_worker(init, key) if init is not None else None
-        for pdf in batches:
-            recs = pdf.to_dict("records")
-            out = [fn(r, state) if init is not None else fn(r) for r in recs]
-            yield pd.DataFrame.from_records(out, columns=names)
-    return df.mapInPandas(run, st)
+        for batch in batches:
+            out = [fn(r, state) if init is not None else fn(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+    return df.mapInArrow(run, st)

@@ -326,10 +326,10 @@ FROM conversations GROUP BY conv_id""",
     "media_validation": """SELECT conv_id AS request_id, turn AS pos,
   CASE role WHEN 'user' THEN 'text' WHEN 'assistant' THEN 'image' ELSE role END AS type,
   CASE WHEN role = 'assistant' AND coalesce(length(text), 0) > 0 THEN NULL
-       WHEN role = 'assistant' THEN 'Unrecognized MediaObject type image'
+       WHEN role = 'assistant' THEN 'media type not supported: image'
        WHEN role = 'user' THEN
-         (CASE WHEN text IS NULL THEN 'MediaObject of text type has missing text field value' END)
-       ELSE 'Unrecognized MediaObject type ' || coalesce(role, 'None') END AS error
+         (CASE WHEN text IS NULL THEN 'a text medium holds no text' END)
+       ELSE 'media type not supported: ' || coalesce(role, 'None') END AS error
 FROM conversations""",
 
     "expand_completions": """SELECT doc_id, num_completions, CAST(i AS INTEGER) AS i FROM (
@@ -349,8 +349,7 @@ FROM ids LEFT JOIN vocab v2 ON ids.token_id = v2.id GROUP BY ids.doc_id""",
   CASE WHEN text IS NOT NULL AND strpos(text, {_lit(T.EOS_STANDIN)}) = 0 THEN 'substring not found' END AS error
 FROM documents""",
 
-    "token_structs": f"""WITH c AS (SELECT doc_id, {_cut('text')} AS output FROM documents),
-t AS (SELECT doc_id, {_tok('output')} AS tl FROM c WHERE output IS NOT NULL),
+    "token_structs": f"""WITH t AS (SELECT doc_id, {_tok('text')} AS tl FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(len(tl))) AS pos, unnest(tl) AS text FROM t)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, text, CAST(0 AS DOUBLE) AS logprob FROM u""",
 
@@ -362,9 +361,10 @@ FROM reqk r LEFT JOIN cache c ON r.cache_key = c.cache_key""",
 comp AS (
   SELECT r.conv_id, r.turn, r.i, c.cache_key IS NOT NULL AS cached,
     CASE WHEN c.cache_key IS NOT NULL THEN c.output
-         WHEN len({_tok('r.prompt')}) <= {T.TEXT_LENGTH} THEN {_cut('r.prompt')} END AS output,
-    CASE WHEN c.cache_key IS NULL AND len({_tok('r.prompt')}) > {T.TEXT_LENGTH}
-         THEN 'input length exceeds context length' END AS error,
+         WHEN NOT list_contains({_tok('r.prompt')}, {_lit(T.FAILING_WORD)})
+         THEN array_to_string(list_reverse({_tok('r.prompt')}), ' ') END AS output,
+    CASE WHEN c.cache_key IS NULL AND list_contains({_tok('r.prompt')}, {_lit(T.FAILING_WORD)})
+         THEN 'the stand-in refuses this prompt' END AS error,
     CASE WHEN c.cache_key IS NOT NULL THEN c.request_time ELSE CAST(0 AS DOUBLE) END AS request_time
   FROM reqk r LEFT JOIN cache c ON r.cache_key = c.cache_key),
 g AS (
@@ -380,9 +380,13 @@ SELECT conv_id, turn, ok AS success, CASE WHEN ok THEN last_cached ELSE false EN
   CASE WHEN ok THEN txt ELSE '' END AS completion_text
 FROM g""",
 
-    "memoised_generation": f"""WITH {REQ}
-SELECT conv_id, turn, CAST(i AS INTEGER) AS i, cache_key,
-       array_to_string(list_reverse({_tok('prompt')}), ' ') AS output, false AS cached FROM reqk""",
+    "memoised_generation": f"""WITH {REQ},
+two AS (SELECT *, unnest([conv_id, conv_id + 1]) AS image_id FROM req),
+img AS (SELECT *, lpad(CAST(image_id AS VARCHAR), 12, '0') || '.jpg' AS image FROM two)
+SELECT conv_id, turn, CAST(i AS INTEGER) AS i, image,
+       sha256(to_json([CAST(n AS VARCHAR), CAST(i AS VARCHAR), {_lit(T.MODEL)},
+                       md5(to_json([md5(prompt), image])::VARCHAR)])::VARCHAR) AS cache_key,
+       array_to_string(list_concat([image], list_reverse({_tok('prompt')})), ' ') AS output, i = 0 AS cached FROM img""",
 
     "generation_bleu": f"""WITH {PAIRS},
 t AS (SELECT conv_id, turn, {_tok('question')} AS hyp, {_tok('answer')} AS ref FROM pairs),

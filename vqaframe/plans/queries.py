@@ -363,8 +363,9 @@ def q_cut_at_eos(spark, d):
 
 
 def q_token_structs(spark, d):
-    """The cut output re-tokenised into {text, logprob=0} structs (long form)."""
-    c = _cut(spark, d).select("doc_id", G.token_structs("output").alias("toks"))
+    """Every document's text re-tokenised into {text, logprob=0} structs (long form)."""
+    docs = T.load(spark, d, "documents", spread=True)
+    c = docs.select("doc_id", G.token_structs("text").alias("toks"))
     return c.select("doc_id", F.posexplode("toks").alias("pos", "tok")).select(
         "doc_id", F.col("pos").cast("int").alias("pos"), F.col("tok.text").alias("text"),
         F.col("tok.logprob").alias("logprob"))
@@ -403,19 +404,15 @@ def q_cache_hits_misses(spark, d):
 def q_result_assembly(spark, d):
     """A8 + G9: per request success, last completion's cache flag, first error.
 
-    Misses run a stand-in generator (the prompt up to its first sentence end)
-    that fails with a runtime error when the prompt exceeds the text length.
+    The cache holds an earlier run's answers. Misses run a stand-in generator
+    that fails with a runtime error on prompts with a certain word.
     """
     req = _requests(spark, d)
-    cache = _cache(spark, d).withColumn("_hit", F.lit(True))
-    j = req.join(cache, "cache_key", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    too_long = F.size(T.tokens("prompt")) > T.TEXT_LENGTH
-    gen_out, _ = G.cut_at_eos(F.col("prompt"), eos_token=T.EOS_STANDIN)
-    comp = j.select("conv_id", "turn", "i", hit.alias("cached"),
-                    F.when(hit, F.col("output")).when(~too_long, gen_out).alias("output"),
-                    F.when(~hit & too_long, F.lit("input length exceeds context length")).alias("error"),
-                    F.when(hit, F.col("request_time")).otherwise(F.lit(0.0)).alias("request_time"))
+    cache_dir = shared_dir(spark, "answered")
+    _cache(spark, d).withColumn("run_id", F.lit("earlier")).write.parquet(cache_dir)
+    comp = G.memoised_generate(req, cache_dir, _make_failing_generator)
+    # the time that a stand-in takes says nothing
+    comp = comp.withColumn("request_time", F.when(F.col("cached"), F.col("request_time")).otherwise(F.lit(0.0)))
     res = G.assemble_results(comp, ["conv_id", "turn"])
     return res.select("conv_id", "turn", "success", "cached", "error",
                       F.round("request_time", R6).alias("request_time"),
@@ -429,25 +426,42 @@ def _make_generator():
     sep = re.compile("[ \t\n\r]+")
 
     class Backwards:
-        """Stand-in model: the whole prompt's whitespace tokens, last one first."""
+        """Stand-in model: the images' names, then the whole prompt's whitespace tokens, last one first."""
 
-        def __call__(self, prompt: str) -> str:
-            return " ".join([t for t in sep.split(prompt) if t][::-1])
+        def __call__(self, prompt: str, *images: str) -> str:
+            return " ".join([*images, *[t for t in sep.split(prompt) if t][::-1]])
 
-        def batch(self, prompts: list[str]) -> list[str]:
-            return [self(p) for p in prompts]
+        def batch(self, prompts: list[str], *images: list[str]) -> list[str]:
+            return [self(*asked) for asked in zip(prompts, *images, strict=True)]
     return Backwards()
 
 
+def _make_failing_generator():
+    backwards = _make_generator()
+
+    def generate(prompt: str) -> str:
+        out = backwards(prompt)
+        if T.FAILING_WORD in out.split(" "):
+            raise RuntimeError("the stand-in refuses this prompt")
+        return out
+    return generate
+
+
 def q_memoised_generation(spark, d):
     """Distinct misses generated once per key in Python workers, written, joined back.
 
-    The stand-in generator returns the prompt's tokens in reverse order; the
-    cache folder is fresh, so every completion is computed (cached = false).
+    Every prompt is asked about two images. A first run over all first
+    completions fills a fresh cache; the second run, over all completions,
+    finds those there (cached = true) and generates the rest.
     """
-    req = _requests(spark, d)
-    out = G.memoised_generate(req, shared_dir(spark, "gen-cache"), _make_generator)
-    return out.select("conv_id", "turn", F.col("i").cast("int"), "cache_key", "output", "cached")
+    name = F.concat(F.lpad(F.col("image_id").cast("string"), 12, "0"), F.lit(".jpg"))
+    req = (_requests(spark, d).withColumn("image_id", F.explode(F.array("conv_id", F.col("conv_id") + 1)))
+           .withColumn("image", name)
+           .withColumn("cache_key", G.cache_key("num_completions", "i", F.lit(T.MODEL), G.prompt_uid("prompt", "image"))))
+    cache = shared_dir(spark, "gen-cache")
+    G.memoised_generate(req.filter("i = 0"), cache, _make_generator, media_cols=("image",))
+    out = G.memoised_generate(req, cache, _make_generator, media_cols=("image",))
+    return out.select("conv_id", "turn", F.col("i").cast("int"), "image", "cache_key", "output", "cached")
 
 
 def q_generation_bleu(spark, d):

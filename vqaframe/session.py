@@ -84,6 +84,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def ensure(df, condition, message):
+    """Fail the job on the first row where ``condition`` does not hold.
+
+    The check is a filter, so no column pruning removes it; it is marked
+    non-deterministic so that it stays above the joins below it.
+    """
+    from pyspark.sql import functions as F
+    failed = F.raise_error(message).cast("boolean")
+    return df.filter(F.when(condition, F.monotonically_increasing_id() >= 0).otherwise(failed))
+
+
 def spread_narrow(df):
     """Round-robin a DataFrame whose scan has fewer partitions than cores.
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vqaframe.session import ensure
+
 
 def scan_images(spark: SparkSession, directory: str, pattern: str = "*.jpg",
                 with_content: bool = False, recursive: bool = True) -> DataFrame:
@@ -28,22 +30,26 @@ def scan_images(spark: SparkSession, directory: str, pattern: str = "*.jpg",
 
 def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file",
                   on_missing: str = "error", name_col: str = "file_name") -> DataFrame:
-    """Match each row to its image file by name; report or handle misses.
+    """Match each row to its image file; report or handle misses.
+
+    ``file_col`` and ``name_col`` are compared: base names, or full paths
+    with ``name_col='path'``. A name that several listed files share fails
+    the job, as it would not tell which one is meant.
 
     ``on_missing``: 'error' fails the job on the first row without a file,
     'drop' keeps matched rows only, 'null' keeps every row.
     """
-    listing = files.select(F.col(name_col).alias("_listed_name"), F.col("path").alias("image_uri"),
-                           F.col("length").alias("image_bytes"))
+    listing = files.groupBy(F.col(name_col).alias("_listed_name")).agg(
+        F.min("path").alias("image_uri"), F.min_by("length", "path").alias("image_bytes"), F.max("path").alias("_other"))
+    listing = ensure(listing, F.col("image_uri") == F.col("_other"),
+                     F.concat(F.lit("several files are named "), F.col("_listed_name"))).drop("_other")
     j = rows.join(listing, rows[file_col] == listing["_listed_name"], "left").drop("_listed_name")
     if on_missing == "drop":
         return j.filter(F.col("image_uri").isNotNull())
     if on_missing == "null":
         return j
     if on_missing == "error":
-        return j.withColumn("image_uri", F.coalesce(
-            F.col("image_uri"),
-            F.raise_error(F.concat(F.lit("image not found: "), F.col(file_col)))))
+        return ensure(j, F.col("image_uri").isNotNull(), F.concat(F.lit("image not found: "), F.col(file_col)))
     raise ValueError("on_missing must be 'error', 'drop' or 'null'")
 
 
