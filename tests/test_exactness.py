@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from vqaframe.operators import encode as E
 from vqaframe.operators import generate as G
 from vqaframe.operators.rowindex import add_offsets, with_row_index
 from vqaframe.operators.sampling import exact_sample
@@ -76,3 +77,30 @@ def test_generation_sees_the_image_in_several_tasks(spark, tmp_path):
     assert runs > 1
     again = G.memoised_generate(df, str(tmp_path / "cache"), make_looker, media_cols=("image",))
     assert all(r.cached for r in again.collect())
+
+
+@pytest.mark.parametrize("side", ["right", "left"])
+@pytest.mark.parametrize("bos", [False, True])
+def test_array_encoding_equals_its_definition(spark, side, bos):
+    L, patches, sa = 12, 4, int(bos)
+    pairs = [(i, list(range(10, 10 + q)), list(range(50, 50 + a))) for i, (q, a) in
+             enumerate([(0, 0), (2, 3), (9, 1), (1, 15), (20, 20), (4, 4), (8, 0)])] + [(99, None, None)]
+    df = spark.createDataFrame(pairs, "k int, q array<int>, a array<int>")
+    out = E.encode_pair_ids(df, ["k"], "q", "a", text_length=L - patches, num_patches=patches, image_token_id=7,
+                            padding_side=side, add_bos=bos, bos_id=2)
+    rows = {r.k: r for r in out.collect()}
+    for k, q, a in pairs:
+        x, y = [7] * patches + (q or []), (a or []) + [E.EOS_ID]
+        while len(x) + len(y) > L - 2 * sa:  # longest first, the second of equal ones
+            (x if len(x) > len(y) else y).pop()
+        ids = [2] * sa + x + [2] * sa + y
+        types = [0] * (sa + len(x)) + [1] * (sa + len(y))
+        pad = L - len(ids)
+        put = (lambda v, p: v + [p] * pad) if side == "right" else (lambda v, p: [p] * pad + v)
+        r = rows[k]
+        assert r.input_id == put(ids, E.PAD_ID) and r.token_type == put(types, 0)
+        assert r.attention_mask == put([1] * len(ids), 0)
+        assert r.label == put([i if t else E.IGNORE_INDEX for i, t in zip(ids, types, strict=True)], E.IGNORE_INDEX)
+    long = E.positions(out, ["k"]).collect()
+    assert sorted((r.k, r.pos, r.input_id, r.label) for r in long) == sorted(
+        (k, p, r.input_id[p], r.label[p]) for k, r in rows.items() for p in range(L))

@@ -293,31 +293,55 @@ def user_token_ids(text, make_tokenizer, return_type: str = "array<int>"):
     return _ids(F.col(text) if isinstance(text, str) else text)
 
 
-def encode_pair_ids_long(df: DataFrame, keys: list[str], question_ids: str, answer_ids: str,
-                         text_length: int = 64, num_patches: int = 257,
-                         image_token_id: int = 256000, eos_id: int = EOS_ID, pad_id: int = PAD_ID,
-                         padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
-                         add_bos: bool = False, bos_id: int = BOS_ID) -> DataFrame:
-    """T2-T5 for already tokenised pairs (id arrays, e.g. from ``user_token_ids``).
+def encode_pair_ids(df: DataFrame, keys: list[str], question_ids: str, answer_ids: str,
+                    text_length: int = 64, num_patches: int = 257,
+                    image_token_id: int = 256000, eos_id: int = EOS_ID, pad_id: int = PAD_ID,
+                    padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                    add_bos: bool = False, bos_id: int = BOS_ID) -> DataFrame:
+    """T2-T5 for already tokenised pairs, one row per example: keys and the arrays
+    ``input_id``, ``token_type``, ``attention_mask`` and ``label``, each L long.
 
     Same layout, truncation, padding and labels as ``encode_pairs_long``; no
-    vocabulary join at all, so no shuffle. ``<eos>`` is appended to the
-    answer ids; a null answer is treated as empty.
+    vocabulary join and no explosion. ``<eos>`` is appended to the answer ids;
+    null ids are treated as empty.
     """
     L = context_length(text_length, num_patches)
     sa = 1 if add_bos else 0
     _check(padding_side, L, sa)
-    npch = F.lit(num_patches)
-    ids_a = F.coalesce(F.col(answer_ids), F.array().cast("array<int>"))
-    base = df.select(*keys, F.coalesce(F.col(question_ids), F.array().cast("array<int>")).alias("_qt"),
-                     F.concat(ids_a, F.array(F.lit(eos_id))).alias("_at"))
-    base = base.withColumns({"_la": npch + F.size("_qt"), "_lb": F.size("_at")})
-    ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L - 2 * sa)
-    base = base.withColumns({"_ka": ka, "_kb": kb})
-    position = _pair_position(L, sa, num_patches, padding_side)
-    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
-    pos = pos.withColumn("_wid", F.col("_tok").cast("int"))
-    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index)
+    none = F.array().cast("array<int>")
+    base = df.select(*keys,
+                     F.concat(F.array_repeat(F.lit(image_token_id), num_patches),
+                              F.coalesce(F.col(question_ids).cast("array<int>"), none)).alias("_a"),
+                     F.concat(F.coalesce(F.col(answer_ids).cast("array<int>"), none), F.array(F.lit(eos_id))).alias("_b"))
+    ka, kb = _pair_lengths(F.size("_a"), F.size("_b"), L - 2 * sa)
+    base = base.withColumns({"_ka": ka.cast("int"), "_kb": kb.cast("int")})
+    n_a, n_b = F.col("_ka") + sa, F.col("_kb") + sa
+    n_pad = F.lit(L) - n_a - n_b
+    bos = F.array_repeat(F.lit(bos_id), sa)
+
+    def padded(value: int, *parts):
+        pad = F.array_repeat(F.lit(value), n_pad)
+        return F.concat(*parts, pad) if padding_side == "right" else F.concat(pad, *parts)
+
+    seq_b = F.concat(bos, F.slice("_b", F.lit(1), F.col("_kb")))
+    return base.select(
+        *keys,
+        padded(pad_id, bos, F.slice("_a", F.lit(1), F.col("_ka")), seq_b).alias("input_id"),
+        padded(0, F.array_repeat(F.lit(0), n_a), F.array_repeat(F.lit(1), n_b)).alias("token_type"),
+        padded(0, F.array_repeat(F.lit(1), n_a + n_b)).alias("attention_mask"),
+        padded(ignore_index, F.array_repeat(F.lit(ignore_index), n_a), seq_b).alias("label"))
+
+
+def positions(encoded: DataFrame, keys: list[str]) -> DataFrame:
+    """The long form of ``encode_pair_ids``: one row per (keys, pos), no shuffle."""
+    fields = ["input_id", "token_type", "attention_mask", "label"]
+    one = F.posexplode(F.arrays_zip(*fields)).alias("pos", "_p")
+    return encoded.select(*keys, one).select(*keys, "pos", *[F.col(f"_p.{f}").alias(f) for f in fields])
+
+
+def encode_pair_ids_long(df: DataFrame, keys: list[str], question_ids: str, answer_ids: str, **options) -> DataFrame:
+    """``encode_pair_ids`` (same options) in long form."""
+    return positions(encode_pair_ids(df, keys, question_ids, answer_ids, **options), keys)
 
 
 def encode_routed_long(df: DataFrame, keys: list[str], vocab: DataFrame,
