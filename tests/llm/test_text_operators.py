@@ -232,3 +232,40 @@ def test_license_scan(spark, empty):
                    (8, "CC-BY-NC-4.0", 0, True), (8, "CC-BY-NC-4.0", 0, True)]
     assert all(r.size_given < r.size_alone for r in out)
     assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_blocks_across_lines_and_marks(spark):
+    bsd = ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided "
+           "that the following conditions\n# are met.\n")
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and t.startswith("Permission")).split()
+    mit = "/*\n" + "".join(f" * {' '.join(mit[i:i + 9])}\n" for i in range(0, len(mit), 9)) + " */"
+    docs = [(1, "x = 1\n" + bsd + "y = 2"), (2, mit + "\nint x;\n" + bsd), (3, "Licensed under the\nApache License,\nVersion 2.0."),
+            (4, "licensed under no terms at all")]
+    out = license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.license, r.n_diff) for r in out if r.confirmed) == [
+        (1, "BSD-3-Clause", 0), (2, "BSD-3-Clause", 0), (2, "MIT", 0), (3, "Apache-2.0", 0)]
+    assert {r.id for r in out if not r.confirmed} == {4}
+
+
+def test_license_scan_misses_no_block_within_the_limit():
+    rng = random.Random(7)
+    want = [f"w{i % 17}" for i in range(23)]
+    scanner = license_scan.Scanner([("T", " ".join(want))])
+
+    def fewest(have):  # all alignments; words before and after the block are free
+        row = [0] * (len(have) + 1)
+        for i, w in enumerate(want):
+            prev, row = row, [i + 1]
+            for j, h in enumerate(have):
+                row.append(min(prev[j + 1] + 1, row[j] + (i + 1 < len(want)), prev[j] if h == w else 99))
+        return min(row)
+
+    for _ in range(400):
+        have = list(want)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(have))
+            have[at:at + rng.randrange(2)] = [rng.choice(want)] * rng.randrange(2)
+        have = ["x"] * rng.randrange(4) + have + ["y"] * rng.randrange(4)
+        found = [x[5] for x in scanner.blocks(rng.choice([" ", "\n", "\n# "]).join(have)) if x[6]]
+        best = fewest(have)
+        assert (min(found) == best) if best <= 4 else not found
