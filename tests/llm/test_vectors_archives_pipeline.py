@@ -1,3 +1,4 @@
+import gzip
 import math
 import random
 
@@ -62,6 +63,47 @@ def test_damage_is_located(spark, pages):
         assert bad and {(r.file, r.place) for r in out if not r.intact} == bad
 
 
+
+def test_damage_of_stored_bytes(spark, pages, tmp_path):
+    recs = warc_audit.records(pages, per_file=20)
+    warc_audit.write_archive(recs, str(tmp_path / "a"))
+    source = warc_audit.leaves_of_records(recs)
+    found = sorted((tmp_path / "a").glob("file=*/part-*"))
+    names = [int(f.parent.name[5:]) for f in found]
+
+    def replica(name, **changed):  # without the local checksums
+        for f, n in zip(found, names):
+            to = tmp_path / name / f.parent.name
+            to.mkdir(parents=True)
+            (to / f.name).write_bytes(changed["change"](f.read_bytes()) if n == names[0] else f.read_bytes())
+        return str(tmp_path / name)
+
+    def differing(path):
+        rows = warc_audit.compare(source, warc_audit.leaves_of_archive(spark, path), 20).collect()
+        two = warc_audit.audit_replicas(spark, str(tmp_path / "a"), path, 20).collect()
+        bad = sorted((r.file, r.place) for r in rows if not r.intact)
+        assert bad == sorted((r.file, r.place) for r in two if not r.intact) and len(rows) == len(two)
+        return bad, len(rows)
+
+    data = found[0].read_bytes()
+    parts = [(a, z) for _, a, z in warc_audit.members(data)]
+    n = len(parts) - 1  # the last is empty
+    assert gzip.decompress(data) and n > 5 and differing(replica("same", change=lambda x: x)) == ([], 74)
+    for bit in (3, (parts[2][1] - parts[2][0]) * 4, (parts[2][1] - parts[2][0]) * 8 - 50):  # its start, middle, checksum
+        at = parts[2][0] + bit // 8
+        flipped = data[:at] + bytes([data[at] ^ 1 << bit % 8]) + data[at + 1:]
+        assert differing(replica(f"flip{bit}", change=lambda _: flipped)) == ([(names[0], 2)], 74)
+    hole = data[:parts[1][0] + 30] + bytes(parts[3][0] + 30 - parts[1][0] - 30) + data[parts[3][0] + 30:]
+    assert differing(replica("hole", change=lambda _: hole))[0][0] == (names[0], 1)
+    cut = differing(replica("cut", change=lambda x: x[:parts[4][0] + 40]))
+    assert cut == ([(names[0], i) for i in range(4, n)], 74)
+    more = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert differing(replica("more", change=lambda x: x + more)) == ([(names[0], n)], 75)
+    path = replica("file", change=lambda x: x)
+    (tmp_path / "file" / "file=999").mkdir()
+    (tmp_path / "file" / "file=999" / "part-0").write_bytes(more * 2)
+    assert differing(path) == ([(999, 0), (999, 1)], 76)
+
 def test_split_records_of_odd_bytes():
     one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert warc_audit.split_records(one * 2) == [(0, len(one)), (len(one), len(one))]

@@ -6,11 +6,17 @@ are the next nodes compared, down to the records, which gives the damaged offset
 
 Records are cut into files of at most ``per_file`` by their place in the input, so a file's size and a tree
 node's children are bounded whatever the keys, and nothing is shuffled to write them. Files are written and
-read by Spark's own sources, so any store that Spark reaches will do; each is compressed as a whole, and
-offsets count uncompressed bytes.
+read by Spark's own sources, so any store that Spark reaches will do. Each record is a gzip member of its own and
+an empty member ends the file; offsets count uncompressed bytes.
+
+Bytes that cannot be unpacked are one differing leaf up to the next member that can, or to the next start of a
+member as written here, and the records after them keep their places; such a leaf's length counts stored bytes. A
+file that the store itself refuses to read whole (its own checksums) counts as lacking.
 
 Defined results: null url or html are written as empty; repeated rows are records of their own; an empty table
-has no files and no rows. A replica whose file lacks records or has more differs from the first of those on.
+has no files and no rows. A replica whose file lacks records or has more differs from the first of those on; records
+and files that only the other replica has are rows too, without an id. Several stored files of one number are read
+one after the other by name.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +35,10 @@ from vqaframe.session import shared_dir
 
 FANOUT = 16
 _EOL = "\r\n"
+_TAIL = (_EOL * 2).encode()
+_END = gzip.compress(b"", mtime=0)  # its last byte is 0
+_START = _END[:8]  # of each member written here
+_CHUNK = 1 << 16
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
@@ -56,13 +67,44 @@ def leaves_of_records(recs: DataFrame) -> DataFrame:
     return out.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+def file_contents(recs: DataFrame) -> DataFrame:
+    """``file``, ``content``: the stored bytes of each file less the last one, which is 0. Takes ``records`` in their order."""
+    python_ready(recs.sparkSession)
+
+    def work(batches):
+        now, parts = None, []
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join([*parts, _END[:-1]])], pa.binary())],
+                                              ["file", "content"])
+
+        for b in batches:
+            for file, place, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if file != now:
+                    if parts:
+                        yield done()
+                    now, parts = file, []
+                if place != len(parts):
+                    raise ValueError(f"file {file}: record {place} after {len(parts)} records")
+                parts.append(gzip.compress(bytes(record.as_buffer() or b"") + _TAIL, 6, mtime=0))
+        if parts:
+            yield done()
+
+    return recs.select("file", "place", "record").mapInArrow(work, "file bigint, content binary")
+
+
+def write_contents(contents: DataFrame, path: str) -> None:
+    """One directory ``file=...`` with one file for each row; the text source's line end is the last byte."""
+    (contents.select("file", F.col("content").cast("string").alias("value")).write
+     .partitionBy("file").option("lineSep", "\0").option("compression", "none").text(path))
+
+
 def write_archive(recs: DataFrame, path: str) -> None:
     """One directory ``file=...`` for each file, its records one after the other."""
-    (recs.sortWithinPartitions("file", "place").select("file", F.col("record").alias("value")).write
-     .partitionBy("file").option("lineSep", _EOL * 2).option("compression", "gzip").text(path))
+    write_contents(file_contents(recs), path)
 
 
-_HEAD = re.compile(rb"WARC/1\.0\r\n(?:[^\r\n]+\r\n)*?Content-Length: (\d+)\r\n(?:[^\r\n]+\r\n)*\r\n")
+_HEAD = re.compile(rb"WARC/1\.0\r\n(?:[^\r\n]+\r\n)*?Content-Length: (\d{1,18})\r\n(?:[^\r\n]+\r\n)*\r\n")
 
 
 def split_records(data: bytes) -> list[tuple[int, int]]:
@@ -79,25 +121,72 @@ def split_records(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _unpacked(data: memoryview, at: int):
+    """(bytes, end) of the member that begins at ``at``; None if there is no whole one."""
+    d, out = zlib.decompressobj(31), []
+    try:
+        while not d.eof and at < len(data):
+            out.append(d.decompress(data[at:at + _CHUNK]))
+            at += min(_CHUNK, len(data) - at)
+    except zlib.error:
+        return None
+    return (b"".join(out), at - len(d.unused_data)) if d.eof else None
+
+
+def members(data: bytes):
+    """(bytes of the member or None, stored start, stored end), one after the other; None for a range that cannot be unpacked."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        got = _unpacked(view, at)
+        if got:
+            yield got[0], at, got[1]
+            at = got[1]
+            continue
+        end = data.find(_START[:3], at + 1)
+        while end >= 0 and not (data.startswith(_START, end) or _unpacked(view, end)):
+            end = data.find(_START[:3], end + 1)
+        end = end if end >= 0 else len(data)
+        yield None, at, end
+        at = end
+
+
+def stored_records(data: bytes):
+    """(start, length, hash) of the records of a stored file."""
+    found, start = [m for m in members(data) if m[0] != b""], 0
+    for body, a, z in found:
+        if body is None:
+            yield start, z - a, hashlib.sha256(b"unreadable " + data[a:z]).hexdigest()
+            start += z - a
+            continue
+        cuts = split_records(body)
+        if len(found) > 1 and not all((m := _HEAD.match(body, x)) and m.end() + int(m[1]) + len(_TAIL) == x + n for x, n in cuts):
+            cuts = [(0, len(body))]  # a member of its own is one record, whatever is in it
+        for x, n in cuts:
+            yield start + x, n, hashlib.sha256(memoryview(body)[x:x + n]).hexdigest()
+        start += len(body)
+
+
 def leaves_of_archive(spark, path: str) -> DataFrame:
     """``file``, ``place``, ``start``, ``length``, ``hash`` of an archive's records as they are stored."""
     python_ready(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"file=(-?\d+)", 1).cast("long").alias("file"), "content")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+             .option("ignoreCorruptFiles", "true").load(path))
+    number = F.regexp_extract("path", r"file=(-?\d+)", 1).try_cast("long")
+    files = files.select(F.coalesce(number, F.xxhash64("path")).alias("file"), F.col("path").alias("name"), "content")
 
     def work(batches):
         for b in batches:
-            for k, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = gzip.decompress(content.as_buffer())
-                found = split_records(data)
-                view = memoryview(data)
+            for k, name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                start, length, digest = zip(*found, strict=True) if (found := list(stored_records(content.as_py()))) else ((), (), ())
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()),
-                     pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
-                     pa.array([hashlib.sha256(view[x:x + n]).hexdigest() for x, n in found], pa.string())],
-                    ["file", "place", "start", "length", "hash"])
+                    [pa.array([k] * n, pa.int64()), pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string())],
+                    ["file", "name", "at", "start", "length", "hash"])
 
-    return files.mapInArrow(work, "file bigint, place int, start bigint, length bigint, hash string")
+    out = files.mapInArrow(work, "file bigint, name string, at int, start bigint, length bigint, hash string")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("name", "at")) - 1
+    return out.select("file", place.cast("int").alias("place"), "start", "length", "hash")
 
 
 def tree(leaves: DataFrame, per_file: int) -> DataFrame:
@@ -134,6 +223,23 @@ def mismatches(left: DataFrame, right: DataFrame, per_file: int) -> DataFrame:
     return open_nodes.select("file", F.col("node").cast("int").alias("place"))
 
 
+def compare(left: DataFrame, right: DataFrame, per_file: int = 512) -> DataFrame:
+    """The leaves of ``left`` with ``intact``, and those that only ``right`` has, with their own range and hash, as not intact."""
+    bad = mismatches(left, right, per_file)
+    other = bad.join(right, ["file", "place"], "left").select("file", "place", *[F.col(c).alias(f"_{c}") for c in ("start", "length", "hash")],
+                                                              F.lit(True).alias("bad"))
+    out = left.join(other, ["file", "place"], "full_outer")
+    surplus = F.col("hash").isNull()
+    return out.select(*[F.when(surplus, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("start", "length", "hash") else F.col(c)
+                        for c in left.columns], F.col("bad").isNull().alias("intact"))
+
+
+def audit_replicas(spark, left: str, right: str, per_file: int = 512) -> DataFrame:
+    """``compare`` of two stored archives, given by their paths."""
+    return compare(materialise(leaves_of_archive(spark, left), "audit-one"),
+                   materialise(leaves_of_archive(spark, right), "audit-other"), per_file)
+
+
 def audit(pages: DataFrame, damage: Column | None = None, per_file: int = 512, **columns) -> DataFrame:
     """Write the pages as an archive, read it back and audit it against the pages.
 
@@ -145,8 +251,5 @@ def audit(pages: DataFrame, damage: Column | None = None, per_file: int = 512, *
     path = shared_dir(spark, "warc")
     write_archive(recs if damage is None else recs.withColumn("record", damage), path)
     source = materialise(leaves_of_records(recs), "audit-source")
-    if source.isEmpty():
-        return source.withColumn("intact", F.lit(True))
     stored = materialise(leaves_of_archive(spark, path), "audit-stored")
-    bad = mismatches(source, stored, per_file).withColumn("bad", F.lit(True))
-    return source.join(bad, ["file", "place"], "left").withColumn("intact", F.col("bad").isNull()).drop("bad")
+    return compare(source, stored, per_file).select("file", "place", "id", "start", "length", "hash", "intact")
