@@ -1,5 +1,6 @@
 import gzip
 import math
+import os
 import random
 
 import brute
@@ -104,6 +105,13 @@ def test_damage_of_stored_bytes(spark, pages, tmp_path):
     (tmp_path / "file" / "file=999" / "part-0").write_bytes(more * 2)
     assert differing(path) == ([(999, 0), (999, 1)], 76)
 
+
+def test_pages_are_read_once(spark, pages):
+    # a source that gives other records each time it is read, as a scan that is split otherwise does
+    other = F.udf(lambda _: os.urandom(8).hex(), "string").asNondeterministic()
+    out = warc_audit.audit(pages.withColumn("url", other("url")), per_file=20).collect()
+    assert len(out) == 74 and all(r.intact for r in out)
+
 def test_split_records_of_odd_bytes():
     one = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert warc_audit.split_records(one * 2) == [(0, len(one)), (len(one), len(one))]

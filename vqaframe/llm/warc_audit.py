@@ -57,40 +57,56 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
                        "id", F.concat(head, F.lit(_EOL), F.col("body")).alias("record"))
 
 
+def _with_starts(leaves: DataFrame) -> DataFrame:
+    before = F.sum(F.col("length")).over(Window.partitionBy("file").orderBy("place")
+                                         .rowsBetween(Window.unboundedPreceding, -1))
+    return leaves.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+
+
 def leaves_of_records(recs: DataFrame) -> DataFrame:
     """``file``, ``place``, ``id``, ``start``, ``length``, ``hash`` of records as they are made."""
     whole = F.concat("record", F.lit(_EOL * 2))
     size = F.octet_length(whole).cast("long")
-    before = F.sum(F.col("length")).over(Window.partitionBy("file").orderBy("place")
-                                         .rowsBetween(Window.unboundedPreceding, -1))
-    out = recs.select("file", "place", "id", size.alias("length"), F.sha2(whole, 256).alias("hash"))
-    return out.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
+    return _with_starts(recs.select("file", "place", "id", size.alias("length"), F.sha2(whole, 256).alias("hash")))
+
 
+def file_contents(recs: DataFrame, damage: Column | None = None) -> DataFrame:
+    """``file``, ``content``, ``leaves``: the stored bytes of each file less the last one, which is 0, and the leaves of its records.
 
-def file_contents(recs: DataFrame) -> DataFrame:
-    """``file``, ``content``: the stored bytes of each file less the last one, which is 0. Takes ``records`` in their order."""
+    Takes ``records`` in their order. ``damage`` is stored in place of the column ``record``; the leaves are those of
+    the record. All of a row comes from one reading of ``recs``.
+    """
     python_ready(recs.sparkSession)
+    whole = F.concat("record", F.lit(_EOL * 2))
+    kind = recs.schema["id"].dataType
+    base = recs.select("file", "place", (F.col("record") if damage is None else damage).alias("stored"), "id",
+                       F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("hash"))
 
     def work(batches):
-        now, parts = None, []
+        now, parts, leaves = None, [], []
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join([*parts, _END[:-1]])], pa.binary())],
-                                              ["file", "content"])
+            rows = pa.concat_arrays(leaves)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int64()), pa.array([b"".join([*parts, _END[:-1]])], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["file", "content", "leaves"])
 
         for b in batches:
-            for file, place, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            rows = pa.StructArray.from_arrays([b.column(i) for i in (1, 3, 4, 5)], ["place", "id", "length", "hash"])
+            for i, (file, place, record) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
                 if file != now:
                     if parts:
                         yield done()
-                    now, parts = file, []
+                    now, parts, leaves = file, [], []
                 if place != len(parts):
                     raise ValueError(f"file {file}: record {place} after {len(parts)} records")
                 parts.append(gzip.compress(bytes(record.as_buffer() or b"") + _TAIL, 6, mtime=0))
+                leaves.append(rows.slice(i, 1))
         if parts:
             yield done()
 
-    return recs.select("file", "place", "record").mapInArrow(work, "file bigint, content binary")
+    return base.mapInArrow(work, "file bigint, content binary, leaves array<struct<place: int, "
+                                 f"id: {kind.simpleString()}, length: bigint, hash: string>>")
 
 
 def write_contents(contents: DataFrame, path: str) -> None:
@@ -249,7 +265,9 @@ def audit(pages: DataFrame, damage: Column | None = None, per_file: int = 512, *
     spark = pages.sparkSession
     recs = records(pages, per_file=per_file, **columns)
     path = shared_dir(spark, "warc")
-    write_archive(recs if damage is None else recs.withColumn("record", damage), path)
-    source = materialise(leaves_of_records(recs), "audit-source")
+    # once: another reading of the pages may number them otherwise. The archive and the source's leaves come from this table
+    made = materialise(file_contents(recs, damage), "audit-made")
+    write_contents(made, path)
+    source = materialise(_with_starts(made.select("file", F.inline("leaves"))), "audit-source")
     stored = materialise(leaves_of_archive(spark, path), "audit-stored")
     return compare(source, stored, per_file).select("file", "place", "id", "start", "length", "hash", "intact")
