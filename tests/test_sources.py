@@ -116,6 +116,22 @@ def test_save_load_or_build_and_log(spark, tmp):
                                              frozenset({"eval_loss", "step", "epoch"})}
 
 
+def test_incomplete_dataset_is_built_anew(spark, tmp):
+    df = spark.createDataFrame([(1, "train"), (2, "val")], "id int, split string")
+    p = f"{tmp}/part"
+    df.filter("id = 1").write.partitionBy("split").parquet(p)
+    os.remove(f"{p}/_SUCCESS")  # as a commit that ended in the middle
+    ds = dataset_io.load_or_build(spark, p, lambda: df, partition_by=["split"])
+    assert sorted(r.id for r in ds.collect()) == [1, 2]
+
+
+def test_dataset_roundtrip_reuses_what_it_saved(spark, monkeypatch):
+    from vqaframe.plans import queries
+    monkeypatch.setattr(dataset_io, "path_exists", lambda *_: False)
+    with pytest.raises(AssertionError, match="must be reused"):
+        queries.q_dataset_roundtrip(spark, "/root/testdata/sf0.001")
+
+
 def test_prepare_split_end_to_end(spark, tmp):
     from vqaframe.operators.dataset_build import prepare_split
     ann = {"annotations": [

@@ -76,11 +76,16 @@ def q_qa_train_split(spark, d):
     return _qa_dataset(spark, d, T.TRAIN_P).select(*DATASET_COLS)
 
 
+def _built_already():
+    raise AssertionError("the saved dataset is complete and must be reused")
+
+
 def q_dataset_roundtrip(spark, d):
-    """S2 + S3 (+ S4): saved partitioned by split, read back."""
+    """S2 + S3 + S4: saved partitioned by split, then reused and read back."""
     path = shared_dir(spark, "qa-dataset")
-    ds = dataset_io.load_or_build(spark, path, lambda: q_qa_dataset(spark, d), load=True,
-                                  partition_by=["split"])
+    build = lambda: q_qa_dataset(spark, d)
+    dataset_io.load_or_build(spark, path, build, load=True, partition_by=["split"])
+    ds = dataset_io.load_or_build(spark, path, _built_already, load=True, partition_by=["split"])
     return ds.select(*DATASET_COLS)
 
 

@@ -26,12 +26,13 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                   load: bool = True, partition_by: list[str] | None = None) -> DataFrame:
-    """Reuse the saved dataset when asked and present, else build and save.
+    """Reuse the saved dataset when asked and complete, else build and save.
 
+    Complete is a folder with the success marker that Spark's writer leaves after its commit.
     Both branches return the table read back from storage, so a sampled
     dataset is frozen once written.
     """
-    if not (load and path_exists(spark, path)):
+    if not (load and path_exists(spark, f"{path}/_SUCCESS")):
         save_dataset(build(), path, partition_by)
     return load_dataset(spark, path)
 
