@@ -91,8 +91,80 @@ SELECT * FROM (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
   FROM s) WHERE rank <= 10"""
 
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || s[1:8])::BIGINT AS h1,
+         ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (
+  SELECT doc_id, t, len(u) AS n, u, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+         greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(u, 1, a), '') AS pre,
+         array_to_string(list_slice(u, a + 1, b), '') AS mid, array_to_string(list_slice(u, b + 1, n), '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, regexp_extract_all(t, '{x}') AS ms, string_split_regex(t, '{x}') AS gaps, "
+    f"regexp_extract_all(t, '{x}', {2 if k == 0 else 0}) AS vs FROM d"
+    for k, x in enumerate((_ASSIGN, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_=-]{16,}")))
+
+SECRETS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, kind, i, length(gaps[i]) AS skip, length(ms[i]) AS chars, vs[i] AS v
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({_MATCHES}))),
+placed AS (
+  SELECT doc_id, kind, v, z - chars AS s, z FROM (
+    SELECT *, sum(skip + chars) OVER (PARTITION BY doc_id, kind ORDER BY i) AS z FROM m)),
+rules AS (SELECT * FROM placed WHERE kind < 3 AND (kind <> 0 OR length(v) >= 6)),
+alone AS (
+  SELECT * FROM placed c WHERE kind = 3 AND regexp_matches(v, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM rules b WHERE b.doc_id = c.doc_id AND b.s < c.z AND b.z > c.s)),
+keyed AS (SELECT md5(doc_id::VARCHAR) AS k, t FROM d),
+blanked AS (
+  SELECT regexp_replace(regexp_replace(regexp_replace(t, '{_ASSIGN}', ' ', 'g'), 'AKIA[A-Z0-9]{{16,}}', ' ', 'g'),
+                        '[0-9a-f]{{24,}}', ' ', 'g') AS t
+  FROM keyed WHERE k <= (SELECT max(k) FROM (SELECT k FROM keyed ORDER BY k LIMIT 2000))),
+names AS (SELECT DISTINCT v FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{{6,}}')) AS v FROM blanked) WHERE regexp_matches(v, '[A-Za-z]')),
+labelled AS (SELECT v, 1 AS random FROM (SELECT DISTINCT v FROM rules) UNION ALL SELECT v, 0 FROM names),
+al AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-' AS x),
+steps AS (
+  SELECT random, instr(x, v[i]) AS a, instr(x, v[i + 1]) AS b
+  FROM (SELECT random, v, unnest(range(1, length(v))) AS i FROM labelled), al),
+counts AS (SELECT a, b, sum(random) AS r, sum(1 - random) AS o FROM steps WHERE a > 0 AND b > 0 GROUP BY a, b),
+grid AS (
+  SELECT a, b, coalesce(r, 0) + 1.0::DOUBLE AS r, coalesce(o, 0) + 1.0::DOUBLE AS o
+  FROM (SELECT a, unnest(range(1, 68)) AS b FROM (SELECT unnest(range(1, 68)) AS a)) LEFT JOIN counts USING (a, b)),
+scores AS (
+  SELECT a, b, round(1000 * (ln(r / sum(r) OVER (PARTITION BY a)) - ln(o / sum(o) OVER (PARTITION BY a))))::BIGINT AS score
+  FROM grid),
+judged AS (
+  SELECT doc_id, s, z FROM (
+    SELECT doc_id, s, z, instr(x, v[i]) AS a, instr(x, v[i + 1]) AS b
+    FROM (SELECT doc_id, s, z, v, unnest(range(1, length(v))) AS i FROM alone), al) JOIN scores USING (a, b)
+  GROUP BY doc_id, s, z HAVING sum(score) >= 10000),
+spans AS (
+  SELECT doc_id, kind, s, z, ['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || z AS x FROM rules
+  UNION ALL SELECT doc_id, 3, s, z, 'markov:' || s || ':' || z FROM judged)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(x, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(x, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id GROUP BY d.doc_id"""
+
 SQL = {
     "op4_exact_topk": TOP_K,
     "op5_quality_rules": QUALITY,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_fill_middle": FILL_MIDDLE,
+    "op12_secret_scan": SECRETS,
 }

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.llm import (license_scan, line_dedup, packing, quality, sentencepiece_fst, simhash, suffix_dedup,
-                          token_count, topk, warc_audit)
+from vqaframe.llm import (fill_middle, license_scan, line_dedup, packing, periodic, quality, secret_scan, sentencepiece_fst,
+                          simhash, suffix_dedup, token_count, topk, warc_audit)
+from vqaframe.llm.common import BLANK
 from vqaframe.session import table_path
 
 
@@ -72,6 +73,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind_no"] == k)).cast("long")
+    rules = F.filter("spans", lambda x: x["kind_no"] < secret_scan.MARKOV)
+    return out.select(F.col("id").alias("doc_id"), *[of(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)],
+                      F.sha2(secret_scan.joined_spans(rules), 256).alias("base_sha256"),
+                      secret_scan.joined_spans(F.col("spans")).alias("spans"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the periods that the contract of op13 plants in a tenth of the documents."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    trimmed = F.btrim("text", F.lit(BLANK))
+
+    def periodic_words(words):  # a variable of the outer transform, so that the text is split once
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda x: F.array_join(F.transform(
+            words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + (i - x["a"]) % x["p"]).cast("int")))), " "))
+
+    planted = F.get(F.get(F.transform(F.array(F.split(trimmed, r"[\x20\x09-\x0D]+")), periodic_words), F.lit(0)), F.lit(0))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (trimmed != ""), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_periods(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic.collapse_runs(docs)
+    longest = F.get(F.sort_array(F.transform("runs", lambda x: F.struct(
+        (-x["length"]).alias("less"), x["start"].alias("start"), x["period"].alias("period")))), F.lit(0))
+    listed = F.concat_ws("", F.transform("runs", lambda x: F.concat(
+        F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))))
+    return out.withColumn("x", longest).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("x.start").alias("start"),
+        (-F.col("x.less")).alias("length"), F.col("x.period").alias("period"),
+        F.floor(-1000 * F.col("x.less") / F.col("x.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,4 +130,7 @@ QUERIES = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
