@@ -103,5 +103,21 @@ def passages(texts, length):
     return out
 
 
+def passages_kept_once(texts, length):
+    """[(n_removed, kept bytes)]: of equal strings the first by (text number, place) stays."""
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            first.setdefault(t[p:p + length], (i, p))
+    out = []
+    for i, t in enumerate(texts):
+        cut = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if first[t[p:p + length]] != (i, p):
+                cut[p:p + length] = b"\1" * length
+        out.append((sum(cut), bytes(c for c, x in zip(t, cut) if not x)))
+    return out
+
+
 def sha(b):
     return hashlib.sha256(b).hexdigest()

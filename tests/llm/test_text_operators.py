@@ -211,6 +211,21 @@ def test_repeated_passages(spark, edge, empty, most):
         assert suffix_dedup.cut_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1024, 2])
+def test_one_copy_of_a_passage_stays(spark, most):
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("ab c") for _ in range(rng.randint(60, 300))) for _ in range(12)]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 90)))
+                     for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    texts += ["a" * 500, "", "x" * 99] + texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = suffix_dedup.cut_passages(df, length=100, gram=30, most=most, keep_first=True).collect()
+    want = brute.passages_kept_once([t.encode() for t in texts], 100)
+    assert sorted((r.id, r.n_removed, bytes(r.kept)) for r in out) == [(i, *w) for i, w in enumerate(want)]
+    twice = suffix_dedup.cut_passages(df.filter("doc_id = 60").union(df.filter("doc_id = 60")), length=400, keep_first=True)
+    assert {bytes(r.kept) for r in twice.collect()} == {b"a" * 400}  # rows of equal id and text are one place
+
+
 def test_long_texts_are_cut_like_short_ones(monkeypatch):
     rng = random.Random(3)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))

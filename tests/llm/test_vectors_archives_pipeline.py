@@ -137,17 +137,34 @@ def test_pipeline_equals_plain_python(spark):
     docs = [(i, t) for i, _, _, t in brute.line_dedup(docs)]
     group = brute.components([brute.simhash(t) for _, t in docs])
     docs = [d for d, g in zip(docs, group) if docs[g] == d]
-    left = brute.passages([t.encode() for _, t in docs], 400)
-    docs = [(i, x[3].decode("utf-8", "ignore")) for (i, _), x in zip(docs, left)]
+    left = brute.passages_kept_once([t.encode() for _, t in docs], 200)
+    docs = [(i, x[1].decode("utf-8", "ignore")) for (i, _), x in zip(docs, left) if not x[0] or x[1].split()]
     *_, before, rows = run_stages(spark, spark.read.parquet(src))
     assert sorted((r.doc_id, r.text, r.n_chars) for r in before.collect()) == sorted((i, t, len(t)) for i, t in docs)
     check_packing(rows.collect(), docs)
 
 
+def test_passage_stage_keeps_one_copy_and_drops_emptied_documents(spark):
+    passage = " ".join(f"word{i}" for i in range(51))
+    docs = [(1, f"first {passage} end", 0), (2, f"second {passage} other", 0), (3, passage, 0), (4, "clean text", 0), (5, "", 0), (6, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.passage_dedup(spark, df, "").collect()}
+    assert out == {1: (docs[0][1], len(docs[0][1])), 2: ("secondother", 11), 4: ("clean text", 10), 5: ("", 0), 6: ("", 0)}
+
+
 def test_pipeline_on_edge_rows(spark, edge, empty):
     assert [d.count() for d in run_stages(spark, empty)] == [0] * 5
-    for docs in run_stages(spark, edge):
-        docs.count()
+    rows = edge.select("doc_id", "text", "row").collect()
+    quality_rules, lines, near, passages, packing_stage = (f for _, f in corpus_pipeline.STAGES)
+    passed = {r.row for r in rows if not brute.base_stats(r.text)[-1]}
+    assert {r.row for r in quality_rules(spark, edge, "").collect()} <= passed
+    want = brute.line_dedup([(r.doc_id, r.text) for r in rows])
+    assert sorted(str((r.doc_id, r.text)) for r in lines(spark, edge, "").collect()) == sorted(str((i, t)) for i, _, _, t in want)
+    assert near(spark, edge, "").count() == len(set(brute.components([brute.simhash(r.text) for r in rows])))
+    left = passages(spark, edge, "").collect()
+    assert all(r.n_chars == len(r.text) for r in left) and {r.row for r in rows if not (r.text or "").strip(" \n\t")} <= {r.row for r in left}
+    packed = packing_stage(spark, edge, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows} and all(0 < r.length <= 1024 for r in packed)
 
 
 def test_run_gives_pieces(spark):

@@ -62,9 +62,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy(F.col("id").alias("gone_id"), F.col("version").alias("gone_version"))
             .agg(F.collect_set("pos").alias("gone")))  # at most the lines of one document
 
-    text = base.withColumn("version", F.xxhash64("text"))
-    joined = text.join(gone, text["id"].eqNullSafe(gone["gone_id"]) &
-                       (text["version"] == gone["gone_version"]), "left")
+    rows = base.withColumn("version", F.xxhash64("text")).drop("text")  # the text moves once, inside the row
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]) &
+                       (rows["version"] == gone["gone_version"]), "left")
+    joined = joined.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
     split = joined.select("row", "id", "text", F.split("text", "\n", -1).alias("all_lines"),
                           "gone")
     n_lines = F.size("all_lines")

@@ -1,5 +1,8 @@
 """Repeated passages: cut every byte covered by a string of ``length`` bytes that starts at two places.
 
+With ``keep_first`` the first occurrence of each string (by id, text hash, place) doesn't count, so that of every
+passage one copy stays.
+
 Method: column-wise multi-document construction. The strings of a collection are aligned, and each round
 inserts one symbol per string: the order of the strings by what they have read so far (the collection's
 Burrows-Wheeler order) and the length each shares with its neighbour (common prefixes, here read towards
@@ -18,7 +21,8 @@ work is therefore cut into short aligned strings that can hold all answers:
    All windows of a block share its core; they differ in how much of the 63 bytes before and after it they
    take. Blocks with a core seen once are done: none of their windows is repeated.
 4. Construction. The 126 edge bytes of all blocks with equal cores are the collection: one column, one
-   symbol per string, each round. A shared length of 63 in column c says that window c - 62 is repeated.
+   symbol per string, each round. A shared length of 63 in column c says that window c - 62 is repeated; strings
+   that share it stand together, and the first of them by owner is the window's first occurrence.
    Groups go to tasks by their core. A core with more than ``most`` different edges does not enter a task:
    its windows are counted by hash over all tasks, with the same result.
 
@@ -26,7 +30,8 @@ Counts combine before shuffles; joins shuffle both sides, so Spark splits hot ke
 compared by 128-bit hashes, edges byte by byte.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` stay whole; repeated
-rows are copies of each other; matches never cross documents; an empty table gives no rows.
+rows are copies of each other (with ``keep_first``, rows of equal id and text are one place and fare alike);
+matches never cross documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -153,10 +158,11 @@ def _long_text(k: int, text: bytes, gram: int, length: int):
         yield np.array([k]), *held
 
 
-def column_matches(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+def column_matches(group: np.ndarray, left: list[bytes], right: list[bytes], keep_first: bool = False) -> np.ndarray:
     """For each block, the bits of its windows that another block of its group holds too.
 
     ``group``: group numbers, rising. ``left``, ``right``: up to EDGE bytes before and after the core.
+    ``keep_first``: not the bits of a window in the first block that holds it.
     The columns are written to a file and read one after the other; each round inserts one symbol per
     string into the order and the shared lengths.
     """
@@ -187,6 +193,10 @@ def column_matches(group: np.ndarray, left: list[bytes], right: list[bytes]) ->
             shared = now
             if c >= EDGE - 1:
                 hit = np.maximum(shared[:m], shared[1:]) >= EDGE
+                if keep_first and hit.any():
+                    heads = np.flatnonzero(shared[:m] < EDGE)
+                    least = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.r_[heads, m]))
+                    hit &= order != least
                 marks[order[hit]] |= np.uint64(1) << np.uint64(c - EDGE + 1)
     return marks
 
@@ -212,12 +222,12 @@ def anchors(base: DataFrame, gram: int, length: int) -> DataFrame:
 
 
 def blocks(base: DataFrame, picked: DataFrame, length: int) -> DataFrame:
-    """One row per block around a picked context: k1, k2 (core and distance), left, right, c1, c2, j."""
+    """One row per block around a picked context: k1, k2 (core and distance), left, right, c1, c2, j, id, version, a."""
 
     def work(batches):
         for b in batches:
-            out = []
-            for text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out, row = [], []
+            for r, (text, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 for x in found:
                     a, s, e = x["a"], x["s"], x["e"]
                     for j in range((a - e) // BLOCK, (a - s) // BLOCK + 1):
@@ -225,30 +235,38 @@ def blocks(base: DataFrame, picked: DataFrame, length: int) -> DataFrame:
                         core = xxhash.xxh3_128_digest(memoryview(text)[lo + EDGE:lo + length], seed=j)
                         k1, k2 = struct.unpack("<qq", core)
                         out.append((k1, k2, text[max(0, lo):lo + EDGE], text[lo + length:lo + length + EDGE],
-                                    x["c1"], x["c2"], j))
+                                    x["c1"], x["c2"], j, a))
+                        row.append(r)
                 if len(out) > 50_000:
-                    yield batch(out)
-                    out = []
+                    yield batch(b, row, out)
+                    out, row = [], []
             if out:
-                yield batch(out)
+                yield batch(b, row, out)
 
-    def batch(out):
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.int32()], strict=True)],
-            ["k1", "k2", "left", "right", "c1", "c2", "j"])
+    def batch(b, row, out):
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.int32()] * 2
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        pick = pa.array(row)
+        return pa.RecordBatch.from_arrays([*cols, b.column(0).take(pick), b.column(1).take(pick)],
+                                          ["k1", "k2", "left", "right", "c1", "c2", "j", "a", "id", "version"])
 
     lists = materialise(picked.groupBy(F.col("id").alias("f_id"), F.col("version").alias("f_version")).agg(
         F.collect_list(F.struct("a", "s", "e", "c1", "c2")).alias("found")), "passage-picked")  # of one document each
     joined = base.join(lists, base["id"].eqNullSafe(lists["f_id"]) & (base["version"] == lists["f_version"]))
     # repeated rows (same id and text) come more than once: they are copies of each other, as the counts then say
-    return joined.select("text", "found").mapInArrow(
-        work, "k1 bigint, k2 bigint, left binary, right binary, c1 bigint, c2 bigint, j int")
+    id_type = base.schema["id"].dataType.simpleString()
+    return joined.select("id", "version", "text", "found").mapInArrow(
+        work, f"k1 bigint, k2 bigint, left binary, right binary, c1 bigint, c2 bigint, j int, a int, id {id_type}, version bigint")
+
 
+def repeated_blocks(found: DataFrame, most: int, keep_first: bool = False) -> DataFrame:
+    """(k1, k2, left, right, mark): the blocks with repeated windows, a bit for each.
 
-def repeated_blocks(found: DataFrame, most: int) -> DataFrame:
-    """(k1, k2, left, right, mark): the blocks with repeated windows, a bit for each."""
-    kinds = materialise(found.groupBy("k1", "k2", "left", "right").agg(F.count(F.lit(1)).alias("n")), "passage-kinds")
+    ``keep_first``: the marks of a block's first place (``owner``); all windows are repeated at its other places.
+    """
+    owner = [F.min(F.struct("id", "version", "a")).alias("owner")] if keep_first else []
+    o = ["owner"] if keep_first else []
+    kinds = materialise(found.groupBy("k1", "k2", "left", "right").agg(F.count(F.lit(1)).alias("n"), *owner), "passage-kinds")
     cores = materialise(kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
                         .filter(F.col("total") >= 2).select("k1", "k2", "kinds"), "passage-cores")
     # written, so that a core with many edges is split in the join and its windows are dealt by their own hashes
@@ -278,28 +296,34 @@ def repeated_blocks(found: DataFrame, most: int) -> DataFrame:
     def done(t):
         k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
         group = np.cumsum(np.r_[False, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-        marks = column_matches(group, t.column("left").to_pylist(), t.column("right").to_pylist())
-        t = t.append_column("mark", pa.array(marks.view(np.int64))).filter(pa.array(marks != 0)).combine_chunks()
+        marks = column_matches(group, t.column("left").to_pylist(), t.column("right").to_pylist(), keep_first)
+        t = t.select(cols).append_column("mark", pa.array(marks.view(np.int64))).filter(pa.array(marks != 0)).combine_chunks()
         batch = t.to_batches()
         return batch[0] if batch else pa.RecordBatch.from_pylist([], schema=t.schema)
 
     cols = ["k1", "k2", "left", "right"]
-    by_column = small.select(*cols).repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(
+    by_column = small.select(*cols, *o).repartition("k1", "k2").sortWithinPartitions("k1", "k2", *o).mapInArrow(
         work, "k1 bigint, k2 bigint, left binary, right binary, mark bigint")
 
     # too many for a task: each window by its own hash, counted over all tasks
     t = F.col("t")
-    start = large.select(*cols, F.explode(F.sequence(F.greatest(F.lit(0), EDGE - F.octet_length("left")),
+    start = large.select(*cols, *o, F.explode(F.sequence(F.greatest(F.lit(0), EDGE - F.octet_length("left")),
                                                      F.octet_length("right"))).alias("t"))
     start = start.filter(t <= EDGE)
     own = F.expr(f"substring(left, octet_length(left) - ({EDGE} - t) + 1, {EDGE} - t)"), F.expr("substring(right, 1, t)")
-    window = start.select(*cols, "t", F.xxhash64(*own).alias("w1"), F.xxhash64(F.lit(1), *own).alias("w2"))
+    window = start.select(*cols, *o, "t", F.xxhash64(*own).alias("w1"), F.xxhash64(F.lit(1), *own).alias("w2"))
     keys = ["k1", "k2", "t", "w1", "w2"]
-    twice = materialise(window.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys),
-                        "passage-windows")
-    by_window = (window.join(twice, keys).groupBy(*cols)
-                 .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mark")))
-
+    first = [F.min("owner").alias("first")] if keep_first else []
+    twice = window.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first).filter(F.col("n") > 1).drop("n")
+    again = window.join(materialise(twice, "passage-windows"), keys)
+    if keep_first:
+        again = again.filter(F.col("owner") != F.col("first"))
+    by_window = again.groupBy(*cols).agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mark"))
+
+    if keep_first:
+        marks = by_column.unionByName(by_window).groupBy(*cols).agg(F.bit_or("mark").alias("mark"))
+        own_marks = kinds.filter((F.col("n") >= 2) | (F.col("kinds") >= 2)).select(*cols, "owner").join(marks, cols, "left")
+        return materialise(own_marks.withColumn("mark", F.coalesce("mark", F.lit(0).cast("long"))), "passage-marks")
     # equal blocks at several places: every window that exists is repeated
     copies = kinds.filter(F.col("n") >= 2).select(*cols, F.lit(-1).cast("long").alias("mark"))
     return materialise(by_column.unionByName(by_window).unionByName(copies).groupBy(*cols).agg(
@@ -307,15 +331,16 @@ def repeated_blocks(found: DataFrame, most: int) -> DataFrame:
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                 gram: int = 128, most: int = 1024, as_text: bool = False) -> DataFrame:
+                 gram: int = 128, most: int = 1024, as_text: bool = False, keep_first: bool = False) -> DataFrame:
     """One row per document: ``row`` (the input), ``id``, ``n_bytes``, ``n_removed``, ``spans`` (start, end), ``kept``.
 
     ``kept`` is the remaining bytes, or with ``as_text`` a string: characters of which a part was cut go.
+    ``keep_first``: the first occurrence of every repeated string stays, unless another's copy covers it.
     """
     spark = docs.sparkSession
     python_ready(spark)
-    base = packed(docs, id=id_col, text=text_col).withColumn(
-        "text", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).withColumn("version", F.xxhash64("text"))
+    raw = lambda c: F.encode(F.coalesce(c, F.lit("")), "UTF-8")
+    base = packed(docs, id=id_col, text=text_col).withColumn("text", raw(F.col("text"))).withColumn("version", F.xxhash64("text"))
     text = base.select("id", "version", "text")
 
     all_anchors = materialise(anchors(text, gram, length), "passage-anchors")
@@ -324,26 +349,38 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter(F.col("n") >= 2).select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "passage-grams")
     found = materialise(all_anchors.join(grams, "gram").drop("gram"), "passage-found")
 
+    place = F.struct("id", "version", "a")
     contexts = materialise(
         found.filter("mixed").groupBy("c1", "c2")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "a", "s", "e")).alias("r"))
         .select("c1", "c2", "n", "r.*"), "passage-contexts")
     around = materialise(blocks(text, contexts, length), "passage-blocks")
-    marks = repeated_blocks(around, most)
+    marks = repeated_blocks(around, most, keep_first)
     keys = ["k1", "k2", "left", "right"]
-    marked = (around.join(marks, keys).groupBy("c1", "c2")
-              .agg(F.collect_list(F.struct("j", "mark")).alias("marks")))  # a handful of blocks each
-    verdict = materialise(
-        contexts.select("c1", "c2", (F.col("n") >= 2).alias("whole")).join(marked, ["c1", "c2"], "left")
-        .filter(F.col("whole") | F.col("marks").isNotNull()), "passage-verdict")
+    marked = around.join(marks, keys)
+    if keep_first:
+        marked = marked.withColumn("mark", F.when(place == F.col("owner"), F.col("mark")).otherwise(F.lit(-1)))
+        marked = marked.filter(F.col("mark") != 0)
+    marked = marked.groupBy("c1", "c2").agg(F.collect_list(F.struct("j", "mark")).alias("marks"))  # a handful of blocks each
+    verdict = contexts.select("c1", "c2", (F.col("n") >= 2).alias("whole"), place.alias("first")).join(marked, ["c1", "c2"], "left")
+    verdict = materialise(verdict.filter(F.col("whole") | F.col("marks").isNotNull()), "passage-verdict")
 
     here = F.struct("a", "s", "e", "whole", "marks").alias("x")
-    pure = found.filter(~F.col("mixed")).select("id", "version", "a", "s", "e", F.lit(True).alias("whole"),
-                                                F.lit(None).cast(verdict.schema["marks"].dataType).alias("marks"))
-    mixed = found.filter("mixed").join(verdict, ["c1", "c2"]).select("id", "version", "a", "s", "e", "whole", "marks")
+    marks_type = verdict.schema["marks"].dataType
+    pure = found.filter(~F.col("mixed")).select("id", "version", "a", "s", "e", "c1", "c2", F.lit(True).alias("whole"),
+                                                F.lit(None).cast(marks_type).alias("marks"))
+    mixed = found.filter("mixed").join(verdict, ["c1", "c2"])
+    if keep_first:
+        firsts = materialise(pure.groupBy("c1", "c2").agg(F.min(place).alias("first")), "passage-firsts")
+        pure = pure.join(firsts, ["c1", "c2"]).filter(place != F.col("first"))
+        mixed = mixed.withColumn("whole", F.col("whole") & (place != F.col("first")))
+        mixed = mixed.filter(F.col("whole") | F.col("marks").isNotNull())
+    pure, mixed = (x.select("id", "version", "a", "s", "e", "whole", "marks") for x in (pure, mixed))
     lists = materialise(pure.unionByName(mixed).select(F.col("id").alias("f_id"), F.col("version").alias("f_version"), here)
                         .groupBy("f_id", "f_version").agg(F.collect_list("x").alias("found")), "passage-lists")
-    joined = base.join(lists, base["id"].eqNullSafe(lists["f_id"]) & (base["version"] == lists["f_version"]), "left")
+    # the text moves once, inside the row
+    joined = base.drop("text").join(lists, base["id"].eqNullSafe(lists["f_id"]) & (base["version"] == lists["f_version"]), "left")
+    joined = joined.withColumn("text", raw(F.col(f"row.`{text_col}`")))
     joined = joined.select("row", "id", "text", "found")
     row_type, id_type = (joined.schema[c].dataType.simpleString() for c in ("row", "id"))
 
