@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vqaframe.llm import line_dedup, packing, quality, simhash, suffix_dedup
-from vqaframe.llm.common import materialise, unpacked
+from vqaframe.llm.common import BLANK, materialise, unpacked
 from vqaframe.session import table_path
 
 
@@ -34,9 +34,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+#: Bytes of a passage. A repeat of more than 50 words is at least 51 words and blanks long, in prose about 300 bytes;
+#: 200 also finds those with short words, and shorter repeats with them.
+PASSAGE_BYTES, PASSAGE_GRAM = 200, 64
+
+
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that occur at two places go from both."""
-    return unpacked(suffix_dedup.cut_passages(docs, as_text=True), docs.columns, text=F.col("kept"))
+    """Of passages of ``PASSAGE_BYTES`` that occur at several places the first stays, all others go.
+
+    A document whose last word went so is dropped: nothing of it is left to pack.
+    """
+    cut = suffix_dedup.cut_passages(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM, as_text=True, keep_first=True)
+    emptied = (F.col("n_removed") > 0) & (F.btrim("kept", F.lit(BLANK)) == "")
+    return unpacked(cut.filter(~emptied), docs.columns, text=F.col("kept"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
