@@ -99,21 +99,38 @@ def test_inference_and_routing(spark, vocab):
 
 
 def test_image_count_and_mask(spark, vocab):
-    long = E.encode_pairs_long(_pairs(spark, [(1, "cat", "dog")]), ["k"], vocab,
-                               text_length=4, num_patches=3)
-    assert E.image_token_count(long, ["k"], 9).first()["n_image_tokens"] == 3
-    arr = E.to_arrays(long, ["k"], ["input_id", "token_type"])
+    arr = E.encode_pairs(_pairs(spark, [(1, "cat", "dog")]), ["k"], vocab, text_length=4, num_patches=3)
+    assert arr.select(E.image_token_count("input_id", 9).alias("n")).first()["n"] == 3
     m = arr.select(E.image_mask("input_id", 9).alias("m"),
                    E.mask_labels("input_id", "token_type").alias("lab")).first()
     assert m["m"][:4] == [True, True, True, False]
     assert m["lab"][:6] == [-100, -100, -100, -100, 7, 1]
 
 
-def test_decode_roundtrip(spark, vocab):
-    df = spark.createDataFrame([(1, "the cat  sat\tthe"), (2, "x")], "k int, text string")
-    ids = E.lookup_ids(E.tokens_long(df, ["k"], "text"), vocab)
-    dec = {r["k"]: r["text"] for r in E.decode_ids(ids, vocab, ["k"]).collect()}
-    assert dec == {1: "the cat <unk> the", 2: "x"}
+@pytest.mark.parametrize("sent", [True, False])
+def test_ids_and_decoding_roundtrip(spark, vocab, sent):
+    """Looked up inside the row, with the vocabulary sent along or (too large) joined with each row's own tokens."""
+    rows = [(1, "the cat  sat\tthe"), (2, "x"), (3, None), (4, ""), (None, "dog " * 500 + "cat")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    bound = {} if sent else {"max_broadcast": 0}
+    ids = E.token_ids(df, ["k"], "text", vocab, **bound)
+    got = {r["k"]: r["ids"] for r in ids.collect()}
+    assert got == {1: [5, 4, 3, 5], 2: [8], 3: None, 4: [], None: [7] * 500 + [4]}
+    text = {r["k"]: r["t"] for r in E.decode_ids(ids, ["k"], "ids", vocab, "t", **bound).collect()}
+    assert text == {1: "the cat <unk> the", 2: "x", 3: None, 4: "", None: "dog " * 500 + "cat"}
+    plan = E.token_ids(df, ["k"], "text", vocab, **bound)._jdf.queryExecution().executedPlan().toString()
+    if sent:  # nothing is exploded, joined or moved but the vocabulary itself
+        assert "Generate" not in plan.split("Subquery")[0] and "Join" not in plan.split("Subquery")[0]
+    assert E.token_ids(df.limit(0), ["k"], "text", vocab, **bound).count() == 0
+
+
+def test_vocabulary_has_a_largest_size(spark):
+    corpus = spark.createDataFrame([("b a c a b a d",)], "text string")
+    v = E.build_vocab(corpus, "text", max_size=6)
+    assert [r["token"] for r in v.orderBy("id").collect()] == [*E.SPECIAL_TOKENS, "a", "b"]
+    empty = E.build_vocab(corpus.limit(0), "text")
+    df = spark.createDataFrame([(1, "a b")], "k int, text string")
+    assert E.token_ids(df, ["k"], "text", empty).first()["ids"] == [3, 3]
 
 
 def test_context_length():
@@ -167,7 +184,7 @@ def test_shuffle_join_path_matches_broadcast(spark, vocab):
         return sorted(tuple(r) for r in E.to_arrays(long, ["k"], fields).collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert enc(0) == enc(E.MAX_BROADCAST_VOCAB)
+        assert enc(0) == enc(E.MAX_ROWS)
         inf = E.encode_inference_long(_pairs(spark, rows), ["k"], vocab, num_patches=2, max_broadcast=0)
         got = {r["k"]: r["input_id"] for r in E.to_arrays(inf, ["k"], ["input_id"]).collect()}
         assert got[1] == [9, 9, 5, 4, 3] and got[3] == [9, 9]
@@ -193,8 +210,8 @@ def test_routed_encoding_equals_separate_encoders(spark, vocab):
 
 def test_image_token_mismatch_reports_truncated_prefix(spark, vocab):
     rows = [(1, "cat", "dog"), (2, "a " * 20, "the " * 20)]
-    long = E.encode_pairs_long(_pairs(spark, rows), ["k"], vocab, text_length=2, num_patches=4)
-    bad = {r["k"]: r["n_image_tokens"] for r in E.image_token_mismatch(long, ["k"], 9, 4).collect()}
+    enc = E.encode_pairs(_pairs(spark, rows), ["k"], vocab, text_length=2, num_patches=4)
+    bad = {r["k"]: r["n_image_tokens"] for r in E.image_token_mismatch(enc, 9, 4).collect()}
     assert bad == {2: 3}
 
 

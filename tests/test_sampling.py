@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from vqaframe.operators import sampling as S
 from vqaframe.operators.batch import assemble_batches, assign_batches
 from vqaframe.operators.rowindex import with_row_index
 from vqaframe.operators.sampling import exact_sample
@@ -93,3 +94,40 @@ def test_hot_duplicate_key_a_third_of_rows(spark):
     assert len(rows) == 1500
     again = exact_sample(df.repartition(7), ["k"], k=1500, small_cut=10)
     assert sorted(r["v"] for r in rows) == sorted(r["v"] for r in again.collect())
+
+
+def _order(rows, seed):
+    return sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}:{seed}".encode()).hexdigest(), r[0]))
+
+
+@pytest.mark.parametrize("small", [1_000_000, 3, 1])
+def test_places_in_the_shuffle(spark, small):
+    """Ranges are refined until each holds at most ``small`` rows; the places don't change."""
+    rows = [(i, f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    got = S.shuffled(df, ["k"], seed=7, small=small)
+    assert got.columns == ["k", "t", "position"]
+    assert [(r["k"], r["t"]) for r in sorted(got.collect(), key=lambda r: r["position"])] == _order(rows, 7)
+    assert sorted(r["position"] for r in got.collect()) == list(range(400))
+
+
+def test_places_of_one_hot_key(spark):
+    rows = [(1, f"t{i}") for i in range(200)] + [(i, "x") for i in range(2, 60)] + [(None, "n")] * 3
+    df = spark.createDataFrame(rows, "k long, t string").repartition(4)
+    for small in (1_000_000, 20):
+        got = S.shuffled(df, ["k"], seed=7, small=small).collect()
+        assert sorted(r["position"] for r in got) == list(range(len(rows)))
+        hot = sorted(r["position"] for r in got if r["k"] == 1)
+        assert hot == list(range(hot[0], hot[0] + 200)) and {r["t"] for r in got if r["k"] == 1} == {f"t{i}" for i in range(200)}
+    assert S.shuffled(df.limit(0), ["k"]).count() == 0
+
+
+def test_sample_with_places_from_pinned_keys(spark):
+    rows = [(i, f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    for options in ({"fraction": 0.29}, {"cap": 7}, {"cap": 1000}, {"fraction": 0.0}):
+        k = min(options.get("cap", int(options.get("fraction", 0) * 300)), 300)
+        for small in (1_000_000, 4):
+            got = S.exact_sample(df, ["k"], seed=3, small_cut=small, pin_keys=True, position_col="at", **options).collect()
+            assert [(r["k"], r["t"]) for r in sorted(got, key=lambda r: r["at"])] == _order(rows, 3)[:k]
+            assert sorted(r["at"] for r in got) == list(range(k))

@@ -1,4 +1,4 @@
-"""Batch numbering and batch assembly.
+"""Batch numbering, batch assembly and collation.
 
 A batch is at most ``batch_size`` rows, so every group here is bounded by
 construction; no group can grow with the data.
@@ -52,41 +52,12 @@ def assemble_batches(df: DataFrame, fields: list[str], batch_col: str = "batch_i
                     *[F.transform("_s", field_of(f)).alias(f) for f in fields])
 
 
-def gather_batches(encoded_long: DataFrame, fields: list[str], batch_col: str = "batch_id",
-                   example_col: str = "batch_pos", pos_col: str = "pos",
-                   keys: list[str] | None = None) -> DataFrame:
-    """U3/A7 for examples already numbered into batches: one shuffle.
+def collate(encoded: DataFrame, fields: list[str], batch_size: int, position_col: str,
+            keys: list[str] | None = None) -> DataFrame:
+    """Encoded examples (one row with an array per field) -> batches of ``batch_size`` examples.
 
-    Rows are hash-partitioned by batch once; the per-example regroup
-    (batch, example) and the per-batch regroup both run on that partitioning
-    without another exchange. Output: one row per batch with
-    array<array<...>> per field (examples in batch order, positions in order)
-    and ``n_rows`` examples.
+    ``position_col`` is the examples' dense 0-based order, such as the place in the seeded shuffle. One shuffle by
+    batch: one row per batch with one array<array<...>> per field and one array per key, examples in order.
     """
-    keys = list(keys or [])
-    d = encoded_long.repartition(batch_col)
-    per_example = d.groupBy(batch_col, example_col, *keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("_p"), *fields))).alias("_s"))
-    per_example = per_example.select(batch_col, example_col, *keys,
-                                     *[F.transform("_s", field_of(f)).alias(f) for f in fields])
-    return assemble_batches(per_example, keys + fields, batch_col, example_col)
-
-
-def collate(encoded_long, keys: list[str], batch_size: int, fields: list[str],
-            order_cols: list | None = None, dense_id: str | None = None):
-    """Encoded examples (long form) -> batches of per-example arrays.
-
-    Each example is regrouped into arrays (a group of context-length rows),
-    numbered in ``order_cols`` order (or by a dense id) and gathered into
-    batches of ``batch_size`` examples: one row per batch with one
-    array<array<...>> per field, examples in batch order. When the rows can
-    be numbered before encoding, ``assign_batches`` + ``gather_batches``
-    is cheaper: the row index then runs on the unencoded rows and the
-    encoded ones are shuffled only once.
-    """
-    from vqaframe.operators.encode import to_arrays
-    examples = to_arrays(encoded_long, keys, fields)
-    if order_cols is None and dense_id is None:
-        order_cols = [F.col(k) for k in keys]
-    batched = assign_batches(examples, batch_size, order_cols=order_cols, dense_id=dense_id)
-    return assemble_batches(batched, list(keys) + fields)
+    numbered = assign_batches(encoded, batch_size, dense_id=position_col)
+    return assemble_batches(numbered, [*(keys or []), *fields])

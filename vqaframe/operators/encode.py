@@ -1,10 +1,8 @@
 """Vocabulary, tokenisation and text-pair encoding.
 
-Encoded examples are produced in long form, one row per (example, position),
-straight from a per-row ``explode``: the only join is token -> id against the
-vocabulary, broadcast when its checked size allows, so encoding moves no
-rows across the network. ``to_arrays`` regroups into the per-example arrays
-of the original (one bounded group of ``context_length`` rows per example).
+An encoded example is one row with one array per field. Token ids are looked up inside the row (see
+``lookup``): the vocabulary travels once with the plan if its checked size allows, so encoding and decoding
+move no rows across the network and explode nothing. The ``..._long`` forms are an explosion of the arrays.
 """
 
 from __future__ import annotations
@@ -13,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vqaframe.functions.arrays import index_range
 from vqaframe.functions.strings import whitespace_tokens
+from vqaframe.operators.lookup import MAX_BYTES, MAX_ROWS, fits, look_up
 from vqaframe.operators.rowindex import with_row_index
 from vqaframe.operators.udf import factory_key, per_worker
 from vqaframe.session import literal_frame, reliable_checkpoint, ship_package
@@ -25,11 +23,8 @@ SPECIAL_TOKENS = ["<pad>", "<eos>", "<bos>", "<unk>"]
 PAD_ID, EOS_ID, BOS_ID, UNK_ID = 0, 1, 2, 3
 IMAGE_TOKEN = "<image>"
 IGNORE_INDEX = -100
-# Bounds for broadcasting a vocabulary: rows, and bytes of token text plus
-# a per-row overhead for the id and hash-table entry.
-MAX_BROADCAST_VOCAB = 2_000_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-_ROW_OVERHEAD_BYTES = 32
+# Fixed value: the language model's vocabulary ends where the image placeholder's id begins.
+VOCAB_SIZE = 256_000
 
 
 def context_length(text_length: int, num_patches: int) -> int:
@@ -39,45 +34,20 @@ def context_length(text_length: int, num_patches: int) -> int:
     return text_length + num_patches
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes of string data) of ``df`` in one aggregation job.
-
-    The result is remembered on the DataFrame object: a vocabulary is a
-    pinned (checkpointed) table, so its size cannot change afterwards.
-    """
-    known = getattr(df, "_vqaframe_size", None)
-    if known is not None:
-        return known
-    strings = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields
-               if f.dataType.simpleString() == "string"]
-    text_bytes = sum(strings[1:], strings[0]) if strings else F.lit(0)
-    row = df.agg(F.count(F.lit(1)).alias("n"), text_bytes.alias("b")).first()
-    size = (int(row["n"]), int(row["b"] or 0))
-    df._vqaframe_size = size
-    return size
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
-                   max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is within ``max_rows`` rows and ``max_bytes`` of string
-    data plus a fixed per-row overhead."""
-    n, b = measure(df)
-    return n <= max_rows and b + n * _ROW_OVERHEAD_BYTES <= max_bytes
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_VOCAB,
-                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only after measuring it (see ``fits_broadcast``).
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_ROWS,
+                    max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it (see ``lookup.fits``).
 
     Above either bound the caller gets a plain DataFrame and Spark plans a
     shuffle join (AQE splits hot keys).
     """
-    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text",
-                specials: list[str] = SPECIAL_TOKENS, min_count: int = 1) -> DataFrame:
-    """T1 vocabulary: specials first, then words by (count desc, token).
+                specials: list[str] = SPECIAL_TOKENS, min_count: int = 1,
+                max_size: int | None = VOCAB_SIZE) -> DataFrame:
+    """T1 vocabulary: specials first, then words by (count desc, token), at most ``max_size`` in all.
 
     Counting uses map-side partial aggregation, so a very frequent token
     costs one row per partition in the shuffle. Ids come from the
@@ -88,6 +58,8 @@ def build_vocab(texts: DataFrame, text_col: str = "text",
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter((F.col("cnt") >= min_count) & ~F.col("token").isin(specials)))
     words = with_row_index(counts, [F.desc("cnt"), F.asc("token")], "_r")
+    if max_size is not None:
+        words = words.filter(F.col("_r") < max_size - len(specials))
     words = words.select("token", (F.col("_r") + len(specials)).cast("int").alias("id"))
     fixed = literal_frame(spark, [(t, i) for i, t in enumerate(specials)],
                           [("token", "string"), ("id", "int")])
@@ -120,36 +92,32 @@ def tokens_long(df: DataFrame, keys: list[str], text_col: str = "text") -> DataF
 
 def lookup_ids(df: DataFrame, vocab: DataFrame, token_col: str = "token",
                out_col: str = "token_id", unk_id: int = UNK_ID,
-               max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+               max_broadcast: int = MAX_ROWS) -> DataFrame:
     """Token -> id; unknown tokens get ``unk_id``.
 
     Broadcast hash join when the vocabulary is within ``max_broadcast`` rows;
     above that a shuffle join, where AQE splits hot tokens.
     """
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id"))
-    if fits_broadcast(vocab, max_broadcast):
+    if fits(vocab, max_broadcast):
         v = F.broadcast(v)
     return (df.join(v, df[token_col] == v["_tok"], "left")
             .withColumn(out_col, F.coalesce(F.col("_id"), F.lit(unk_id)).cast("int"))
             .drop("_tok", "_id"))
 
 
-def decode_ids(df: DataFrame, vocab: DataFrame, keys: list[str], id_col: str = "token_id",
-               pos_col: str = "pos", out_col: str = "text", sep: str = " ",
-               unk_token: str = "<unk>", max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """Ids (long form) -> text, tokens in position order joined by ``sep``.
+def token_ids(df: DataFrame, keys: list[str], text_col: str, vocab: DataFrame, out_col: str = "ids",
+              unk_id: int = UNK_ID, max_broadcast: int = MAX_ROWS) -> DataFrame:
+    """T1 + J3: the whole text's ids as one array per row; unknown tokens get ``unk_id``, null texts null."""
+    return look_up(df, keys, {out_col: whitespace_tokens(text_col)}, vocab, "token", "id", F.lit(unk_id),
+                        max_broadcast)
 
-    The regroup is one bounded group per example (its own tokens).
-    """
-    v = vocab.select(F.col("id").alias("_vid"), F.col("token").alias("_vtok"))
-    if fits_broadcast(vocab, max_broadcast):
-        v = F.broadcast(v)
-    j = df.join(v, df[id_col] == v["_vid"], "left")
-    return (j.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"),
-                                                      F.coalesce("_vtok", F.lit(unk_token)).alias("t"))))
-                 .alias("_s"))
-            .select(*keys, F.array_join(F.transform("_s", lambda x: x["t"]), sep).alias(out_col)))
+
+def decode_ids(df: DataFrame, keys: list[str], ids_col: str, vocab: DataFrame, out_col: str = "text", sep: str = " ",
+               unk_token: str = "<unk>", max_broadcast: int = MAX_ROWS) -> DataFrame:
+    """An array of ids -> text, tokens in order joined by ``sep``; the order never leaves the row."""
+    found = look_up(df, keys, {"_tokens": F.col(ids_col)}, vocab, "id", "token", F.lit(unk_token), max_broadcast)
+    return found.withColumn(out_col, F.array_join("_tokens", sep)).drop("_tokens")
 
 
 def _pair_lengths(la, lb, L: int):
@@ -165,70 +133,6 @@ def _pair_lengths(la, lb, L: int):
     return ka, kb
 
 
-def _pair_columns(df: DataFrame, keys: list[str], question_col: str, answer_col: str,
-                  L: int, sa: int, num_patches: int, eos_token: str, extra=()) -> DataFrame:
-    """Token arrays and truncation lengths (_qt, _at, _ka, _kb) per row."""
-    npch = F.lit(num_patches)
-    base = df.select(*keys, *extra, whitespace_tokens(question_col).alias("_qt"),
-                     F.concat(whitespace_tokens(answer_col), F.array(F.lit(eos_token))).alias("_at"))
-    base = base.withColumns({"_la": npch + F.size("_qt"), "_lb": F.size("_at")})
-    ka, kb = _pair_lengths(F.col("_la"), F.col("_lb"), L - 2 * sa)
-    return base.withColumns({"_ka": ka, "_kb": kb})
-
-
-def _pair_position(L: int, sa: int, num_patches: int, padding_side: str):
-    """Position p of a training example -> struct(pos, _seg, _tok).
-
-    Segments: 0 pad, 1 image, 2/3 question/answer word, 4/5 <bos> of A/B.
-    Built inside the row, so the token arrays are read in place instead of
-    being copied into every exploded row.
-    """
-    npch = F.lit(num_patches)
-    ka_c = F.col("_ka")
-    used = ka_c + F.col("_kb") + 2 * sa
-    offset = (F.lit(L) - used) if padding_side == "left" else F.lit(0)
-    a0 = F.lit(sa)                        # first token of sequence A after its <bos>
-    b_bos = a0 + ka_c                     # position of B's <bos> (when add_bos)
-    b0 = b_bos + sa                       # first token of sequence B
-
-    def position(p):
-        rel = p - offset
-        seg = (F.when((rel < 0) | (rel >= used), F.lit(0))
-               .when(rel < a0, F.lit(4))
-               .when(rel < a0 + F.least(npch, ka_c), F.lit(1))
-               .when(rel < b_bos, F.lit(2))
-               .when(rel < b0, F.lit(5))
-               .otherwise(F.lit(3)))
-        tok = (F.when((rel >= a0 + npch) & (rel < b_bos), F.element_at("_qt", rel - a0 - npch + 1))
-               .when((rel >= b0) & (rel < used), F.element_at("_at", rel - b0 + 1)))
-        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
-    return position
-
-
-def _inference_position(sa: int, num_patches: int):
-    """Position p of an inference example -> struct(pos, _seg, _tok): [<bos>] image question."""
-    npch = F.lit(num_patches)
-
-    def position(p):
-        seg = F.when(p < sa, F.lit(4)).when(p < sa + npch, F.lit(1)).otherwise(F.lit(2))
-        tok = F.when(p >= sa + npch, F.element_at("_qt", p - sa - npch + 1))
-        return F.struct(p.alias("pos"), seg.alias("_seg"), tok.alias("_tok"))
-    return position
-
-
-def _finish(pos: DataFrame, keys: list[str], image_token_id: int, bos_id: int, pad_id: int,
-            ignore_index: int, extra=()) -> DataFrame:
-    input_id = (F.when(F.col("_seg") == 1, F.lit(image_token_id))
-                .when(F.col("_seg") >= 4, F.lit(bos_id))
-                .when(F.col("_seg") == 0, F.lit(pad_id))
-                .otherwise(F.col("_wid"))).cast("int")
-    ttype = F.when(F.col("_seg").isin(3, 5), F.lit(1)).otherwise(F.lit(0))
-    return pos.select(*keys, *extra, F.col("pos").cast("int").alias("pos"), input_id.alias("input_id"),
-                      ttype.alias("token_type"),
-                      F.when(F.col("_seg") == 0, F.lit(0)).otherwise(F.lit(1)).alias("attention_mask"),
-                      F.when(ttype == 1, input_id).otherwise(F.lit(ignore_index)).alias("label"))
-
-
 def _check(padding_side: str, L: int, sa: int) -> None:
     if padding_side not in ("right", "left"):
         raise ValueError("padding_side must be 'right' or 'left'")
@@ -236,15 +140,19 @@ def _check(padding_side: str, L: int, sa: int) -> None:
         raise ValueError("context too short for the special tokens")
 
 
-def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
-                      question_col: str = "question", answer_col: str = "answer",
-                      text_length: int = 64, num_patches: int = 257,
-                      image_token_id: int | None = None, pad_id: int = PAD_ID,
-                      eos_token: str = "<eos>", unk_id: int = UNK_ID,
-                      padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
-                      add_bos: bool = False, bos_id: int = BOS_ID,
-                      max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """T2-T5 (+P8, P9): training encoding, one row per (keys, pos).
+FIELDS = ["input_id", "token_type", "attention_mask", "label"]
+
+
+def encode_pairs(df: DataFrame, keys: list[str], vocab: DataFrame,
+                 question_col: str = "question", answer_col: str = "answer",
+                 text_length: int = 64, num_patches: int = 257,
+                 image_token_id: int | None = None, pad_id: int = PAD_ID,
+                 eos_token: str = "<eos>", unk_id: int = UNK_ID,
+                 padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                 add_bos: bool = False, bos_id: int = BOS_ID,
+                 max_broadcast: int = MAX_ROWS) -> DataFrame:
+    """T2-T5 (+P8, P9): training encoding, one row per example: keys and the arrays
+    ``input_id``, ``token_type``, ``attention_mask`` and ``label``.
 
     Sequence A = ``num_patches`` image tokens + question tokens (type 0),
     sequence B = answer tokens + ``<eos>`` (type 1); longest-first
@@ -252,18 +160,15 @@ def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame,
     labels = input id where type is 1, else ``ignore_index``.
     ``add_bos`` puts ``<bos>`` before each sequence, as a tokenizer with a
     pair template does; truncation then works within L - 2.
-    Columns: keys, pos, input_id, token_type, attention_mask, label.
     """
-    L = context_length(text_length, num_patches)
-    sa = 1 if add_bos else 0  # special tokens before each sequence
-    _check(padding_side, L, sa)
-    if image_token_id is None:
-        image_token_id = token_id(vocab, IMAGE_TOKEN)
-    base = _pair_columns(df, keys, question_col, answer_col, L, sa, num_patches, eos_token)
-    position = _pair_position(L, sa, num_patches, padding_side)
-    pos = base.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.lit(L - 1)), position)))
-    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
-    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index)
+    train = df.select(*keys, question_col, F.coalesce(answer_col, F.lit("")).alias(answer_col))
+    return encode_routed(train, keys, vocab, question_col, answer_col, text_length, num_patches, image_token_id, pad_id,
+                         eos_token, unk_id, padding_side, ignore_index, add_bos, bos_id, max_broadcast).drop("mode")
+
+
+def encode_pairs_long(df: DataFrame, keys: list[str], vocab: DataFrame, *args, **options) -> DataFrame:
+    """``encode_pairs`` (same options) in long form, one row per (keys, pos)."""
+    return positions(encode_pairs(df, keys, vocab, *args, **options), keys)
 
 
 def user_token_ids(text, make_tokenizer, return_type: str = "array<int>"):
@@ -301,20 +206,25 @@ def encode_pair_ids(df: DataFrame, keys: list[str], question_ids: str, answer_id
     """T2-T5 for already tokenised pairs, one row per example: keys and the arrays
     ``input_id``, ``token_type``, ``attention_mask`` and ``label``, each L long.
 
-    Same layout, truncation, padding and labels as ``encode_pairs_long``; no
-    vocabulary join and no explosion. ``<eos>`` is appended to the answer ids;
-    null ids are treated as empty.
+    Same layout, truncation, padding and labels as ``encode_pairs``.
+    ``<eos>`` is appended to the answer ids; null ids are treated as empty.
     """
-    L = context_length(text_length, num_patches)
-    sa = 1 if add_bos else 0
-    _check(padding_side, L, sa)
     none = F.array().cast("array<int>")
-    base = df.select(*keys,
-                     F.concat(F.array_repeat(F.lit(image_token_id), num_patches),
-                              F.coalesce(F.col(question_ids).cast("array<int>"), none)).alias("_a"),
+    base = df.select(*keys, F.coalesce(F.col(question_ids).cast("array<int>"), none).alias("_q"),
                      F.concat(F.coalesce(F.col(answer_ids).cast("array<int>"), none), F.array(F.lit(eos_id))).alias("_b"))
-    ka, kb = _pair_lengths(F.size("_a"), F.size("_b"), L - 2 * sa)
-    base = base.withColumns({"_ka": ka.cast("int"), "_kb": kb.cast("int")})
+    base = base.withColumns({"_nq": F.size("_q"), "_nb": F.size("_b")})
+    arrays = _pair_arrays(context_length(text_length, num_patches), num_patches, image_token_id, pad_id, padding_side,
+                          ignore_index, add_bos, bos_id)
+    return base.withColumns(arrays[0]).select(*keys, *[c.alias(f) for f, c in arrays[1].items()])
+
+
+def _pair_arrays(L: int, num_patches: int, image_token_id: int, pad_id: int, padding_side: str, ignore_index: int,
+                 add_bos: bool, bos_id: int):
+    """The training arrays of a row with ``_q`` and ``_b`` (first ids of question and answer, as many as can be
+    kept) and ``_nq``, ``_nb`` (their whole lengths): (columns to add first, one column per field)."""
+    sa = 1 if add_bos else 0  # special tokens before each sequence
+    _check(padding_side, L, sa)
+    ka, kb = _pair_lengths(F.col("_nq") + num_patches, F.col("_nb"), L - 2 * sa)
     n_a, n_b = F.col("_ka") + sa, F.col("_kb") + sa
     n_pad = F.lit(L) - n_a - n_b
     bos = F.array_repeat(F.lit(bos_id), sa)
@@ -323,18 +233,19 @@ def encode_pair_ids(df: DataFrame, keys: list[str], question_ids: str, answer_id
         pad = F.array_repeat(F.lit(value), n_pad)
         return F.concat(*parts, pad) if padding_side == "right" else F.concat(pad, *parts)
 
+    image = F.array_repeat(F.lit(image_token_id), F.least(F.lit(num_patches), F.col("_ka")))
+    seq_a = F.concat(image, F.slice("_q", F.lit(1), F.greatest(F.col("_ka") - num_patches, F.lit(0))))
     seq_b = F.concat(bos, F.slice("_b", F.lit(1), F.col("_kb")))
-    return base.select(
-        *keys,
-        padded(pad_id, bos, F.slice("_a", F.lit(1), F.col("_ka")), seq_b).alias("input_id"),
-        padded(0, F.array_repeat(F.lit(0), n_a), F.array_repeat(F.lit(1), n_b)).alias("token_type"),
-        padded(0, F.array_repeat(F.lit(1), n_a + n_b)).alias("attention_mask"),
-        padded(ignore_index, F.array_repeat(F.lit(ignore_index), n_a), seq_b).alias("label"))
+    return {"_ka": ka.cast("int"), "_kb": kb.cast("int")}, {
+        "input_id": padded(pad_id, bos, seq_a, seq_b),
+        "token_type": padded(0, F.array_repeat(F.lit(0), n_a), F.array_repeat(F.lit(1), n_b)),
+        "attention_mask": padded(0, F.array_repeat(F.lit(1), n_a + n_b)),
+        "label": padded(ignore_index, F.array_repeat(F.lit(ignore_index), n_a), seq_b)}
 
 
 def positions(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """The long form of ``encode_pair_ids``: one row per (keys, pos), no shuffle."""
-    fields = ["input_id", "token_type", "attention_mask", "label"]
+    """The long form of encoded examples: one row per (keys, pos), no shuffle."""
+    fields = [f for f in FIELDS if f in encoded.columns]
     one = F.posexplode(F.arrays_zip(*fields)).alias("pos", "_p")
     return encoded.select(*keys, one).select(*keys, "pos", *[F.col(f"_p.{f}").alias(f) for f in fields])
 
@@ -344,73 +255,63 @@ def encode_pair_ids_long(df: DataFrame, keys: list[str], question_ids: str, answ
     return positions(encode_pair_ids(df, keys, question_ids, answer_ids, **options), keys)
 
 
-def encode_routed_long(df: DataFrame, keys: list[str], vocab: DataFrame,
-                       question_col: str = "question", answer_col: str = "answer",
-                       text_length: int = 64, num_patches: int = 257,
-                       image_token_id: int | None = None, pad_id: int = PAD_ID,
-                       eos_token: str = "<eos>", unk_id: int = UNK_ID,
-                       padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
-                       add_bos: bool = False, bos_id: int = BOS_ID,
-                       max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+def encode_routed(df: DataFrame, keys: list[str], vocab: DataFrame,
+                  question_col: str = "question", answer_col: str = "answer",
+                  text_length: int = 64, num_patches: int = 257,
+                  image_token_id: int | None = None, pad_id: int = PAD_ID,
+                  eos_token: str = "<eos>", unk_id: int = UNK_ID,
+                  padding_side: str = "right", ignore_index: int = IGNORE_INDEX,
+                  add_bos: bool = False, bos_id: int = BOS_ID,
+                  max_broadcast: int = MAX_ROWS) -> DataFrame:
     """P10 in one pass: rows with an answer get the training encoding, rows
-    without one the inference encoding (T7), chosen per row inside the
-    position expression, so the input is read once and joined to the
-    vocabulary once. Adds ``mode`` ('train' / 'infer'); inference positions
-    have type 0, mask 1 and the ignored label.
+    without one the inference encoding (T7: [<bos>], image tokens, the whole
+    question; no truncation, no padding), chosen per row, so the input is read
+    once. Adds ``mode`` ('train' / 'infer'); inference arrays have type 0, mask
+    1 and the ignored label. A null question has no tokens.
     """
     L = context_length(text_length, num_patches)
-    sa = 1 if add_bos else 0
-    _check(padding_side, L, sa)
     if image_token_id is None:
         image_token_id = token_id(vocab, IMAGE_TOKEN)
-    is_train = F.col(answer_col).isNotNull()
-    mode = F.when(is_train, F.lit("train")).otherwise(F.lit("infer")).alias("mode")
-    base = _pair_columns(df, keys, question_col, answer_col, L, sa, num_patches, eos_token,
-                         extra=(mode,))
-    train_pos = _pair_position(L, sa, num_patches, padding_side)
-    infer_pos = _inference_position(sa, num_patches)
-    train = F.col("mode") == "train"
-    n = F.when(train, F.lit(L)).otherwise(F.lit(sa + num_patches) + F.size("_qt"))
-    pos = base.select(*keys, "mode", F.inline(F.transform(
-        index_range(n), lambda p: F.when(train, train_pos(p)).otherwise(infer_pos(p)))))
-    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
-    return _finish(pos, keys, image_token_id, bos_id, pad_id, ignore_index, extra=("mode",))
-
-
-_SENTINEL_SPREAD = 1 << 20
-
-
-def _lookup_positions(pos: DataFrame, keys: list[str], vocab: DataFrame, unk_id: int,
-                      max_broadcast: int) -> DataFrame:
-    """One token -> id join for every position of every example.
-
-    Positions without a word (image, pad, <bos>) get a key no token can be
-    equal to (it contains a space, and tokens never do), spread over 2^20
-    values by a hash of the example and position: they miss the vocabulary
-    and, in a shuffle join, form no hot key. One join instead of a union of
-    word and non-word rows means the input is read and expanded once.
-    """
-    spread = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col("pos")), F.lit(_SENTINEL_SPREAD))
-    sentinel = F.concat(F.lit(" "), spread.cast("string"))
-    pos = pos.withColumn("_tok", F.when(F.col("_seg").isin(2, 3), F.col("_tok")).otherwise(sentinel))
-    return lookup_ids(pos, vocab, "_tok", "_wid", unk_id, max_broadcast).drop("_tok")
+    none = F.array().cast("array<string>")
+    train = F.col("_train")
+    base = df.select(*keys, F.col(answer_col).isNotNull().alias("_train"),
+                     F.coalesce(whitespace_tokens(question_col), none).alias("_qt"),
+                     F.concat(F.coalesce(whitespace_tokens(answer_col), none), F.array(F.lit(eos_token))).alias("_at"))
+    base = base.withColumns({"_nq": F.size("_qt"), "_nb": F.size("_at")})
+    # of a training example at most L tokens can be kept; only those are looked up
+    wanted = {"_q": F.when(train, F.slice("_qt", 1, L)).otherwise(F.col("_qt")), "_b": F.slice("_at", 1, L)}
+    found = look_up(base, keys, wanted, vocab, "token", "id", F.lit(unk_id), max_broadcast)
+    lengths, arrays = _pair_arrays(L, num_patches, image_token_id, pad_id, padding_side, ignore_index, add_bos, bos_id)
+    before = [F.lit(bos_id)] * bool(add_bos) + [F.lit(image_token_id)] * num_patches
+    asked = F.concat(F.array(*before).cast("array<int>"), F.col("_q"))
+    n = F.size("_q") + len(before)
+    infer = {"input_id": asked, "token_type": F.array_repeat(F.lit(0), n), "attention_mask": F.array_repeat(F.lit(1), n),
+             "label": F.array_repeat(F.lit(ignore_index), n)}
+    return found.withColumns(lengths).select(
+        *keys, F.when(train, F.lit("train")).otherwise(F.lit("infer")).alias("mode"),
+        *[F.when(train, arrays[f]).otherwise(infer[f]).alias(f) for f in FIELDS])
+
+
+def encode_routed_long(df: DataFrame, keys: list[str], vocab: DataFrame, *args, **options) -> DataFrame:
+    """``encode_routed`` (same options) in long form."""
+    return positions(encode_routed(df, keys, vocab, *args, **options), [*keys, "mode"])
+
+
+def encode_inference(df: DataFrame, keys: list[str], vocab: DataFrame,
+                     question_col: str = "question", num_patches: int = 257,
+                     image_token_id: int | None = None, unk_id: int = UNK_ID,
+                     add_bos: bool = False, bos_id: int = BOS_ID,
+                     max_broadcast: int = MAX_ROWS) -> DataFrame:
+    """[<bos>] + image tokens + question tokens; no pair, no truncation, no padding."""
+    asked = df.select(*keys, question_col, F.lit(None).cast("string").alias("_answer"))
+    return encode_routed(asked, keys, vocab, question_col, "_answer", 2, num_patches, image_token_id, unk_id=unk_id,
+                         add_bos=add_bos, bos_id=bos_id, max_broadcast=max_broadcast).select(
+        *keys, "input_id", "attention_mask")
 
 
-def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame,
-                          question_col: str = "question", num_patches: int = 257,
-                          image_token_id: int | None = None, unk_id: int = UNK_ID,
-                          add_bos: bool = False, bos_id: int = BOS_ID,
-                          max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
-    """[<bos>] + image tokens + question tokens; no pair, no truncation, no padding."""
-    if image_token_id is None:
-        image_token_id = token_id(vocab, IMAGE_TOKEN)
-    sa = 1 if add_bos else 0
-    base = df.select(*keys, whitespace_tokens(question_col).alias("_qt"))
-    n = F.lit(sa + num_patches) + F.size("_qt")
-    pos = base.select(*keys, F.inline(F.transform(index_range(n), _inference_position(sa, num_patches))))
-    pos = _lookup_positions(pos, keys, vocab, unk_id, max_broadcast)
-    return _finish(pos, keys, image_token_id, bos_id, PAD_ID, IGNORE_INDEX).select(
-        *keys, "pos", "input_id", "attention_mask")
+def encode_inference_long(df: DataFrame, keys: list[str], vocab: DataFrame, *args, **options) -> DataFrame:
+    """``encode_inference`` (same options) in long form."""
+    return positions(encode_inference(df, keys, vocab, *args, **options), keys)
 
 
 def route_by_label(df: DataFrame, label_col: str = "answer") -> tuple[DataFrame, DataFrame]:
@@ -431,24 +332,21 @@ def field_of(name: str):
     return lambda x: x[name]
 
 
-def image_token_count(long_df: DataFrame, keys: list[str], image_token_id: int,
-                      id_col: str = "input_id") -> DataFrame:
-    """Number of image placeholder positions per encoded example."""
-    return long_df.groupBy(*keys).agg(
-        F.sum((F.col(id_col) == image_token_id).cast("int")).cast("int").alias("n_image_tokens"))
+def image_token_count(ids, image_token_id: int):
+    """Number of image placeholder positions of an encoded example's array of ids."""
+    return F.size(F.filter(ids, lambda x: x == F.lit(image_token_id)))
 
 
-def image_token_mismatch(long_df: DataFrame, keys: list[str], image_token_id: int,
-                         num_patches: int, id_col: str = "input_id") -> DataFrame:
+def image_token_mismatch(encoded: DataFrame, image_token_id: int, num_patches: int,
+                         id_col: str = "input_id") -> DataFrame:
     """P11 check: examples whose image placeholder count is not ``num_patches``.
 
     The image features replace exactly ``num_patches`` positions, so a
     truncated image prefix (longest-first truncation of a long question and
     answer) cannot be scattered; these rows are reported, not dropped.
     """
-    counts = image_token_count(long_df, keys, image_token_id, id_col)
-    return counts.filter(F.col("n_image_tokens") != num_patches).withColumn(
-        "expected", F.lit(num_patches))
+    counted = encoded.withColumn("n_image_tokens", image_token_count(F.col(id_col), image_token_id))
+    return counted.filter(F.col("n_image_tokens") != num_patches).withColumn("expected", F.lit(num_patches))
 
 
 def image_mask(ids, image_token_id: int):

@@ -77,15 +77,16 @@ def with_image_file(df: DataFrame, img_path: str, split: str,
 def build_qa_dataset(questions: DataFrame, annotations: DataFrame, split: str,
                      img_path: str, template: str = REFERENCE_PROMPT,
                      fraction: float | None = None, seed: int = 42,
-                     key: str = "question_id") -> DataFrame:
+                     key: str = "question_id", position_col: str = "position") -> DataFrame:
     """The prepared split: join, format, exact sample of the joined rows, tag.
 
     The sample is taken after the join (``n`` is the joined count) and is
-    never pushed below it.
+    never pushed below it. The keys of the join are written once for the passes
+    that find the sample; ``position_col`` is a sampled row's place in the shuffle.
     """
     joined = format_questions(join_questions_annotations(questions, annotations, key), template)
     if fraction is not None:
-        joined = exact_sample(joined, [key], fraction=fraction, seed=seed)
+        joined = exact_sample(joined, [key], fraction=fraction, seed=seed, pin_keys=True, position_col=position_col)
     return with_image_file(tag_split(joined, split, img_path), img_path, split)
 
 

@@ -8,14 +8,21 @@ until it is small; only that bucket is ordered, to read the
 k-th (hash, key) pair. The sample is then one filter over the input,
 ``(hash, key) <= threshold``: it equals ``ORDER BY h, key LIMIT k``, does not
 depend on the partitioning, and scans its input once when used.
+
+``shuffled`` gives every row its place in that order: ranges of the hash (prefixes, refined by the same
+histograms until each is small), prefix sums over their counts, and a rank inside each range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vqaframe.operators.rowindex import with_row_index
+from vqaframe.session import literal_frame, reliable_checkpoint
 
 HASH_COL = "_shuffle_h"
 # 2 hex digits = 256 buckets per level: each map task sends at most 256
@@ -36,10 +43,71 @@ def shuffle_key(key_cols: list[str], seed: int = 42):
 
 
 def seeded_shuffle(df: DataFrame, key_cols: list[str], seed: int = 42) -> DataFrame:
-    """L1: the rows with their shuffle hash; ordering happens only where needed."""
+    """The rows with their shuffle hash; ordering happens only where needed."""
     return df.withColumn(HASH_COL, shuffle_key(key_cols, seed))
 
 
+_RANGE_DIGITS = 3  # 4096 ranges a level; the first level is enough for 4 * 10^9 rows
+
+
+def _hash_ranges(hashes: DataFrame, small: int):
+    """Prefixes of the hash that hold at most ``small`` rows each, or one hash only.
+
+    Returns (sorted (prefix, rows, one hash) of all ranges, the refined prefixes of each level). The driver
+    sees 4096 counts for the first level and for every range over ``small``, of which there are at most n / small.
+    """
+    ranges, refined, pending = [], [], [""]
+    while pending:
+        size = _RANGE_DIGITS * len(refined)
+        scope = hashes
+        if size:
+            heavy = F.broadcast(literal_frame(hashes.sparkSession, [(p,) for p in pending], [("_heavy", "string")]))
+            scope = hashes.join(heavy, F.substring(HASH_COL, 1, size) == F.col("_heavy"))
+        counts = (scope.groupBy(F.substring(HASH_COL, 1, size + _RANGE_DIGITS).alias("p"))
+                  .agg(F.count(F.lit(1)).alias("n"), (F.min(HASH_COL) == F.max(HASH_COL)).alias("one")).collect())
+        refined.append(pending)
+        pending = [r["p"] for r in counts if r["n"] > small and not r["one"]]
+        again = set(pending)
+        ranges += [(r["p"], r["n"], r["one"]) for r in counts if r["p"] not in again]
+    return sorted(ranges), refined[1:]
+
+
+def shuffled(df: DataFrame, key_cols: list[str], seed: int = 42, pos_col: str = "position",
+             small: int = 1_000_000, hashes: DataFrame | None = None) -> DataFrame:
+    """L1: every row with its 0-based place in the seeded shuffle, ``row_number() over (order by hash, key) - 1``.
+
+    The hashes are pinned once, so the counts don't run ``df`` again; the rows themselves move once, to their
+    range. Rows of equal keys are ordered by a hash of the whole row; if one key has more than ``small`` rows, those
+    get their places from a row index instead of one task (in any order: the key says nothing about it).
+    ``hashes``: the pinned hashes of the rows, or of more rows of which ``df`` holds the first.
+    """
+    spark = df.sparkSession
+    if hashes is None:
+        hashes = reliable_checkpoint(df.select(shuffle_key(key_cols, seed).alias(HASH_COL)))
+    ranges, refined = _hash_ranges(hashes, small)
+    starts = [0, *accumulate(n for _, n, _ in ranges)]
+    place = F.substring(HASH_COL, 1, _RANGE_DIGITS)
+    rows = df.withColumn(HASH_COL, shuffle_key(key_cols, seed)).withColumn("_range", place)
+    for level, prefixes in enumerate(refined, 1):
+        heavy = F.broadcast(literal_frame(spark, [(p,) for p in prefixes], [("_heavy", "string")]))
+        rows = (rows.join(heavy, F.substring(HASH_COL, 1, _RANGE_DIGITS * level) == F.col("_heavy"), "left")
+                .withColumn("_range", F.when(F.col("_heavy").isNotNull(), F.substring(HASH_COL, 1, _RANGE_DIGITS * (level + 1)))
+                            .otherwise(F.col("_range"))).drop("_heavy"))
+    table = spark.createDataFrame(pa.table({
+        "_p": pa.array([p for p, _, _ in ranges], pa.string()), "_first": pa.array(starts[:len(ranges)], pa.int64()),
+        "_one": pa.array([one and n > small for _, n, one in ranges], pa.bool_())}))
+    rows = rows.join(F.broadcast(table), F.col("_range") == F.col("_p"))
+    order = [F.col(HASH_COL), *[F.col(c) for c in key_cols], F.xxhash64(*df.columns)]
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    out = rows.filter(~F.col("_one")).withColumn(pos_col, F.col("_first") + rank)
+    for (prefix, n, one), start in zip(ranges, starts):
+        if one and n > small:
+            same = rows.filter(F.col("_range") == prefix).withColumn("_any", F.monotonically_increasing_id())
+            out = out.unionByName(with_row_index(same, [F.col("_any")], "_nth").withColumn(
+                pos_col, F.lit(start) + F.col("_nth")).drop("_any", "_nth"))
+    return out.select(*df.columns, pos_col)
+
+
 def sample_size(n: int, fraction: float) -> int:
     """``int(p * n)`` in double arithmetic, as the reference computes it."""
     if not 0.0 <= fraction <= 1.0:
@@ -49,15 +117,28 @@ def sample_size(n: int, fraction: float) -> int:
 
 def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = None,
                  k: int | None = None, cap: int | None = None, seed: int = 42,
-                 small_cut: int = 1_000_000, with_count: bool = False):
+                 small_cut: int = 1_000_000, with_count: bool = False, pin_keys: bool = False,
+                 position_col: str | None = None):
     """First ``k`` rows of the seeded shuffle, exactly.
 
     Give ``fraction`` (L2: k = int(fraction * n)), ``k``, or ``cap``
     (L3: k = min(cap, n)). Keys should be unique; duplicate keys are ordered
     by a hash of the whole row so the choice stays deterministic.
-    Returns the sample, or (sample, n, k) when ``with_count``.
+    Returns the sample, or (sample, n, k) when ``with_count``. ``pin_keys``: write the keys and their
+    hashes once for the passes that find the threshold (for a ``df`` that is costly to run, such as a join).
+    ``position_col``: every row's place in the shuffle, from 0 (see ``shuffled``).
     """
+
+    def done(out, k):
+        if position_col:
+            pinned = hashed.select(HASH_COL) if pin_keys else None
+            out = shuffled(out, key_cols, seed, position_col, small_cut, pinned)
+        return (out, n, k) if with_count else out
+
     hashed = seeded_shuffle(df, key_cols, seed)
+    rows = hashed
+    if pin_keys:
+        hashed = reliable_checkpoint(hashed.select(*key_cols, HASH_COL))
     prefix = ""
     n = None
     need = None  # rows still to take inside the current prefix
@@ -82,10 +163,9 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
                 raise ValueError("give fraction, k or cap")
             total_k = need
             if need == 0:
-                out = df.limit(0)
-                return (out, n, 0) if with_count else out
+                return done(df.limit(0), 0)
             if need == n:
-                return (df, n, n) if with_count else df
+                return done(df, n)
         run = 0
         cut_single = False
         for b, c in hist:
@@ -110,21 +190,20 @@ def exact_sample(df: DataFrame, key_cols: list[str], fraction: float | None = No
         on_df = [shuffle_key(key_cols, seed)] + [F.col(c) for c in key_cols]
         edge = cut.select(*key_order).orderBy(*key_order).offset(need - 1).limit(2).collect()
         if len(edge) == 1 or tuple(edge[0]) != tuple(edge[1]):
-            out = df.filter(_at_most(on_df, tuple(edge[0])))
-            return (out, n, total_k) if with_count else out
+            return done(df.filter(_at_most(on_df, tuple(edge[0]))), total_k)
         # duplicate keys at the threshold: the whole-row hash decides
+        cut = rows.filter(F.col(HASH_COL).startswith(prefix))
         edge = cut.select(*order).orderBy(*order).offset(need - 1).limit(2).collect()
         if tuple(edge[0]) != tuple(edge[1]):
-            out = df.filter(_at_most(on_df + [tie], tuple(edge[0])))
-            return (out, n, total_k) if with_count else out
+            return done(df.filter(_at_most(on_df + [tie], tuple(edge[0]))), total_k)
     # whole-row ties across the threshold (duplicate rows): rank them exactly
-    before = hashed.filter(F.col(HASH_COL) < F.lit(prefix))
+    before = rows.filter(F.col(HASH_COL) < F.lit(prefix))
+    cut = rows.filter(F.col(HASH_COL).startswith(prefix))
     ranked = with_row_index(cut.withColumn("_tie", tie),
                             [F.col(HASH_COL)] + [F.col(c) for c in key_cols] + [F.col("_tie")],
                             "_rank")
     top = ranked.filter(F.col("_rank") < need).drop("_tie", "_rank")
-    out = before.unionByName(top).drop(HASH_COL)
-    return (out, n, total_k) if with_count else out
+    return done(before.unionByName(top).drop(HASH_COL), total_k)
 
 
 def _at_most(order: list, values: tuple):

@@ -38,11 +38,13 @@ PAIRS = """pairs AS (
     ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
   WHERE q.role = 'user' AND a.role = 'assistant')"""
 
-VOCAB = f"""bt AS (SELECT unnest({_tok('text')}) AS token FROM benchmark),
+VOCAB = f"""bt AS (SELECT unnest({_tok('text')}) AS token FROM (
+  SELECT text FROM documents UNION ALL SELECT text FROM conversations)),
 bc AS (SELECT token, count(*) AS cnt FROM bt GROUP BY token),
 words AS (
   SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) - 1 + 4 AS INTEGER) AS id
-  FROM bc WHERE token NOT IN ('<pad>', '<eos>', '<bos>', '<unk>')),
+  FROM bc WHERE token NOT IN ('<pad>', '<eos>', '<bos>', '<unk>')
+  QUALIFY row_number() OVER (ORDER BY cnt DESC, token) <= 256000 - 4),
 vocab AS (
   SELECT * FROM (VALUES ('<pad>', 0), ('<eos>', 1), ('<bos>', 2), ('<unk>', 3)) v(token, id)
   UNION ALL SELECT token, id FROM words)"""
@@ -74,26 +76,35 @@ def _truncation(src: str, la: str, lb: str) -> str:
   FROM {src}"""
 
 
-PAIR_ENC = f"""WITH {PAIRS},
-{VOCAB_X},
-tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
-              list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),
-ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
+def _encoded(keys: str, src: str) -> str:
+    """CTEs giving enc (keys, pos, input_id, token_type, attention_mask, label) for the rows of src (keys, qt, atk)."""
+    return f"""ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM {src}),
 k AS ({_truncation('ln', 'la', 'lb')}),
-p AS (SELECT conv_id, turn, qt, atk, ka, kb, unnest(range({L})) AS pos FROM k),
+p AS (SELECT {keys}, qt, atk, ka, kb, unnest(range({L})) AS pos FROM k),
 sg AS (SELECT *, CASE WHEN pos >= ka + kb THEN 0 WHEN pos < least({NP}, ka) THEN 1
                       WHEN pos < ka THEN 2 ELSE 3 END AS seg FROM p),
-tok AS (SELECT conv_id, turn, pos, seg,
+tok AS (SELECT {keys}, pos, seg,
           CASE WHEN seg = 2 THEN qt[pos - {NP} + 1] WHEN seg = 3 THEN atk[pos - ka + 1] END AS token
         FROM sg),
-enc AS (
-  SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
+enc0 AS (
+  SELECT {keys}, CAST(pos AS INTEGER) AS pos,
     CAST(CASE WHEN seg = 0 THEN 0
               WHEN seg = 1 THEN (SELECT id FROM vocab_x WHERE token = '<image>')
               ELSE coalesce(v.id, 3) END AS INTEGER) AS input_id,
     CAST(CASE WHEN seg = 3 THEN 1 ELSE 0 END AS INTEGER) AS token_type,
     CAST(CASE WHEN seg = 0 THEN 0 ELSE 1 END AS INTEGER) AS attention_mask
-  FROM tok LEFT JOIN vocab_x v ON tok.token = v.token)"""
+  FROM tok LEFT JOIN vocab_x v ON tok.token = v.token),
+enc AS (SELECT *, CAST(CASE WHEN token_type = 1 THEN input_id ELSE -100 END AS INTEGER) AS label FROM enc0)"""
+
+
+_FIELDS = ("input_id", "token_type", "attention_mask", "label")
+_LISTED = ", ".join(f"string_agg(CAST({f} AS VARCHAR), ',' ORDER BY pos) AS {f}s" for f in _FIELDS)
+
+PAIR_ENC = f"""WITH {PAIRS},
+{VOCAB_X},
+tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
+              list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),
+{_encoded('conv_id, turn', 'tk')}"""
 
 PAIR_IDS = f"""WITH {PAIRS},
 tk AS (SELECT conv_id, turn, list_transform({_tok('question')}, lambda w: CAST(length(w) AS INTEGER)) AS qt,
@@ -167,7 +178,8 @@ FROM documents""",
     "qa_train_split": f"""WITH j AS ({QA}),
 r AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(question_id AS VARCHAR) || ':{T.SEED}'), question_id) AS rn,
              count(*) OVER () AS n FROM j)
-SELECT question_id, image_id, question, answer, split, img_path, image_file
+SELECT question_id, image_id, question, answer, split, img_path, image_file, rn - 1 AS position,
+       (rn - 1) // {T.TRAIN_BATCH} AS batch_id, CAST((rn - 1) % {T.TRAIN_BATCH} AS INTEGER) AS batch_pos
 FROM r WHERE rn <= floor(n * CAST({T.TRAIN_P} AS DOUBLE))""",
 
     "dataset_roundtrip": QA,
@@ -194,40 +206,41 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 SELECT conv_id, turn, pos, input_id, token_type, attention_mask FROM enc""",
 
     "mask_labels": PAIR_ENC + """
-SELECT conv_id, turn, pos, CAST(CASE WHEN token_type = 1 THEN input_id ELSE -100 END AS INTEGER) AS label
-FROM enc""",
+SELECT conv_id, turn, pos, label FROM enc""",
 
     "pair_encode_user_tokenizer": PAIR_IDS,
 
-    "image_mask_count": f"""WITH {PAIRS},
-tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
-              list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),
-ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
-k AS ({_truncation('ln', 'la', 'lb')})
-SELECT conv_id, turn, CAST(least({NP}, ka) AS INTEGER) AS n_image_tokens FROM k""",
+    "image_mask_count": PAIR_ENC + """
+SELECT conv_id, turn,
+       CAST(count(*) FILTER (WHERE input_id = (SELECT id FROM vocab_x WHERE token = '<image>')) AS INTEGER) AS n_image_tokens,
+       string_agg(CASE WHEN input_id = (SELECT id FROM vocab_x WHERE token = '<image>') THEN '1' ELSE '0' END, ''
+                  ORDER BY pos) AS image_mask
+FROM enc GROUP BY conv_id, turn""",
 
-    "collate_batches": f"""WITH {PAIRS},
-tk AS (SELECT conv_id, turn, {_tok('question')} AS qt,
-              list_append({_tok('answer')}, '<eos>') AS atk FROM pairs),
-ln AS (SELECT *, {NP} + len(qt) AS la, len(atk) AS lb FROM tk),
-k AS ({_truncation('ln', 'la', 'lb')}),
-b AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) AS idx FROM k)
+    "collate_batches": PAIR_ENC + f""",
+ex AS (SELECT conv_id, turn, {_LISTED} FROM enc GROUP BY conv_id, turn),
+b AS (SELECT *, row_number() OVER (ORDER BY md5(conv_id || chr(31) || turn || ':{T.SEED}'), conv_id, turn) - 1 AS idx FROM ex)
 SELECT CAST(idx // {T.TRAIN_BATCH} AS BIGINT) AS batch_id, count(*) AS n_examples,
-       CAST(count(*) * {L} AS BIGINT) AS n_positions, CAST(sum(ka + kb) AS BIGINT) AS n_attended,
-       CAST(sum(kb) AS BIGINT) AS n_label_tokens, arg_min(conv_id, idx) AS first_conv_id,
-       arg_min(turn, idx) AS first_turn
+       string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY idx) AS conv_ids,
+       string_agg(CAST(turn AS VARCHAR), ',' ORDER BY idx) AS turns,
+       {", ".join(f"string_agg({f}s, '|' ORDER BY idx) AS {f}s" for f in _FIELDS)}
 FROM b GROUP BY idx // {T.TRAIN_BATCH}""",
 
     "route_by_label": f"""WITH d AS (
   SELECT d.doc_id, {_tok('d.text')} AS qt, CAST(l.quality AS VARCHAR) AS answer
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-tr AS (SELECT doc_id, {NP} + len(qt) AS la, len({_tok('answer')}) + 1 AS lb FROM d WHERE answer IS NOT NULL),
-k AS ({_truncation('tr', 'la', 'lb')})
-SELECT doc_id, 'train' AS mode, CAST({L} AS BIGINT) AS n_input_ids, CAST(ka + kb AS BIGINT) AS n_attended,
-       CAST(kb AS BIGINT) AS n_label_tokens FROM k
+{VOCAB_X},
+tr AS (SELECT doc_id, qt, list_append({_tok('answer')}, '<eos>') AS atk FROM d WHERE answer IS NOT NULL),
+{_encoded('doc_id', 'tr')},
+img AS (SELECT doc_id, unnest(range({NP})) - {NP} AS pos, (SELECT id FROM vocab_x WHERE token = '<image>') AS input_id
+        FROM d WHERE answer IS NULL),
+ask AS (SELECT doc_id, unnest(range(len(qt))) AS pos, unnest(qt) AS token FROM d WHERE answer IS NULL),
+inf AS (SELECT doc_id, pos, input_id, 0 AS token_type, 1 AS attention_mask, -100 AS label FROM img
+        UNION ALL
+        SELECT doc_id, pos, coalesce(v.id, 3), 0, 1, -100 FROM ask LEFT JOIN vocab_x v ON ask.token = v.token)
+SELECT doc_id, 'train' AS mode, count(*) AS n_input_ids, {_LISTED} FROM enc GROUP BY doc_id
 UNION ALL
-SELECT doc_id, 'infer' AS mode, CAST({NP} + len(qt) AS BIGINT), CAST({NP} + len(qt) AS BIGINT),
-       CAST(0 AS BIGINT) FROM d WHERE answer IS NULL""",
+SELECT doc_id, 'infer' AS mode, count(*) AS n_input_ids, {_LISTED} FROM inf GROUP BY doc_id""",
 
     "missing_images": f"""SELECT doc_id, {_file('doc_id')} AS image_file FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE {_file('p.page_id')} = {_file('d.doc_id')})""",

@@ -19,7 +19,7 @@ from vqaframe.operators import encode as E
 from vqaframe.operators import generate as G
 from vqaframe.operators import metrics as M
 from vqaframe.operators import prepare as P
-from vqaframe.operators.sampling import exact_sample
+from vqaframe.operators.sampling import exact_sample, shuffled
 from vqaframe.operators.udf import map_rows
 from vqaframe.plans import tables as T
 from vqaframe.session import shared_dir
@@ -72,8 +72,10 @@ def q_qa_dataset(spark, d):
 
 
 def q_qa_train_split(spark, d):
-    """Flagship with L1 + L2: exact seeded fraction of the joined rows."""
-    return _qa_dataset(spark, d, T.TRAIN_P).select(*DATASET_COLS)
+    """Flagship with L1 + L2: exact seeded fraction of the joined rows, each with its place in the
+    shuffle and the batch that holds it."""
+    ds = _qa_dataset(spark, d, T.TRAIN_P)
+    return B.assign_batches(ds, T.TRAIN_BATCH, dense_id="position").select(*DATASET_COLS, "position", "batch_id", "batch_pos")
 
 
 def _built_already():
@@ -112,18 +114,21 @@ def q_image_prefix(spark, d):
 # ---------------------------------------------------------------- vocabulary / encoding
 
 def _vocab(spark, d, extended=True):
-    v = E.build_vocab(T.load(spark, d, "benchmark"), "text")
+    """The vocabulary of all texts that it is applied to."""
+    texts = [T.load(spark, d, name, spread=True).select("text") for name in ("documents", "conversations")]
+    v = E.build_vocab(texts[0].unionByName(texts[1]), "text")
     return E.extend_vocab(v) if extended else v
 
 
 def _doc_token_ids(spark, d, vocab):
-    toks = E.tokens_long(T.load(spark, d, "documents", spread=True), ["doc_id"], "text")
-    return E.lookup_ids(toks, vocab).select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id")
+    docs = T.load(spark, d, "documents", spread=True).select("doc_id", "text").filter(F.size(T.tokens("text")) > 0)
+    return E.token_ids(docs, ["doc_id"], "text", vocab).select("doc_id", "ids")
 
 
 def q_token_ids(spark, d):
     """T1 + J3: every document token's id (unknown -> <unk>)."""
-    return _doc_token_ids(spark, d, _vocab(spark, d, extended=False))
+    ids = _doc_token_ids(spark, d, _vocab(spark, d, extended=False))
+    return ids.select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
 
 
 def q_extend_vocab(spark, d):
@@ -131,21 +136,19 @@ def q_extend_vocab(spark, d):
     return _vocab(spark, d, extended=True).select("token", "id")
 
 
-def _pair_encoded(spark, d):
-    vocab = _vocab(spark, d)
-    return E.encode_pairs_long(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], vocab,
-                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
+def _pair_encoded(spark, d, pairs=None, keys=("conv_id", "turn")):
+    pairs = T.qa_pairs(spark, d, spread=True) if pairs is None else pairs
+    return E.encode_pairs(pairs, list(keys), _vocab(spark, d), text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
 
 
 def q_pair_encode(spark, d):
-    """T2-T4 (+P8, P9, T8): long form of the training encoding."""
-    return _pair_encoded(spark, d).select("conv_id", "turn", "pos", "input_id", "token_type",
-                                          "attention_mask")
+    """T2-T4 (+P8, P9, T8): the training encoding, one row per position."""
+    return E.positions(_pair_encoded(spark, d), ["conv_id", "turn"]).drop("label")
 
 
 def q_mask_labels(spark, d):
     """T5: labels of the training encoding."""
-    return _pair_encoded(spark, d).select("conv_id", "turn", "pos", "label")
+    return E.positions(_pair_encoded(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "pos", "label")
 
 
 def _length_tokenizer():
@@ -169,59 +172,41 @@ def q_pair_encode_user_tokenizer(spark, d):
                                   num_patches=T.NUM_PATCHES, image_token_id=T.IMAGE_TOKEN_ID)
 
 
+def _listed(values, sep=","):
+    """An array as text."""
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), sep)
+
+
 def q_image_mask_count(spark, d):
-    """Image placeholder positions left in each encoded example."""
+    """The mask of image placeholder positions of each encoded example, and how many are left."""
     vocab = _vocab(spark, d)
     image_id = E.token_id(vocab, E.IMAGE_TOKEN)
-    enc = E.encode_pairs_long(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], vocab,
-                              text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES,
-                              image_token_id=image_id)
-    return E.image_token_count(enc, ["conv_id", "turn"], image_id)
-
-
-def _array_total(arr):
-    return F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
+    enc = E.encode_pairs(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], vocab, text_length=T.TEXT_LENGTH,
+                         num_patches=T.NUM_PATCHES, image_token_id=image_id)
+    mask = F.transform(E.image_mask("input_id", image_id), lambda x: x.cast("int"))
+    return enc.select("conv_id", "turn", E.image_token_count("input_id", image_id).alias("n_image_tokens"),
+                      _listed(mask, "").alias("image_mask"))
 
 
 def q_collate_batches(spark, d):
-    """U3 + A7: encoded QA pairs collated into training batches of 6 (pair order).
-
-    Pairs are numbered before encoding (row index over the unencoded pairs),
-    the batch number rides through the encoder as a key, and one shuffle by
-    batch gathers the encoded examples.
-    """
-    vocab = _vocab(spark, d)
-    pairs = B.assign_batches(T.qa_pairs(spark, d, spread=True), T.TRAIN_BATCH,
-                             order_cols=[F.col("conv_id"), F.col("turn")],
-                             key_cols=["conv_id", "turn"])
-    enc = E.encode_pairs_long(pairs, ["conv_id", "turn", "batch_id", "batch_pos"], vocab,
-                              text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
-    b = B.gather_batches(enc, ["input_id", "attention_mask", "token_type", "label"],
-                         keys=["conv_id", "turn"])
-    return b.select(
-        "batch_id", F.col("n_rows").alias("n_examples"),
-        F.size(F.flatten("input_id")).cast("long").alias("n_positions"),
-        _array_total(F.flatten("attention_mask")).alias("n_attended"),
-        _array_total(F.flatten("token_type")).alias("n_label_tokens"),
-        F.element_at("conv_id", 1).alias("first_conv_id"),
-        F.element_at("turn", 1).alias("first_turn"))
+    """U3 + A7: encoded QA pairs collated into training batches of 6, in the seeded shuffle's order."""
+    pairs = shuffled(T.qa_pairs(spark, d, spread=True), ["conv_id", "turn"], seed=T.SEED)
+    enc = _pair_encoded(spark, d, pairs, ("conv_id", "turn", "position"))
+    b = B.collate(enc, E.FIELDS, T.TRAIN_BATCH, "position", keys=["conv_id", "turn"])
+    arrays = [F.array_join(F.transform(f, lambda x: _listed(x)), "|").alias(f"{f}s") for f in E.FIELDS]
+    return b.select("batch_id", F.col("n_rows").alias("n_examples"), _listed(F.col("conv_id")).alias("conv_ids"),
+                    _listed(F.col("turn")).alias("turns"), *arrays)
 
 
 def q_route_by_label(spark, d):
-    """P10 + T7: labelled rows take the training encoding, the rest inference.
-
-    One pass: the encoding is chosen per row (``encode_routed_long``), so the
-    documents are read and joined once.
-    """
+    """P10 + T7: labelled rows take the training encoding, the rest inference, chosen per row."""
     vocab = _vocab(spark, d)
     docs = T.load(spark, d, "documents", spread=True).select("doc_id", F.col("text").alias("question"))
     lab = T.load(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("answer"))
-    enc = E.encode_routed_long(docs.join(lab, "doc_id", "left"), ["doc_id"], vocab,
-                               text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
-    return enc.groupBy("doc_id", "mode").agg(
-        F.count(F.lit(1)).alias("n_input_ids"),
-        F.sum("attention_mask").cast("long").alias("n_attended"),
-        F.sum((F.col("label") != E.IGNORE_INDEX).cast("long")).alias("n_label_tokens"))
+    enc = E.encode_routed(docs.join(lab, "doc_id", "left"), ["doc_id"], vocab,
+                          text_length=T.TEXT_LENGTH, num_patches=T.NUM_PATCHES)
+    return enc.select("doc_id", "mode", F.size("input_id").cast("long").alias("n_input_ids"),
+                      *[_listed(F.col(f)).alias(f"{f}s") for f in E.FIELDS])
 
 
 def q_missing_images(spark, d):
@@ -353,7 +338,8 @@ def q_strip_prompt(spark, d):
 def q_detokenize(spark, d):
     """Ids of every document decoded back through the vocabulary."""
     vocab = _vocab(spark, d, extended=False)
-    return E.decode_ids(_doc_token_ids(spark, d, vocab), vocab, ["doc_id"], "token_id", "pos", "text")
+    ids = _doc_token_ids(spark, d, vocab)
+    return E.decode_ids(ids, ["doc_id"], "ids", vocab).select("doc_id", "text")
 
 
 def _cut(spark, d):
