@@ -2,12 +2,17 @@ import io
 import json
 import math
 import os
+import random
 import zipfile
 
 import pytest
 
 from vqaframe.functions.parse import python_float
-from vqaframe.sources import dataset_io, images, metric_lines as ML
+from pyarrow import fs as pafs
+from pyspark.sql import functions as F
+
+from vqaframe.sources import archives, dataset_io, images, metric_lines as ML
+from vqaframe.sources import nested_json as NJ
 
 LINES = ["0.5", " 0.25 ", "1e-1", "abc", "", "1.5d", "1_000", "nan", "inf", "-Infinity",
          ".5", "5.", "1__0", "_1", "0x10", "+1E+2", "\t7\n", "+nan", "-NaN", "+inf", "1e1_0"]
@@ -70,7 +75,7 @@ def test_archives_and_image_lookup(spark, tmp):
     with open(f"{tmp}/zips/a.zip", "wb") as f:
         f.write(_zip_bytes([("dir/", b""), ("dir/COCO_train2014_000000000001.jpg", b"abc"),
                             ("COCO_train2014_000000000002.jpg", b"xy"), ("../x", b"evil")]))
-    out = images.expand_archives(spark, [f"{tmp}/zips/a.zip", f"file:{tmp}/zips/gone.zip"])
+    out = archives.expand_archives(spark, [f"{tmp}/zips/a.zip", f"file:{tmp}/zips/gone.zip"])
     rows = out.collect()
     ok = sorted((r["entry"], r["length"]) for r in rows if r["error"] is None)
     assert ok == [("COCO_train2014_000000000002.jpg", 2), ("dir/COCO_train2014_000000000001.jpg", 3)]
@@ -84,14 +89,96 @@ def test_archives_and_image_lookup(spark, tmp):
     listing = images.scan_images(spark, f"{tmp}/imgs")
     rows = spark.createDataFrame([(1, "COCO_train2014_000000000001.jpg"), (3, "COCO_train2014_000000000003.jpg")],
                                  "image_id long, image_file string")
-    assert images.attach_images(rows, listing, on_missing="drop").count() == 1
-    assert images.attach_images(rows, listing, on_missing="null").count() == 2
+    assert images.attach_images(rows, listing, on_missing="drop", name_col="file_name").count() == 1
+    assert images.attach_images(rows, listing, on_missing="null", name_col="file_name").count() == 2
     assert [r["image_id"] for r in images.missing_images(rows, listing).collect()] == [3]
-    matched = images.attach_images(rows, listing, on_missing="drop")
+    matched = images.attach_images(rows, listing, on_missing="drop", name_col="file_name")
     with_bytes = images.attach_content(matched, images.scan_images(spark, f"{tmp}/imgs", with_content=True))
     assert [bytes(r["content"]) for r in with_bytes.collect()] == [b"abc"]
     with pytest.raises(Exception):
-        images.attach_images(rows, listing, on_missing="error").collect()
+        images.attach_images(rows, listing, on_missing="error", name_col="file_name").collect()
+
+
+def test_archived_and_plain_images_by_full_path(spark, tmp):
+    """The same rows find plain files and archived ones, and the bytes of both reach them."""
+    os.makedirs(f"{tmp}/plain")
+    os.makedirs(f"{tmp}/packed/sub")
+    with open(f"{tmp}/plain/1.jpg", "wb") as f:
+        f.write(b"plain one")
+    with open(f"{tmp}/packed/set.zip", "wb") as f:
+        f.write(_zip_bytes([("set/", b""), ("set/1.jpg", b"archived one"), ("2.jpg", b"two"), ("/etc/x.jpg", b"no")]))
+    files = images.scan_images(spark, f"{tmp}/plain", with_content=True).unionByName(
+        images.archived_images(archives.expand_archives(spark, f"{tmp}/packed/set.zip"), with_content=True))
+    rows = spark.createDataFrame([(1, f"{tmp}/plain/1.jpg"), (2, f"file:{tmp}/packed//set/1.jpg"), (3, f"{tmp}/packed/2.jpg"),
+                                  (4, f"{tmp}/packed/set/2.jpg")], "id int, image_file string")
+    matched = images.attach_images(rows, files.drop("content"), on_missing="null")
+    got = {r["id"]: (r["content"] and bytes(r["content"]), r["image_bytes"]) for r in images.attach_content(matched, files).collect()}
+    assert got == {1: (b"plain one", 9), 2: (b"archived one", 12), 3: (b"two", 3), 4: (None, None)}
+
+
+def test_archives_through_another_file_system(spark, tmp):
+    """No path of these archives is mounted; entries are dealt to tasks by bytes and read as ranges."""
+    rng = random.Random(2)
+    entries = [(f"d/{i}.bin", rng.randbytes(rng.randint(0, 3000))) for i in range(60)]
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for i, (name, data) in enumerate(entries):
+            z.writestr(name, data, [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED][i % 2])
+        z.writestr("odd.bin", b"x" * 50, zipfile.ZIP_BZIP2)
+    os.makedirs(f"{tmp}/store")
+    with open(f"{tmp}/store/a.zip", "wb") as f:
+        f.write(buf.getvalue())
+    at = buf.getvalue().index(entries[0][1]) + 5  # damage the first entry
+    with open(f"{tmp}/store/b.zip", "wb") as f:
+        f.write(buf.getvalue()[:at] + bytes([buf.getvalue()[at] ^ 1]) + buf.getvalue()[at + 1:])
+    with open(f"{tmp}/store/c.zip", "wb") as f:
+        f.write(b"no archive")
+    store = pafs.SubTreeFileSystem(f"{tmp}/store", pafs.LocalFileSystem())
+    out = archives.expand_archives(spark, ["a.zip", "b.zip", "c.zip", "d.zip"], partition_bytes=8000, batch_bytes=3000, filesystem=store)
+    assert out.rdd.getNumPartitions() > 10
+    rows = out.collect()
+    good = {(r["archive"], r["entry"]): bytes(r["content"]) for r in rows if r["error"] is None}
+    assert good == {(a, n): d for a in ("a.zip", "b.zip") for n, d in entries if (a, n) != ("b.zip", "d/0.bin")}
+    errors = sorted((r["archive"], r["entry"], r["error"].split(":")[0]) for r in rows if r["error"] and r["entry"])
+    assert errors == [("a.zip", "odd.bin", "unsupported method 12"), ("b.zip", "d/0.bin", "checksum differs"), ("b.zip", "odd.bin", "unsupported method 12")]
+    assert {(r["archive"], r["error"].split(":")[0]) for r in rows if not r["entry"]} == {("c.zip", "bad archive"), ("d.zip", "Zip file not found")}
+
+
+def test_archive_members_in_a_lateral_join(spark):
+    df = spark.createDataFrame([(1, _zip_bytes([("a/", b""), ("a/x", b"12"), ("../y", b"3")])), (2, None), (3, b"junk"), (4, _zip_bytes([]))],
+                               "id int, content binary")
+    df.createOrReplaceTempView("rows_with_archives")
+    name = archives.register_archive_members(spark)
+    full = spark.sql(f"SELECT id, m.* FROM rows_with_archives t, LATERAL {name}(t.content, true) m")
+    got = sorted(((r.id, r.entry, r.length, r.error and r.error.split(":")[0], r.content and bytes(r.content)) for r in full.collect()), key=str)
+    assert got == [(1, "../y", None, "unsafe entry name", None), (1, "a/x", 2, None, b"12"), (3, None, None, "bad archive", None)]
+    assert spark.sql(f"SELECT m.* FROM rows_with_archives t, LATERAL {name}(t.content, false) m").columns == ["entry", "length", "error"]
+
+
+@pytest.mark.parametrize("size", [7, 100, 1_000_000])
+def test_nested_json_in_ranges(spark, tmp, size):
+    """Ranges that end anywhere: in strings, escapes, characters of several bytes, names and nested values."""
+    rng = random.Random(3)
+    recs = [{"question_id": i, "image_id": i * 7, "question": "".join(rng.choice('ab"\\{}[]:,é🙂 \n') for _ in range(rng.randint(0, 60)))}
+            for i in range(12 if size == 7 else 120)]
+    objects = [{"info": {"x": [1, {"q": "}"}]}, "license": 's"\\', "questions": recs, "other": [{"question_id": 9}], "n": 3},
+               {"questions": []}, {"other": [{"question_id": 5}], "z": None, "questions": recs[:3]}]
+    paths = []
+    for k, o in enumerate(objects):
+        paths.append(f"{tmp}/{k}.json")
+        with open(paths[-1], "w") as f:
+            json.dump(o, f, ensure_ascii=k == 0, indent=[None, None, 1][k])
+    df = NJ.read_questions(spark, paths, range_bytes=size)
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r.values()) for r in recs + recs[:3])
+
+
+@pytest.mark.parametrize("text", ['{"questions":[{"question_id":1}', '{"x":[]}', '{"questions":[{"question_id":"}]}', '{"questions":null}',
+                                  '{"questions":[{"question_id":nope}]}'])
+def test_malformed_nested_json_fails(spark, tmp, text):
+    with open(f"{tmp}/bad.json", "w") as f:
+        f.write(text)
+    with pytest.raises(Exception):
+        NJ.read_questions(spark, f"{tmp}/bad.json").collect()
 
 
 def test_save_load_or_build_and_log(spark, tmp):

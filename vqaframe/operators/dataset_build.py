@@ -9,33 +9,15 @@ rename, no driver collect).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vqaframe.functions.strings import REFERENCE_PROMPT
 from vqaframe.operators.prepare import build_qa_dataset
-from vqaframe.session import shared_dir
+from vqaframe.sources.archives import expand_archives
 from vqaframe.sources.dataset_io import load_or_build
-from vqaframe.sources.images import attach_images, expand_archives, scan_images
+from vqaframe.sources.images import archived_images, attach_images, scan_images
 from vqaframe.sources.nested_json import read_annotations, read_questions
 
 
-def archive_listing(spark: SparkSession, archive_path: str, out_path: str | None = None) -> DataFrame:
-    """S6 as a table: expand the archive once into Parquet, list its images.
-
-    A missing archive or an unsafe entry name is kept in the written table
-    with ``error`` set instead of failing the job; the listing returned
-    holds the readable images only.
-    """
-    out_path = out_path or shared_dir(spark, "images")
-    entries = expand_archives(spark, [archive_path])
-    entries.write.mode("overwrite").parquet(out_path)
-    t = spark.read.parquet(out_path)
-    return t.filter(F.col("error").isNull()).select(
-        F.regexp_extract("entry", r"([^/]+)$", 1).alias("file_name"),
-        F.concat(F.lit(out_path + "#"), F.col("archive"), F.lit("!/"), F.col("entry")).alias("path"),
-        "length")
-
-
 def prepare_split(spark: SparkSession, annotations_path, questions_path, save_path: str,
                   split: str, img_path: str, archive: bool = False,
                   template: str = REFERENCE_PROMPT, fraction: float | None = None,
@@ -46,15 +28,14 @@ def prepare_split(spark: SparkSession, annotations_path, questions_path, save_pa
     img_path, image_file, and the matched image's uri and size.
     """
     def build() -> DataFrame:
-        if archive:
-            listing = archive_listing(spark, img_path.rstrip("/") + ".zip")
+        if archive:  # a missing archive or an unsafe entry name is reported by the listing, not fatal
+            listing = archived_images(expand_archives(spark, [img_path.rstrip("/") + ".zip"]).drop("content"))
         else:
             listing = scan_images(spark, img_path)
         ds = build_qa_dataset(read_questions(spark, questions_path),
                               read_annotations(spark, annotations_path),
                               split, img_path, template=template, fraction=fraction, seed=seed)
-        named = ds.withColumn("_fname", F.regexp_extract("image_file", r"([^/]+)$", 1))
-        return attach_images(named, listing, file_col="_fname", on_missing=on_missing).drop("_fname")
+        return attach_images(ds, listing, on_missing=on_missing)
 
     return load_or_build(spark, save_path, build, load=load, partition_by=["split"])
 

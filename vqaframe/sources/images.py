@@ -1,4 +1,4 @@
-"""Image files, image archives, and the row -> image lookup.
+"""Image files, and the row -> image lookup (archives: see ``archives``).
 
 Image bytes never travel through a join: rows are matched to the file
 listing on the path (path and length only), and ``content`` is re-attached
@@ -7,10 +7,6 @@ only when a decoder needs it.
 
 from __future__ import annotations
 
-import posixpath
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,31 +15,52 @@ from vqaframe.session import ensure
 
 def scan_images(spark: SparkSession, directory: str, pattern: str = "*.jpg",
                 with_content: bool = False, recursive: bool = True) -> DataFrame:
-    """Listing of image files: file_name, path, length (+ content)."""
+    """Listing of image files: file_name, path, uri, length (+ content). A plain file's uri is its path."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
           .option("recursiveFileLookup", str(recursive).lower()).load(directory))
-    cols = [F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path", "length"]
+    cols = [F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path", F.col("path").alias("uri"), "length"]
     if with_content:
         cols.append("content")
     return df.select(*cols)
 
 
+def archived_images(entries: DataFrame, with_content: bool = False) -> DataFrame:
+    """S5 + S6: the same listing of archived images (``expand_archives``), readable ones only.
+
+    ``path`` is where the entry would lie if its archive were unpacked in its own folder, so rows are matched by
+    full path in either case; ``uri`` is ``archive!/entry`` and names the bytes.
+    """
+    folder = F.regexp_replace("archive", r"/?[^/]*$", "")
+    ok = entries.filter(F.col("error").isNull())
+    listing = ok.select(F.regexp_extract("entry", r"([^/]+)$", 1).alias("file_name"),
+                        F.concat(folder, F.lit("/"), F.col("entry")).alias("path"),
+                        F.concat(F.col("archive"), F.lit("!/"), F.col("entry")).alias("uri"), "length",
+                        *(["content"] if with_content else []))
+    return listing
+
+
+def _plain_path(c):
+    """A path as it compares: without the scheme of local files, single slashes."""
+    bare = F.regexp_replace(c, r"^file:(//)?(?=/)", "")
+    return F.regexp_replace(bare, r"(?<!:)/{2,}", "/")
+
+
 def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file",
-                  on_missing: str = "error", name_col: str = "file_name") -> DataFrame:
-    """Match each row to its image file; report or handle misses.
+                  on_missing: str = "error", name_col: str = "path") -> DataFrame:
+    """Match each row to its image by full path (``name_col="file_name"``: by base name).
 
-    ``file_col`` and ``name_col`` are compared: base names, or full paths
-    with ``name_col='path'``. A name that several listed files share fails
-    the job, as it would not tell which one is meant.
+    Adds ``image_uri``, which names the bytes whether the image is a plain file or an archive's entry, and
+    ``image_bytes``. A name that several listed files share fails the job, as it would not tell which one is meant.
 
     ``on_missing``: 'error' fails the job on the first row without a file,
     'drop' keeps matched rows only, 'null' keeps every row.
     """
-    listing = files.groupBy(F.col(name_col).alias("_listed_name")).agg(
-        F.min("path").alias("image_uri"), F.min_by("length", "path").alias("image_bytes"), F.max("path").alias("_other"))
+    same = _plain_path if name_col == "path" else (lambda c: c)
+    listing = files.groupBy(same(F.col(name_col)).alias("_listed_name")).agg(
+        F.min("uri").alias("image_uri"), F.min_by("length", "uri").alias("image_bytes"), F.max("uri").alias("_other"))
     listing = ensure(listing, F.col("image_uri") == F.col("_other"),
                      F.concat(F.lit("several files are named "), F.col("_listed_name"))).drop("_other")
-    j = rows.join(listing, rows[file_col] == listing["_listed_name"], "left").drop("_listed_name")
+    j = rows.join(listing, same(F.col(file_col)) == listing["_listed_name"], "left").drop("_listed_name")
     if on_missing == "drop":
         return j.filter(F.col("image_uri").isNotNull())
     if on_missing == "null":
@@ -60,84 +77,13 @@ def attach_content(rows: DataFrame, files_with_content: DataFrame,
     Matching (``attach_images``) moves only path and length. Bytes join in
     here, after rows were selected, sampled or filtered: one shuffle of the
     content of the images still needed. ``files_with_content`` is
-    ``scan_images(..., with_content=True)``.
+    ``scan_images(..., with_content=True)`` or ``archived_images(..., with_content=True)``.
     """
-    c = files_with_content.select(F.col("path").alias("_content_path"), "content")
-    return rows.join(c, rows[uri_col] == c["_content_path"], "left").drop("_content_path")
+    c = files_with_content.select(F.col("uri").alias("_content_uri"), "content")
+    return rows.join(c, rows[uri_col] == c["_content_uri"], "left").drop("_content_uri")
 
 
 def missing_images(rows: DataFrame, listing: DataFrame, file_col: str = "image_file",
                    name_col: str = "file_name") -> DataFrame:
     """J2 report: rows whose image file is absent from the listing (left anti join)."""
     return rows.join(listing.select(F.col(name_col).alias(file_col)), file_col, "left_anti")
-
-
-ARCHIVE_SCHEMA = "archive string, entry string, length long, content binary, error string"
-_LISTING_SCHEMA = "archive string, entry string, error string"
-
-
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
-
-
-def _unsafe(name: str) -> bool:
-    norm = posixpath.normpath(name)
-    return name.startswith("/") or norm == ".." or norm.startswith("../")
-
-
-def _list_entries(batches):
-    """One task per archive: read only the central directory, emit entry names."""
-    for pdf in batches:
-        out = []
-        for archive in pdf["archive"]:
-            try:
-                with zipfile.ZipFile(_local(archive)) as zf:
-                    for info in zf.infolist():
-                        if info.is_dir():
-                            continue
-                        out.append((archive, info.filename,
-                                    "unsafe entry name" if _unsafe(info.filename) else None))
-            except FileNotFoundError:
-                out.append((archive, None, "Zip file not found"))
-            except zipfile.BadZipFile as e:
-                out.append((archive, None, f"bad archive: {e}"))
-        yield pd.DataFrame(out, columns=["archive", "entry", "error"])
-
-
-def _read_entries(batches):
-    """Read the assigned entries; each task opens an archive once per batch."""
-    for pdf in batches:
-        out = []
-        for archive, group in pdf.groupby("archive", sort=False):
-            with zipfile.ZipFile(_local(archive)) as zf:
-                for name in group["entry"]:
-                    data = zf.read(name)
-                    out.append((archive, posixpath.normpath(name), len(data), data, None))
-        yield pd.DataFrame(out, columns=["archive", "entry", "length", "content", "error"])
-
-
-def expand_archives(spark: SparkSession, paths, num_partitions: int | None = None) -> DataFrame:
-    """One row per file entry of every zip archive, entries read in parallel.
-
-    ``paths`` are archive files readable from every executor (a local or
-    shared mount; ``file:`` URIs accepted). A task per archive reads only
-    the central directory; the entries are then spread over
-    ``num_partitions`` tasks that each read just their own entries, so a
-    multi-gigabyte archive is neither one row nor one task. Directories are
-    skipped; absolute or parent-relative names and missing archives are
-    reported as rows with ``error`` set (the original prints and goes on).
-    """
-    if isinstance(paths, str):
-        paths = [paths]
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from vqaframe.session import literal_frame, ship_package
-    ship_package(spark)
-    archives = literal_frame(spark, [(p,) for p in paths], [("archive", "string")])
-    listed = archives.repartition(max(1, len(paths))).mapInPandas(_list_entries, _LISTING_SCHEMA)
-    good = listed.filter(F.col("error").isNull()).select("archive", "entry")
-    read = good.repartition(num_partitions).mapInPandas(_read_entries, ARCHIVE_SCHEMA)
-    bad = listed.filter(F.col("error").isNotNull()).select(
-        "archive", "entry", F.lit(None).cast("long").alias("length"),
-        F.lit(None).cast("binary").alias("content"), "error")
-    return read.unionByName(bad)

@@ -1,17 +1,34 @@
 """JSON documents whose records sit in an array under one field.
 
-A VQA annotation file is a single JSON object, so the whole file is one value
-and one task: read it with a declared schema (only the needed sub-fields are
-parsed), turn the array into rows with ``inline``, and repartition right
-after so every later stage is parallel.
+A VQA annotation file is a single JSON object, so a JSON reader makes the whole file one value and one task. Here
+a file is read in byte ranges, a task each:
+
+1. A range alone can't tell whether it begins inside a string. Each is summarised for all four states that it may
+   begin in (in a string or not, after a backslash or not): the state it ends in and how much deeper. The summaries, a
+   few numbers a range, are combined file by file from front to back, which gives every range its true state.
+2. With it, each range finds the records (objects at depth 3) that lie in it and emits their text. A record that goes on
+   in the next range is emitted in parts, which are joined by file and first range. What is at depth 1 (the field
+   names) is emitted too, with nested values left out; it tells which nested value of the file is the wanted field.
+3. Record texts become rows with ``from_json``, in the tasks that found them.
+
+A file that ends inside a string or a bracket, a record that doesn't parse, and a file without the field fail the read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from vqaframe.session import reliable_checkpoint, ship_package
+from vqaframe.sources.ranges import byte_ranges, locate, pack_filesystem
+
 ANNOTATION_RECORD = StructType([
     StructField("question_id", LongType()),
     StructField("image_id", LongType()),
@@ -26,20 +43,185 @@ QUESTION_RECORD = StructType([
     StructField("question", StringType()),
 ])
 
+_STATES = [(0, 0), (0, 1), (1, 0), (1, 1)]  # (in a string, after a backslash)
+_DEEPER = np.zeros(256, np.int8)
+_DEEPER[[ord(c) for c in "{["]] = 1
+_DEEPER[[ord(c) for c in "}]"]] = -1
+
+
+def _structure(data: bytes, in_string: int, escaped: int):
+    """(depth change of each byte, counted outside strings; whether each byte is in a string or a quote; end state)."""
+    t = np.frombuffer(data, np.uint8)
+    slash = t == ord("\\")
+    # a byte is escaped if the run of backslashes before it is odd; the state carries a run from the range before
+    at = np.arange(len(t))
+    run_start = np.maximum.accumulate(np.where(slash, -1, at)) if len(t) else at  # last byte that is no backslash
+    run = np.r_[0, at - run_start][:-1] if len(t) else at
+    first = np.r_[-1, run_start][:-1] < 0 if len(t) else at
+    escape = (run + np.where(first, escaped, 0)) % 2 == 1
+    quote = (t == ord('"')) & ~escape
+    inside = (np.cumsum(quote) + in_string) % 2 == 1
+    quoted = inside | quote
+    end_run = int(at[-1] - run_start[-1]) if len(t) else 0
+    whole = len(t) == end_run
+    return np.where(quoted, 0, _DEEPER[t]), quoted, (int(inside[-1]) if len(t) else in_string,
+                                                     (end_run + (escaped if whole else 0)) % 2)
+
+
+_SUMMARY = "path string, chunk int, ends array<int>"
 
-def read_nested_json(spark: SparkSession, paths, field: str, record: StructType,
-                     num_partitions: int | None = None, multiline: bool = True) -> DataFrame:
-    """One row per element of ``field`` across all files in ``paths``.
 
-    A malformed file, or one without the field, fails the read.
+def _summaries(batches):
+    """For each state that a range may begin in: in a string, after a backslash, depth change at its end."""
+    for b in batches:
+        ends = []
+        for data in b.column("data").to_pylist():
+            row = []
+            for state in _STATES:
+                depth, _, end = _structure(data, *state)
+                row += [*end, int(depth.sum())]
+            ends.append(row)
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("chunk"), pa.array(ends, pa.list_(pa.int32()))],
+                                         ["path", "chunk", "ends"])
+
+
+def _combined(ranges: pd.DataFrame) -> pd.DataFrame:
+    """The state that each range of one file begins in."""
+    ranges = ranges.sort_values("chunk")
+    state, depth, out = (0, 0), 0, []
+    for chunk, ends in zip(ranges["chunk"], ranges["ends"]):
+        out.append((ranges["path"].iloc[0], chunk, *state, depth))
+        a, b, more = ends[3 * _STATES.index(state):][:3]
+        state, depth = (int(a), int(b)), depth + int(more)
+    if state != (0, 0) or depth:
+        raise ValueError(f"malformed JSON: {ranges['path'].iloc[0]} ends at depth {depth} or inside a string")
+    return pd.DataFrame(out, columns=["path", "chunk", "in_string", "escaped", "depth"])
+
+
+_STATE = "path string, chunk int, in_string int, escaped int, depth int"
+_FOUND = "path string, chunk int, kind string, opened int, at int, text binary"
+
+
+def _records(batches):
+    """Of each range: whole records, the parts of records cut by its ends, and the text at depth 1.
+
+    ``opened``: nested values of the file's object that have begun in the range up to here. A nested value stands as one
+    NUL byte in the text at depth 1, which holds no other.
     """
-    schema = StructType([StructField(field, ArrayType(record))])
-    raw = spark.read.schema(schema).option("multiLine", multiline).option("mode", "FAILFAST").json(paths)
-    missing = F.raise_error(F.lit(f"a document has no field {field}"))
-    rows = raw.select(F.inline(F.when(F.col(field).isNull(), missing).otherwise(F.col(field))))
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(num_partitions)
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("path", "chunk", "data", "in_string", "escaped", "depth")]
+        out = []
+        for path, chunk, data, in_string, escaped, depth in zip(*cols, strict=True):
+            change, _, _ = _structure(data, in_string, escaped)
+            level = depth + np.cumsum(change, dtype=np.int64)
+            before = level - change
+            opened = np.cumsum((before == 1) & (level == 2))
+            begins = np.flatnonzero((before == 2) & (level == 3))
+            closes = np.flatnonzero((before == 3) & (level == 2)) + 1
+            if depth >= 3:  # a record goes on from the range before
+                end = int(closes[0]) if len(closes) else len(data)
+                out.append((path, chunk, "ends" if len(closes) else "goes on", 0, 0, data[:end]))
+                closes = closes[1:]
+            for a, z in zip(begins, closes):
+                out.append((path, chunk, "whole", int(opened[a]), int(a), data[a:z]))
+            if len(begins) > len(closes):
+                a = int(begins[-1])
+                out.append((path, chunk, "begins", int(opened[a]), a, data[a:]))
+            t = np.frombuffer(data, np.uint8)
+            top = np.where((before == 1) & (level == 2), 0, t)[((before <= 1) & (level <= 1)) | ((before == 1) & (level == 2))]
+            out.append((path, chunk, "top", int(opened[-1]) if len(opened) else 0, 0, top.astype(np.uint8).tobytes()))
+        columns = list(zip(*out, strict=True))
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                         ["path", "chunk", "kind", "opened", "at", "text"])
+
+
+def _field_values(top: str, field: str) -> list[int]:
+    """Numbers (from 1) of the nested values under ``field`` in an object whose nested values stand as NUL."""
+    pairs = json.loads(top.replace("\0", "\"\\u0000\""), object_pairs_hook=list)
+    out, n = [], 0
+    for key, value in pairs if isinstance(pairs, list) else []:
+        if value == "\0":
+            n += 1
+            if key == field:
+                out.append(n)
+    return out
+
+
+def read_nested_json(spark: SparkSession, paths, field: str, record: StructType, range_bytes: int = 32 * 1024 * 1024,
+                     filesystem: pafs.FileSystem | None = None) -> DataFrame:
+    """One row per record (object) in the array ``field``, across all files in ``paths``.
+
+    Each range of ``range_bytes`` is a task. A malformed file, or one without the field, fails the read.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    ranges = byte_ranges(spark, paths, range_bytes, filesystem)
+    states = reliable_checkpoint(ranges.mapInArrow(_summaries, _SUMMARY).groupBy("path").applyInPandas(_combined, _STATE))
+    # a row of numbers per range; the ranges themselves don't move
+    found = ranges.join(F.broadcast(states), ["path", "chunk"]).mapInArrow(_records, _FOUND)
+    parts = reliable_checkpoint(found.filter(F.col("kind") != "whole"))
+
+    top = (parts.filter("kind = 'top'").groupBy("path").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"].cast("string")), "").alias("top")))
+
+    def wanted(batches):
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["top"]):
+                numbers = _field_values(text, field)
+                if not numbers:
+                    raise ValueError(f"{path}: a document has no field {field}")
+                out += [(path, n) for n in numbers]
+            yield pd.DataFrame(out, columns=["path", "value"])
+
+    values = reliable_checkpoint(top.mapInPandas(wanted, "path string, value int"))  # a row per file
+    before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opened = parts.filter("kind = 'top'").select("path", "chunk", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("earlier"))
+
+    cut = parts.filter("kind <> 'top'")
+    order = F.when(F.col("kind") == "begins", F.lit(1)).otherwise(F.lit(0))  # what goes on comes first in a range
+    so_far = Window.partitionBy("path").orderBy("chunk", order)
+    cut = cut.withColumn("first", F.last(F.when(F.col("kind") == "begins", F.col("chunk")), True).over(so_far))
+    joined = cut.groupBy("path", "first").agg(
+        F.max(F.when(F.col("kind") == "begins", F.col("opened"))).alias("opened"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"].cast("string")), "").alias("text"))
+    joined = joined.select("path", F.col("first").alias("chunk"), "opened", "text")
+    whole = F.col("kind") == "whole"
+    texts = found.filter(whole).select("path", "chunk", F.when(whole, F.col("opened")).alias("opened"),
+                                       F.when(whole, F.col("text").cast("string")).alias("text")).unionByName(joined)
+    placed = texts.join(F.broadcast(opened), ["path", "chunk"]).join(F.broadcast(values), ["path"])
+    # the text is null wherever it isn't a record of the field: a caller's filter may be evaluated before this one
+    ours = F.col("earlier") + F.col("opened") == F.col("value")
+    parsed = placed.filter(ours).select(F.from_json(F.when(ours, F.col("text")), record, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select("r.*")
+
+
+def write_nested_json(df: DataFrame, directory: str, field: str, filesystem: pafs.FileSystem | None = None) -> list[str]:
+    """Write the rows as JSON objects ``{"info": ..., field: [records]}``, one file per partition; returns the paths.
+
+    A file is named by its partition, so a task that runs again writes the same file again.
+    """
+    packed = pack_filesystem(filesystem)
+    head = json.dumps({"info": {"version": "1.0", "note": "records, \"quoted\" \\ {[braced]}"}})[:-1] + f", {json.dumps(field)}: ["
+
+    def work(batches):
+        from pyspark import TaskContext
+        path = f"{directory}/part-{TaskContext.get().partitionId():05d}.json"
+        fs, inside = locate(path, packed)
+        fs.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+        n = 0
+        with fs.open_output_stream(inside) as f:
+            f.write(head.encode())
+            for b in batches:
+                for line in b.column(0).to_pylist():
+                    f.write((",\n" if n else "").encode() + line.encode())
+                    n += 1
+            f.write(b"]}")
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    ship_package(df.sparkSession)
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("line"))
+    return [r["path"] for r in lines.mapInArrow(work, "path string").collect()]
 
 
 def read_annotations(spark: SparkSession, paths, **kw) -> DataFrame:
