@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vqaframe.llm.common import materialise, python_ready
 
-_BATCH_WORDS = 1 << 19
+_BATCH_WORDS = 1 << 17  # words solved at a time, or one tile
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -198,61 +198,77 @@ def solve_tiles(tiles: list[np.ndarray], octaves: list[tuple[int, int]], min_len
     return tile, found[0] - base, found[1] - base, found[2]
 
 
-def _cut_tiles(base: DataFrame, min_length: int, base_octave: int) -> DataFrame:
-    """One row per tile: id, version, first and last octave, first word, words (32-bit numbers of the document's words)."""
-    names = ["id", "version", "low", "high", "at", "words"]
+def _tiles(text: bytes, min_length: int, base_octave: int):
+    """(first octave, last octave, first word, words as numbers of the document) of each tile of a text."""
+    number = defaultdict(count().__next__)
+    words = np.fromiter(map(number.__getitem__, text.split()), np.int32)  # bytes: the blanks of ASCII
+    for low, high, at, end in tiles_of(len(words), min_length, base_octave):
+        yield low, high, at, words[at:end]
+
+
+def _in_batches(tiles):
+    """Lists of (row, first octave, last octave, first word, words) of about ``_BATCH_WORDS`` words."""
+    held, size = [], 0
+    for tile in tiles:
+        if held and size + len(tile[4]) > _BATCH_WORDS:
+            yield held
+            held, size = [], 0
+        held.append(tile)
+        size += len(tile[4])
+    if held:
+        yield held
+
+
+def _pieces(b: pa.RecordBatch, tiles, min_length: int):
+    """Batches of pieces (id, version, period, start, end) of tiles of the rows of ``b``, whose first columns are id and version."""
+    for held in _in_batches(tiles):
+        tile, start, end, period = solve_tiles([x[4] for x in held], [x[1:3] for x in held], min_length)
+        if len(tile):
+            pick = pa.array(np.array([x[0] for x in held])[tile])
+            at = np.array([x[3] for x in held])[tile]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pick), b.column(1).take(pick), *[pa.array(x, pa.int64()) for x in (period, start + at, end + at)]],
+                ["id", "version", "period", "start", "end"])
+
+
+def _solved_in_place(base: DataFrame, min_length: int, base_octave: int) -> DataFrame:
+    """One row per piece of the texts (id, version, text): tiles are solved by the task that cuts them."""
 
     def work(batches):
         for b in batches:
-            row, parts, held = [], [], 0
-            for r, text in enumerate(b.column(2).to_pylist()):
-                number = defaultdict(count().__next__)
-                words = np.fromiter(map(number.__getitem__, text.split()), np.int32)  # bytes: the blanks of ASCII
-                for low, high, at, end in tiles_of(len(words), min_length, base_octave):
-                    row.append(r)
-                    parts.append((low, high, at, words[at:end].tobytes()))
-                    held += end - at
-                    if held > _BATCH_WORDS:
-                        yield batch(b, row, parts)
-                        row, parts, held = [], [], 0
-            if row:
-                yield batch(b, row, parts)
-
-    def batch(b, row, parts):
-        low, high, at, words = zip(*parts, strict=True)
-        pick = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [b.column(0).take(pick), b.column(1).take(pick), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
-             pa.array(at, pa.int64()), pa.array(words, pa.binary())], names)
+            tiles = ((r, *tile) for r, text in enumerate(b.column(2).to_pylist()) for tile in _tiles(text, min_length, base_octave))
+            yield from _pieces(b, tiles, min_length)
 
-    id_type = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(work, f"id {id_type}, version bigint, low int, high int, at bigint, words binary")
+    return base.mapInArrow(work, _piece_schema(base))
 
 
-def _solved(tiles: DataFrame, min_length: int) -> DataFrame:
-    """One row per piece: id, version, period, start, end."""
+def _solved_anywhere(base: DataFrame, min_length: int, base_octave: int) -> DataFrame:
+    """The same, with the tiles dealt to all tasks."""
 
-    def work(batches):
+    def cut(batches):
+        for b in batches:
+            tiles = ((r, *tile) for r, text in enumerate(b.column(2).to_pylist()) for tile in _tiles(text, min_length, base_octave))
+            for held in _in_batches(tiles):
+                row, low, high, at, words = zip(*held, strict=True)
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pick), b.column(1).take(pick), pa.array(low, pa.int32()), pa.array(high, pa.int32()),
+                     pa.array(at, pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())],
+                    ["id", "version", "low", "high", "at", "words"])
+
+    def solve(batches):
         for b in batches:
-            words = [np.frombuffer(w, np.int32) for w in b.column(5).to_pylist()]
-            octaves = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
-            at, a = b.column(4).to_numpy(), 0
-            while a < len(words):
-                z, size = a, 0
-                while z < len(words) and (z == a or size + len(words[z]) <= _BATCH_WORDS):
-                    size += len(words[z])
-                    z += 1
-                tile, start, end, period = solve_tiles(words[a:z], octaves[a:z], min_length)
-                if len(tile):
-                    pick = pa.array(tile + a)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pick), b.column(1).take(pick),
-                         *[pa.array(x, pa.int64()) for x in (period, start + at[tile + a], end + at[tile + a])]],
-                        ["id", "version", "period", "start", "end"])
-                a = z
-
-    id_type = tiles.schema["id"].dataType.simpleString()
-    return tiles.mapInArrow(work, f"id {id_type}, version bigint, period bigint, start bigint, end bigint")
+            words = (np.frombuffer(w.as_py(), np.int32) for w in b.column(5))
+            tiles = zip(range(b.num_rows), *[b.column(c).to_pylist() for c in (2, 3, 4)], words)
+            yield from _pieces(b, tiles, min_length)
+
+    id_type = base.schema["id"].dataType.simpleString()
+    tiles = base.mapInArrow(cut, f"id {id_type}, version bigint, low int, high int, at bigint, words binary")
+    return tiles.repartition("id", "version", "low", "at").mapInArrow(solve, _piece_schema(base))
+
+
+def _piece_schema(base: DataFrame) -> str:
+    return f"id {base.schema['id'].dataType.simpleString()}, version bigint, period bigint, start bigint, end bigint"
 
 
 def stitch(pieces: DataFrame) -> DataFrame:
@@ -285,13 +301,14 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(docs[f"`{text_col}`"].cast("binary"), F.lit("").cast("binary"))
     base = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
     long = F.octet_length("text") > spread_bytes
-    here = _cut_tiles(base.filter(~long), min_length, base_octave)
-    dealt = _cut_tiles(base.filter(long), min_length, base_octave).repartition("id", "version", "low", "at")
-    pieces = materialise(_solved(here, min_length).unionByName(_solved(dealt, min_length)), "periodic-pieces")
+    pieces = _solved_in_place(base.filter(~long), min_length, base_octave).unionByName(
+        _solved_anywhere(base.filter(long), min_length, base_octave))
+    pieces = materialise(pieces, "periodic-pieces")
     runs = stitch(pieces).groupBy(F.col("id").alias("r_id"), F.col("version").alias("r_version")).agg(
         F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))  # of one document
     runs = materialise(runs, "periodic-runs")
-    joined = base.join(runs, base["id"].eqNullSafe(runs["r_id"]) & (base["version"] == runs["r_version"]), "left")
+    # runs grow with the corpus, so the join is a shuffle at every size
+    joined = base.join(runs.hint("merge"), base["id"].eqNullSafe(runs["r_id"]) & (base["version"] == runs["r_version"]), "left")
     joined = joined.select("id", "text", F.coalesce("runs", F.array().cast(runs.schema["runs"].dataType)).alias("runs"))
     id_type, run_type = (joined.schema[c].dataType.simpleString() for c in ("id", "runs"))
 
