@@ -158,3 +158,24 @@ def test_per_worker_keys_do_not_collide():
     exec("def make():\n    return 'two'", ns2)
     assert ns1["make"].__qualname__ == ns2["make"].__qualname__
     assert per_worker(ns1["make"]) == "one" and per_worker(ns2["make"]) == "two"
+
+
+def test_second_run_opens_only_the_folders_it_asks_for(spark, tmp):
+    req = spark.range(300).select(F.col("id"), F.concat(F.lit("p"), F.col("id")).alias("prompt"),
+                                  F.sha2(F.col("id").cast("string"), 256).alias("cache_key"))
+    make = lambda: (lambda p: p.upper())
+    cache = f"{tmp}/cache"
+    assert G.memoised_generate(req, cache, make).filter("cached").count() == 0
+    few = req.filter("id in (3, 5)")
+    keys = {r["cache_key"][:2] for r in few.collect()}
+    part = G.read_results(spark, cache, few)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
+    assert {r["f"].split("bucket=k")[1][:2] for r in part.select(F.input_file_name().alias("f")).collect()} == keys
+    hits, misses = G.split_cache(few, part.select("cache_key", "output"))
+    assert sorted(r["output"] for r in hits.collect()) == ["P3", "P5"] and misses.count() == 0
+    again = G.memoised_generate(few.unionByName(spark.range(1000, 1002).select("id", F.lit("new").alias("prompt"), F.lit("zz").alias("cache_key"))), cache, make)
+    assert sorted((r["id"], r["output"], r["cached"]) for r in again.collect()) == [(3, "P3", True), (5, "P5", True), (1000, "NEW", False), (1001, "NEW", False)]
+    nothing = f"{tmp}/empty"
+    assert G.memoised_generate(req.limit(0), nothing, make).count() == 0
+    assert G.memoised_generate(few, nothing, make).count() == 2  # a cache without any file

@@ -48,9 +48,58 @@ def test_metric_lines_roundtrip_and_consume(spark, tmp):
     assert per[0]["n_values"] == 2 and per[1]["n_values"] == 1
     overall = ML.mean_of_lines(lines).first()
     assert abs(overall["mean_value"] - 1.75 / 3) < 1e-12
+    there = sum(f.endswith(".txt") for _, _, files in os.walk(d) for f in files)
     consumed = ML.consume_lines(spark, d, archive_dir=f"{tmp}/archive/lines")
     assert consumed.count() == 4
-    assert not os.path.exists(d) and os.path.exists(f"{tmp}/archive/lines")
+    assert not [f for _, _, files in os.walk(d) for f in files if f.startswith("part-") and f.endswith(".txt")]
+    assert sum(f.endswith(".txt") for _, _, files in os.walk(f"{tmp}/archive/lines") for f in files) == there
+    assert ML.consume_lines(spark, d).count() == 0
+
+
+def _lines(df):
+    return sorted((r["rank"], r["line"], r["value"]) for r in df.collect())
+
+
+def test_lines_that_arrive_during_a_read_wait_for_the_next(spark, tmp, monkeypatch):
+    d = f"{tmp}/lines"
+    add = lambda *rows: ML.append_metric_lines(spark.createDataFrame(rows, "rank int, value double"), d)
+    add((0, 0.5), (1, 0.25))
+    claim = ML.claim_lines(spark, d)
+    add((1, 0.75))
+    first = ML.read_claim(spark, d, claim)
+    assert _lines(first) == [(0, "0.5", 0.5), (1, "0.25", 0.25)]
+    assert _lines(ML.consume_lines(spark, d)) == [(1, "0.75", 0.75)]
+    assert _lines(first) == [(0, "0.5", 0.5), (1, "0.25", 0.25)]  # written, so still there
+    # a call that ends while files are moved away: the next one returns its lines, once
+    add((2, 1.5), (3, 2.5))
+    moves, rename = [], ML._rename
+
+    def failing(fs, cls, source, target):
+        if "/_claims/" not in source:
+            moves.append(source)
+            if len(moves) == 2:
+                raise OSError("lost")
+        rename(fs, cls, source, target)
+
+    monkeypatch.setattr(ML, "_rename", failing)
+    with pytest.raises(OSError):
+        ML.consume_lines(spark, d, archive_dir=f"{tmp}/done")
+    add((4, 3.5))
+    monkeypatch.setattr(ML, "_rename", rename)
+    assert _lines(ML.consume_lines(spark, d, archive_dir=f"{tmp}/done")) == [(2, "1.5", 1.5), (3, "2.5", 2.5), (4, "3.5", 3.5)]
+    assert ML.consume_lines(spark, d).count() == 0 and ML.open_claims(spark, d) == []
+
+
+def test_ragged_log_records(spark, tmp):
+    history = [{"loss": 1.5, "step": 1}, {"eval": {"acc": 0.5, "tags": ["a", "b"]}, "note": "é \"q\"", "step": 2}, {"step": None, "ok": True}, {}]
+    log = dataset_io.log_frame(spark, history)
+    dataset_io.write_log(log, f"{tmp}/log")
+    back = dataset_io.read_log(spark, f"{tmp}/log")
+    texts = sorted(json.dumps(json.loads(r[0]), sort_keys=True) for r in back.select(F.to_json("record")).collect())
+    assert texts == sorted(json.dumps({k: v for k, v in h.items() if v is not None}, sort_keys=True) for h in history)
+    got = back.select(dataset_io.log_field("step", "bigint").alias("s"), dataset_io.log_field("eval.acc", "double").alias("a"),
+                      dataset_io.log_field("eval.tags[1]", "string").alias("t"), dataset_io.log_field("note", "double").alias("n"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, None, None), (2, 0.5, "b", None), (None,) * 4, (None,) * 4], key=str)
 
 
 def test_no_values_anywhere_gives_zero(spark, tmp):
@@ -197,7 +246,7 @@ def test_save_load_or_build_and_log(spark, tmp):
     log = dataset_io.log_frame(spark, [{"loss": 1.0, "step": 1, "epoch": 0.1},
                                        {"eval_loss": 0.5, "step": 10, "epoch": 1.0}])
     dataset_io.write_log(log, f"{tmp}/log")
-    recs = [json.loads(line) for fn in sorted(os.listdir(f"{tmp}/log")) if fn.endswith(".json")
+    recs = [json.loads(line) for fn in sorted(os.listdir(f"{tmp}/log")) if fn.startswith("part-")
             for line in open(f"{tmp}/log/{fn}")]
     assert {frozenset(r) for r in recs} == {frozenset({"loss", "step", "epoch"}),
                                              frozenset({"eval_loss", "step", "epoch"})}
@@ -264,7 +313,8 @@ def test_compute_accuracy_closure_flow(spark, tmp):
     ML.compute_accuracy(spark, d, preds.filter("batch_id > 0"))
     res = ML.compute_accuracy(spark, d, compute_result=True).first()["eval_accuracy"]
     assert abs(res - (0.5 + 1.0 + 0.0) / 3) < 1e-12
-    assert not os.path.exists(d)
+    left = [f for _, _, files in os.walk(d) for f in files if f.startswith("part-") and f.endswith(".txt")]
+    assert not left  # consumed; the claim stays
 
 
 def test_get_dataset_signature(spark, tmp):

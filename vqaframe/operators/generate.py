@@ -142,9 +142,37 @@ def prompt_uid(prompt_text, *media):
     return F.md5(F.to_json(F.array(text, *[_c(m).cast("string") for m in media]))) if media else text
 
 
+_PREFIX = 2  # hex digits of the key that name a cache folder: 256 of them
+
+
+def _bucket(key_col: str):
+    return F.concat(F.lit("k"), F.substring(key_col, 1, _PREFIX))  # with a letter, so that none reads as a number
+
+
+def store_results(results: DataFrame, cache_path: str, key_col: str = "cache_key") -> None:
+    """Append results to a cache, in folders by the first digits of their key, sorted by key inside."""
+    keyed = results.withColumn("bucket", _bucket(key_col))
+    keyed.repartition("bucket").sortWithinPartitions("bucket", key_col).write.mode("append").partitionBy("bucket").parquet(cache_path)
+
+
+def read_results(spark: SparkSession, cache_path: str, asked: DataFrame, key_col: str = "cache_key") -> DataFrame:
+    """The part of a cache whose folders hold an asked key.
+
+    The folders asked for (at most 256 short strings) are a filter on the partition column, so no other file is opened.
+    """
+    buckets = asked.select(_bucket(key_col).alias("b")).distinct().collect()
+    schema = f"{key_col} string, output string, request_time double, run_id string, bucket string"
+    cache = spark.read.schema(schema).parquet(cache_path)
+    return cache.filter(F.col("bucket").isin([r["b"] for r in buckets])).drop("bucket")
+
+
 def split_cache(completions: DataFrame, cache: DataFrame, key_col: str = "cache_key"):
-    """(hits joined with their stored result, distinct missing keys)."""
-    hits = completions.join(cache, key_col, "inner")
+    """(hits joined with their stored result, distinct missing keys).
+
+    Only keys decide what is missing; a stored result is read for the hits.
+    """
+    # runs that overlap may have stored a key twice
+    hits = completions.join(cache.dropDuplicates([key_col]), key_col, "inner")
     misses = completions.join(cache.select(key_col), key_col, "left_anti")
     return hits, misses.dropDuplicates([key_col])
 
@@ -219,28 +247,24 @@ def memoised_generate(completions: DataFrame, cache_path: str | None, make_gener
         completions.write.parquet(pinned)
         completions = spark.read.parquet(pinned)
     run_id = uuid.uuid4().hex
-    if cache_path is not None and path_exists(spark, cache_path):
-        cache = spark.read.parquet(cache_path)
+    if cache_path is not None and path_exists(spark, f"{cache_path}/_SUCCESS"):
+        cache = read_results(spark, cache_path, completions, key_col)
     else:  # first run: an empty cache
         cache = literal_frame(spark, [], [(key_col, "string"), ("output", "string"),
                                           ("request_time", "double"), ("run_id", "string")])
-    todo = (completions.select(F.col(key_col).alias("cache_key"), F.col(prompt_col).alias("prompt"), *media_cols)
-            .dropDuplicates(["cache_key"])
-            .join(cache.select(F.col(key_col).alias("cache_key")), "cache_key", "left_anti")
+    hits, misses = split_cache(completions, cache.select(key_col, "output", "request_time"), key_col)
+    todo = (misses.select(F.col(key_col).alias("cache_key"), F.col(prompt_col).alias("prompt"), *media_cols)
             .repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "cache_key"))
     produced = todo.mapInPandas(_run_generator(make_generator, capture), GEN_SCHEMA)
     run_dir = shared_dir(spark, "generation-run")
     produced.write.mode("overwrite").parquet(run_dir)
     run = spark.read.parquet(run_dir).withColumnRenamed("cache_key", key_col)
     if cache_path is not None:
-        (run.filter(F.col("error").isNull())
-         .select(key_col, "output", "request_time", F.lit(run_id).alias("run_id"))
-         .write.mode("append").parquet(cache_path))
-    # runs that overlap may have stored a key twice
-    old = cache.dropDuplicates([key_col]).select(key_col, "output", "request_time", F.lit(None).cast("string").alias("error"),
-                       F.lit(True).alias("cached"))
+        store_results(run.filter(F.col("error").isNull()).select(key_col, "output", "request_time", F.lit(run_id).alias("run_id")),
+                      cache_path, key_col)
+    old = hits.withColumns({"error": F.lit(None).cast("string"), "cached": F.lit(True)})
     new = run.select(key_col, "output", "request_time", "error", F.lit(False).alias("cached"))
-    return completions.join(old.unionByName(new), key_col, "left")
+    return old.unionByName(completions.join(new, key_col))
 
 
 def assemble_results(completions: DataFrame, keys: list[str], i_col: str = "i",

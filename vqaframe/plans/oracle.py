@@ -425,4 +425,25 @@ FROM documents""",
 SELECT CAST(batch_id % {T.NUM_RANKS} AS INTEGER) AS rank, count(*) AS n_values,
        round(sum(acc), 6) AS sum_value, round(sum(acc) / count(*), 6) AS mean_value
 FROM pb GROUP BY batch_id % {T.NUM_RANKS}""",
+
+    "nested_json_roundtrip": """SELECT d.doc_id, lang, source, n_chars, md5(text) AS text_md5, quality, toxic
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+
+    "archive_entries": """SELECT page_id || '/page.html' AS entry, strlen(coalesce(html, '')) AS length,
+       md5(coalesce(html, '')) AS content_md5, NULL::VARCHAR AS error FROM pages""",
+
+    "archive_members": """SELECT page_id, 'url.txt' AS entry, strlen(coalesce(url, '')) AS length, md5(coalesce(url, '')) AS content_md5,
+       NULL::VARCHAR AS error FROM pages
+UNION ALL SELECT page_id, 'html.txt', strlen(coalesce(html, '')), md5(coalesce(html, '')), NULL FROM pages""",
+
+    "image_lookup": """SELECT doc_id, strlen(coalesce(html, '')) AS image_bytes, md5(coalesce(html, '')) AS content_md5
+FROM documents JOIN pages ON doc_id = page_id""",
+
+    "log_roundtrip": """SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS loss,
+       CASE WHEN event_type = 'error' THEN props END AS message, CASE WHEN event_type = 'click' THEN user_id END AS user_id,
+       CASE WHEN event_type = 'click' THEN event_type END AS kind FROM events""",
+
+    "metric_lines_consumed": f"""WITH {BATCHED}
+SELECT CAST(1 + batch_id % 2 AS INTEGER) AS call, CAST(batch_id % {T.NUM_RANKS} AS INTEGER) AS rank, count(*) AS n_values,
+       round(sum(acc), 6) AS sum_value FROM pb GROUP BY ALL""",
 }

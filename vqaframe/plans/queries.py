@@ -23,7 +23,11 @@ from vqaframe.operators.sampling import exact_sample, shuffled
 from vqaframe.operators.udf import map_rows
 from vqaframe.plans import tables as T
 from vqaframe.session import shared_dir
-from vqaframe.sources import dataset_io, metric_lines as ML
+from vqaframe.sources import archives as AR
+from vqaframe.sources import dataset_io as IO
+from vqaframe.sources import images as IM
+from vqaframe.sources import metric_lines as ML
+from vqaframe.sources import nested_json as NJ
 from vqaframe.sources.images import missing_images as missing_images_op
 from vqaframe.streaming import accuracy as X
 
@@ -86,8 +90,8 @@ def q_dataset_roundtrip(spark, d):
     """S2 + S3 + S4: saved partitioned by split, then reused and read back."""
     path = shared_dir(spark, "qa-dataset")
     build = lambda: q_qa_dataset(spark, d)
-    dataset_io.load_or_build(spark, path, build, load=True, partition_by=["split"])
-    ds = dataset_io.load_or_build(spark, path, _built_already, load=True, partition_by=["split"])
+    IO.load_or_build(spark, path, build, load=True, partition_by=["split"])
+    ds = IO.load_or_build(spark, path, _built_already, load=True, partition_by=["split"])
     return ds.select(*DATASET_COLS)
 
 
@@ -400,7 +404,7 @@ def q_result_assembly(spark, d):
     """
     req = _requests(spark, d)
     cache_dir = shared_dir(spark, "answered")
-    _cache(spark, d).withColumn("run_id", F.lit("earlier")).write.parquet(cache_dir)
+    G.store_results(_cache(spark, d).withColumn("run_id", F.lit("earlier")), cache_dir)
     comp = G.memoised_generate(req, cache_dir, _make_failing_generator)
     # the time that a stand-in takes says nothing
     comp = comp.withColumn("request_time", F.when(F.col("cached"), F.col("request_time")).otherwise(F.lit(0.0)))
@@ -505,6 +509,81 @@ def q_stream_accuracy(spark, d):
                     F.round("mean_value", R6).alias("mean_value"))
 
 
+# ---------------------------------------------------------------- sources
+
+def q_nested_json_roundtrip(spark, d):
+    """S1 + P3: documents and labels as JSON objects with an array of records, read back in ranges of 1 MB."""
+    folder, tables = shared_dir(spark, "nested-json"), []
+    for name in ("documents", "labels"):
+        table = T.load(spark, d, name)
+        paths = NJ.write_nested_json(table, f"{folder}/{name}", "annotations")
+        tables.append(NJ.read_nested_json(spark, paths, "annotations", table.schema, range_bytes=1 << 20))
+    docs, labels = tables
+    return docs.join(labels, "doc_id", "left").select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary"))
+                                                      .alias("text_md5"), "quality", "toxic")
+
+
+def _page_archives(spark, d):
+    """Every page as an entry ``<id>/page.html`` of zip archives (pages stand for image files)."""
+    pages = T.load(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("/page.html")).alias("entry"),
+                                             F.col("html").cast("binary").alias("content"))
+    written = AR.write_archives(pages, shared_dir(spark, "archives"), "entry", "content")
+    return [r["archive"] for r in written.select("archive").collect()]  # one path per task of the scan
+
+
+def q_archive_entries(spark, d):
+    """The entries of all archives, dealt to tasks by bytes."""
+    out = AR.expand_archives(spark, _page_archives(spark, d), partition_bytes=8 << 20)
+    return out.select("entry", "length", F.md5("content").alias("content_md5"), "error")
+
+
+def q_image_lookup(spark, d):
+    """J2 + S5: rows find archived images by full path, and the matched images' bytes reach them."""
+    archives = _page_archives(spark, d)
+    folder = F.lit(archives[0].rsplit("/", 1)[0] + "/") if archives else F.lit("/")
+    rows = T.load(spark, d, "documents").select(
+        "doc_id", F.concat(folder, F.col("doc_id").cast("string"), F.lit("/page.html")).alias("image_file"))
+    files = IM.archived_images(AR.expand_archives(spark, archives), with_content=True)
+    matched = IM.attach_images(rows, files.drop("content"), on_missing="drop")
+    return IM.attach_content(matched, files).select("doc_id", "image_bytes", F.md5("content").alias("content_md5"))
+
+
+def q_archive_members(spark, d):
+    """Archives that are bytes in a row, expanded by a table function in a lateral join."""
+    pages = T.load(spark, d, "pages").select("page_id", T.zipped("url", "html").alias("content"))
+    pages.createOrReplaceTempView("vqaframe_page_archives")
+    name = AR.register_archive_members(spark)
+    out = spark.sql(f"SELECT t.page_id, m.* FROM vqaframe_page_archives t, LATERAL {name}(t.content, true) m")
+    return out.select("page_id", "entry", "length", F.md5("content").alias("content_md5"), "error")
+
+
+def q_log_roundtrip(spark, d):
+    """Ragged records (numbers, texts, nested fields, nulls) written as a log and read back field by field."""
+    e = T.load(spark, d, "events")
+    bad = F.col("event_type") == "error"
+    records = e.select("event_id", F.when(~bad, F.col("value")).alias("loss"), F.when(bad, F.col("props")).alias("message"),
+                       F.when(F.col("event_type") == "click", F.struct("user_id", F.col("event_type").alias("kind"))).alias("detail"))
+    path = shared_dir(spark, "log")
+    IO.write_log(records.select(F.parse_json(F.to_json(F.struct(*records.columns))).alias("record")), path)
+    log = IO.read_log(spark, path)
+    return log.select(IO.log_field("event_id", "bigint").alias("event_id"), IO.log_field("loss", "double").alias("loss"),
+                      IO.log_field("message", "string").alias("message"), IO.log_field("detail.user_id", "bigint").alias("user_id"),
+                      IO.log_field("detail.kind", "string").alias("kind"))
+
+
+def q_metric_lines_consumed(spark, d):
+    """S7 + S8 + S9: batch accuracies appended as lines, consumed in two calls; lines of the second arrive in between."""
+    acc = _batch_acc(spark, d).select("rank", "batch_id", F.col("accuracy").alias("value"))
+    folder = shared_dir(spark, "metric-lines")
+    ML.append_metric_lines(acc.filter("batch_id % 2 = 0"), folder)
+    claim = ML.claim_lines(spark, folder)
+    ML.append_metric_lines(acc.filter("batch_id % 2 = 1"), folder)
+    first = ML.read_claim(spark, folder, claim).withColumn("call", F.lit(1))
+    second = ML.consume_lines(spark, folder).withColumn("call", F.lit(2))
+    both = first.unionByName(second)
+    return both.groupBy("call", "rank").agg(F.count("value").alias("n_values"), F.round(F.sum("value"), R6).alias("sum_value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_join": q_qa_join,
     "qa_pairs": q_qa_pairs,
@@ -548,4 +627,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_map_prompt": q_row_map_prompt,
     "generation_bleu": q_generation_bleu,
     "stream_accuracy": q_stream_accuracy,
+    "nested_json_roundtrip": q_nested_json_roundtrip,
+    "archive_entries": q_archive_entries,
+    "archive_members": q_archive_members,
+    "image_lookup": q_image_lookup,
+    "log_roundtrip": q_log_roundtrip,
+    "metric_lines_consumed": q_metric_lines_consumed,
 }

@@ -10,6 +10,10 @@ image ids                  = doc_id / page_id; the image listing comes from page
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +101,21 @@ def metric_lines(spark, sf_dir) -> DataFrame:
 
 def tokens(col):
     return whitespace_tokens(col)
+
+
+def zipped(*cols):
+    """Each row's columns as the entries ``<column>.txt`` of a zip archive, as bytes."""
+    names = [f"{c}.txt" for c in cols]
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in texts.itertuples(index=False):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, text in zip(names, row, strict=True):
+                    z.writestr(name, text or "")
+            out.append(buf.getvalue())
+        return pd.Series(out, dtype=object)
+
+    return pack(F.struct(*cols))

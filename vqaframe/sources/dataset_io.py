@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,29 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def write_log(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Log records as JSON lines; absent (null) fields are omitted."""
-    records.write.mode(mode).option("ignoreNullFields", True).json(path)
+    """Log records as JSON lines; absent (null) fields are omitted.
 
+    ``records`` is a frame with a column per field, or one VARIANT column ``record``, whose records each have
+    their own fields and types.
+    """
+    if records.columns == ["record"] and records.schema["record"].dataType.simpleString() == "variant":
+        lines = records.select(F.to_json("record").alias("value"))
+    else:
+        lines = records.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("value"))
+    lines.write.mode(mode).text(path)
 
-def log_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
-    """A ragged list of log dicts as a DataFrame with nullable columns (driver-sized input)."""
-    keys = sorted({k for rec in history for k in rec})
-    rows = [tuple(rec.get(k) for k in keys) for rec in history]
-    schema = ", ".join(f"`{k}` double" for k in keys)
-    return spark.createDataFrame([tuple(None if v is None else float(v) for v in r) for r in rows],
-                                 schema)
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a log as a VARIANT column ``record``; a line that is no JSON fails the read."""
+    return spark.read.text(path).select(F.parse_json("value").alias("record"))
 
 
-def add_constant(df: DataFrame, name: str, value) -> DataFrame:
-    return df.withColumn(name, F.lit(value))
+def log_field(name: str, kind: str, record: str = "record"):
+    """A field of a log record by its path (``a.b`` goes into nested ones); null where absent or of another kind."""
+    return F.try_variant_get(F.col(record), f"$.{name}", kind)
+
+
+def log_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
+    """A ragged list of log dicts (driver-sized input) as records, whatever their fields hold; nulls are absent."""
+    texts = [(json.dumps({k: v for k, v in rec.items() if v is not None}),) for rec in history]
+    return spark.createDataFrame(texts, "value string").select(F.parse_json("value").alias("record"))

@@ -6,10 +6,12 @@ a file is read in byte ranges, a task each:
 1. A range alone can't tell whether it begins inside a string. Each is summarised for all four states that it may
    begin in (in a string or not, after a backslash or not): the state it ends in and how much deeper. The summaries, a
    few numbers a range, are combined file by file from front to back, which gives every range its true state.
-2. With it, each range finds the records (objects at depth 3) that lie in it and emits their text. A record that goes on
-   in the next range is emitted in parts, which are joined by file and first range. What is at depth 1 (the field
-   names) is emitted too, with nested values left out; it tells which nested value of the file is the wanted field.
-3. Record texts become rows with ``from_json``, in the tasks that found them.
+2. With it, each range emits what is at depth 1 (the field names), with nested values left out; file by file this tells
+   which nested value is the wanted field. It also emits the parts of records (objects at depth 3) that its ends cut;
+   they are joined by file and first range.
+3. Each range emits the text of the field's records that lie in it, and texts become rows with ``from_json``.
+
+Only rows of a few numbers per range are joined or moved; the file is read anew in each step.
 
 A file that ends inside a string or a bracket, a record that doesn't parse, and a file without the field fail the read.
 """
@@ -99,53 +101,54 @@ def _combined(ranges: pd.DataFrame) -> pd.DataFrame:
 
 
 _STATE = "path string, chunk int, in_string int, escaped int, depth int"
-_FOUND = "path string, chunk int, kind string, opened int, at int, text binary"
+_PART = "path string, chunk int, kind string, opened int, text binary"
+
+
+def _levels(data: bytes, in_string: int, escaped: int, depth: int):
+    """(depth before each byte, after it, nested values of the file's object begun so far, begins and ends of records)."""
+    change, _, _ = _structure(data, in_string, escaped)
+    level = depth + np.cumsum(change, dtype=np.int64)
+    before = level - change
+    opened = np.cumsum((before == 1) & (level == 2))
+    return before, level, opened, np.flatnonzero((before == 2) & (level == 3)), np.flatnonzero((before == 3) & (level == 2)) + 1
 
 
-def _records(batches):
-    """Of each range: whole records, the parts of records cut by its ends, and the text at depth 1.
+def _parts(data: bytes, in_string: int, escaped: int, depth: int):
+    """(kind, opened, text): the parts of records cut by the range's ends, and the text at depth 1.
 
-    ``opened``: nested values of the file's object that have begun in the range up to here. A nested value stands as one
-    NUL byte in the text at depth 1, which holds no other.
+    ``opened``: nested values that have begun in the range up to there. A nested value stands as one NUL byte in
+    the text at depth 1, which holds no other.
     """
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("path", "chunk", "data", "in_string", "escaped", "depth")]
-        out = []
-        for path, chunk, data, in_string, escaped, depth in zip(*cols, strict=True):
-            change, _, _ = _structure(data, in_string, escaped)
-            level = depth + np.cumsum(change, dtype=np.int64)
-            before = level - change
-            opened = np.cumsum((before == 1) & (level == 2))
-            begins = np.flatnonzero((before == 2) & (level == 3))
-            closes = np.flatnonzero((before == 3) & (level == 2)) + 1
-            if depth >= 3:  # a record goes on from the range before
-                end = int(closes[0]) if len(closes) else len(data)
-                out.append((path, chunk, "ends" if len(closes) else "goes on", 0, 0, data[:end]))
-                closes = closes[1:]
-            for a, z in zip(begins, closes):
-                out.append((path, chunk, "whole", int(opened[a]), int(a), data[a:z]))
-            if len(begins) > len(closes):
-                a = int(begins[-1])
-                out.append((path, chunk, "begins", int(opened[a]), a, data[a:]))
-            t = np.frombuffer(data, np.uint8)
-            top = np.where((before == 1) & (level == 2), 0, t)[((before <= 1) & (level <= 1)) | ((before == 1) & (level == 2))]
-            out.append((path, chunk, "top", int(opened[-1]) if len(opened) else 0, 0, top.astype(np.uint8).tobytes()))
-        columns = list(zip(*out, strict=True))
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                         ["path", "chunk", "kind", "opened", "at", "text"])
-
-
-def _field_values(top: str, field: str) -> list[int]:
-    """Numbers (from 1) of the nested values under ``field`` in an object whose nested values stand as NUL."""
-    pairs = json.loads(top.replace("\0", "\"\\u0000\""), object_pairs_hook=list)
-    out, n = [], 0
-    for key, value in pairs if isinstance(pairs, list) else []:
-        if value == "\0":
-            n += 1
-            if key == field:
-                out.append(n)
-    return out
+    before, level, opened, begins, closes = _levels(data, in_string, escaped, depth)
+    if depth >= 3:  # a record goes on from the range before
+        yield "ends" if len(closes) else "goes on", 0, data[:int(closes[0]) if len(closes) else len(data)]
+        closes = closes[1:]
+    if len(begins) > len(closes):
+        yield "begins", int(opened[begins[-1]]), data[int(begins[-1]):]
+    starts = (before == 1) & (level == 2)
+    top = np.where(starts, 0, np.frombuffer(data, np.uint8))[((before <= 1) & (level <= 1)) | starts]
+    yield "top", int(opened[-1]) if len(opened) else 0, top.astype(np.uint8).tobytes()
+
+
+def _records(data: bytes, in_string: int, escaped: int, depth: int, earlier: int, wanted: list[int]):
+    """Texts of the records in the range, of the wanted nested values."""
+    _, _, opened, begins, closes = _levels(data, in_string, escaped, depth)
+    for a, z in zip(begins, closes[1:] if depth >= 3 else closes):
+        if earlier + opened[a] in wanted:
+            yield data[a:z].decode()
+
+
+def _field_values(ranges: pd.DataFrame, field: str) -> pd.DataFrame:
+    """For each range of one file: nested values begun before it, and which of them (from 1) are under ``field``."""
+    ranges = ranges.sort_values("chunk")
+    top = b"".join(ranges["text"]).decode().replace("\0", "\"\\u0000\"")
+    pairs = json.loads(top, object_pairs_hook=list)
+    keys = [k for k, v in pairs if v == "\0"] if isinstance(pairs, list) else []
+    wanted = [i + 1 for i, k in enumerate(keys) if k == field]
+    if not wanted:
+        raise ValueError(f"{ranges['path'].iloc[0]}: a document has no field {field}")
+    earlier = ranges["opened"].cumsum() - ranges["opened"]
+    return pd.DataFrame({"path": ranges["path"], "chunk": ranges["chunk"], "earlier": earlier, "wanted": [wanted] * len(ranges)})
 
 
 def read_nested_json(spark: SparkSession, paths, field: str, record: StructType, range_bytes: int = 32 * 1024 * 1024,
@@ -155,45 +158,48 @@ def read_nested_json(spark: SparkSession, paths, field: str, record: StructType,
     Each range of ``range_bytes`` is a task. A malformed file, or one without the field, fails the read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    packed = pack_filesystem(filesystem)
     ranges = byte_ranges(spark, paths, range_bytes, filesystem)
     states = reliable_checkpoint(ranges.mapInArrow(_summaries, _SUMMARY).groupBy("path").applyInPandas(_combined, _STATE))
-    # a row of numbers per range; the ranges themselves don't move
-    found = ranges.join(F.broadcast(states), ["path", "chunk"]).mapInArrow(_records, _FOUND)
-    parts = reliable_checkpoint(found.filter(F.col("kind") != "whole"))
-
-    top = (parts.filter("kind = 'top'").groupBy("path").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"].cast("string")), "").alias("top")))
-
-    def wanted(batches):
-        for pdf in batches:
-            out = []
-            for path, text in zip(pdf["path"], pdf["top"]):
-                numbers = _field_values(text, field)
-                if not numbers:
-                    raise ValueError(f"{path}: a document has no field {field}")
-                out += [(path, n) for n in numbers]
-            yield pd.DataFrame(out, columns=["path", "value"])
-
-    values = reliable_checkpoint(top.mapInPandas(wanted, "path string, value int"))  # a row per file
-    before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    opened = parts.filter("kind = 'top'").select("path", "chunk", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("earlier"))
-
-    cut = parts.filter("kind <> 'top'")
+    tasks = max(1, states.count())
+
+    def data_of(path: str, chunk: int) -> bytes:
+        opened, inside = locate(path, packed)
+        with opened.open_input_file(inside) as f:
+            return f.read_at(range_bytes, chunk * range_bytes)
+
+    def parts(batches):
+        for b in batches:
+            for path, chunk, *state in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                kind, opened, text = zip(*_parts(data_of(path, chunk), *state), strict=True)
+                n = len(kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * n), pa.array([chunk] * n, pa.int32()), pa.array(kind), pa.array(opened, pa.int32()),
+                     pa.array(text, pa.binary())], ["path", "chunk", "kind", "opened", "text"])
+
+    def whole(batches):
+        for b in batches:
+            for path, chunk, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(list(_records(data_of(path, chunk), *rest)), pa.string())], ["text"])
+
+    cut = reliable_checkpoint(states.repartition(tasks).mapInArrow(parts, _PART))
+    values = cut.filter("kind = 'top'").groupBy("path").applyInPandas(
+        lambda pdf: _field_values(pdf, field), "path string, chunk int, earlier int, wanted array<int>")
+    starts = reliable_checkpoint(states.join(values, ["path", "chunk"]).select(*states.columns, "earlier", "wanted"))
+
+    cut = cut.filter("kind <> 'top'")
     order = F.when(F.col("kind") == "begins", F.lit(1)).otherwise(F.lit(0))  # what goes on comes first in a range
     so_far = Window.partitionBy("path").orderBy("chunk", order)
     cut = cut.withColumn("first", F.last(F.when(F.col("kind") == "begins", F.col("chunk")), True).over(so_far))
-    joined = cut.groupBy("path", "first").agg(
-        F.max(F.when(F.col("kind") == "begins", F.col("opened"))).alias("opened"),
+    joined = cut.groupBy("path", F.col("first").alias("chunk")).agg(
+        F.max("opened").alias("opened"),  # 0 in the parts that go on
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"].cast("string")), "").alias("text"))
-    joined = joined.select("path", F.col("first").alias("chunk"), "opened", "text")
-    whole = F.col("kind") == "whole"
-    texts = found.filter(whole).select("path", "chunk", F.when(whole, F.col("opened")).alias("opened"),
-                                       F.when(whole, F.col("text").cast("string")).alias("text")).unionByName(joined)
-    placed = texts.join(F.broadcast(opened), ["path", "chunk"]).join(F.broadcast(values), ["path"])
-    # the text is null wherever it isn't a record of the field: a caller's filter may be evaluated before this one
-    ours = F.col("earlier") + F.col("opened") == F.col("value")
-    parsed = placed.filter(ours).select(F.from_json(F.when(ours, F.col("text")), record, {"mode": "FAILFAST"}).alias("r"))
-    return parsed.select("r.*")
+    joined = joined.join(starts, ["path", "chunk"])
+    ours = F.array_contains("wanted", F.col("earlier") + F.col("opened"))
+    # null where it isn't ours: a caller's filter may be evaluated before this one, and other values need not parse
+    joined = joined.filter(ours).select(F.when(ours, F.col("text")).alias("text"))
+    texts = starts.repartition(tasks).mapInArrow(whole, "text string").unionByName(joined)
+    return texts.select(F.from_json("text", record, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_nested_json(df: DataFrame, directory: str, field: str, filesystem: pafs.FileSystem | None = None) -> list[str]:
