@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-Method: candidate blocks are compressed alone and with a license template as a raw zstandard dictionary; of the
-templates that claim the same words the one that saves most against the size alone wins, and it is confirmed by
-the exact words in which block and template differ.
+Method: candidate blocks are compressed alone and with every license template as a raw zstandard dictionary. The
+templates are ranked by how much they save; a block's winner is the one that saves most (the one whose phrase
+was found, where that ties), and winners are confirmed by the exact words in which block and template differ.
 
 A text is read as its words in lower case; line ends, comment marks and punctuation do not part them. Each
 template of m words may differ in d = ``max_diff_pct`` per cent of m; it is cut into d + 1 phrases, and as a
@@ -11,10 +11,11 @@ the phrases of all templates; from each, the template is aligned to both sides w
 no block within the limit is missed. The scan reads every text once, in place; nothing is shuffled and only the
 templates are broadcast.
 
-Confirmed: the words of the template that the block lacks, plus words put in between, are at most
-``max_diff_pct`` per cent of the template's words. Confirmed blocks go before others. One that shares more than
-half its words with a better confirmed one is the same notice; an unconfirmed block (as many words as the
-template, around the phrase) counts only if its phrase lies in no block already found.
+Confirmed: the block's own template is the winner; the words of the template that the block lacks, plus words put in
+between, are at most ``max_diff_pct`` per cent of the template's words; and the words that say which license it is
+(``IDENTITY``, version numbers, what follows ``cc``) are the same, in the same order. Confirmed blocks go before others.
+One that shares more than half its words with a better confirmed one is the same notice. Any other block counts only if
+its phrase lies in no block already found; it is reported under its winner's name, unconfirmed.
 
 Defined results: a null or empty text has no blocks; ``block`` is the number of the block's first word in the
 text; ties go to fewer differences, then the template that comes first; repeated rows give repeated blocks; a
@@ -117,11 +118,39 @@ TEMPLATES = (
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
                         "International License."),
 )
+# The Creative Commons licenses, by their short and long names.
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+       ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_OTHERS = (
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                          "GNU Lesser General Public License as published by the Free Software Foundation, either "
+                          "version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                          "GNU Lesser General Public License as published by the Free Software Foundation; either "
+                          "version 2.1 of the License, or (at your option) any later version."),
+)
+TEMPLATES += _OTHERS + tuple(
+    t for version, where in (("3.0", "Unported"), ("4.0", "International")) for short, long in _CC for t in (
+        (f"CC-{short}-{version}", f"Licensed under CC {short} {version}."),
+        (f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {long} {version} {where} License."))
+    if t not in TEMPLATES)
+#: Words that say which license a notice names.
+IDENTITY = frozenset(["mit", "apache", "gnu", "lesser", "affero", "bsd", "mozilla", "mpl", "isc", "boost", "creative", "commons", "cc",
+                      "later", *(long.lower() for _, long in _CC), "sharealike", "noncommercial", "noderivatives"])
+_VERSION = re.compile(r"v?\d+(?:\.\d+)*")
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 #: A line end with the marks that go on a comment in the next line.
 _MARK = re.compile(r"[ \t]*\n[ \t]*(?:(?:[#*;%!>|]+|/[/*]+|--+|\.\.|(?:dnl|rem)(?=[ \t\n]))[ \t]*)?")
 
 
+def identity(words: list[str]) -> list[str]:
+    """The words that must be the same in a block and its template."""
+    return [w for before, w in zip(["", *words], words) if w in IDENTITY or before == "cc" or _VERSION.fullmatch(w)]
+
+
 def align(want: list, have: list, limit: int):
     """(differences, words of ``have`` taken) to go through all of ``want`` from the front; None beyond ``limit``."""
     n, size, far = len(want), len(have), {}
@@ -168,7 +197,7 @@ class Scanner:
             return []
         starts = list(accumulate((len(w) + 1 for w in words), initial=0))  # of each word's blank in plain
         spans = [m.span() for m in _WORD.finditer(low)]
-        sure, loose = {}, {}
+        sure, loose, place = {}, set(), {}
         for at, found in hits:
             i = bisect_right(starts, at) - 1
             for t, a, z in found:
@@ -180,15 +209,22 @@ class Scanner:
                     key = t, i - left[1], i + z - a + right[1]
                     sure[key] = min(sure.get(key, limit), left[0] + right[0])
                 else:
-                    loose[t, max(0, i - a), min(len(words), i - a + len(want))] = i, a, z
+                    key = t, max(0, i - a), min(len(words), i - a + len(want))
+                    loose.add(key)
+                place.setdefault(key, (i, a, z))
 
-        def sized(items):
-            out = []
+        def ranked(items):
+            """(size saved, differences, template, first, last, block, alone, given, winner), most saved first."""
+            out, sizes = [], {}
             for t, first, last in items:
-                block = " ".join(low[spans[first][0]:spans[last - 1][1]].split())
-                data = block.encode()
-                alone, given = len(self.alone.compress(data)), len(self.given[t].compress(data))
-                out.append((given - alone, sure.get((t, first, last), 0), t, first, last, block, alone, given))
+                if (first, last) not in sizes:
+                    block = " ".join(low[spans[first][0]:spans[last - 1][1]].split())
+                    data = block.encode()
+                    sizes[first, last] = block, len(self.alone.compress(data)), [len(c.compress(data)) for c in self.given]
+                block, alone, given = sizes[first, last]
+                least = min(given)
+                winner = t if given[t] == least else given.index(least)
+                out.append((given[winner] - alone, sure.get((t, first, last), 0), t, first, last, block, alone, given[winner], winner))
             return sorted(out)
 
         taken, out = {}, []  # the blocks found, by each 64 words that they touch
@@ -201,19 +237,26 @@ class Scanner:
             near = (x for c in range(first >> 6, (last - 1 >> 6) + 1) for x in taken.get(c, ()))
             return max((min(last, z) - max(first, a) for a, z in near), default=0)
 
-        for _, diff, t, first, last, block, alone, given in sized(sure):
-            if 2 * shared(first, last) <= last - first:
+        lost = []
+        for _, diff, t, first, last, block, alone, given, winner in ranked(sure):
+            if winner != t or identity(words[first:last]) != identity(self.templates[t][1]):
+                lost.append((t, first, last))
+            elif 2 * shared(first, last) <= last - first:
                 take(first, last)
                 out.append((first, block, self.templates[t][0], alone, given, diff, True))
         free = lambda i, a, z: shared(i, i + z - a) <= 0
-        for _, _, t, first, last, block, alone, given in sized([k for k, hit in loose.items() if free(*hit)]):
-            i, a, z = loose[t, first, last]
+        for _, _, t, first, last, block, alone, given, winner in ranked(
+                [k for k in (*lost, *loose) if free(*place[k])]):
+            i, a, z = place[t, first, last]
             if free(i, a, z):
                 take(first, last)
-                want = self.templates[t][1]
-                diff = align(want[:a][::-1], words[:i][:-len(want) - 1:-1], a)[0]
-                diff += align(want[z:], words[i + z - a:i + z - a + len(want)], len(want) - z)[0]
-                out.append((first, block, self.templates[t][0], alone, given, diff, False))
+                want = self.templates[winner][1]
+                if winner == t:
+                    diff = align(want[:a][::-1], words[:i][:-len(want) - 1:-1], a)[0]
+                    diff += align(want[z:], words[i + z - a:i + z - a + len(want)], len(want) - z)[0]
+                else:
+                    diff = align(want, words[first:last], len(want))[0]
+                out.append((first, block, self.templates[winner][0], alone, given, diff, False))
         return sorted(out)
 
 
