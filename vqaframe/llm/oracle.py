@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from vqaframe.llm.quality import FENCE, METRICS
-
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINE_DEDUP = f"""
@@ -22,10 +20,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+#: The metrics and their fences: numerator, denominator, scale, floor, reach.
+_METRICS = (("word_length", "word_chars", "n_words", 1000, 250, 6), ("symbols", "n_symbols", "n_words", 10000, 40, 25),
+            ("dup_lines", "n_dup_lines", "n_lines", 10000, 240, 25), ("repeat_words", "n_repeat_words", "n_words", 10000, 50, 50),
+            ("upper", "n_upper", "word_chars", 10000, 40, 25))
 _METRIC_ROWS = " UNION ALL ".join(
     f"SELECT doc_id, lang, source, '{m}' AS metric, CASE WHEN {under} > 0 THEN {over} * {scale} // {under} ELSE 0 END AS v "
-    f"FROM st WHERE NOT base_failed" for m, (over, under, scale, _, _) in METRICS.items())
-_MARGIN = " ".join(f"WHEN '{m}' THEN {x[3]}" for m, x in METRICS.items())
+    f"FROM st WHERE NOT base_failed" for m, over, under, scale, _, _ in _METRICS)
+_FLOOR = " ".join(f"WHEN '{x[0]}' THEN {x[4]}" for x in _METRICS)
+_REACH = " ".join(f"WHEN '{x[0]}' THEN {x[5]}" for x in _METRICS)
 _TOP = ("((b - greatest(b // 32 - 1, 0) * 32 + 1) * (1::BIGINT << greatest(b // 32 - 1, 0)::INT) - 1)")
 
 
@@ -58,16 +61,16 @@ cu AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS cum,
          sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM lv),
 b AS (
-  SELECT level, lang, source, metric, docs, min(bucket) FILTER (WHERE cum >= (docs * 10 + 99) // 100) AS b10,
+  SELECT level, lang, source, metric, docs, min(bucket) FILTER (WHERE cum >= (docs * 15 + 99) // 100) AS b15,
          min(bucket) FILTER (WHERE cum >= (docs * 50 + 99) // 100) AS b50,
-         min(bucket) FILTER (WHERE cum >= (docs * 90 + 99) // 100) AS b90
+         min(bucket) FILTER (WHERE cum >= (docs * 85 + 99) // 100) AS b85
   FROM cu GROUP BY level, lang, source, metric, docs),
 q AS (
-  SELECT level, lang, source, metric, docs, {_TOP.replace("b ", "b10 ")} AS q10, {_TOP.replace("b ", "b50 ")} AS q50,
-         {_TOP.replace("b ", "b90 ")} AS q90, CASE metric {_MARGIN} END AS margin FROM b),
+  SELECT level, lang, source, metric, docs, {_TOP.replace("b ", "b15 ")} AS q15, {_TOP.replace("b ", "b50 ")} AS q50,
+         {_TOP.replace("b ", "b85 ")} AS q85, CASE metric {_FLOOR} END AS least, CASE metric {_REACH} END AS reach FROM b),
 f AS (
-  SELECT level, lang, source, metric, docs, q50 + {FENCE} * greatest(q50 - q10, margin) AS high,
-         CASE WHEN metric = 'word_length' THEN q50 - {FENCE} * greatest(q90 - q50, margin) ELSE -1 END AS low FROM q),
+  SELECT level, lang, source, metric, docs, q85 + reach * greatest(q85 - q50, least) AS high,
+         CASE WHEN metric = 'word_length' THEN q15 - reach * greatest(q50 - q15, least) ELSE -1 END AS low FROM q),
 bad AS (
   SELECT DISTINCT coded.doc_id
   FROM coded JOIN f own ON own.level = 0 AND own.metric = coded.metric AND own.lang IS NOT DISTINCT FROM coded.lang

@@ -8,11 +8,12 @@ each, larger ones 32 buckets per doubling (relative error at most 1/32). Bucket
 sketches merge exactly, in any order, before and after the shuffle, and a hot source costs one row per
 bucket and task. ``rollup`` merges the sketches of a source into its language's and all languages'.
 
-A document that passes the base rules is rejected when a metric lies beyond its group's fence:
-median + FENCE * max(median - 10 % quantile, margin), and for the word length the mirrored lower fence
-too. Medians stay put while less than half of a group is junk, and the margins keep a group of equal
-documents from rejecting a slight deviation. A group with fewer than ``min_group`` documents takes the
-fences of its language, and a small language those of all documents.
+A document that passes the base rules is rejected when a metric lies beyond its group's fence, read from the upper
+part of the sketch: 85 % quantile + reach * max(85 % quantile - median, floor), and for the word length the mirrored
+lower fence too. So a group whose documents commonly repeat words gets a laxer limit for that. The quantile stays put
+while less than 15 % of a group is junk; the floors keep a group of equal documents from rejecting a slight deviation.
+A group with fewer than ``min_group`` documents takes the fences of its language, and a small language those of all
+documents.
 
 Defined results: a null text has no words and fails the base rules; null language or source is a group
 of its own; repeated rows count each; an empty table gives no rows.
@@ -26,15 +27,15 @@ from pyspark.sql import functions as F
 from vqaframe.llm.common import BLANK, UPPER, materialise, packed
 
 SYMBOLS = "#*$%&|<>"
-#: metric -> (numerator, denominator, scale, margin in scaled units, has a lower fence)
+#: metric -> (numerator, denominator, scale, floor in scaled units, reach, has a lower fence)
 METRICS = {
-    "word_length": ("word_chars", "n_words", 1000, 500, True),
-    "symbols": ("n_symbols", "n_words", 10000, 250, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10000, 1500, False),
-    "repeat_words": ("n_repeat_words", "n_words", 10000, 1000, False),
-    "upper": ("n_upper", "word_chars", 10000, 500, False),
+    "word_length": ("word_chars", "n_words", 1000, 250, 6, True),
+    "symbols": ("n_symbols", "n_words", 10000, 40, 25, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10000, 240, 25, False),
+    "repeat_words": ("n_repeat_words", "n_words", 10000, 50, 50, False),
+    "upper": ("n_upper", "word_chars", 10000, 40, 25, False),
 }
-FENCE = 4
+TAIL = 15  # per cent of a group beyond the quantiles that set its fences
 
 
 def _stripped(text: Column, chars: str) -> Column:
@@ -80,7 +81,7 @@ def base_failed(min_words: int = 50, max_repeat_pct: int = 50) -> Column:
 
 
 def metric(name: str) -> Column:
-    over, under, scale, _, _ = METRICS[name]
+    over, under, scale, *_ = METRICS[name]
     return F.when(F.col(under) > 0, F.floor(F.col(over) * scale / F.col(under))).otherwise(0).cast("long")
 
 
@@ -128,10 +129,10 @@ def fences(sketch: DataFrame) -> DataFrame:
                                 s["at"], F.when(s["seen"] + x["n"] >= rank, x["bucket"])).alias("at")))
         return bucket_top(found["at"])
 
-    g = g.withColumns({"q10": quantile(10), "q50": quantile(50), "q90": quantile(90)})
-    margin = F.create_map(*[F.lit(y) for m, x in METRICS.items() for y in (m, x[3])])[F.col("metric")]
-    g = g.withColumns({"high": F.col("q50") + FENCE * F.greatest(F.col("q50") - F.col("q10"), margin),
-                       "low": F.col("q50") - FENCE * F.greatest(F.col("q90") - F.col("q50"), margin)})
+    g = g.withColumns({"least": quantile(TAIL), "middle": quantile(50), "most": quantile(100 - TAIL)})
+    of = lambda k: F.create_map(*[F.lit(y) for m, x in METRICS.items() for y in (m, x[k])])[F.col("metric")]
+    g = g.withColumns({"high": F.col("most") + of(4) * F.greatest(F.col("most") - F.col("middle"), of(3)),
+                       "low": F.col("least") - of(4) * F.greatest(F.col("middle") - F.col("least"), of(3))})
     return g.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[
         F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("low", "high")])
 
@@ -165,7 +166,7 @@ def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) &
                         F.col("source").eqNullSafe(F.col("g_source")), "left")
     outside = F.lit(False)
-    for m, (_, _, _, _, lower) in METRICS.items():
+    for m, (*_, lower) in METRICS.items():
         outside = outside | (metric(m) > F.col(f"fence.high_{m}"))
         if lower:
             outside = outside | (metric(m) < F.col(f"fence.low_{m}"))
