@@ -418,7 +418,7 @@ SELECT round(CASE WHEN coalesce(m1, 0) = 0 THEN 0.0
                        * exp(ln(m1 / c)) END, 6) AS corpus_bleu1,
        round(mb, 6) AS mean_bleu1, n AS n_requests FROM s""",
 
-    "row_map_prompt": f"""SELECT doc_id, {_lit(_PRE)} || coalesce(text, 'None') || {_lit(_SUF)} AS question
+    "row_map_prompt": f"""SELECT doc_id, {_lit(_PRE)} || coalesce(nfc_normalize(text), 'None') || {_lit(_SUF)} AS question
 FROM documents""",
 
     "stream_accuracy": f"""WITH {BATCHED}

@@ -6,6 +6,7 @@ match the SQL oracle of the same name in ``vqaframe.plans.oracle``.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -481,17 +482,15 @@ def _prompt_formatter():
 
 
 def _format_row(row: dict, state: dict) -> dict:
-    # Python's own str.format, exactly as the original applies it per row
+    # canonical composition, which no column function has, then Python's own str.format as the original applies it
     text = row["text"]
-    return {"doc_id": row["doc_id"], "question": state["template"].format(text)}
+    composed = None if text is None else unicodedata.normalize("NFC", text)
+    return {"doc_id": row["doc_id"], "question": state["template"].format(composed)}
 
 
 def q_row_map_prompt(spark, d):
-    """U1 + U4: the prompt template applied by Python per row (mapInPandas).
-
-    The JVM form is ``format_prompt``; this one runs the original's per-row
-    Python call, with its state built once per worker, over every document.
-    """
+    """U1 + U4: texts brought to canonical composition (NFC) and formatted by Python per row (mapInArrow),
+    over every document, with the state built once per worker. The JVM form of the template alone is ``format_prompt``."""
     docs = T.load(spark, d, "documents", spread=True).select("doc_id", "text")
     return map_rows(docs, _format_row, "doc_id long, question string", init=_prompt_formatter)
 
