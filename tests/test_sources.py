@@ -160,7 +160,7 @@ def test_archived_and_plain_images_by_full_path(spark, tmp):
         images.archived_images(archives.expand_archives(spark, f"{tmp}/packed/set.zip"), with_content=True))
     rows = spark.createDataFrame([(1, f"{tmp}/plain/1.jpg"), (2, f"file:{tmp}/packed//set/1.jpg"), (3, f"{tmp}/packed/2.jpg"),
                                   (4, f"{tmp}/packed/set/2.jpg")], "id int, image_file string")
-    matched = images.attach_images(rows, files.drop("content"), on_missing="null")
+    matched = images.attach_images(rows, files.drop("content"), on_missing="null", name_col="path")
     got = {r["id"]: (r["content"] and bytes(r["content"]), r["image_bytes"]) for r in images.attach_content(matched, files).collect()}
     assert got == {1: (b"plain one", 9), 2: (b"archived one", 12), 3: (b"two", 3), 4: (None, None)}
 

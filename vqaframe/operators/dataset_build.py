@@ -35,7 +35,7 @@ def prepare_split(spark: SparkSession, annotations_path, questions_path, save_pa
         ds = build_qa_dataset(read_questions(spark, questions_path),
                               read_annotations(spark, annotations_path),
                               split, img_path, template=template, fraction=fraction, seed=seed)
-        return attach_images(ds, listing, on_missing=on_missing)
+        return attach_images(ds, listing, on_missing=on_missing, name_col="path")
 
     return load_or_build(spark, save_path, build, load=load, partition_by=["split"])
 

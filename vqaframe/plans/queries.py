@@ -543,7 +543,7 @@ def q_image_lookup(spark, d):
     rows = T.load(spark, d, "documents").select(
         "doc_id", F.concat(folder, F.col("doc_id").cast("string"), F.lit("/page.html")).alias("image_file"))
     files = IM.archived_images(AR.expand_archives(spark, archives), with_content=True)
-    matched = IM.attach_images(rows, files.drop("content"), on_missing="drop")
+    matched = IM.attach_images(rows, files.drop("content"), on_missing="drop", name_col="path")
     return IM.attach_content(matched, files).select("doc_id", "image_bytes", F.md5("content").alias("content_md5"))
 
 

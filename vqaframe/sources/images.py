@@ -46,8 +46,8 @@ def _plain_path(c):
 
 
 def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file",
-                  on_missing: str = "error", name_col: str = "path") -> DataFrame:
-    """Match each row to its image by full path (``name_col="file_name"``: by base name).
+                  on_missing: str = "error", name_col: str = "file_name") -> DataFrame:
+    """Match each row to its image by base name, or with ``name_col="path"`` by full path.
 
     Adds ``image_uri``, which names the bytes whether the image is a plain file or an archive's entry, and
     ``image_bytes``. A name that several listed files share fails the job, as it would not tell which one is meant.
@@ -56,6 +56,8 @@ def attach_images(rows: DataFrame, files: DataFrame, file_col: str = "image_file
     'drop' keeps matched rows only, 'null' keeps every row.
     """
     same = _plain_path if name_col == "path" else (lambda c: c)
+    if "uri" not in files.columns:  # plain files only
+        files = files.withColumn("uri", F.col("path"))
     listing = files.groupBy(same(F.col(name_col)).alias("_listed_name")).agg(
         F.min("uri").alias("image_uri"), F.min_by("length", "uri").alias("image_bytes"), F.max("uri").alias("_other"))
     listing = ensure(listing, F.col("image_uri") == F.col("_other"),
