@@ -123,8 +123,10 @@ def _bucket_links(fp: np.ndarray, left: np.ndarray | None, max_bits: int) -> lis
 
 def links(nodes: DataFrame, max_bits: int = 4, block: int = 4096) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all pairs of at most ``max_bits`` differing bits."""
-    python_ready(nodes.sparkSession)
-    index = variants(nodes, max_bits)
+    spark = nodes.sparkSession
+    python_ready(spark)
+    # a small table that grows 64-fold: dealt out first, in a count that is not merged again
+    index = variants(nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp"), max_bits)
     large = (index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
              .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     large = materialise(large, "simhash-large")
