@@ -11,6 +11,7 @@ from vqaframe.functions.parse import python_float
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
+from vqaframe.plans import tables as T
 from vqaframe.sources import archives, dataset_io, images, metric_lines as ML
 from vqaframe.sources import nested_json as NJ
 
@@ -204,6 +205,18 @@ def test_archive_members_in_a_lateral_join(spark):
     assert spark.sql(f"SELECT m.* FROM rows_with_archives t, LATERAL {name}(t.content, false) m").columns == ["entry", "length", "error"]
 
 
+def test_rows_are_zipped_without_arrow_batches(spark):
+    """An Arrow batch holds rows by number, not by bytes: a worker's memory would follow the texts."""
+    df = spark.createDataFrame([(1, "u", "é" * 9), (2, None, ""), (3, "u", None)], "id int, url string, html string")
+    df = df.select("id", T.zipped("url", "html").alias("content"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.collect():
+        with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z:
+            got[r.id] = {n: z.read(n).decode() for n in z.namelist()}
+    assert got == {1: {"url.txt": "u", "html.txt": "é" * 9}, 2: {"url.txt": "", "html.txt": ""}, 3: {"url.txt": "u", "html.txt": ""}}
+
+
 @pytest.mark.parametrize("size", [7, 100, 1_000_000])
 def test_nested_json_in_ranges(spark, tmp, size):
     """Ranges that end anywhere: in strings, escapes, characters of several bytes, names and nested values."""

@@ -13,7 +13,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,18 +103,18 @@ def tokens(col):
 
 
 def zipped(*cols):
-    """Each row's columns as the entries ``<column>.txt`` of a zip archive, as bytes."""
+    """Each row's columns as the entries ``<column>.txt`` of a zip archive, as bytes.
+
+    A plain function of one row: an Arrow batch would hold up to 10,000 rows, whatever the size of their texts.
+    """
     names = [f"{c}.txt" for c in cols]
 
-    @F.pandas_udf("binary")
-    def pack(texts: pd.DataFrame) -> pd.Series:
-        out = []
-        for row in texts.itertuples(index=False):
-            buf = io.BytesIO()
-            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, text in zip(names, row, strict=True):
-                    z.writestr(name, text or "")
-            out.append(buf.getvalue())
-        return pd.Series(out, dtype=object)
-
-    return pack(F.struct(*cols))
+    @F.udf("binary", useArrow=False)
+    def pack(*texts):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in zip(names, texts, strict=True):
+                z.writestr(name, text or "")
+        return buf.getvalue()
+
+    return pack(*cols)
