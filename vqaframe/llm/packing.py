@@ -43,7 +43,8 @@ class Encoder:
     def __init__(self, tok: Tokenizer):
         self.splitter = SpaceSplitter(tok)
         model = tok.model
-        self.packed = Memo(lambda p: b"".join(pack(_CODEC, t.id) for t in model.tokenize(to_symbols(p))))
+        ids = {i: pack(_CODEC, i) for i in tok.get_vocab().values()}
+        self.packed = Memo(lambda p: b"".join([ids[t.id] for t in model.tokenize(to_symbols(p))]), limit=500_000)
         self.special = {s: pack(_CODEC, i) for s, i in self.splitter.special_ids.items()}
 
     def encode(self, text: str) -> bytes:
