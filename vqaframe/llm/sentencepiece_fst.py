@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,13 @@ _WORKER: dict = {}
 
 
 def _chunk_pattern(signs: str) -> str:
-    """Meta symbols with the letters, or with the digits, signs and white space, that follow them."""
+    """Meta symbols with the letters, or with the digits, signs and white space, that follow them.
+
+    Words of A-Z and a-z only come first: the same chunks as by the second form, found faster.
+    """
     signs = re.escape(signs.replace(META, ""))
-    return rf"{META}*[^\W\d_{signs}]+|{META}*(?:(?!{META})[\W\d_{signs}])+|{META}+"
+    letter = rf"[^\W\d_{signs}]"
+    return rf"{META}*[A-Za-z]++(?!{letter})|{META}*{letter}+|{META}*(?:(?!{META})[\W\d_{signs}])+|{META}+"
 
 
 def compile_model(path: str) -> dict:
@@ -94,7 +99,9 @@ class Transducer:
             node[""] = p
         self.left, self.right = {}, {}  # edges of a piece's merge tree: [(part, rank), ...] from the piece inwards
         self.odd = set()  # pieces whose merges do not rise in rank: pairs with them are merged outright
-        self.chunks = Memo(self._compose)
+        self.packed = {p: pack("<i", i) for p, (_, i) in self.pieces.items()}
+        self.chunks = Memo(self._compose, limit=500_000)
+        self.pairs = Memo(self._crosses, limit=100_000, longest=2)
         self.chunk = re.compile(compiled["chunk"])
 
     def merged(self, text: str) -> list[str]:
@@ -145,8 +152,9 @@ class Transducer:
             self._edges(piece)
         return self.left[piece] is not None
 
-    def _crosses(self, a: str, b: str) -> bool:
+    def _crosses(self, pair: tuple[str, str]) -> bool:
         """Whether some merge crosses the border of two neighbours. A letter outside the model merges with nothing."""
+        a, b = pair
         if a not in self.pieces or b not in self.pieces:
             return False
         if a in self.odd or b in self.odd:
@@ -168,18 +176,20 @@ class Transducer:
 
     def _arcs_from(self, text: str, at: int) -> list[str]:
         """Pieces that start here, the longest last; where the letter is none, its byte fallback."""
-        node, out = self.arcs, [] if text[at] in self.pieces else [text[at]]
+        node, whole, out = self.arcs, self.left, [] if text[at] in self.pieces else [text[at]]
         for c in text[at:at + self.longest]:
             node = node.get(c)
             if node is None:
                 break
             piece = node.get("")
-            if piece is not None and self._whole(piece):
+            if piece is None:
+                continue
+            if (whole[piece] if piece in whole else self._whole(piece)):
                 out.append(piece)
         return out
 
     def _compose(self, text: str) -> bytes:
-        n, at, path, dead = len(text), 0, [], set()
+        n, at, path, dead, crosses = len(text), 0, [], set(), self.pairs
         left = [self._arcs_from(text, 0)]  # arcs not yet tried, of each place on the path
         while at < n:
             if not left[-1]:
@@ -189,16 +199,13 @@ class Transducer:
                 continue
             piece = left[-1].pop()
             end = at + len(piece)
-            if end not in dead and not (path and self._crosses(path[-1], piece)):  # else it weighs infinity
+            if end not in dead and not (path and crosses[path[-1], piece]):  # else it weighs infinity
                 path.append(piece)
                 at = end
                 if at < n:
                     left.append(self._arcs_from(text, at))
-        ids = []
-        for piece in path:
-            hit = self.pieces.get(piece)
-            ids.extend([hit[1]] if hit else [self.byte_ids[b] for b in piece.encode()])
-        return np.array(ids, "<i4").tobytes()
+        get = self.packed.get
+        return b"".join([get(p) or pack(f"<{len(p.encode())}i", *[self.byte_ids[b] for b in p.encode()]) for p in path])
 
     def encode(self, text: str) -> bytes:
         """Ids as packed 32-bit numbers."""
