@@ -26,6 +26,10 @@ work is therefore cut into short aligned strings that can hold all answers:
    Groups go to tasks by their core. A core with more than ``most`` different edges does not enter a task:
    its windows are counted by hash over all tasks, with the same result.
 
+Passages by words. With ``words``, passages of more than that many words (``[^\x20\x09-\x0D]+``, whatever white space
+stands between) that stand at another place too are found as well, however few bytes they have: steps 1 and 2 with words
+for bytes, then the windows of the differing contexts are counted by hash, as there are few. The texts move with step 3's.
+
 Counts combine before shuffles; joins shuffle both sides, so Spark splits hot keys. Contexts and cores are
 compared by 128-bit hashes, edges byte by byte.
 
@@ -45,13 +49,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vqaframe.llm.common import materialise, packed, python_ready
+from vqaframe.llm.common import BLANK, materialise, packed, python_ready
 
 BLOCK = 64  # windows per block; their marks fit one long
 EDGE = BLOCK - 1
 _PIECE = 1 << 20  # bytes hashed at a time
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict = {}
+_SPACE = np.isin(np.arange(256), list(BLANK.encode()))
+_WORD_GRAM = 8  # words of an anchor's gram
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +72,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
     """64-bit hash of the gram at each place of a byte array; depends on the gram's bytes only."""
+    return _spans_hashed(t, slice(0, len(t) - gram + 1), slice(gram, len(t) + 1))
+
+
+def _spans_hashed(t: np.ndarray, starts, ends) -> np.ndarray:
+    """64-bit hash of each of the given ranges of a byte array; depends on the range's bytes only."""
     n = len(t)
     up, down = _powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((t.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        h = (total[gram:] - total[:-gram]) * down[:n - gram + 1]
+        h = (total[ends] - total[starts]) * down[starts]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
@@ -101,7 +112,11 @@ def _runs(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, length
     """(text number, anchor, first window, last window, gram hash) of texts lying one after the other in t."""
     if len(t) < length:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    h = gram_hashes(t, gram)
+    return _by_anchor(gram_hashes(t, gram), starts, ends, gram, length)
+
+
+def _by_anchor(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, length: int):
+    """The same from the gram hashes, of bytes or of words."""
     at = window_anchors(h, length - gram + 1)
     count = np.maximum(0, ends - starts - length + 1)
     which = np.repeat(np.arange(len(starts)), count)
@@ -158,6 +173,66 @@ def _long_text(k: int, text: bytes, gram: int, length: int):
         yield np.array([k]), *held
 
 
+class Words:
+    """Words of a text: ``starts`` and ``ends`` in it, and ``at`` and ``to`` in ``joined``, where one blank stands between."""
+
+    def __init__(self, t: np.ndarray):
+        space = _SPACE[t]
+        edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        keep = ~space
+        keep[self.ends[self.ends < len(t)]] = True
+        self.joined = np.where(space, np.uint8(32), t)[keep]
+        size = self.ends - self.starts
+        self.to = np.cumsum(size + 1) - 1
+        self.at = self.to - size
+
+
+def passage_anchors(texts: list[bytes], length: int):
+    """(text number, anchor, first window, last window, gram hash, context hash) in words, over many texts, in bounded pieces.
+
+    A run that goes on in a long text's next piece comes as two rows: their contexts differ, so their windows are counted.
+    """
+    gram = min(length, max(_WORD_GRAM, length - 63))  # a run's windows fit the bits of a long
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        if len(t) < 2 * length - 1:
+            continue
+        if len(t) > _PIECE:
+            places, step = Words(np.frombuffer(t, np.uint8)), _PIECE // 8
+            for w in range(0, len(places.starts) - length + 1, step):
+                lo, hi = places.starts[w], places.ends[min(w + step + length - 1, len(places.ends)) - 1]
+                _, a, s, e, *h = _passage_runs([t[lo:hi]], length, gram)
+                yield np.full(len(a), k), a + w, s + w, e + w, *h
+            continue
+        if size + len(t) > _PIECE:
+            which, *found = _passage_runs([texts[i] for i in group], length, gram)
+            yield np.array(group)[which], *found
+            group, size = [], 0
+        group.append(k)
+        size += len(t)
+    if group:
+        which, *found = _passage_runs([texts[i] for i in group], length, gram)
+        yield np.array(group)[which], *found
+
+
+def _passage_runs(texts: list[bytes], length: int, gram: int):
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    words = Words(np.frombuffer(b" ".join(texts), np.uint8))
+    n = len(words.starts)
+    if n < length:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    h = _spans_hashed(words.joined, words.at[:n - gram + 1], words.to[gram - 1:])
+    last = np.searchsorted(words.starts, ends)
+    first = np.r_[0, last[:-1]]
+    which, a, s, e, h = _by_anchor(h, first, last, gram, length)
+    view = memoryview(words.joined)
+    context = [xxhash.xxh3_64_intdigest(view[x:y], seed=b << 20 | c) for x, y, b, c in zip(
+        words.at[s].tolist(), words.to[e + length - 1].tolist(), (a - s).tolist(), (e - a).tolist(), strict=True)] if len(a) else []
+    base = first[which]
+    return which, a - base, s - base, e - base, h, np.array(context, np.uint64)
+
+
 def column_matches(group: np.ndarray, left: list[bytes], right: list[bytes], keep_first: bool = False) -> np.ndarray:
     """For each block, the bits of its windows that another block of its group holds too.
 
@@ -221,15 +296,62 @@ def anchors(base: DataFrame, gram: int, length: int) -> DataFrame:
     return base.mapInArrow(work, f"id {id_type}, version bigint, a int, s int, e int, gram bigint, c1 bigint, c2 bigint")
 
 
-def blocks(base: DataFrame, picked: DataFrame, length: int) -> DataFrame:
-    """One row per block around a picked context: k1, k2 (core and distance), left, right, c1, c2, j, id, version, a."""
+def found_passages(text: DataFrame, length: int) -> DataFrame:
+    """Anchors of passages of ``length`` words whose gram stands at several places: id, version, a, s, e, c1 (gram), c2, mixed."""
+    id_type = text.schema["id"].dataType.simpleString()
+    names = ["id", "version", "a", "s", "e", "c1", "c2"]
+
+    def work(batches):
+        for b in batches:
+            for which, a, s, e, h, c in passage_anchors(b.column(2).to_pylist(), length):
+                pick = pa.array(which)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pick), b.column(1).take(pick), *[pa.array(x.astype(np.int32)) for x in (a, s, e)],
+                     pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names)
+
+    every = materialise(text.mapInArrow(work, f"id {id_type}, version bigint, a int, s int, e int, c1 bigint, c2 bigint"), "word-anchors")
+    grams = every.groupBy("c1").agg(F.count(F.lit(1)).alias("n"), F.min("c2").alias("lo"), F.max("c2").alias("hi"))
+    grams = materialise(grams.filter(F.col("n") >= 2).select("c1", (F.col("lo") != F.col("hi")).alias("mixed")), "word-grams")
+    return materialise(every.join(grams, "c1"), "word-found")
+
+
+def passage_lists(found: DataFrame, contexts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per document (g_id, g_version) the runs of repeated passages, ``passages``.
+
+    Bit i of ``again`` and ``later`` stands for the window i words before the anchor: it is repeated, and not the first of its kind.
+    """
+    bits = F.expr("shiftleft(1L, a - w)")
+    place = F.struct("id", "version", "w")
+    first = materialise(windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+                        .filter(F.col("n") >= 2).drop("n"), "word-windows")
+    marks = windows.join(first, ["k1", "k2"]).groupBy("c1", "c2").agg(
+        F.bit_or(bits).alias("again"), F.bit_or(F.when(place != F.col("first"), bits)).alias("later"))
+    place, whole, none = F.struct("id", "version", "a"), F.lit(-1).cast("long"), F.lit(0).cast("long")
+    verdict = contexts.select("c1", "c2", "n", place.alias("first")).join(marks, ["c1", "c2"], "left")
+    verdict = materialise(verdict.filter((F.col("n") >= 2) | F.col("again").isNotNull()), "word-verdict")
+    run = F.struct("a", "s", "e", F.when(F.col("n") >= 2, whole).otherwise(F.col("again")).alias("again"),
+                   F.when(place != F.col("first"), whole).otherwise(F.coalesce("later", none)).alias("later")).alias("run")
+    runs = found.join(verdict, ["c1", "c2"]).select(F.col("id").alias("g_id"), F.col("version").alias("g_version"), run)
+    return materialise(runs.groupBy("g_id", "g_version").agg(F.collect_list("run").alias("passages")), "word-lists")
+
+
+def blocks(base: DataFrame, picked: DataFrame, length: int, words: int = 0) -> DataFrame:
+    """One row per block around a picked context: k1, k2 (core and distance), left, right, c1, c2, j, id, version, a.
+
+    Picked contexts of passages (``of_words``) give one row per window: k1, k2 its hash, j its first word, left and right null.
+    """
 
     def work(batches):
         for b in batches:
             out, row = [], []
             for r, (text, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                said = [x for x in found if x["of_words"]]
+                if said:
+                    yield passage_windows(b, r, text, *(np.array([x[c] for x in said]) for c in ("a", "s", "e", "c1", "c2")))
                 for x in found:
                     a, s, e = x["a"], x["s"], x["e"]
+                    if x["of_words"]:
+                        continue
                     for j in range((a - e) // BLOCK, (a - s) // BLOCK + 1):
                         lo = a - (BLOCK * j + EDGE)
                         core = xxhash.xxh3_128_digest(memoryview(text)[lo + EDGE:lo + length], seed=j)
@@ -243,15 +365,29 @@ def blocks(base: DataFrame, picked: DataFrame, length: int) -> DataFrame:
             if out:
                 yield batch(b, row, out)
 
+    def passage_windows(b, r, text, a, s, e, c1, c2):
+        spoken = Words(np.frombuffer(text, np.uint8))
+        view, count = memoryview(spoken.joined), e - s + 1
+        w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(s, count)
+        k = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(
+            spoken.at[w].tolist(), spoken.to[w + words].tolist(), strict=True)), np.int64).reshape(-1, 2)
+        pick = pa.array(np.full(len(w), r))
+        no = pa.nulls(len(w), pa.binary())
+        c1, c2, a = (np.repeat(x, count) for x in (c1, c2, a))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), no, no, pa.array(c1), pa.array(c2), pa.array(w.astype(np.int32)),
+             pa.array(a.astype(np.int32)), b.column(0).take(pick), b.column(1).take(pick)], names)
+
+    names = ["k1", "k2", "left", "right", "c1", "c2", "j", "a", "id", "version"]
+
     def batch(b, row, out):
         kinds = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 2 + [pa.int32()] * 2
         cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
         pick = pa.array(row)
-        return pa.RecordBatch.from_arrays([*cols, b.column(0).take(pick), b.column(1).take(pick)],
-                                          ["k1", "k2", "left", "right", "c1", "c2", "j", "a", "id", "version"])
+        return pa.RecordBatch.from_arrays([*cols, b.column(0).take(pick), b.column(1).take(pick)], names)
 
     lists = materialise(picked.groupBy(F.col("id").alias("f_id"), F.col("version").alias("f_version")).agg(
-        F.collect_list(F.struct("a", "s", "e", "c1", "c2")).alias("found")), "passage-picked")  # of one document each
+        F.collect_list(F.struct("a", "s", "e", "c1", "c2", "of_words")).alias("found")), "passage-picked")  # of one document each
     joined = base.join(lists, base["id"].eqNullSafe(lists["f_id"]) & (base["version"] == lists["f_version"]))
     # repeated rows (same id and text) come more than once: they are copies of each other, as the counts then say
     id_type = base.schema["id"].dataType.simpleString()
@@ -331,11 +467,13 @@ def repeated_blocks(found: DataFrame, most: int, keep_first: bool = False) -> Da
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-                 gram: int = 128, most: int = 1024, as_text: bool = False, keep_first: bool = False) -> DataFrame:
+                 gram: int = 128, most: int = 1024, as_text: bool = False, keep_first: bool = False, words: int = 0) -> DataFrame:
     """One row per document: ``row`` (the input), ``id``, ``n_bytes``, ``n_removed``, ``spans`` (start, end), ``kept``.
 
     ``kept`` is the remaining bytes, or with ``as_text`` a string: characters of which a part was cut go.
     ``keep_first``: the first occurrence of every repeated string stays, unless another's copy covers it.
+    ``words``: also ``passages`` (start, end in bytes), covered by more than ``words`` words that stand elsewhere too, and
+    ``once``, the text without them but for the first of each; null if that is the whole text.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -343,6 +481,12 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = packed(docs, id=id_col, text=text_col).withColumn("text", raw(F.col("text"))).withColumn("version", F.xxhash64("text"))
     text = base.select("id", "version", "text")
 
+    if words:
+        spoken = found_passages(text, words + 1)
+        said = materialise(spoken.groupBy("c1", "c2", "mixed").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "a", "s", "e")).alias("r"))
+            .select("c1", "c2", "mixed", "n", "r.*"), "word-contexts")
+
     all_anchors = materialise(anchors(text, gram, length), "passage-anchors")
     grams = materialise(
         all_anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"))
@@ -354,7 +498,13 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found.filter("mixed").groupBy("c1", "c2")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "a", "s", "e")).alias("r"))
         .select("c1", "c2", "n", "r.*"), "passage-contexts")
-    around = materialise(blocks(text, contexts, length), "passage-blocks")
+    picked = contexts.withColumn("of_words", F.lit(False))
+    if words:
+        picked = picked.unionByName(said.filter("mixed").drop("mixed").withColumn("of_words", F.lit(True)))
+    around = materialise(blocks(text, picked, length, words), "passage-blocks")
+    if words:
+        passages = passage_lists(spoken, said, around.filter("left is null").withColumnRenamed("j", "w"))
+        around = around.filter("left is not null")
     marks = repeated_blocks(around, most, keep_first)
     keys = ["k1", "k2", "left", "right"]
     marked = around.join(marks, keys)
@@ -381,7 +531,9 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the text moves once, inside the row
     joined = base.drop("text").join(lists, base["id"].eqNullSafe(lists["f_id"]) & (base["version"] == lists["f_version"]), "left")
     joined = joined.withColumn("text", raw(F.col(f"row.`{text_col}`")))
-    joined = joined.select("row", "id", "text", "found")
+    if words:
+        joined = joined.join(passages, joined["id"].eqNullSafe(passages["g_id"]) & (joined["version"] == passages["g_version"]), "left")
+    joined = joined.select("row", "id", "text", "found", *(["passages"] if words else []))
     row_type, id_type = (joined.schema[c].dataType.simpleString() for c in ("row", "id"))
 
     def cut(batches):
@@ -398,13 +550,47 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size.append(len(t))
                 removed.append(len(t) - len(kept[-1]))
                 spans.append([{"start": x, "end": y} for x, y in ranges])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["row", "id", "n_bytes", "n_removed", "spans", "kept"])
-
+            ranges_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = [b.column("row"), b.column("id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
+                       pa.array(spans, ranges_type),
+                       pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
+            names = ["row", "id", "n_bytes", "n_removed", "spans", "kept"]
+            if words:
+                runs = [x.values for x in b.column("passages")]  # of the row's list, still Arrow
+                cuts = [without_passages(t, *(x.field(c).to_numpy() for c in ("a", "s", "e", "again", "later")), words + 1)
+                        if x is not None else ([], None) for t, x in zip(b.column("text").to_pylist(), runs, strict=True)]
+                columns += [pa.array([[{"start": x, "end": y} for x, y in r] for r, _ in cuts], ranges_type),
+                            pa.array([o for _, o in cuts], pa.string())]
+                names += ["passages", "once"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ranges = "array<struct<start: bigint, end: bigint>>"
     return joined.mapInArrow(cut, f"row {row_type}, id {id_type}, n_bytes bigint, n_removed bigint, "
-                                  f"spans array<struct<start: bigint, end: bigint>>, kept {'string' if as_text else 'binary'}")
+                                  f"spans {ranges}, kept {'string' if as_text else 'binary'}"
+                                  + (f", passages {ranges}, once string" if words else ""))
+
+
+def without_passages(text: bytes, a, s, e, again, later, length: int) -> tuple[list[tuple[int, int]], str | None]:
+    """Byte ranges of a document's passages of ``length`` words, and the text without those that are not the first (or None)."""
+    words = Words(np.frombuffer(text, np.uint8))
+    back = np.arange(int((a - s).max()) + 1)
+    w = a[:, None] - back
+    inside = (w >= s[:, None]) & (w <= e[:, None])
+
+    def ranges(bits):
+        starts = np.unique(w[inside & (bits[:, None] >> back & 1).astype(bool)])
+        new = np.flatnonzero(np.diff(starts) > length) + 1
+        if not len(starts):
+            return []
+        return list(zip(words.starts[starts[np.r_[0, new]]].tolist(),
+                        words.ends[starts[np.r_[new - 1, len(starts) - 1]] + length - 1].tolist(), strict=True))
+
+    out = ranges(later)
+    parts, at = [], 0
+    for x, y in out:
+        parts.append(text[at:x])
+        at = y
+    return ranges(again), b"".join([*parts, text[at:]]).decode() if out else None
 
 
 def covered(found: list[dict], length: int) -> list[tuple[int, int]]:
